@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.llm.jaccard_join import similarity_components
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 
 
@@ -18,5 +19,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_spans(docs).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_substring_dedup": op2_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,3 +119,31 @@ def concat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def utf8(texts: list[str | None]) -> list[bytes | None]:
     return [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+
+
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows (but for row 0) whose key differs from that of the row before."""
+    differ = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for key in keys:
+        differ |= np.diff(table.column(key).to_numpy()) != 0
+    return np.flatnonzero(differ) + 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, in tables cut only between groups of equal keys."""
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if kept and any(kept[-1].column(k)[-1].as_py() != table.column(k)[0].as_py() for k in keys):
+            yield pa.concat_tables(kept).combine_chunks()
+            kept = []
+        change = changes(table, keys)
+        if len(change):
+            yield pa.concat_tables([*kept, table.slice(0, int(change[-1]))]).combine_chunks()
+            kept = [table.slice(int(change[-1]))]
+        else:
+            kept.append(table)
+    if kept:
+        yield pa.concat_tables(kept).combine_chunks()
