@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.textblocks import Prefix, Words, blocks, concat_ranges, sliding_min, utf8
+from knotwork.llm.textblocks import Prefix, Words, blocks, concat_ranges, sliding_min, utf8, whole_groups
 from knotwork.plans.materialize import written
 
 HASH_BYTES = 6
@@ -82,33 +82,11 @@ def _runs(window: int, gram: int, anchors_only: bool):
     return of
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows cut only between groups of equal (anchor, salt)."""
-    kept: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        anchor, salt = (table.column(c).to_numpy() for c in ("anchor", "salt"))
-        change = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(salt) != 0))
-        if kept and (kept[-1].column("anchor")[-1].as_py(), kept[-1].column("salt")[-1].as_py()) != (anchor[0], salt[0]):
-            yield pa.concat_tables(kept)
-            kept = []
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield pa.concat_tables([*kept, table.slice(0, cut)])
-            kept = [table.slice(cut)]
-        else:
-            kept.append(table)
-    if kept:
-        yield pa.concat_tables(kept)
-
-
 def _match(window: int):
     """In each reference block: factors of at least ``window`` words that a smaller id holds too."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches, ["anchor", "salt"]):
             table = table.combine_chunks()
             anchor, salt, doc, key, start, salted = (table.column(c).to_numpy() for c in ("anchor", "salt", "doc_id", "text_key", "start", "salted"))
             group = np.concatenate(([0], np.cumsum((np.diff(anchor) != 0) | (np.diff(salt) != 0))))
@@ -152,7 +130,7 @@ def _found(doc, key, start, end, anchor=None, seen=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, none if anchor is None else pa.array(anchor), none if seen is None else pa.array(seen)], ["doc_id", "text_key", "start", "end", "anchor", "seen"])
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12, block_rows: int = 20_000) -> DataFrame:
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12, block_rows: int = 2_000) -> DataFrame:
     """Word spans [start, end) of each document that windows of smaller ids cover, by (doc_id, text_key).
 
     ``gram`` sets the length of anchors (any value up to ``window`` gives the same spans). Anchors
