@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import language_id, media
 from knotwork.llm.byte_bpe import Tokenizer
+from knotwork.llm.cover_search import top_k
 from knotwork.llm.fair_mix import fair_mix
 from knotwork.llm.jaccard_join import similarity_components
 from knotwork.llm.preference_format import clean_turns, format_preferences, swapped_answers
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
@@ -86,7 +91,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_preference_format, op4_fair_mix, op5_byte_bpe, op6_url_filters, op7_media, op8_language_id, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_cover_search, op2_substring_dedup, op3_preference_format, op4_fair_mix, op5_byte_bpe, op6_url_filters, op7_media, op8_language_id, op9_quality, op10_jaccard_join)}
+
+OP1_SQL = r"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e q JOIN e d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id AND len(d.v) = len(q.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20
+"""
 
 OP3_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -132,4 +146,4 @@ c AS (SELECT b.*, (SELECT max({'n': length(h || p), 'k': length(h), 'rule': h ||
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM c
 """
 
-ORACLE_SQL = {"op3_preference_format": OP3_SQL, "op4_fair_mix": OP4_SQL, "op6_url_filters": OP6_SQL}
+ORACLE_SQL = {"op1_cover_search": OP1_SQL, "op3_preference_format": OP3_SQL, "op4_fair_mix": OP4_SQL, "op6_url_filters": OP6_SQL}
