@@ -1,19 +1,64 @@
-"""The corpus pipeline: stages that each write their documents for the next."""
+"""The corpus pipeline: language ID, near-duplicate removal, substring dedup, mixing, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again for the next. All but
+the last return the columns of ``documents``. Texts that a stage changes get their ``n_chars`` anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from knotwork.llm import language_id
+from knotwork.llm.fair_mix import fair_mix, mixed_rows
+from knotwork.llm.jaccard_join import similarity_components
+from knotwork.llm.queries import held_out_rows, token_digests, tokenizer
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 from knotwork.plans.materialize import written
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = remove_duplicate_spans(docs)
-    return out.where("n_removed < n_words").drop("text").withColumnRenamed("kept_text", "text").select(docs.columns)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go; the others get the language found as ``lang``."""
+    found = language_id.identify(docs, language_id.learn(docs.where(~held_out_rows())))
+    kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest id stays; documents without words or id stay."""
+    groups = similarity_components(docs)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words of repeated passages; a document goes if nothing of it is left. Untouched texts keep their spacing."""
+    out = remove_duplicate_spans(docs).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": length}).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_rows(docs, fair_mix(docs))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the decoded bytes of each document."""
+    bpe = tokenizer(spark)
+    return token_digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"))))
+
 
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
 
-STAGES = [("substring dedup", substring_dedup)]
+#: No stage but mixing can be said in SQL; tests/llm compares run() with a plain Python version.
 ORACLE_SQL = None
 
 
