@@ -79,7 +79,8 @@ def fair_mix(
     seed: str = "mix",
     range_rows: int = 2_000,
 ) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, finish (of its first copy), taken_copies, taken.
+    """Per document: doc_id, source, size, source_size, target, finish (of its first copy), cycle (what each
+    further copy adds to it), taken_copies, taken.
 
     ``share`` times the total size is the budget. The full mix is each row ``taken_copies`` times, in
     order of finish times.
@@ -129,13 +130,14 @@ def fair_mix(
             bound = F.struct(*(F.lit(v).cast(copies.schema["c"].dataType[n].dataType).alias(n) for n, v in last.asDict().items()))
             within = lambda c: c <= bound
     n_copies = F.size(F.filter("copies", within)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "finish", n_copies.alias("taken_copies"), (n_copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "finish", (F.col("source_size") / F.col("weight")).alias("cycle"), n_copies.alias("taken_copies"), (n_copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as taken, range-sorted by the finish time of each copy's first."""
+    """The mix itself: rows of ``docs`` as often as taken, range-sorted by each copy's finish time."""
     own = docs.columns
-    times = mixed.where("taken_copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("taken_copies").alias("__copies"), F.min("finish").alias("__finish"))
-    found = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & docs[source_col].eqNullSafe(times["__source"]))
-    repeated = found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return repeated.select(*own)
+    times = mixed.where("taken_copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
+    times = times.agg(F.max("taken_copies").cast("int").alias("__copies"), F.min("finish").alias("__finish"), F.max("cycle").alias("__cycle"))
+    found = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & docs[source_col].cast("string").eqNullSafe(times["__source"]))
+    repeated = found.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    return repeated.orderBy(F.col("__finish") + F.col("__copy") * F.col("__cycle"), id_col).select(*own)
