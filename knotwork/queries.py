@@ -1,6 +1,548 @@
-"""Queries over the graph operators; ``QUERIES`` and ``ORACLE_SQL`` are by query name."""
+"""Queries over the graph operators; ``QUERIES`` and ``ORACLE_SQL`` are by query name.
+
+The graphs are parts sharing an order among lines of 45 pieces or more (``q45``), and documents sharing a line (``docs``).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from knotwork.functions import bitmap
+from knotwork.operators import counting, ordering, relational, scan, stats
+from knotwork.operators.components import connected_components
+from knotwork.operators.graph import Graph
+from knotwork.operators.kcore import coreness, k_core
+from knotwork.plans.materialize import written
+from knotwork.sources.derive import line_graph, order_graph
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_EDGES = """l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem WHERE l_quantity >= 45),
+e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i)"""
+_DOC_EDGES = r"""l AS (SELECT DISTINCT doc_id AS i, line AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),
+k AS (SELECT g FROM l GROUP BY g HAVING count(*) BETWEEN 2 AND 200),
+e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM k))"""
+_BASE = """s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src),
+n AS (SELECT e.src, e.dst, count(b.src) AS cn FROM e LEFT JOIN s a ON a.src = e.src LEFT JOIN s b ON b.src = e.dst AND b.dst = a.dst GROUP BY e.src, e.dst)"""
+_ORIENTED = """f AS (SELECT CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.src ELSE e.dst END AS src, CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.dst ELSE e.src END AS dst
+  FROM e JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst)"""
+_TRIANGLES = """t AS (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst)"""
+
+
+def _sql(body: str, *parts: str, edges: str = _EDGES) -> str:
+    return "WITH RECURSIVE " + ",\n".join([edges, *(parts or (_BASE,))]) + "\n" + body
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _q45(spark: SparkSession, sf_dir: str) -> Graph:
+    graph = order_graph(spark, sf_dir)
+    edges = written(graph.edges, "q45")
+    return Graph.from_pairs(edges)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> Graph:
+    edges = written(line_graph(spark, sf_dir).edges, "docs")
+    return Graph.from_pairs(edges)
+
+
+@_query("edges", _sql("SELECT src, dst FROM e", _BASE))
+def edges(spark, sf_dir):
+    return order_graph(spark, sf_dir).edges
+
+
+@_query("symmetric_edges", _sql("SELECT src, dst FROM s", _BASE))
+def symmetric_edges(spark, sf_dir):
+    return order_graph(spark, sf_dir).symmetric()
+
+
+@_query("degrees", _sql("SELECT id, deg FROM d"))
+def degrees(spark, sf_dir):
+    return _q45(spark, sf_dir).degrees()
+
+
+@_query("adjacency", _sql("SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS nbrs FROM s GROUP BY src"))
+def adjacency(spark, sf_dir):
+    return order_graph(spark, sf_dir).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+
+
+@_query("csr_offsets", _sql("SELECT id, coalesce(sum(deg) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", deg FROM d"))
+def csr_offsets(spark, sf_dir):
+    return stats.csr_offsets(_q45(spark, sf_dir))
+
+
+@_query("oriented_edges", _sql("SELECT src, dst FROM f", _BASE, _ORIENTED))
+def oriented_edges(spark, sf_dir):
+    return _q45(spark, sf_dir).oriented()
+
+
+_CN = _sql("SELECT src, dst, cn FROM n")
+
+
+@_query("common_neighbors", _CN)
+def common_neighbors(spark, sf_dir):
+    return counting.common_neighbors(_q45(spark, sf_dir))
+
+
+def _cn_by(strategy: str):
+    return lambda spark, sf_dir: counting.common_neighbors(_q45(spark, sf_dir), strategy)
+
+
+for _strategy in ("array", "wedge", "block"):
+    _query(f"common_neighbors_{_strategy}", _CN)(_cn_by(_strategy))
+
+
+@_query("common_neighbors_docs", _sql("SELECT src, dst, cn FROM n", edges=_DOC_EDGES))
+def common_neighbors_docs(spark, sf_dir):
+    return counting.common_neighbors(_docs(spark, sf_dir))
+
+
+@_query("common_neighbors_mirrored", _sql("SELECT src, dst, cn FROM n UNION ALL SELECT dst, src, cn FROM n"))
+def common_neighbors_mirrored(spark, sf_dir):
+    cn = counting.common_neighbors(_q45(spark, sf_dir))
+    return cn.unionByName(cn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cn"))
+
+
+@_query("triangles", _sql("SELECT a, b, c FROM t", _TRIANGLES))
+def triangles(spark, sf_dir):
+    return counting.triangles(_q45(spark, sf_dir))
+
+
+@_query("triangle_count", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES))
+def triangle_count(spark, sf_dir):
+    return counting.triangle_count(_q45(spark, sf_dir))
+
+
+@_query("triangle_count_docs", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES, edges=_DOC_EDGES))
+def triangle_count_docs(spark, sf_dir):
+    return counting.triangle_count(_docs(spark, sf_dir))
+
+
+@_query("cliques4", _sql("SELECT t.a, t.b, t.c, x.dst AS d FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
+def cliques4(spark, sf_dir):
+    return counting.cliques4(_q45(spark, sf_dir))
+
+
+@_query("clique_counts", _sql("SELECT 3::BIGINT AS k, count(*) AS cliques FROM t UNION ALL SELECT 4, count(*) FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
+def clique_counts(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    count = lambda k: counting.cliques(graph, k).agg(F.lit(k).cast("long").alias("k"), F.count("*").alias("cliques"))
+    return count(3).unionByName(count(4))
+
+
+# --- structural clustering -------------------------------------------------------------------------
+
+_SIM = "m AS (SELECT n.src, n.dst, cn, (cn + 2) / sqrt(((x.deg + 1) * (y.deg + 1))::DOUBLE) AS sim FROM n JOIN d x ON x.id = n.src JOIN d y ON y.id = n.dst)"
+
+
+def _scan_parts(eps: float, mu: int) -> list[str]:
+    return [
+        _BASE, _SIM,
+        f"p AS (SELECT src, dst FROM m WHERE sim >= {eps} UNION ALL SELECT dst, src FROM m WHERE sim >= {eps})",
+        "cc AS (SELECT d.id, count(p.src) AS core_count FROM d LEFT JOIN p ON p.src = d.id GROUP BY d.id)",
+        f"co AS (SELECT id FROM cc WHERE core_count >= {mu})",
+        "reach(id, r) AS (SELECT id, id FROM co UNION SELECT p.dst, reach.r FROM reach JOIN p ON p.src = reach.id WHERE p.dst IN (SELECT id FROM co))",
+        "cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY id)",
+        "hu AS (SELECT s.src AS id, count(DISTINCT cluster_id) AS k FROM s JOIN cl ON cl.id = s.dst WHERE s.src NOT IN (SELECT id FROM co) GROUP BY s.src)",
+        "ro AS (SELECT cc.id, core_count, CASE WHEN cc.id IN (SELECT id FROM co) THEN 'CORE' WHEN k > 1 THEN 'HUB' ELSE 'UNCLASSIFIED' END AS role FROM cc LEFT JOIN hu ON hu.id = cc.id)",
+        "me AS (SELECT DISTINCT cluster_id, p.src AS id FROM p JOIN cl ON cl.id = p.dst WHERE p.src NOT IN (SELECT id FROM co))",
+    ]
+
+
+@_query("edge_similarity", _sql("SELECT src, dst, cn, round(sim, 6) AS sim, sim >= 0.6 AS similar FROM m", _BASE, _SIM))
+def edge_similarity(spark, sf_dir):
+    rows = scan.edge_similarity(_q45(spark, sf_dir), 0.6)
+    return rows.select("src", "dst", "cn", F.round("sim", 6).alias("sim"), "similar")
+
+
+@_query("core_counts", _sql("SELECT id, core_count FROM cc", *_scan_parts(0.6, 2)[:4]))
+def core_counts(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    return scan.core_counts(graph, scan.edge_similarity(graph, 0.6))
+
+
+@_query("scan_roles", _sql("SELECT id, core_count, role FROM ro", *_scan_parts(0.6, 2)))
+def scan_roles(spark, sf_dir):
+    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).roles
+
+
+@_query("scan_clusters", _sql("SELECT id, cluster_id FROM cl", *_scan_parts(0.6, 2)))
+def scan_clusters(spark, sf_dir):
+    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).clusters
+
+
+@_query("scan_members", _sql("SELECT cluster_id, id FROM me", *_scan_parts(0.6, 2)))
+def scan_members(spark, sf_dir):
+    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).members
+
+
+_RESULT = "SELECT 'c' AS kind, id AS vertex_id, cluster_id FROM cl UNION ALL SELECT 'n', id, cluster_id FROM me"
+_SUMMARY = """SELECT (SELECT count(*) FROM ro WHERE role = 'CORE') AS cores, (SELECT count(*) FROM ro WHERE role = 'HUB') AS hubs, (SELECT count(*) FROM ro WHERE role = 'UNCLASSIFIED') AS outliers,
+  (SELECT count(DISTINCT cluster_id) FROM cl) AS clusters, (SELECT count(*) FROM me) AS member_rows"""
+
+
+@_query("scan_result", _sql(_RESULT, *_scan_parts(0.6, 2)))
+def scan_result(spark, sf_dir):
+    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).result_rows()
+
+
+@_query("scan_summary", _sql(_SUMMARY, *_scan_parts(0.5, 2)))
+def scan_summary(spark, sf_dir):
+    return scan.cluster(_q45(spark, sf_dir), 0.5, 2).summary()
+
+
+@_query("scan_summary_docs", _sql(_SUMMARY, *_scan_parts(0.6, 2), edges=_DOC_EDGES))
+def scan_summary_docs(spark, sf_dir):
+    return scan.cluster(_docs(spark, sf_dir), 0.6, 2).summary()
+
+
+_REACH = "reach(id, r) AS (SELECT id, id FROM d UNION SELECT s.dst, reach.r FROM reach JOIN s ON s.src = reach.id)"
+
+
+@_query("components", _sql("SELECT id, min(r) AS component FROM reach GROUP BY id", _BASE, _REACH))
+def components(spark, sf_dir):
+    return connected_components(order_graph(spark, sf_dir).edges)
+
+
+@_query("bfs_levels", _sql("SELECT id, min(lev) AS level FROM walk GROUP BY id", _BASE, "walk(id, lev) AS (SELECT min(id), 0::BIGINT FROM d UNION SELECT s.dst, lev + 1 FROM walk JOIN s ON s.src = walk.id WHERE lev < 6)"))
+def bfs_levels(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")), max_level=6)
+
+
+# --- cores and orders ------------------------------------------------------------------------------
+
+
+def _peeled(k: int, rounds: int) -> str:
+    """Vertices of the k-core, by so many rounds of removing those with fewer than k neighbours left."""
+    steps = ["h0 AS (SELECT id FROM d)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"h{i} AS MATERIALIZED (SELECT s.src AS id FROM s WHERE s.src IN (SELECT id FROM h{i - 1}) AND s.dst IN (SELECT id FROM h{i - 1}) GROUP BY s.src HAVING count(*) >= {k})")
+    return ", ".join(steps)
+
+
+@_query("two_core", _sql("SELECT src, dst FROM e WHERE src IN (SELECT id FROM h40) AND dst IN (SELECT id FROM h40)", _BASE, _peeled(2, 40)))
+def two_core(spark, sf_dir):
+    return k_core(_q45(spark, sf_dir), 2)
+
+
+@_query("coreness")
+def core_numbers(spark, sf_dir):
+    return coreness(_q45(spark, sf_dir))
+
+
+_BY = "SELECT id AS old_id, row_number() OVER (ORDER BY {}) - 1 AS new_id FROM d"
+
+
+@_query("order_degree", _sql(_BY.format("deg DESC, id")))
+def order_degree(spark, sf_dir):
+    return ordering.degree_order(_q45(spark, sf_dir))
+
+
+@_query("order_degree_ascending", _sql(_BY.format("deg, id")))
+def order_degree_ascending(spark, sf_dir):
+    return ordering.degree_order(_q45(spark, sf_dir), descending=False)
+
+
+@_query("order_original", _sql(_BY.format("id")))
+def order_original(spark, sf_dir):
+    return ordering.original_order(_q45(spark, sf_dir))
+
+
+@_query("order_core")
+def order_core(spark, sf_dir):
+    return ordering.core_order(_q45(spark, sf_dir))
+
+
+@_query("order_random")
+def order_random(spark, sf_dir):
+    return ordering.random_order(_q45(spark, sf_dir), seed=7)
+
+
+@_query("order_bfs")
+def order_bfs(spark, sf_dir):
+    return ordering.bfs_order(_q45(spark, sf_dir))
+
+
+@_query("order_community")
+def order_community(spark, sf_dir):
+    return ordering.community_order(_q45(spark, sf_dir))
+
+
+@_query("order_slashburn")
+def order_slashburn(spark, sf_dir):
+    return ordering.slashburn_order(_q45(spark, sf_dir), hubs_per_round=200)
+
+
+_PERM = "pm AS (SELECT id, row_number() OVER (ORDER BY deg DESC, id) - 1 AS q FROM d)"
+
+
+@_query("relabelled_edges", _sql("SELECT least(x.q, y.q) AS src, greatest(x.q, y.q) AS dst FROM e JOIN pm x ON x.id = e.src JOIN pm y ON y.id = e.dst", _BASE, _PERM))
+def relabelled_edges(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    return graph.relabelled(ordering.degree_order(graph)).edges
+
+
+@_query("common_neighbors_reordered", _CN)
+def common_neighbors_reordered(spark, sf_dir):
+    """Counts on the relabelled graph, mapped back: independent of the order."""
+    graph = _q45(spark, sf_dir)
+    perm = written(ordering.degree_order(graph), "perm")
+    cn = counting.common_neighbors(graph.relabelled(perm))
+    back = lambda c: perm.select(F.col("new_id").alias(c), F.col("old_id").alias(f"old_{c}"))
+    rows = cn.join(back("src"), "src").join(back("dst"), "dst")
+    return rows.select(F.least("old_src", "old_dst").alias("src"), F.greatest("old_src", "old_dst").alias("dst"), "cn")
+
+
+# --- statistics ------------------------------------------------------------------------------------
+
+
+@_query("graph_summary", _sql("SELECT (SELECT count(*) FROM d) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT avg(deg) FROM d) AS avg_degree, (SELECT max(deg) FROM d) AS max_degree, (SELECT max(k) FROM (SELECT count(*) AS k FROM f GROUP BY src)) AS max_out_degree", _BASE, _ORIENTED))
+def graph_summary(spark, sf_dir):
+    return stats.graph_summary(_q45(spark, sf_dir))
+
+
+@_query("support_summary", _sql("SELECT max(cn) AS max_cn, sum(cn)::BIGINT AS sum_cn, count(*) FILTER (cn = 0) AS empty_edges, count(*) FILTER (cn = 0) / count(*) AS empty_share FROM n"))
+def support_summary(spark, sf_dir):
+    return stats.support_summary(counting.common_neighbors(_q45(spark, sf_dir)))
+
+
+@_query("cn_histogram", _sql("SELECT cn AS value, count(*) AS rows FROM n GROUP BY cn"))
+def cn_histogram(spark, sf_dir):
+    return stats.histogram(counting.common_neighbors(_q45(spark, sf_dir)), "cn")
+
+
+@_query("degree_bins")
+def degree_bins(spark, sf_dir):
+    return stats.greedy_bins(stats.histogram(_q45(spark, sf_dir).degrees(), "deg"))
+
+
+@_query("edge_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER ((x.deg + 1) // 3 > y.deg + 1 OR (y.deg + 1) // 3 > x.deg + 1) AS skewed_edges FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst"))
+def edge_skew(spark, sf_dir):
+    return stats.edge_skew(_q45(spark, sf_dir), ratio=3)
+
+
+@_query("oriented_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER (a // 2 > b OR b // 2 > a) AS skewed_edges FROM (SELECT o.k + 1 AS a, coalesce(q.k, 0) + 1 AS b FROM f JOIN o ON o.src = f.src LEFT JOIN o q ON q.src = f.dst)", _BASE, _ORIENTED, "o AS (SELECT src, count(*) AS k FROM f GROUP BY src)"))
+def oriented_skew(spark, sf_dir):
+    return stats.oriented_skew(_q45(spark, sf_dir), ratio=2)
+
+
+@_query("intersection_stats", _sql("""SELECT floor(log10(x.deg + y.deg))::BIGINT AS bin, count(*) AS edges, min(cn / least(x.deg, y.deg)) AS min_sel, max(cn / least(x.deg, y.deg)) AS max_sel, round(avg(cn / least(x.deg, y.deg)), 9) AS avg_sel,
+  min(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS min_skew, max(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS max_skew, round(avg(greatest(x.deg, y.deg) // least(x.deg, y.deg)), 9) AS avg_skew
+  FROM n JOIN d x ON x.id = src JOIN d y ON y.id = dst GROUP BY 1"""))
+def intersection_stats(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    return stats.intersection_stats(graph, counting.common_neighbors(graph))
+
+
+@_query("dense_vertices", _sql("SELECT src AS id, count(*) AS deg, count(DISTINCT dst // 64) AS blocks FROM s GROUP BY src HAVING count(*) >= 16 AND count(*) > 2 * count(DISTINCT dst // 64)", _BASE, edges=_DOC_EDGES))
+def dense_vertices(spark, sf_dir):
+    return stats.dense_vertices(_docs(spark, sf_dir))
+
+
+@_query("balanced_ranges", _sql("SELECT part, min(id) AS first_id, max(id) AS last_id, sum(deg + 2)::BIGINT AS weight FROM (SELECT id, deg, ((sum(deg + 2) OVER (ORDER BY id) - deg - 2) * 8 // sum(deg + 2) OVER ())::BIGINT AS part FROM d) GROUP BY part"))
+def balanced_ranges(spark, sf_dir):
+    return stats.balanced_ranges(_q45(spark, sf_dir), 8)
+
+
+@_query("order_compression", _sql("SELECT k AS n_edges, o AS out_blocks, i AS in_blocks, (o + i) / k AS ratio FROM (SELECT (SELECT count(*) FROM e) AS k, (SELECT count(*) FROM (SELECT DISTINCT src, dst // 32 FROM e)) AS o, (SELECT count(*) FROM (SELECT DISTINCT dst, src // 32 FROM e)) AS i)"))
+def order_compression(spark, sf_dir):
+    return stats.order_compression(_q45(spark, sf_dir))
+
+
+@_query("big_nodes", _sql("SELECT count(*) AS n_vertices, round(avg(deg), 9) AS avg_degree, round(avg(deg * deg) - avg(deg) * avg(deg), 6) AS var_degree FROM (SELECT deg, sum(deg) OVER (ORDER BY deg DESC, id ROWS UNBOUNDED PRECEDING) - deg AS before, sum(deg) OVER () AS total FROM d) WHERE before < 0.3 * total"))
+def big_nodes(spark, sf_dir):
+    return stats.big_nodes(_q45(spark, sf_dir), 0.3)
+
+
+@_query("sqrt_degree_weights", _sql("SELECT id, round(sqrt(deg) / sum(sqrt(deg)) OVER (), 9) AS weight FROM d"))
+def sqrt_degree_weights(spark, sf_dir):
+    return stats.sqrt_degree_weights(_q45(spark, sf_dir)).select("id", F.round("weight", 9).alias("weight"))
+
+
+@_query("degree_decades", _sql("SELECT CASE WHEN deg <= 1 THEN 0 WHEN deg <= 10 THEN 1 WHEN deg <= 100 THEN 2 WHEN deg <= 1000 THEN 3 ELSE 4 END::BIGINT AS decade, count(*) AS vertices FROM d GROUP BY 1", _BASE, edges=_DOC_EDGES))
+def degree_decades(spark, sf_dir):
+    return stats.degree_decades(_docs(spark, sf_dir))
+
+
+@_query("gap_entropy", _sql("SELECT round(-sum(k / n * log2(k / n)), 6) AS entropy, round(sum(k * log2(gap)) / max(n), 6) AS avg_log_gap FROM (SELECT gap, count(*) AS k, sum(count(*)) OVER () AS n FROM (SELECT dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s) WHERE gap IS NOT NULL GROUP BY gap)"))
+def gap_entropy(spark, sf_dir):
+    return stats.gap_entropy(_q45(spark, sf_dir))
+
+
+@_query("locality", _sql("SELECT (SELECT count(*) FROM s a JOIN s b ON a.dst = b.dst AND b.src - a.src BETWEEN 1 AND 5) + (SELECT count(*) FROM e WHERE dst - src <= 5) AS score"))
+def locality(spark, sf_dir):
+    return stats.locality(_q45(spark, sf_dir))
+
+
+@_query("modularity", _sql("""SELECT round(sum(inn / m - (al / m) ** 2), 9) AS modularity FROM (SELECT x.c, count(*) FILTER (x.c = y.c) AS inn, count(*) AS al, sum(count(*)) OVER () AS m
+  FROM s JOIN g x ON x.id = s.src JOIN g y ON y.id = s.dst GROUP BY x.c)""", _BASE, "g AS (SELECT id, id % 10 AS c FROM d)"))
+def modularity(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    return stats.modularity(graph, graph.vertices.select("id", (F.col("id") % 10).alias("community")))
+
+
+@_query("bandwidth", _sql("SELECT max(b) AS bandwidth, round(avg(w), 6) AS avg_width, max(k) AS max_degree FROM (SELECT max(abs(src - dst)) AS b, max(dst) - min(dst) AS w, count(*) AS k FROM s GROUP BY src)"))
+def bandwidth(spark, sf_dir):
+    return stats.bandwidth(_q45(spark, sf_dir))
+
+
+@_query("leaf_count", _sql("SELECT count(*) AS leaves FROM (SELECT src FROM e GROUP BY src HAVING count(*) = 1 UNION SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)"))
+def leaf_count(spark, sf_dir):
+    return stats.leaf_count(_q45(spark, sf_dir))
+
+
+# --- relational and bitmap operators ---------------------------------------------------------------
+
+
+def _read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+@_query("dictionary_by_value", "SELECT p_brand AS value, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)")
+def dictionary_by_value(spark, sf_dir):
+    return relational.dictionary(_read(spark, sf_dir, "part"), "p_brand")
+
+
+@_query("dictionary_by_frequency", "SELECT p_brand AS value, row_number() OVER (ORDER BY k, p_brand) - 1 AS code FROM (SELECT p_brand, count(*) AS k FROM part GROUP BY p_brand)")
+def dictionary_by_frequency(spark, sf_dir):
+    return relational.dictionary(_read(spark, sf_dir, "part"), "p_brand", by="frequency")
+
+
+@_query("encoded_parts", "SELECT p_partkey, code AS p_brand FROM part JOIN (SELECT p_brand AS v, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)) ON v = p_brand")
+def encoded_parts(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return relational.encode(parts, "p_brand", relational.dictionary(parts, "p_brand"))
+
+
+@_query("decoded_parts", "SELECT p_partkey, p_brand FROM part")
+def decoded_parts(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    codes = relational.dictionary(parts, "p_brand", by="frequency")
+    return relational.decode(relational.encode(parts, "p_brand", codes), "p_brand", codes)
+
+
+@_query("multiway_join", _sql("SELECT a, b, c FROM t", _TRIANGLES))
+def multiway_join(spark, sf_dir):
+    """Triangles as the natural join of three renamings of the edges."""
+    e = written(order_graph(spark, sf_dir).edges, "edges")
+    return relational.multiway_join([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")]).select("a", "b", "c")
+
+
+@_query("annotated_join", "SELECT o_custkey, sum(o_totalprice * l_discount)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_discount > 1 GROUP BY o_custkey UNION ALL SELECT o_custkey, count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+def annotated_join(spark, sf_dir):
+    """Lines of each customer: orders annotated 1, times lines annotated 1, added up."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(1.0).alias("value"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1.0).alias("value"))
+    return relational.annotated_join(orders, lines, ["o_orderkey"], ["o_custkey"])
+
+
+ORACLE_SQL["annotated_join"] = "SELECT o_custkey, count(*)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey"
+
+
+@_query("select_equal", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def select_equal(spark, sf_dir):
+    return relational.select_equal(_read(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select("o_orderkey", "o_custkey")
+
+
+def _flag_parts(spark, sf_dir, flag):
+    return _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("id"))
+
+
+for _name, _op, _word in (("set_intersect", relational.set_intersect, "INTERSECT"), ("set_union", relational.set_union, "UNION"), ("set_difference", relational.set_difference, "EXCEPT")):
+    _query(_name, f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")(
+        lambda spark, sf_dir, op=_op: op(*(_read(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == f) & (F.col("l_quantity") > 40)).select(F.col("l_partkey").alias("id")) for f in "RA"))
+    )
+
+
+@_query("insert_absent", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+def insert_absent(spark, sf_dir):
+    return relational.insert_absent(_flag_parts(spark, sf_dir, "R").distinct(), _flag_parts(spark, sf_dir, "A"), ["id"])
+
+
+@_query("array_sets", _sql("""SELECT e.src, e.dst, cn::INTEGER AS common, (x.deg + y.deg - cn)::INTEGER AS either, (x.deg - cn)::INTEGER AS only_src FROM n JOIN e USING (src, dst) JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst"""))
+def array_sets(spark, sf_dir):
+    graph = _q45(spark, sf_dir)
+    adj = graph.adjacency()
+    rows = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
+    ops = relational.array_sets(F.col("a"), F.col("b"))
+    return rows.select("src", "dst", ops["intersection_count"].alias("common"), F.size(ops["union"]).alias("either"), F.size(ops["difference"]).alias("only_src"))
+
+
+_BITS = "a AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'A')"
+
+
+def _bitmaps(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem")
+    return [bitmap.pack(lines.where(F.col("l_returnflag") == f), "l_suppkey", "l_partkey") for f in "RA"]
+
+
+for _op, _sql_op in (("and", "SELECT * FROM a INTERSECT SELECT * FROM b"), ("or", "SELECT * FROM a UNION SELECT * FROM b"), ("andnot", "SELECT * FROM a EXCEPT SELECT * FROM b"), ("xor", "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)")):
+    _query(f"bitmap_{_op}", f"WITH {_BITS} {_sql_op}")(lambda spark, sf_dir, op=_op: bitmap.unpack(bitmap.combine(*_bitmaps(spark, sf_dir), op)))
+
+
+@_query("bitmap_cardinality", f"WITH {_BITS} SELECT key, count(*) AS count FROM a GROUP BY key")
+def bitmap_cardinality(spark, sf_dir):
+    return bitmap.cardinality(_bitmaps(spark, sf_dir)[0])
+
+
+@_query("bitmap_complement", f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k, (SELECT unnest(range(0, 150)) AS value) v ANTI JOIN a ON a.key = k.key AND a.value = v.value")
+def bitmap_complement(spark, sf_dir):
+    within = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return bitmap.unpack(bitmap.complement(bitmap.pack(within, "l_suppkey", "l_partkey"), 150))
+
+
+ORACLE_SQL["bitmap_complement"] = f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, 150)) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)"
+
+
+@_query("bitmap_union_all", "SELECT DISTINCT l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'")
+def bitmap_union_all(spark, sf_dir):
+    return bitmap.unpack(bitmap.union_all(_bitmaps(spark, sf_dir)[0]).withColumn("key", F.lit(0))).select("value")
+
+
+@_query("bitmap_intersects", f"WITH {_BITS} SELECT DISTINCT a.key FROM a JOIN b USING (key, value)")
+def bitmap_intersects(spark, sf_dir):
+    return bitmap.intersects(*_bitmaps(spark, sf_dir))
+
+
+@_query("bitmap_jaccard", f"WITH {_BITS} SELECT key, round(count(*) FILTER (k = 2) / count(*), 9) AS jaccard FROM (SELECT key, value, count(*) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY key, value) GROUP BY key")
+def bitmap_jaccard(spark, sf_dir):
+    return bitmap.jaccard(*_bitmaps(spark, sf_dir)).select("key", F.round("jaccard", 9).alias("jaccard"))
+
+
+@_query("neighbour_blocks", _sql("SELECT src AS id, dst // 64 AS block, count(*) AS bits FROM s GROUP BY ALL"))
+def neighbour_blocks(spark, sf_dir):
+    masks = counting.neighbour_blocks(order_graph(spark, sf_dir).symmetric())
+    return masks.select("id", "block", F.bit_count("mask").cast("long").alias("bits"))
+
+
+@_query("top_degrees", _sql("SELECT id, deg FROM d ORDER BY deg DESC, id LIMIT 10"))
+def top_degrees(spark, sf_dir):
+    return _q45(spark, sf_dir).degrees().orderBy(F.desc("deg"), "id").limit(10)
+
+
+@_query("asymmetric_rows", _sql("SELECT src, dst FROM e"))
+def asymmetric_rows(spark, sf_dir):
+    """Half an edge table has no reverse rows at all."""
+    from knotwork.operators.graph import asymmetric_rows as rows
+
+    return rows(order_graph(spark, sf_dir).edges)
+
+
+@_query("neighbour_gaps", _sql("SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s"))
+def neighbour_gaps(spark, sf_dir):
+    w = Window.partitionBy("src").orderBy("dst")
+    return order_graph(spark, sf_dir).symmetric().select("src", "dst", (F.col("dst") - F.lag("dst").over(w)).alias("gap"))
