@@ -8,11 +8,12 @@ tokens last that many documents hold, going by counters over all documents (a fi
 counters, which collide harmlessly: any order gives the same links); within a level, and in the other
 orders, tokens are ordered by different hashes.
 
-Groups of copies cost no pairs. Equal sets are one class. Each token's documents are first
-compared with one of them only; the links found are contracted to components; then just those pairs
-of a token's documents remain to compare that still lie in different components. Every such pair is
-compared, so the components are those of all links. The number of links of single documents is
-never needed for that.
+Groups of copies cost few pairs. Equal sets are one class. Each token's documents are first
+compared with ``CENTRES`` of them only; the links found are contracted to components; then just those pairs
+of a token's documents remain that still lie in different components. Of these, most fall to a bound from
+bitmaps: every set folds its tokens into 512 bits by parity, and as many bits as differ between two
+bitmaps, so many tokens at least are in one set only. All others are compared, so the components are those of
+all links. The number of links of single documents is never needed for that.
 
 Skew: equal sets are dropped within each partition before the shuffle; tokens with many holders are
 salted, by the same counters. Texts meet in joins that Spark can split.
@@ -25,20 +26,25 @@ with one id are separate documents whose components are named alike; an empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.textblocks import Prefix, Words, blocks, changes, mix, utf8, whole_groups
 from knotwork.operators.components import connected_components
 from knotwork.plans.materialize import written
 
-COUNTER_BITS = 20
+COUNTER_BITS = 21
 SLICES = 64
+CENTRES = 8
+BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
-_MET = "token long, salt int, set_key long, n int, pos int, c_key long, c_n int, c_pos int"
+_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, slice int, counters binary"
+_PREFIX = "token long, salt int, set_key long, n int, pos int"
+_MET = "token long, set_key long, n int, pos int, a long, b long"
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -69,31 +75,43 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITMAP_LONGS int64: for each of their bits, whether an odd number of tokens falls on it."""
+    bits = BITMAP_LONGS * 64
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(size: int):
-    """Each document's set key and size, and at the end the partition's token counters."""
+    """Each document's set key, size and bitmap, and at the end the partition's token counters."""
+    kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counters", pa.binary())]
+    schema = pa.schema(kinds)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = np.zeros(1 << COUNTER_BITS, dtype=np.int64), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counters", pa.binary())])
         for batch in batches:
-            texts, keys, sizes = utf8(batch.column(2).to_pylist()), [], []
+            texts, keys, sizes, bitmaps = utf8(batch.column(2).to_pylist()), [], [], []
             for a, b in blocks(texts):
                 fresh = []
                 for tokens in shingle_sets(texts[a:b], size):
                     key = set_key(tokens) if len(tokens) else 0
                     keys.append(key)
                     sizes.append(len(tokens))
+                    bitmaps.append(parity_bitmap(tokens))
                     if key not in seen:
                         seen.add(key)
                         fresh.append(tokens)
                 if fresh:
                     np.add.at(counters, (np.concatenate(fresh) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            if not n:
+                continue
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP_LONGS), pa.array(np.concatenate(bitmaps)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if counters.any():
-            cut = counters.astype(np.int32).reshape(SLICES, -1)
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], schema=schema)
+            cut = np.minimum(counters, (1 << 16) - 1).astype(np.uint16).reshape(SLICES, -1)
+            none = [pa.nulls(SLICES, kind) for _, kind in kinds[:5]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], schema=schema)
 
     return of
 
@@ -102,9 +120,10 @@ def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            more = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
+            more = np.frombuffer(raw, dtype=np.uint16).astype(np.uint64)
             total[at] = total[at] + more if at in total else more
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counters"])
+    sums = [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.binary())], ["slice", "counters"])
 
 
 def _prefixes(size: int, percent: int, tables):
@@ -143,21 +162,34 @@ def _first_order(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
     return level[at].astype(np.uint64) << np.uint64(58) | mix(tokens ^ np.uint64(_SEEDS[0])) >> np.uint64(6)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens that several sets hold (all rows, if salted), with the group's first set."""
-    for table in whole_groups(batches, ["token", "salt"]):
-        own = np.concatenate(([0], changes(table, ["token", "salt", "set_key"])))
-        table = table.take(pa.array(own))
-        first = np.concatenate(([0], changes(table, ["token", "salt"])))
-        count = np.diff(np.concatenate((first, [table.num_rows])))
-        first = np.repeat(first, count)
-        keep = np.flatnonzero((np.repeat(count, count) > 1) | (table.column("salt").to_numpy() > 0))
-        if len(keep):
-            out = table.take(pa.array(keep))
-            centre = table.select(["set_key", "n", "pos"]).take(pa.array(first[keep])).rename_columns(["c_key", "c_n", "c_pos"])
-            for name in centre.column_names:
-                out = out.append_column(name, centre.column(name))
-            yield from out.combine_chunks().to_batches()
+def _met(percent: int):
+    """Per token and salt: pairs of its first CENTRES sets with the others; and the rows, where these are not all pairs."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["token", "salt"]):
+            own = np.concatenate(([0], changes(table, ["token", "salt", "set_key"])))
+            token, salt, key, n, pos = (table.column(c).to_numpy()[own] for c in ("token", "salt", "set_key", "n", "pos"))
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(token) != 0) | (np.diff(salt) != 0))))
+            count = np.diff(np.concatenate((first, [len(token)])))
+            first, count = np.repeat(first, count), np.repeat(count, count)
+            place = np.arange(len(token)) - first
+            keep = np.flatnonzero((count > CENTRES) | (salt > 0))
+            if len(keep):
+                none = pa.nulls(len(keep), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (token, key, n, pos)), none, none], names=["token", "set_key", "n", "pos", "a", "b"])
+            pairs = []
+            for centre in range(min(CENTRES, int(count.max()) - 1)):
+                y = np.flatnonzero(place > centre)
+                x = first[y] + centre
+                small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
+                least = ((small + large) * percent + 99 + percent) // (100 + percent)
+                good = (100 * small >= percent * large) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least)
+                pairs.append(np.stack((np.minimum(key[x], key[y])[good], np.maximum(key[x], key[y])[good]), axis=1))
+            if pairs and len(pairs := np.unique(np.concatenate(pairs), axis=0)):
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token", "set_key", "n", "pos", "a", "b"])
+
+    return of
 
 
 def _similar(size: int, percent: int):
@@ -193,11 +225,13 @@ def _similar(size: int, percent: int):
     return of
 
 
-def _possible(na: str, pa_: str, nb: str, pb: str, percent: int):
-    """Sizes, and places of the first shared token, that allow the similarity."""
-    least = F.ceil((F.col(na) + F.col(nb)) * percent / (100 + percent) - 1e-9)
-    most = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most >= least)
+def _possible(x: str, y: str, percent: int):
+    """Sizes, places of a shared token, and bitmaps that allow the similarity, for rows with prefixes ``x`` and ``y``."""
+    n_x, n_y, bits_x, bits_y = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}bits"), F.col(f"{y}bits")
+    least = F.floor(((n_x + n_y) * percent + 99 + percent) / (100 + percent))
+    most = F.least(n_x - F.col(f"{x}pos"), n_y - F.col(f"{y}pos"))
+    differ = reduce(Column.__add__, (F.bit_count(bits_x[i].bitwiseXOR(bits_y[i])) for i in range(BITMAP_LONGS)))
+    return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (most >= least) & (n_x + n_y - differ >= 2 * least)
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, hot_rows: int = 20_000) -> DataFrame:
@@ -208,27 +242,26 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    first_pass = written(source.mapInArrow(_sets(size), "doc_id long, text_key long, set_key long, n long, slice int, counters binary"), "sets")
-    sets = first_pass.where("slice is null").select("doc_id", "text_key", "set_key", F.col("n").alias("n_shingles"))
+    first_pass = written(source.mapInArrow(_sets(size), _SETS), "sets")
+    sets = first_pass.where("slice is null").select("doc_id", "text_key", "set_key", F.col("n").cast("long").alias("n_shingles"))
     summed = first_pass.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(_add_counters, "slice int, counters binary")
-    counters = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.int64)
+    counters = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.uint32)
     for row in summed.collect():  # of fixed size, whatever the input
-        counters[row["slice"]] = np.frombuffer(row["counters"], dtype=np.int64)
+        counters[row["slice"]] = np.frombuffer(row["counters"], dtype=np.uint32)
     counters = counters.ravel()
     usual = max(1.0, counters.mean())
     level = np.clip(np.floor(4 * np.log2(np.maximum(counters, 1) / usual)), 0, 63).astype(np.uint8)
     hot = max(hot_rows, 4 * usual)
-    tables = spark.sparkContext.broadcast((level, np.where(counters > hot, np.ceil(counters / hot), 1).astype(np.int32)))
-
-    prefixes = source.where("text is not null").select("text").mapInArrow(_prefixes(size, percent, tables), "token long, salt int, set_key long, n int, pos int")
-    met = written(prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_key").mapInArrow(_met, _MET), "met")
-    tried = met.where((F.col("set_key") != F.col("c_key")) & _possible("n", "pos", "c_n", "c_pos", percent))
-    tried = written(tried.select(F.least("set_key", "c_key").alias("a"), F.greatest("set_key", "c_key").alias("b")).distinct(), "pairs")
-    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
-    reps = written(reps.select("set_key", "rep.doc_id", "rep.text_key"), "reps")
+    tables = spark.sparkContext.broadcast((level, np.minimum(np.ceil(np.maximum(counters, 1) / hot), (1 << 16) - 1).astype(np.uint16)))
+
+    prefixes = source.where("text is not null").select("text").mapInArrow(_prefixes(size, percent, tables), _PREFIX)
+    met = written(prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_key").mapInArrow(_met(percent), _MET), "met")
+    reps = first_pass.where("slice is null and n > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    reps = written(reps.select("set_key", "rep.doc_id", "rep.text_key", "bits", "n"), "reps")
+    tried = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _verified(source, tried, reps, size, percent)
     parts = connected_components(links, "a", "b")
-    rest = written(_across(met, parts, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = written(_across(met.where("a is null"), parts, reps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         parts = connected_components(links.unionByName(_verified(source, rest, reps, size, percent)), "a", "b")
 
@@ -238,21 +271,25 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return labelled.join(named, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def _across(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of a token's sets in different components, as far as the filters let them pass."""
     rows = met.join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("token", "set_key", "n", "pos", F.coalesce("component", "set_key").alias("part"))
+    rows = written(rows, "met")
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("k"))
     several = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    rows = written(rows.join(several, "token"), "met")
-    small = rows.where("part <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part")))
-    pairs = rows.join(small, "token").where(F.col("part") != F.col("x_part")).where((F.col("part") == F.col("main")) | (F.col("x_set_key") < F.col("set_key")))
-    pairs = pairs.where(_possible("n", "pos", "x_n", "x_pos", percent))
+    rows = written(rows.join(several, "token").join(reps.select("set_key", "bits"), "set_key"), "met")
+    small = rows.where("part <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part", "bits")))
+    once = (F.col("part") == F.col("main")) | (F.col("x_set_key") < F.col("set_key"))
+    pairs = rows.alias("y").join(small, (F.col("y.token") == small["token"]) & (F.col("part") != F.col("x_part")) & once & _possible("", "x_", percent))
     return pairs.select(F.least("set_key", "x_set_key").alias("a"), F.greatest("set_key", "x_set_key").alias("b")).distinct()
 
 
 def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("set_key").alias(side), F.col("doc_id").alias(f"{side}_id"), F.col("text_key").alias(f"{side}_text_key")), side)
+        own = ("doc_id", "text_key", "bits", "n")
+        pairs = pairs.join(reps.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in own)), side)
+    pairs = pairs.withColumns({"a_pos": F.lit(0), "b_pos": F.lit(0)}).where(_possible("a_", "b_", percent))
+    pairs = pairs.select("a", "b", *(F.col(f"{side}_{c}").alias(f"{side}_{name}") for side in ("a", "b") for c, name in (("doc_id", "id"), ("text_key", "text_key"))))
     texts = source.where("doc_id is not null")
     for side in ("b", "a"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(f"{side}_id"), F.col("text_key").alias(f"{side}_text_key"), F.col("text").alias(f"{side}_text")), [f"{side}_id", f"{side}_text_key"])
