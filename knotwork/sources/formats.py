@@ -35,9 +35,9 @@ def read_edge_csv(spark: SparkSession, path: str, sep: str = "\t", weighted: boo
 
 def read_records(spark: SparkSession, path: str, layout: str, columns: list[str]) -> DataFrame:
     """``(pos, *columns)`` of a file of fixed-size little-endian records; ``layout`` is a struct format without ``<``."""
-    unpack = struct.Struct("<" + layout)
-    numbered = spark.sparkContext.binaryRecords(path, unpack.size).zipWithIndex()
-    rows = numbered.mapPartitions(lambda part: ((at, *unpack.unpack(raw)) for raw, at in part))
+    layout = "<" + layout
+    numbered = spark.sparkContext.binaryRecords(path, struct.calcsize(layout)).zipWithIndex()
+    rows = numbered.mapPartitions(lambda part: ((at, *struct.unpack(layout, raw)) for raw, at in part))
     return spark.createDataFrame(rows, "pos long, " + ", ".join(f"{c} long" for c in columns))
 
 
