@@ -45,7 +45,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url_col: str =
     rules = rules.groupBy("host", "path").agg(F.max(F.when(F.col("verdict") == "block", "block").otherwise(F.col("verdict"))).alias("last"), F.max((F.col("verdict") == "block").cast("int")).alias("blocks"))
     rules = rules.select("host", "path", F.when(F.col("blocks") == 1, "block").otherwise(F.col("last")).alias("verdict"))
     rules = rules.withColumn("rule", F.concat("host", "path")).withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
-    listed = rules.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.least(F.length("path"), F.lit(2048)))).alias("lengths")).first()
+    listed = rules.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths")).first()
     few = listed["n"] <= broadcast_rules
 
     own = pages.drop("host", "path", "rule", "verdict")
