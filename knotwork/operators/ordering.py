@@ -1,7 +1,7 @@
 """Permutations of vertices, and applying them.
 
-Every ordering is a table ``perm(old_id, new_id)``, a bijection onto 0..n-1. Ranks come from counts per range of the sort
-key, so no window spans the table. Orders that walk the whole graph vertex by vertex are not here; breadth-first,
+Every ordering is a table ``perm(old_id, new_id)``, a bijection onto 0..n-1. Ranks come from a range-partitioned
+sort and the sizes of its partitions, so no window spans the table. Orders that walk the whole graph vertex by vertex are not here; breadth-first,
 hub-first and community orders are expressed level by level instead.
 """
 
@@ -15,38 +15,26 @@ from knotwork.operators.graph import Graph, InvalidGraph
 from knotwork.operators.kcore import coreness
 from knotwork.operators.relational import bfs_levels
 from knotwork.plans.materialize import written
+from knotwork.plans.ranking import ranked
 
-RANGE = 50_000
-
-
-def dense_positions(rows: DataFrame, major: Column, id_col: str = "id", range_size: int = RANGE) -> DataFrame:
-    """``(id, position)`` from 0 by (``major``, id): offsets by (major, id range), row numbers within."""
-    keyed = rows.select(F.col(id_col).alias("id"), major.alias("major"), F.floor(F.col(id_col) / range_size).alias("range"))
-    groups = keyed.groupBy("major", "range").agg(F.count("*").alias("k"))
-    before = Window.orderBy("major", "range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select(F.col("major").alias("m"), F.col("range").alias("r"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("major", "range").orderBy("id")
-    placed = keyed.withColumn("row", F.row_number().over(within) - 1)
-    return placed.join(starts, placed["major"].eqNullSafe(starts["m"]) & (placed["range"] == starts["r"])).select("id", (F.col("row") + F.col("start")).cast("long").alias("position"))
-
-
-def _perm(rows: DataFrame, major: Column) -> DataFrame:
-    return dense_positions(rows, major).select(F.col("id").alias("old_id"), F.col("position").alias("new_id"))
+def _perm(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """By ``order``, ties by id."""
+    return ranked(rows, *order, "id", into="new_id").select(F.col("id").alias("old_id"), "new_id")
 
 
 def original_order(graph: Graph) -> DataFrame:
-    return _perm(graph.vertices, F.lit(0))
+    return _perm(graph.vertices)
 
 
 def degree_order(graph: Graph, descending: bool = True) -> DataFrame:
     """Ties by id."""
-    return _perm(graph.degrees(), -F.col("deg") if descending else F.col("deg"))
+    return _perm(graph.degrees(), F.desc("deg") if descending else F.asc("deg"))
 
 
 def core_order(graph: Graph, by_degree_product: bool = False) -> DataFrame:
     """Coreness descending, or coreness times (degree + 1) descending; ties by id."""
     rows = coreness(graph).join(graph.degrees(), "id")
-    return _perm(rows, -(F.col("core") * (F.col("deg") + 1)) if by_degree_product else -F.col("core"))
+    return _perm(rows, (F.col("core") * (F.col("deg") + 1)).desc() if by_degree_product else F.desc("core"))
 
 
 def random_order(graph: Graph, seed: int = 0) -> DataFrame:
@@ -68,8 +56,7 @@ def bfs_order(graph: Graph, reverse: bool = False) -> DataFrame:
     parts = written(connected_components(edges), "parts")
     levels = bfs_levels(edges, parts.select("component").distinct().withColumnRenamed("component", "id"))
     rows = graph.vertices.join(parts, "id", "left").join(levels, "id", "left").join(graph.degrees(), "id")
-    key = F.struct(F.coalesce("component", "id").alias("c"), F.coalesce("level", F.lit(0)).alias("l"), F.col("deg").alias("d"))
-    perm = _perm(rows, key)
+    perm = _perm(rows, F.coalesce("component", "id"), F.coalesce("level", F.lit(0)), "deg")
     if not reverse:
         return perm
     return perm.crossJoin(perm.agg(F.max("new_id").alias("last"))).select("old_id", (F.col("last") - F.col("new_id")).alias("new_id"))
@@ -109,7 +96,7 @@ def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds:
     rows = placed[0]
     for more in placed[1:]:
         rows = rows.unionByName(more)
-    return _perm(rows, F.struct("side", "round", F.when(F.col("side") == 1, -F.col("size")).otherwise(F.col("size")).alias("size"), "group"))
+    return _perm(rows, "side", "round", F.when(F.col("side") == 1, -F.col("size")).otherwise(F.col("size")), "group")
 
 
 def communities(graph: Graph, rounds: int = 5) -> DataFrame:

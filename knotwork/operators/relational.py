@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.plans.materialize import written
+from knotwork.plans.ranking import ranked
 
 
 def dictionary(values: DataFrame, col: str, by: str = "value") -> DataFrame:
     """``(value, code)``: codes from 0 by value, or by frequency ascending with ties by value; nulls get none."""
     counts = values.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("k"))
     order = {"value": ["value"], "frequency": ["k", "value"]}[by]
-    return counts.select("value", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("code"))
+    return ranked(counts, *order, into="code").select("value", "code")
 
 
 def encode(rows: DataFrame, col: str, codes: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).distinct() if a.columns == [] else a.subtract(b)
+    return a.subtract(b)
 
 
 def array_sets(a: Column, b: Column) -> dict[str, Column]:
