@@ -4,8 +4,8 @@ A text is cut by the tokenizer's pattern into pre-tokens. Tier one: a minimal pe
 vocabulary (built once on the driver, of the vocabulary's size, and broadcast) resolves a pre-token that is
 itself a token. Tier two: any other pre-token is merged bottom-up; its parts form a linked list of bytes,
 and a heap holds the rank of every mergeable neighbour pair, lowest rank and leftmost first. Results of
-pre-tokens, and of the pieces between lone spaces, are remembered per worker in tables that are emptied
-when full, so memory stays bounded and results do not depend on it. Pieces need a pattern none of whose
+pre-tokens, and of the pieces between lone spaces, are remembered per worker in tables of bounded size (the older
+half goes when they are full), so memory stays bounded and results do not depend on it. Pieces need a pattern none of whose
 matches runs over a lone space but with that space as its first character; GPT-2's family is like that. Work is a single scan without shuffles; a lost task is simply run again.
 
 Token ids are stored as little-endian unsigned 32-bit integers in one binary value.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REMEMBERED = 400_000
+SHIFT, MASK = 32, (1 << 32) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -102,52 +103,60 @@ class PreTokens(dict):
     def __init__(self, tokens: list[bytes], perfect: PerfectHash):
         super().__init__()
         self.tokens, self.perfect = tokens, perfect
-        self.ranks = {t: i for i, t in enumerate(tokens)}
+        ranks = {t: i for i, t in enumerate(tokens)}
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
+        self.pair_of_bytes = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
+        # Two neighbouring parts merge into the token that they spell, whose id is also the merge's rank.
+        self.merged = {
+            ranks[t[:cut]] << SHIFT | ranks[t[cut:]]: i for i, t in enumerate(tokens) for cut in range(1, len(t)) if t[:cut] in ranks and t[cut:] in ranks
+        }
 
     def __missing__(self, pre_token: str) -> bytes:
-        piece = pre_token.encode("utf-8", "surrogatepass")
-        at = self.perfect.candidate(piece)
-        ids = self.packed[at] if self.tokens[at] == piece else self.merge(piece)
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
+        ids = self.resolve(pre_token)
+        if len(pre_token) <= 48:
+            if len(self) >= REMEMBERED // 8:
                 self.clear()
             self[pre_token] = ids
         return ids
 
+    def resolve(self, pre_token: str) -> bytes:
+        piece = pre_token.encode("utf-8", "surrogatepass")
+        at = self.perfect.candidate(piece)
+        return self.packed[at] if self.tokens[at] == piece else self.merge(piece)
+
     def merge(self, piece: bytes) -> bytes:
-        n, rank = len(piece), self.ranks.get
-        after = list(range(1, n + 1))  # where the part that begins here ends
-        before = list(range(-1, n - 1))
-        pair = [rank(piece[i : i + 2]) for i in range(n - 1)]
+        byte_id, merged = self.byte_id, self.merged.get
+        ids = [byte_id[b] for b in piece]
+        n = len(ids)
+        of_bytes = self.pair_of_bytes
+        pair = [of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905  of the part that begins here with the next
         pair.append(None)
-        heap = [(r << 32) | i for i, r in enumerate(pair) if r is not None]
+        heap = [r << SHIFT | i for i, r in enumerate(pair) if r is not None]
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
             top = heappop(heap)
-            i, r = top & 0xFFFFFFFF, top >> 32
+            i, r = top & MASK, top >> SHIFT
             if pair[i] != r:
                 continue
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone] = end, None
+            ids[i], pair[gone], ids[gone] = r, None, None
+            end = after[i] = after[gone]
+            before[end] = i
             if end < n:
-                before[end] = i
-                pair[i] = r = rank(piece[i : after[end]])
-                if r is not None:
-                    heappush(heap, (r << 32) | i)
+                new = pair[i] = merged(r << SHIFT | ids[end])
+                if new is not None:
+                    heappush(heap, new << SHIFT | i)
             else:
                 pair[i] = None
             left = before[i]
             if left >= 0:
-                pair[left] = r = rank(piece[left:end])
-                if r is not None:
-                    heappush(heap, (r << 32) | left)
-        out, i, ranks, packed = [], 0, self.ranks, self.packed
-        while i < n:
-            out.append(packed[ranks[piece[i : after[i]]]])
-            i = after[i]
-        return b"".join(out)
+                new = pair[left] = merged(ids[left] << SHIFT | r)
+                if new is not None:
+                    heappush(heap, new << SHIFT | left)
+        packed = self.packed
+        return b"".join([packed[i] for i in ids if i is not None])
 
 
 class BlankAtEdge(Exception):
@@ -160,17 +169,29 @@ class Encoder(dict):
     def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
         super().__init__()
         self.pre_tokens = PreTokens(tokens, perfect)
+        self.letters_join = r" ?\p{L}+" in pattern
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(white_space_pattern(pattern)).findall
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.pre_tokens.__getitem__, self.split(text)))
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise BlankAtEdge
-        ids = self.whole(" " + piece)
-        if len(piece) <= 64:
+        ids = self.older.get(piece)
+        if ids is None:
+            if self.letters_join and piece.isalpha():
+                ids = self.pre_tokens.resolve(" " + piece)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                raise BlankAtEdge
+            else:
+                first, *rest = self.split(" " + piece)
+                # A word before a comma is remembered with the same word before a blank.
+                word = first[1:]
+                head = self[word] if self.letters_join and word.isalpha() and first[0] == " " else self.pre_tokens[first]
+                ids = b"".join([head, *map(self.pre_tokens.__getitem__, rest)])
+        if len(piece) <= 48:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
