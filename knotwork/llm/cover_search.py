@@ -37,7 +37,7 @@ from knotwork.plans.materialize import written
 
 EXACT = float(1 << 53)
 LEAF = 24
-_BLOCK = "cell int, block long, dim int, n_queries int, reach double, q_reach double, worst double, worsts binary, centre binary, ids binary, vectors binary"
+_BLOCK = "cell int, block long, dim int, n_queries int, reach double, q_reach double, worst double, worsts binary, centre binary, ids binary, vectors binary, q_ids binary, q_vectors binary"
 
 
 def quantized(embeddings: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -164,12 +164,19 @@ def dual_search(q_tree: Tree, q_vectors: np.ndarray, best: Best, d_tree: Tree, d
             best.offer(rows, exact_scores(q_vectors[rows], d_vectors[data]), d_ids[data])
 
 
-def _matrix(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.float64).reshape(-1, dim)
+_KINDS = {b"b": np.int8, b"h": np.int16, b"i": np.int32, b"d": np.float64}
 
 
 def _packed(vectors: np.ndarray) -> bytes:
-    return np.ascontiguousarray(vectors, dtype=np.float64).tobytes()
+    """Whole numbers in the narrowest type that holds them, after a byte that names it; others as doubles."""
+    whole = (vectors == np.rint(vectors)).all()
+    most = np.abs(vectors).max(initial=0)
+    kind = next((k for k, t in _KINDS.items() if t is not np.float64 and whole and most <= np.iinfo(t).max), b"d")
+    return kind + np.ascontiguousarray(vectors, dtype=_KINDS[kind]).tobytes()
+
+
+def _matrix(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=_KINDS[raw[:1]], offset=1).reshape(-1, dim).astype(np.float64)
 
 
 def _is_query(ids: np.ndarray, every: int) -> np.ndarray:
@@ -187,8 +194,8 @@ def _build_block(k: int, every: int, shared):
         away = np.linalg.norm(vectors - _pivot(shared.value, dim, cell), axis=1)
         best = Best(ids[asks], k)
         dual_search(Tree(vectors[asks]), vectors[asks], best, Tree(vectors), vectors, ids)
-        row = (cell, group["block"].iloc[0], dim, int(asks.sum()), float(away.max()), float(away[asks].max(initial=0)), float(best.worst.min(initial=np.inf)), _packed(best.worst), _packed(vectors.mean(axis=0)), ids.tobytes(), _packed(vectors))
-        return pd.DataFrame([row], columns=["cell", "block", "dim", "n_queries", "reach", "q_reach", "worst", "worsts", "centre", "ids", "vectors"])
+        row = (cell, group["block"].iloc[0], dim, int(asks.sum()), float(away.max()), float(away[asks].max(initial=0)), float(best.worst.min(initial=np.inf)), best.worst.tobytes(), _packed(vectors.mean(axis=0)), ids.tobytes(), _packed(vectors), ids[asks].tobytes(), _packed(vectors[asks]))
+        return pd.DataFrame([row], columns=["cell", "block", "dim", "n_queries", "reach", "q_reach", "worst", "worsts", "centre", "ids", "vectors", "q_ids", "q_vectors"])
 
     return build
 
@@ -197,7 +204,7 @@ def _pivot(pivots: dict[int, np.ndarray], dim: int, cell: int) -> np.ndarray:
     return pivots[dim][cell] if dim in pivots else np.zeros(dim)
 
 
-def _search(k: int, every: int):
+def _search(k: int):
     def search(key, asking: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(asking) and len(data):
@@ -206,9 +213,7 @@ def _search(k: int, every: int):
                 vectors = _matrix(row.vectors, row.dim)
                 trees.append((row, Tree(vectors), vectors, np.frombuffer(row.ids, dtype=np.int64)))
             for row in asking.itertuples():
-                ids, vectors = np.frombuffer(row.ids, dtype=np.int64), _matrix(row.vectors, row.dim)
-                asks = _is_query(ids, every)
-                ids, vectors = ids[asks], vectors[asks]
+                ids, vectors = np.frombuffer(row.q_ids, dtype=np.int64), _matrix(row.q_vectors, row.dim)
                 best, tree = Best(ids, k), Tree(vectors)
                 own = [t for t in trees if t[0].block == row.block and t[0].dim == row.dim]
                 # The bounds to begin with: the k-th scores in the queries' own block.
@@ -225,11 +230,12 @@ def _search(k: int, every: int):
 
 def top_k(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64,
-    pivots: int = 256, sample_rows: int = 4_096, block_rows: int = 512, data_blocks: int = 8, query_blocks: int = 64,
+    pivots: int = 256, sample_rows: int = 4_096, block_rows: int = 512, data_blocks: int = 64, query_blocks: int = 640,
 ) -> DataFrame:
     """Per query (ids divisible by ``every``): query_id, rank (from 1), vec_id, score.
 
-    A task meets about ``data_blocks`` data blocks with the queries of ``query_blocks`` blocks.
+    A task meets at most about ``data_blocks`` data blocks with the queries of ``query_blocks`` blocks; small tables are
+    dealt to as many tasks as there are shuffle partitions.
     """
     spark = embeddings.sparkSession
     rows = written(quantized(embeddings, id_col, vector_col, scale).withColumn("dim", F.size("v")), "vectors")
@@ -262,7 +268,9 @@ def top_k(
 
     pairs = _cell_pairs(blocks, by_dim)
     n_blocks = blocks.agg(F.count("*").alias("n"), F.sum((F.col("n_queries") > 0).cast("long")).alias("q")).first()
-    data_parts, query_parts = (max(1, -(-(n or 0) // size)) for n, size in ((n_blocks["n"], data_blocks), (n_blocks["q"], query_blocks)))
+    total, askers = n_blocks["n"] or 0, n_blocks["q"] or 0
+    data_parts = max(1, -(-total // data_blocks), min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    query_parts = max(1, -(-askers // query_blocks))
     asking = blocks.toDF(*blocks.columns).where("n_queries > 0").withColumn("q_part", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(query_parts)))
     data = blocks.withColumn("d_part", F.pmod(F.xxhash64("block", F.lit(2)), F.lit(data_parts)))
     q_side = asking.select(F.col("dim"), F.col("cell").alias("q_cell"), "q_part").distinct()
@@ -271,8 +279,10 @@ def top_k(
     q_rows = asking.join(meet.select("dim", F.col("q_cell").alias("cell"), "q_part", "d_part").distinct(), ["dim", "cell", "q_part"])
     d_rows = data.join(meet.select("dim", F.col("d_cell").alias("cell"), "q_part", "d_part").distinct(), ["dim", "cell", "d_part"])
     task = ["q_part", "d_part"]
-    keep = ["block", "dim", "worsts", "centre", "ids", "vectors", *task]
-    found = q_rows.select(keep).toDF(*keep).groupBy(*task).cogroup(d_rows.select(keep).toDF(*keep).groupBy(*task)).applyInPandas(_search(k, every), "query_id long, vec_id long, score long")
+    keep = ["block", "dim", "centre", *task]
+    q_rows, d_rows = q_rows.select(*keep, "worsts", "q_ids", "q_vectors"), d_rows.select(*keep, "ids", "vectors")
+    meeting = q_rows.toDF(*q_rows.columns).groupBy(*task).cogroup(d_rows.toDF(*d_rows.columns).groupBy(*task))
+    found = meeting.applyInPandas(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
