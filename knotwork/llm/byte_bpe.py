@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REMEMBERED = 400_000
-SHIFT, MASK = 32, (1 << 32) - 1
+NOTHING: dict[int, int] = {}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -106,11 +106,17 @@ class PreTokens(dict):
         ranks = {t: i for i, t in enumerate(tokens)}
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
-        self.pair_of_bytes = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
-        # Two neighbouring parts merge into the token that they spell, whose id is also the merge's rank.
-        self.merged = {
-            ranks[t[:cut]] << SHIFT | ranks[t[cut:]]: i for i, t in enumerate(tokens) for cut in range(1, len(t)) if t[:cut] in ranks and t[cut:] in ranks
-        }
+        self.pair_of_bytes = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
+        # Two neighbouring parts merge into the token that they spell, whose id is also the merge's rank: by left part, then right part.
+        self.edge = len(tokens)
+        self.merged: list[dict[int, int]] = [NOTHING] * (len(tokens) + 1)
+        for i, t in enumerate(tokens):
+            for cut in range(1, len(t)):
+                left, right = ranks.get(t[:cut]), ranks.get(t[cut:])
+                if left is not None and right is not None:
+                    if self.merged[left] is NOTHING:
+                        self.merged[left] = {}
+                    self.merged[left][right] = i
 
     def __missing__(self, pre_token: str) -> bytes:
         ids = self.resolve(pre_token)
@@ -126,35 +132,33 @@ class PreTokens(dict):
         return self.packed[at] if self.tokens[at] == piece else self.merge(piece)
 
     def merge(self, piece: bytes) -> bytes:
-        byte_id, merged = self.byte_id, self.merged.get
-        ids = [byte_id[b] for b in piece]
-        n = len(ids)
-        of_bytes = self.pair_of_bytes
-        pair = [of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905  of the part that begins here with the next
-        pair.append(None)
-        heap = [r << SHIFT | i for i, r in enumerate(pair) if r is not None]
+        merged, of_bytes, n = self.merged, self.pair_of_bytes, len(piece)
+        shift = n.bit_length()  # entries of usual pieces stay small integers
+        mask = (1 << shift) - 1
+        # At place n, which place -1 is too, stands a part that merges with nothing.
+        ids = [*map(self.byte_id.__getitem__, piece), self.edge]
+        pair = [of_bytes[a][b] for a, b in zip(piece, piece[1:])]  # noqa: B905  of the part that begins here with the next
+        heap = [r << shift | i for i, r in enumerate(pair) if r is not None]
         heapify(heap)
+        pair += (None, None)
         after, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
             top = heappop(heap)
-            i, r = top & MASK, top >> SHIFT
+            i, r = top & mask, top >> shift
             if pair[i] != r:
                 continue
             gone = after[i]
-            ids[i], pair[gone], ids[gone] = r, None, None
             end = after[i] = after[gone]
             before[end] = i
-            if end < n:
-                new = pair[i] = merged(r << SHIFT | ids[end])
-                if new is not None:
-                    heappush(heap, new << SHIFT | i)
-            else:
-                pair[i] = None
+            ids[i], pair[gone], ids[gone] = r, None, None
+            new = pair[i] = merged[r].get(ids[end])
+            if new is not None:
+                heappush(heap, new << shift | i)
             left = before[i]
-            if left >= 0:
-                new = pair[left] = merged(ids[left] << SHIFT | r)
-                if new is not None:
-                    heappush(heap, new << SHIFT | left)
+            new = pair[left] = merged[ids[left]].get(r)
+            if new is not None:
+                heappush(heap, new << shift | left)
+        ids.pop()
         packed = self.packed
         return b"".join([packed[i] for i in ids if i is not None])
 
@@ -170,6 +174,7 @@ class Encoder(dict):
         super().__init__()
         self.pre_tokens = PreTokens(tokens, perfect)
         self.letters_join = r" ?\p{L}+" in pattern
+        self.marks_part = self.letters_join and r" ?[^\s\p{L}\p{N}]+" in pattern
         self.older: dict[str, bytes] = {}
         self.split = regex.compile(white_space_pattern(pattern)).findall
 
@@ -183,6 +188,8 @@ class Encoder(dict):
                 ids = self.pre_tokens.resolve(" " + piece)
             elif not piece or piece[0].isspace() or piece[-1].isspace():
                 raise BlankAtEdge
+            elif self.marks_part and piece[-1] in ",.;:!?" and piece[:-1].isalpha():
+                ids = self[piece[:-1]] + self.pre_tokens[piece[-1]]
             else:
                 first, *rest = self.split(" " + piece)
                 # A word before a comma is remembered with the same word before a blank.
