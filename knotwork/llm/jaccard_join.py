@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.textblocks import Prefix, Words, blocks, changes, mix, utf8, whole_groups
+from knotwork.llm.textblocks import Prefix, Words, blocks, changes, mix, text_blocks, utf8, whole_groups
 from knotwork.operators.components import connected_components
 from knotwork.plans.materialize import written
 
@@ -90,10 +90,10 @@ def _sets(size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = np.zeros(1 << COUNTER_BITS, dtype=np.int64), set()
         for batch in batches:
-            texts, keys, sizes, bitmaps = utf8(batch.column(2).to_pylist()), [], [], []
-            for a, b in blocks(texts):
+            keys, sizes, bitmaps = [], [], []
+            for _, _, texts in text_blocks(batch.column(2)):
                 fresh = []
-                for tokens in shingle_sets(texts[a:b], size):
+                for tokens in shingle_sets(utf8(texts), size):
                     key = set_key(tokens) if len(tokens) else 0
                     keys.append(key)
                     sizes.append(len(tokens))
@@ -133,10 +133,9 @@ def _prefixes(size: int, percent: int, tables):
         level, salts = tables.value
         seen: set[int] = set()
         for batch in batches:
-            texts = utf8(batch.column(0).to_pylist())
-            for a, b in blocks(texts):
+            for _, _, texts in text_blocks(batch.column(0)):
                 token, key, n, pos = [], [], [], []
-                for tokens in shingle_sets(texts[a:b], size):
+                for tokens in shingle_sets(utf8(texts), size):
                     if not len(tokens) or (own := set_key(tokens)) in seen:
                         continue
                     seen.add(own)

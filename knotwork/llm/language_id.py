@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.ngram_model import class_counts, log_shares, trigrams
-from knotwork.llm.textblocks import Words, blocks
+from knotwork.llm.textblocks import Words, text_blocks
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -109,9 +109,8 @@ def learn(training: DataFrame, lang_col: str = "lang", text_col: str = "text", s
         total = np.zeros((len(languages), SCRIPTS), dtype=np.int64)
         for batch in batches:
             kind = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [t.lower().encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
-                words = Words(texts[a:b])
+            for a, b, raw in text_blocks(batch.column(1)):
+                words = Words([t.lower().encode("utf-8", "surrogatepass") for t in raw])
                 if len(words.start):
                     script = np.maximum.reduceat(_SCRIPT[words.data], words.start)
                     np.add.at(total, (np.repeat(kind[a:b], words.count), script), 1)
@@ -138,18 +137,16 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def labelled(column):
         m = shared.value
         names = pa.array(m.languages)
-        raw = [t for t in column.to_pylist()]
-        texts = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in raw]
         pred, score, spans = [], [], []
-        for a, b in blocks(texts, _BLOCK):
-            words = Words(texts[a:b])
+        for a, b, raw in text_blocks(column, _BLOCK):
+            words = Words([t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in raw])
             labels, script = m.label(words)
             text = np.repeat(np.arange(b - a), words.count)
             with_letters = script > 0
             votes = np.bincount(text[with_letters] * len(m.languages) + labels[with_letters], minlength=(b - a) * len(m.languages)).reshape(b - a, -1)
             best = votes.argmax(axis=1)
             share = votes[np.arange(b - a), best] / np.maximum(1, votes.sum(axis=1))
-            known = np.array([bool(t) and _LETTER.search(t) is not None for t in raw[a:b]])
+            known = np.array([bool(t) and _LETTER.search(t) is not None for t in raw])
             pred += [m.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known, strict=True)]
             score += np.where(known, share, 0.0).tolist()
             new = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(labels) != 0)))) if len(text) else np.empty(0, dtype=np.int64)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from knotwork.llm.textblocks import Words, blocks
+from knotwork.llm.textblocks import Words, text_blocks
 
 BUCKETS = 1 << 16
 SLICE = 1 << 13
@@ -38,9 +38,8 @@ def class_counts(rows: DataFrame, n_classes: int, lower: bool) -> np.ndarray:
         total = np.zeros((n_classes, BUCKETS), dtype=np.int64)
         for batch in batches:
             kind = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
-                words = Words(texts[a:b])
+            for a, b, raw in text_blocks(batch.column(1)):
+                words = Words([(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t else b"" for t in raw])
                 bucket = trigrams(words)
                 of_byte = np.repeat(kind[a:b], np.diff(words.text_start))[: len(bucket)].astype(np.int32)
                 inside = bucket < BUCKETS

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +118,18 @@ def concat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a text column as ``blocks`` makes them, with their texts; only one range is held as Python strings."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > limit:
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
+            begin, size = i, 0
+        size += n
+    if begin < len(column):
+        yield begin, len(column), column.slice(begin).to_pylist()
+
+
 def utf8(texts: list[str | None]) -> list[bytes | None]:
     return [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
