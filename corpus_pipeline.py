@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids and of the decoded bytes of each document."""
     bpe = tokenizer(spark)
-    return token_digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"))))
+    return token_digests(bpe.round_trip(docs.select("doc_id", "text")))
 
 
 STAGES = [

@@ -17,7 +17,7 @@ named like a result (``n_tokens``, ``token_ids``, ``decoded``) are replaced; oth
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NOTHING: dict[int, int] = {}
 
 
@@ -224,6 +224,11 @@ def _encoder(model) -> Encoder:
     return _encoders[model.value["uid"]]
 
 
+def _decoded(ids: Iterable[bytes | None], tokens: list[bytes]) -> list[bytes]:
+    part = tokens.__getitem__
+    return [b"".join(map(part, np.frombuffer(x, dtype="<u4").tolist())) if x else b"" for x in ids]
+
+
 class Tokenizer:
     """Encoding and decoding of DataFrame columns by the ranks in ``path`` (read on the driver)."""
 
@@ -249,7 +254,20 @@ class Tokenizer:
         model = self.model
 
         def text(ids: pd.Series) -> pd.Series:
-            part: Callable[[int], bytes] = model.value["tokens"].__getitem__
-            return pd.Series([b"".join(map(part, np.frombuffer(x, dtype="<u4").tolist())) if x else b"" for x in ids], dtype=object)
+            return pd.Series(_decoded(ids, model.value["tokens"]), dtype=object)
 
         return encoded.drop("decoded").withColumn("decoded", F.pandas_udf(text, "binary")(F.col(ids_col)))
+
+    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``decode(encode(docs))`` by one function: chained, Spark would encode once for the ids and again for decoding."""
+        model = self.model
+
+        def both(texts: pd.Series) -> pd.DataFrame:
+            encode = _encoder(model).encode
+            ids = [encode(t) if t else b"" for t in texts]
+            return pd.DataFrame({"token_ids": ids, "decoded": _decoded(ids, model.value["tokens"])}, dtype=object)
+
+        own = docs.drop("n_tokens", "token_ids", "decoded")
+        out = own.withColumn("__bpe", F.pandas_udf(both, "token_ids binary, decoded binary")(F.col(text_col)))
+        n_tokens = (F.octet_length("__bpe.token_ids") / 4).cast("long").alias("n_tokens")
+        return out.select(*own.columns, F.col("__bpe.token_ids").alias("token_ids"), n_tokens, F.col("__bpe.decoded").alias("decoded"))

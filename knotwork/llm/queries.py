@@ -49,7 +49,7 @@ def tokenizer(spark: SparkSession) -> Tokenizer:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = tokenizer(spark)
-    return token_digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return token_digests(bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:
