@@ -180,6 +180,8 @@ def test_bpe(spark, docs, reference):
         assert ids == reference.encode_ordinary(r["text"] or "") and r["n_tokens"] == len(ids)
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
     assert bpe.encode(rows).columns == ["doc_id", "text", "token_ids", "n_tokens"]
+    together = bpe.round_trip(rows.select("doc_id", "text"))
+    assert sorted(map(str, together.collect())) == sorted(map(str, bpe.decode(bpe.encode(rows.select("doc_id", "text"))).select(together.columns).collect()))
     assert bpe.encode(rows.limit(0)).count() == 0
 
 
