@@ -1,11 +1,14 @@
 """Queries over the graph operators; ``QUERIES`` and ``ORACLE_SQL`` are by query name.
 
 The graphs are parts sharing an order among lines of 45 pieces or more (``q45``), and documents sharing a line (``docs``).
+``NAME_all`` is the query NAME over all lines.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +23,12 @@ from knotwork.sources.derive import line_graph, order_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Too slow on DuckDB over all lines; tests/test_all_lines.py has plain versions.
+_SLOW_SQL = {"components"}
 
 _EDGES = """l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem WHERE l_quantity >= 45),
 e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i)"""
+_ALL_EDGES = _EDGES.replace(" WHERE l_quantity >= 45", "")
 _DOC_EDGES = r"""l AS (SELECT DISTINCT doc_id AS i, line AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),
 k AS (SELECT g FROM l GROUP BY g HAVING count(*) BETWEEN 2 AND 200),
 e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM k))"""
@@ -39,18 +45,24 @@ def _sql(body: str, *parts: str, edges: str = _EDGES) -> str:
 
 
 def _query(name: str, sql: str | None = None):
+    """Registers a query; one that takes ``least`` also as ``NAME_all``, over lines of any quantity."""
+
     def register(f):
         QUERIES[name] = f
         if sql is not None:
             ORACLE_SQL[name] = sql
+        if "least" in inspect.signature(f).parameters:
+            QUERIES[f"{name}_all"] = partial(f, least=None)
+            if sql is not None and name not in _SLOW_SQL:
+                ORACLE_SQL[f"{name}_all"] = sql.replace(_EDGES, _ALL_EDGES)
         return f
 
     return register
 
 
-def _q45(spark: SparkSession, sf_dir: str) -> Graph:
-    graph = order_graph(spark, sf_dir)
-    edges = written(graph.edges, "q45")
+def _orders(spark: SparkSession, sf_dir: str, least: float | None) -> Graph:
+    graph = order_graph(spark, sf_dir, least)
+    edges = written(graph.edges, "orders")
     return Graph.from_pairs(edges)
 
 
@@ -60,45 +72,45 @@ def _docs(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 @_query("edges", _sql("SELECT src, dst FROM e", _BASE))
-def edges(spark, sf_dir):
-    return order_graph(spark, sf_dir).edges
+def edges(spark, sf_dir, least=45.0):
+    return order_graph(spark, sf_dir, least).edges
 
 
 @_query("symmetric_edges", _sql("SELECT src, dst FROM s", _BASE))
-def symmetric_edges(spark, sf_dir):
-    return order_graph(spark, sf_dir).symmetric()
+def symmetric_edges(spark, sf_dir, least=45.0):
+    return order_graph(spark, sf_dir, least).symmetric()
 
 
 @_query("degrees", _sql("SELECT id, deg FROM d"))
-def degrees(spark, sf_dir):
-    return _q45(spark, sf_dir).degrees()
+def degrees(spark, sf_dir, least=45.0):
+    return _orders(spark, sf_dir, least).degrees()
 
 
 @_query("adjacency", _sql("SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS nbrs FROM s GROUP BY src"))
-def adjacency(spark, sf_dir):
-    return order_graph(spark, sf_dir).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+def adjacency(spark, sf_dir, least=45.0):
+    return order_graph(spark, sf_dir, least).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
 
 
 @_query("csr_offsets", _sql("SELECT id, coalesce(sum(deg) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", deg FROM d"))
-def csr_offsets(spark, sf_dir):
-    return stats.csr_offsets(_q45(spark, sf_dir))
+def csr_offsets(spark, sf_dir, least=45.0):
+    return stats.csr_offsets(_orders(spark, sf_dir, least))
 
 
 @_query("oriented_edges", _sql("SELECT src, dst FROM f", _BASE, _ORIENTED))
-def oriented_edges(spark, sf_dir):
-    return _q45(spark, sf_dir).oriented()
+def oriented_edges(spark, sf_dir, least=45.0):
+    return _orders(spark, sf_dir, least).oriented()
 
 
 _CN = _sql("SELECT src, dst, cn FROM n")
 
 
 @_query("common_neighbors", _CN)
-def common_neighbors(spark, sf_dir):
-    return counting.common_neighbors(_q45(spark, sf_dir))
+def common_neighbors(spark, sf_dir, least=45.0):
+    return counting.common_neighbors(_orders(spark, sf_dir, least))
 
 
 def _cn_by(strategy: str):
-    return lambda spark, sf_dir: counting.common_neighbors(_q45(spark, sf_dir), strategy)
+    return lambda spark, sf_dir, least=45.0: counting.common_neighbors(_orders(spark, sf_dir, least), strategy)
 
 
 for _strategy in ("array", "wedge", "block"):
@@ -111,19 +123,19 @@ def common_neighbors_docs(spark, sf_dir):
 
 
 @_query("common_neighbors_mirrored", _sql("SELECT src, dst, cn FROM n UNION ALL SELECT dst, src, cn FROM n"))
-def common_neighbors_mirrored(spark, sf_dir):
-    cn = counting.common_neighbors(_q45(spark, sf_dir))
+def common_neighbors_mirrored(spark, sf_dir, least=45.0):
+    cn = counting.common_neighbors(_orders(spark, sf_dir, least))
     return cn.unionByName(cn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cn"))
 
 
 @_query("triangles", _sql("SELECT a, b, c FROM t", _TRIANGLES))
-def triangles(spark, sf_dir):
-    return counting.triangles(_q45(spark, sf_dir))
+def triangles(spark, sf_dir, least=45.0):
+    return counting.triangles(_orders(spark, sf_dir, least))
 
 
 @_query("triangle_count", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES))
-def triangle_count(spark, sf_dir):
-    return counting.triangle_count(_q45(spark, sf_dir))
+def triangle_count(spark, sf_dir, least=45.0):
+    return counting.triangle_count(_orders(spark, sf_dir, least))
 
 
 @_query("triangle_count_docs", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES, edges=_DOC_EDGES))
@@ -132,13 +144,13 @@ def triangle_count_docs(spark, sf_dir):
 
 
 @_query("cliques4", _sql("SELECT t.a, t.b, t.c, x.dst AS d FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
-def cliques4(spark, sf_dir):
-    return counting.cliques4(_q45(spark, sf_dir))
+def cliques4(spark, sf_dir, least=45.0):
+    return counting.cliques4(_orders(spark, sf_dir, least))
 
 
 @_query("clique_counts", _sql("SELECT 3::BIGINT AS k, count(*) AS cliques FROM t UNION ALL SELECT 4, count(*) FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
-def clique_counts(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def clique_counts(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     count = lambda k: counting.cliques(graph, k).agg(F.lit(k).cast("long").alias("k"), F.count("*").alias("cliques"))
     return count(3).unionByName(count(4))
 
@@ -163,30 +175,30 @@ def _scan_parts(eps: float, mu: int) -> list[str]:
 
 
 @_query("edge_similarity", _sql("SELECT src, dst, cn, round(sim, 6) AS sim, sim >= 0.6 AS similar FROM m", _BASE, _SIM))
-def edge_similarity(spark, sf_dir):
-    rows = scan.edge_similarity(_q45(spark, sf_dir), 0.6)
+def edge_similarity(spark, sf_dir, least=45.0):
+    rows = scan.edge_similarity(_orders(spark, sf_dir, least), 0.6)
     return rows.select("src", "dst", "cn", F.round("sim", 6).alias("sim"), "similar")
 
 
 @_query("core_counts", _sql("SELECT id, core_count FROM cc", *_scan_parts(0.6, 2)[:4]))
-def core_counts(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def core_counts(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     return scan.core_counts(graph, scan.edge_similarity(graph, 0.6))
 
 
 @_query("scan_roles", _sql("SELECT id, core_count, role FROM ro", *_scan_parts(0.6, 2)))
-def scan_roles(spark, sf_dir):
-    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).roles
+def scan_roles(spark, sf_dir, least=45.0):
+    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).roles
 
 
 @_query("scan_clusters", _sql("SELECT id, cluster_id FROM cl", *_scan_parts(0.6, 2)))
-def scan_clusters(spark, sf_dir):
-    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).clusters
+def scan_clusters(spark, sf_dir, least=45.0):
+    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).clusters
 
 
 @_query("scan_members", _sql("SELECT cluster_id, id FROM me", *_scan_parts(0.6, 2)))
-def scan_members(spark, sf_dir):
-    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).members
+def scan_members(spark, sf_dir, least=45.0):
+    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).members
 
 
 _RESULT = "SELECT 'c' AS kind, id AS vertex_id, cluster_id FROM cl UNION ALL SELECT 'n', id, cluster_id FROM me"
@@ -195,13 +207,13 @@ _SUMMARY = """SELECT (SELECT count(*) FROM ro WHERE role = 'CORE') AS cores, (SE
 
 
 @_query("scan_result", _sql(_RESULT, *_scan_parts(0.6, 2)))
-def scan_result(spark, sf_dir):
-    return scan.cluster(_q45(spark, sf_dir), 0.6, 2).result_rows()
+def scan_result(spark, sf_dir, least=45.0):
+    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).result_rows()
 
 
 @_query("scan_summary", _sql(_SUMMARY, *_scan_parts(0.5, 2)))
-def scan_summary(spark, sf_dir):
-    return scan.cluster(_q45(spark, sf_dir), 0.5, 2).summary()
+def scan_summary(spark, sf_dir, least=45.0):
+    return scan.cluster(_orders(spark, sf_dir, least), 0.5, 2).summary()
 
 
 @_query("scan_summary_docs", _sql(_SUMMARY, *_scan_parts(0.6, 2), edges=_DOC_EDGES))
@@ -213,13 +225,13 @@ _REACH = "reach(id, r) AS (SELECT id, id FROM d UNION SELECT s.dst, reach.r FROM
 
 
 @_query("components", _sql("SELECT id, min(r) AS component FROM reach GROUP BY id", _BASE, _REACH))
-def components(spark, sf_dir):
-    return connected_components(order_graph(spark, sf_dir).edges)
+def components(spark, sf_dir, least=45.0):
+    return connected_components(order_graph(spark, sf_dir, least).edges)
 
 
 @_query("bfs_levels", _sql("SELECT id, min(lev) AS level FROM walk GROUP BY id", _BASE, "walk(id, lev) AS (SELECT min(id), 0::BIGINT FROM d UNION SELECT s.dst, lev + 1 FROM walk JOIN s ON s.src = walk.id WHERE lev < 6)"))
 def bfs_levels(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+    graph = _orders(spark, sf_dir, 45.0)
     return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")), max_level=6)
 
 
@@ -235,71 +247,71 @@ def _peeled(k: int, rounds: int) -> str:
 
 
 @_query("two_core", _sql("SELECT src, dst FROM e WHERE src IN (SELECT id FROM h40) AND dst IN (SELECT id FROM h40)", _BASE, _peeled(2, 40)))
-def two_core(spark, sf_dir):
-    return k_core(_q45(spark, sf_dir), 2)
+def two_core(spark, sf_dir, least=45.0):
+    return k_core(_orders(spark, sf_dir, least), 2)
 
 
 @_query("coreness")
-def core_numbers(spark, sf_dir):
-    return coreness(_q45(spark, sf_dir))
+def core_numbers(spark, sf_dir, least=45.0):
+    return coreness(_orders(spark, sf_dir, least))
 
 
 _BY = "SELECT id AS old_id, row_number() OVER (ORDER BY {}) - 1 AS new_id FROM d"
 
 
 @_query("order_degree", _sql(_BY.format("deg DESC, id")))
-def order_degree(spark, sf_dir):
-    return ordering.degree_order(_q45(spark, sf_dir))
+def order_degree(spark, sf_dir, least=45.0):
+    return ordering.degree_order(_orders(spark, sf_dir, least))
 
 
 @_query("order_degree_ascending", _sql(_BY.format("deg, id")))
-def order_degree_ascending(spark, sf_dir):
-    return ordering.degree_order(_q45(spark, sf_dir), descending=False)
+def order_degree_ascending(spark, sf_dir, least=45.0):
+    return ordering.degree_order(_orders(spark, sf_dir, least), descending=False)
 
 
 @_query("order_original", _sql(_BY.format("id")))
-def order_original(spark, sf_dir):
-    return ordering.original_order(_q45(spark, sf_dir))
+def order_original(spark, sf_dir, least=45.0):
+    return ordering.original_order(_orders(spark, sf_dir, least))
 
 
 @_query("order_core")
-def order_core(spark, sf_dir):
-    return ordering.core_order(_q45(spark, sf_dir))
+def order_core(spark, sf_dir, least=45.0):
+    return ordering.core_order(_orders(spark, sf_dir, least))
 
 
 @_query("order_random")
-def order_random(spark, sf_dir):
-    return ordering.random_order(_q45(spark, sf_dir), seed=7)
+def order_random(spark, sf_dir, least=45.0):
+    return ordering.random_order(_orders(spark, sf_dir, least), seed=7)
 
 
 @_query("order_bfs")
-def order_bfs(spark, sf_dir):
-    return ordering.bfs_order(_q45(spark, sf_dir))
+def order_bfs(spark, sf_dir, least=45.0):
+    return ordering.bfs_order(_orders(spark, sf_dir, least))
 
 
 @_query("order_community")
-def order_community(spark, sf_dir):
-    return ordering.community_order(_q45(spark, sf_dir))
+def order_community(spark, sf_dir, least=45.0):
+    return ordering.community_order(_orders(spark, sf_dir, least))
 
 
 @_query("order_slashburn")
-def order_slashburn(spark, sf_dir):
-    return ordering.slashburn_order(_q45(spark, sf_dir), hubs_per_round=200)
+def order_slashburn(spark, sf_dir, least=45.0):
+    return ordering.slashburn_order(_orders(spark, sf_dir, least), hubs_per_round=200)
 
 
 _PERM = "pm AS (SELECT id, row_number() OVER (ORDER BY deg DESC, id) - 1 AS q FROM d)"
 
 
 @_query("relabelled_edges", _sql("SELECT least(x.q, y.q) AS src, greatest(x.q, y.q) AS dst FROM e JOIN pm x ON x.id = e.src JOIN pm y ON y.id = e.dst", _BASE, _PERM))
-def relabelled_edges(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def relabelled_edges(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     return graph.relabelled(ordering.degree_order(graph)).edges
 
 
 @_query("common_neighbors_reordered", _CN)
-def common_neighbors_reordered(spark, sf_dir):
+def common_neighbors_reordered(spark, sf_dir, least=45.0):
     """Counts on the relabelled graph, mapped back: independent of the order."""
-    graph = _q45(spark, sf_dir)
+    graph = _orders(spark, sf_dir, least)
     perm = written(ordering.degree_order(graph), "perm")
     cn = counting.common_neighbors(graph.relabelled(perm))
     back = lambda c: perm.select(F.col("new_id").alias(c), F.col("old_id").alias(f"old_{c}"))
@@ -311,40 +323,40 @@ def common_neighbors_reordered(spark, sf_dir):
 
 
 @_query("graph_summary", _sql("SELECT (SELECT count(*) FROM d) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT avg(deg) FROM d) AS avg_degree, (SELECT max(deg) FROM d) AS max_degree, (SELECT max(k) FROM (SELECT count(*) AS k FROM f GROUP BY src)) AS max_out_degree", _BASE, _ORIENTED))
-def graph_summary(spark, sf_dir):
-    return stats.graph_summary(_q45(spark, sf_dir))
+def graph_summary(spark, sf_dir, least=45.0):
+    return stats.graph_summary(_orders(spark, sf_dir, least))
 
 
 @_query("support_summary", _sql("SELECT max(cn) AS max_cn, sum(cn)::BIGINT AS sum_cn, count(*) FILTER (cn = 0) AS empty_edges, count(*) FILTER (cn = 0) / count(*) AS empty_share FROM n"))
-def support_summary(spark, sf_dir):
-    return stats.support_summary(counting.common_neighbors(_q45(spark, sf_dir)))
+def support_summary(spark, sf_dir, least=45.0):
+    return stats.support_summary(counting.common_neighbors(_orders(spark, sf_dir, least)))
 
 
 @_query("cn_histogram", _sql("SELECT cn AS value, count(*) AS rows FROM n GROUP BY cn"))
-def cn_histogram(spark, sf_dir):
-    return stats.histogram(counting.common_neighbors(_q45(spark, sf_dir)), "cn")
+def cn_histogram(spark, sf_dir, least=45.0):
+    return stats.histogram(counting.common_neighbors(_orders(spark, sf_dir, least)), "cn")
 
 
 @_query("degree_bins")
-def degree_bins(spark, sf_dir):
-    return stats.greedy_bins(stats.histogram(_q45(spark, sf_dir).degrees(), "deg"))
+def degree_bins(spark, sf_dir, least=45.0):
+    return stats.greedy_bins(stats.histogram(_orders(spark, sf_dir, least).degrees(), "deg"))
 
 
 @_query("edge_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER ((x.deg + 1) // 3 > y.deg + 1 OR (y.deg + 1) // 3 > x.deg + 1) AS skewed_edges FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst"))
-def edge_skew(spark, sf_dir):
-    return stats.edge_skew(_q45(spark, sf_dir), ratio=3)
+def edge_skew(spark, sf_dir, least=45.0):
+    return stats.edge_skew(_orders(spark, sf_dir, least), ratio=3)
 
 
 @_query("oriented_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER (a // 2 > b OR b // 2 > a) AS skewed_edges FROM (SELECT o.k + 1 AS a, coalesce(q.k, 0) + 1 AS b FROM f JOIN o ON o.src = f.src LEFT JOIN o q ON q.src = f.dst)", _BASE, _ORIENTED, "o AS (SELECT src, count(*) AS k FROM f GROUP BY src)"))
-def oriented_skew(spark, sf_dir):
-    return stats.oriented_skew(_q45(spark, sf_dir), ratio=2)
+def oriented_skew(spark, sf_dir, least=45.0):
+    return stats.oriented_skew(_orders(spark, sf_dir, least), ratio=2)
 
 
 @_query("intersection_stats", _sql("""SELECT floor(log10(x.deg + y.deg))::BIGINT AS bin, count(*) AS edges, min(cn / least(x.deg, y.deg)) AS min_sel, max(cn / least(x.deg, y.deg)) AS max_sel, round(avg(cn / least(x.deg, y.deg)), 9) AS avg_sel,
   min(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS min_skew, max(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS max_skew, round(avg(greatest(x.deg, y.deg) // least(x.deg, y.deg)), 9) AS avg_skew
   FROM n JOIN d x ON x.id = src JOIN d y ON y.id = dst GROUP BY 1"""))
-def intersection_stats(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def intersection_stats(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     return stats.intersection_stats(graph, counting.common_neighbors(graph))
 
 
@@ -354,23 +366,23 @@ def dense_vertices(spark, sf_dir):
 
 
 @_query("balanced_ranges", _sql("SELECT part, min(id) AS first_id, max(id) AS last_id, sum(deg + 2)::BIGINT AS weight FROM (SELECT id, deg, ((sum(deg + 2) OVER (ORDER BY id) - deg - 2) * 8 // sum(deg + 2) OVER ())::BIGINT AS part FROM d) GROUP BY part"))
-def balanced_ranges(spark, sf_dir):
-    return stats.balanced_ranges(_q45(spark, sf_dir), 8)
+def balanced_ranges(spark, sf_dir, least=45.0):
+    return stats.balanced_ranges(_orders(spark, sf_dir, least), 8)
 
 
 @_query("order_compression", _sql("SELECT k AS n_edges, o AS out_blocks, i AS in_blocks, (o + i) / k AS ratio FROM (SELECT (SELECT count(*) FROM e) AS k, (SELECT count(*) FROM (SELECT DISTINCT src, dst // 32 FROM e)) AS o, (SELECT count(*) FROM (SELECT DISTINCT dst, src // 32 FROM e)) AS i)"))
-def order_compression(spark, sf_dir):
-    return stats.order_compression(_q45(spark, sf_dir))
+def order_compression(spark, sf_dir, least=45.0):
+    return stats.order_compression(_orders(spark, sf_dir, least))
 
 
 @_query("big_nodes", _sql("SELECT count(*) AS n_vertices, round(avg(deg), 9) AS avg_degree, round(avg(deg * deg) - avg(deg) * avg(deg), 6) AS var_degree FROM (SELECT deg, sum(deg) OVER (ORDER BY deg DESC, id ROWS UNBOUNDED PRECEDING) - deg AS before, sum(deg) OVER () AS total FROM d) WHERE before < 0.3 * total"))
-def big_nodes(spark, sf_dir):
-    return stats.big_nodes(_q45(spark, sf_dir), 0.3)
+def big_nodes(spark, sf_dir, least=45.0):
+    return stats.big_nodes(_orders(spark, sf_dir, least), 0.3)
 
 
 @_query("sqrt_degree_weights", _sql("SELECT id, round(sqrt(deg) / sum(sqrt(deg)) OVER (), 9) AS weight FROM d"))
-def sqrt_degree_weights(spark, sf_dir):
-    return stats.sqrt_degree_weights(_q45(spark, sf_dir)).select("id", F.round("weight", 9).alias("weight"))
+def sqrt_degree_weights(spark, sf_dir, least=45.0):
+    return stats.sqrt_degree_weights(_orders(spark, sf_dir, least)).select("id", F.round("weight", 9).alias("weight"))
 
 
 @_query("degree_decades", _sql("SELECT CASE WHEN deg <= 1 THEN 0 WHEN deg <= 10 THEN 1 WHEN deg <= 100 THEN 2 WHEN deg <= 1000 THEN 3 ELSE 4 END::BIGINT AS decade, count(*) AS vertices FROM d GROUP BY 1", _BASE, edges=_DOC_EDGES))
@@ -379,30 +391,30 @@ def degree_decades(spark, sf_dir):
 
 
 @_query("gap_entropy", _sql("SELECT round(-sum(k / n * log2(k / n)), 6) AS entropy, round(sum(k * log2(gap)) / max(n), 6) AS avg_log_gap FROM (SELECT gap, count(*) AS k, sum(count(*)) OVER () AS n FROM (SELECT dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s) WHERE gap IS NOT NULL GROUP BY gap)"))
-def gap_entropy(spark, sf_dir):
-    return stats.gap_entropy(_q45(spark, sf_dir))
+def gap_entropy(spark, sf_dir, least=45.0):
+    return stats.gap_entropy(_orders(spark, sf_dir, least))
 
 
 @_query("locality", _sql("SELECT (SELECT count(*) FROM s a JOIN s b ON a.dst = b.dst AND b.src - a.src BETWEEN 1 AND 5) + (SELECT count(*) FROM e WHERE dst - src <= 5) AS score"))
-def locality(spark, sf_dir):
-    return stats.locality(_q45(spark, sf_dir))
+def locality(spark, sf_dir, least=45.0):
+    return stats.locality(_orders(spark, sf_dir, least))
 
 
 @_query("modularity", _sql("""SELECT round(sum(inn / m - (al / m) ** 2), 9) AS modularity FROM (SELECT x.c, count(*) FILTER (x.c = y.c) AS inn, count(*) AS al, sum(count(*)) OVER () AS m
   FROM s JOIN g x ON x.id = s.src JOIN g y ON y.id = s.dst GROUP BY x.c)""", _BASE, "g AS (SELECT id, id % 10 AS c FROM d)"))
-def modularity(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def modularity(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     return stats.modularity(graph, graph.vertices.select("id", (F.col("id") % 10).alias("community")))
 
 
 @_query("bandwidth", _sql("SELECT max(b) AS bandwidth, round(avg(w), 6) AS avg_width, max(k) AS max_degree FROM (SELECT max(abs(src - dst)) AS b, max(dst) - min(dst) AS w, count(*) AS k FROM s GROUP BY src)"))
-def bandwidth(spark, sf_dir):
-    return stats.bandwidth(_q45(spark, sf_dir))
+def bandwidth(spark, sf_dir, least=45.0):
+    return stats.bandwidth(_orders(spark, sf_dir, least))
 
 
 @_query("leaf_count", _sql("SELECT count(*) AS leaves FROM (SELECT src FROM e GROUP BY src HAVING count(*) = 1 UNION SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)"))
-def leaf_count(spark, sf_dir):
-    return stats.leaf_count(_q45(spark, sf_dir))
+def leaf_count(spark, sf_dir, least=45.0):
+    return stats.leaf_count(_orders(spark, sf_dir, least))
 
 
 # --- relational and bitmap operators ---------------------------------------------------------------
@@ -436,9 +448,9 @@ def decoded_parts(spark, sf_dir):
 
 
 @_query("multiway_join", _sql("SELECT a, b, c FROM t", _TRIANGLES))
-def multiway_join(spark, sf_dir):
+def multiway_join(spark, sf_dir, least=45.0):
     """Triangles as the natural join of three renamings of the edges."""
-    e = written(order_graph(spark, sf_dir).edges, "edges")
+    e = written(order_graph(spark, sf_dir, least).edges, "edges")
     return relational.multiway_join([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")]).select("a", "b", "c")
 
 
@@ -466,6 +478,9 @@ for _name, _op, _word in (("set_intersect", relational.set_intersect, "INTERSECT
     _query(_name, f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")(
         lambda spark, sf_dir, op=_op: op(*(_read(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == f) & (F.col("l_quantity") > 40)).select(F.col("l_partkey").alias("id")) for f in "RA"))
     )
+    _query(f"{_name}_all", f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")(
+        lambda spark, sf_dir, op=_op: op(*(_flag_parts(spark, sf_dir, f) for f in "RA"))
+    )
 
 
 @_query("insert_absent", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag IN ('A', 'R')")
@@ -474,8 +489,8 @@ def insert_absent(spark, sf_dir):
 
 
 @_query("array_sets", _sql("""SELECT e.src, e.dst, cn::INTEGER AS common, (x.deg + y.deg - cn)::INTEGER AS either, (x.deg - cn)::INTEGER AS only_src FROM n JOIN e USING (src, dst) JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst"""))
-def array_sets(spark, sf_dir):
-    graph = _q45(spark, sf_dir)
+def array_sets(spark, sf_dir, least=45.0):
+    graph = _orders(spark, sf_dir, least)
     adj = graph.adjacency()
     rows = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
     ops = relational.array_sets(F.col("a"), F.col("b"))
@@ -485,7 +500,7 @@ def array_sets(spark, sf_dir):
 _BITS = "a AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'A')"
 
 
-def _bitmaps(spark, sf_dir):
+def _bitmaps(spark, sf_dir, least=45.0):
     lines = _read(spark, sf_dir, "lineitem")
     return [bitmap.pack(lines.where(F.col("l_returnflag") == f), "l_suppkey", "l_partkey") for f in "RA"]
 
@@ -524,25 +539,25 @@ def bitmap_jaccard(spark, sf_dir):
 
 
 @_query("neighbour_blocks", _sql("SELECT src AS id, dst // 64 AS block, count(*) AS bits FROM s GROUP BY ALL"))
-def neighbour_blocks(spark, sf_dir):
-    masks = counting.neighbour_blocks(order_graph(spark, sf_dir).symmetric())
+def neighbour_blocks(spark, sf_dir, least=45.0):
+    masks = counting.neighbour_blocks(order_graph(spark, sf_dir, least).symmetric())
     return masks.select("id", "block", F.bit_count("mask").cast("long").alias("bits"))
 
 
 @_query("top_degrees", _sql("SELECT id, deg FROM d ORDER BY deg DESC, id LIMIT 10"))
-def top_degrees(spark, sf_dir):
-    return _q45(spark, sf_dir).degrees().orderBy(F.desc("deg"), "id").limit(10)
+def top_degrees(spark, sf_dir, least=45.0):
+    return _orders(spark, sf_dir, least).degrees().orderBy(F.desc("deg"), "id").limit(10)
 
 
 @_query("asymmetric_rows", _sql("SELECT src, dst FROM e"))
-def asymmetric_rows(spark, sf_dir):
+def asymmetric_rows(spark, sf_dir, least=45.0):
     """Half an edge table has no reverse rows at all."""
     from knotwork.operators.graph import asymmetric_rows as rows
 
-    return rows(order_graph(spark, sf_dir).edges)
+    return rows(order_graph(spark, sf_dir, least).edges)
 
 
 @_query("neighbour_gaps", _sql("SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s"))
-def neighbour_gaps(spark, sf_dir):
+def neighbour_gaps(spark, sf_dir, least=45.0):
     w = Window.partitionBy("src").orderBy("dst")
-    return order_graph(spark, sf_dir).symmetric().select("src", "dst", (F.col("dst") - F.lag("dst").over(w)).alias("gap"))
+    return order_graph(spark, sf_dir, least).symmetric().select("src", "dst", (F.col("dst") - F.lag("dst").over(w)).alias("gap"))

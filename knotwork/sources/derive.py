@@ -14,9 +14,11 @@ def co_occurrence_pairs(rows: DataFrame, group: str, item: str) -> DataFrame:
     return own.select("g", F.col("i").alias("src")).join(own.select("g", F.col("i").alias("dst")), "g").where("src < dst").select("src", "dst").distinct()
 
 
-def order_graph(spark: SparkSession, sf_dir: str, least_quantity: float = 45.0) -> Graph:
-    """Parts that share an order, among lines of some quantity."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") >= least_quantity)
+def order_graph(spark: SparkSession, sf_dir: str, least_quantity: float | None = 45.0) -> Graph:
+    """Parts that share an order, among lines of some quantity (None: all lines)."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if least_quantity is not None:
+        lines = lines.where(F.col("l_quantity") >= least_quantity)
     return Graph.from_pairs(co_occurrence_pairs(lines, "l_orderkey", "l_partkey"))
 
 
