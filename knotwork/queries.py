@@ -235,6 +235,13 @@ def bfs_levels(spark, sf_dir):
     return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")), max_level=6)
 
 
+@_query("bfs_levels_all", _sql("SELECT id, level FROM walk", _BASE, "walk(id, level) USING KEY (id) AS (SELECT min(id), 0::BIGINT FROM d UNION SELECT s.dst, min(w.level) + 1 FROM walk w JOIN s ON s.src = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.id = s.dst) GROUP BY s.dst)", edges=_ALL_EDGES))
+def bfs_levels_all(spark, sf_dir):
+    """Over all lines, to the fixed point."""
+    graph = _orders(spark, sf_dir, None)
+    return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")))
+
+
 # --- cores and orders ------------------------------------------------------------------------------
 
 
@@ -523,6 +530,14 @@ def bitmap_complement(spark, sf_dir):
 ORACLE_SQL["bitmap_complement"] = f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, 150)) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)"
 
 
+@_query("bitmap_complement_all", f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, (SELECT max(l_partkey) + 1 FROM lineitem))) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)")
+def bitmap_complement_all(spark, sf_dir):
+    """Within the parts up to the largest that a line holds."""
+    lines = _read(spark, sf_dir, "lineitem")
+    most = lines.agg(F.max("l_partkey")).first()[0]
+    return bitmap.unpack(bitmap.complement(bitmap.pack(lines.where("l_returnflag = 'R'"), "l_suppkey", "l_partkey"), 0 if most is None else most + 1))
+
+
 @_query("bitmap_union_all", "SELECT DISTINCT l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'")
 def bitmap_union_all(spark, sf_dir):
     return bitmap.unpack(bitmap.union_all(_bitmaps(spark, sf_dir)[0]).withColumn("key", F.lit(0))).select("value")

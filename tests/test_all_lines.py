@@ -11,16 +11,19 @@ from knotwork.queries import QUERIES
 from tests.test_graph import neighbours, rows
 
 
+LINES = "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_suppkey long"
+
+
 @pytest.fixture(scope="module")
 def lines():
     rng = random.Random(6)
-    return [(order, rng.randrange(30) + 100 * (order % 2), float(rng.randrange(1, 51)), rng.choice("RAN")) for order in range(60) for _ in range(rng.randrange(1, 5))]
+    return [(order, rng.randrange(30) + 100 * (order % 2), float(rng.randrange(1, 51)), rng.choice("RAN"), order % 5) for order in range(60) for _ in range(rng.randrange(1, 5))]
 
 
 @pytest.fixture(scope="module")
 def folder(spark, lines, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("lines"))
-    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(lines, LINES).write.parquet(f"{path}/lineitem.parquet")
     return path
 
 
@@ -52,7 +55,7 @@ def test_components(spark, folder, nbrs):
 
 
 def test_sets(spark, folder, lines):
-    returned, accepted = ({p for _, p, _, f in lines if f == flag} for flag in "RA")
+    returned, accepted = ({p for _, p, _, f, _ in lines if f == flag} for flag in "RA")
     for name, expected in (("intersect", returned & accepted), ("union", returned | accepted), ("difference", returned - accepted)):
         assert rows(QUERIES[f"set_{name}_all"](spark, folder)) == sorted((x,) for x in expected)
 
@@ -60,3 +63,16 @@ def test_sets(spark, folder, lines):
 def test_each_query_of_the_order_graph_has_one_over_all_lines():
     for name in ("edges", "degrees", "scan_roles", "scan_summary", "two_core", "coreness", "order_degree", "order_slashburn", "multiway_join", "gap_entropy", "array_sets", "neighbour_gaps"):
         assert name in QUERIES and f"{name}_all" in QUERIES
+
+
+def test_bfs_levels_to_the_fixed_point(spark, tmp_path):
+    path = [(i, part, 1.0, "N", 1) for i in range(12) for part in (i, i + 1)]
+    spark.createDataFrame(path, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(QUERIES["bfs_levels_all"](spark, str(tmp_path))) == [(i, i) for i in range(13)]
+
+
+def test_bitmap_complement_of_all_parts(spark, tmp_path):
+    lines = [(1, 3, 1.0, "R", 7), (1, 190, 1.0, "R", 7), (2, 64, 1.0, "R", 8), (3, 321, 1.0, "A", 9)]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = set(map(tuple, QUERIES["bitmap_complement_all"](spark, str(tmp_path)).collect()))
+    assert found == {(7, v) for v in range(322) if v not in (3, 190)} | {(8, v) for v in range(322) if v != 64}
