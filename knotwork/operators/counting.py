@@ -37,6 +37,15 @@ def triangle_count(graph: Graph) -> DataFrame:
     return triangles(graph).agg(F.count("*").alias("triangles"))
 
 
+def triangle_count_of_classes(graph: Graph, classes: DataFrame) -> DataFrame:
+    """One row, ``triangles``, of the graph in which each vertex stands for ``members`` linked twins, by ``classes(id, members)``."""
+    size = lambda c: classes.select(F.col("id").alias(c), F.col("members").alias(f"n_{c}"))
+    within = classes.select(F.expr("members * (members - 1) div 2 * (members - 2) div 3").alias("k"))
+    pairs = graph.edges.join(size("src"), "src").join(size("dst"), "dst").select(F.expr("n_src * n_dst * (n_src + n_dst - 2) div 2").alias("k"))
+    across = triangles(graph).join(size("a"), "a").join(size("b"), "b").join(size("c"), "c").select(F.expr("n_a * n_b * n_c").alias("k"))
+    return within.unionByName(pairs).unionByName(across).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("triangles"))
+
+
 def _scatter(graph: Graph) -> DataFrame:
     pair = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
     hits = triangles(graph).select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("cn"))

@@ -1,7 +1,7 @@
 """Queries over the graph operators; ``QUERIES`` and ``ORACLE_SQL`` are by query name.
 
 The graphs are parts sharing an order among lines of 45 pieces or more (``q45``), and documents sharing a line (``docs``).
-``NAME_all`` is the query NAME over all lines.
+``NAME_all`` is the query NAME over all lines: of orders whatever the quantity, of documents all that are not empty.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph
 from knotwork.operators.kcore import coreness, k_core
 from knotwork.plans.materialize import written
-from knotwork.sources.derive import line_graph, order_graph
+from knotwork.sources.derive import line_classes, line_graph, order_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,7 @@ _ALL_EDGES = _EDGES.replace(" WHERE l_quantity >= 45", "")
 _DOC_EDGES = r"""l AS (SELECT DISTINCT doc_id AS i, line AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),
 k AS (SELECT g FROM l GROUP BY g HAVING count(*) BETWEEN 2 AND 200),
 e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM k))"""
+_ALL_DOC_EDGES = _DOC_EDGES.replace("length(line) >= 20", "length(line) >= 1").replace("HAVING count(*) BETWEEN 2 AND 200", "HAVING count(*) >= 2")
 _BASE = """s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src),
 n AS (SELECT e.src, e.dst, count(b.src) AS cn FROM e LEFT JOIN s a ON a.src = e.src LEFT JOIN s b ON b.src = e.dst AND b.dst = a.dst GROUP BY e.src, e.dst)"""
@@ -71,6 +72,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_pairs(edges)
 
 
+def _all_docs(spark: SparkSession, sf_dir: str) -> Graph:
+    edges = written(line_graph(spark, sf_dir, least_chars=1, most_docs=None).edges, "docs")
+    return Graph.from_pairs(edges)
+
+
 @_query("edges", _sql("SELECT src, dst FROM e", _BASE))
 def edges(spark, sf_dir, least=45.0):
     return order_graph(spark, sf_dir, least).edges
@@ -122,6 +128,11 @@ def common_neighbors_docs(spark, sf_dir):
     return counting.common_neighbors(_docs(spark, sf_dir))
 
 
+@_query("common_neighbors_docs_all", _sql("SELECT src, dst, cn FROM n", edges=_ALL_DOC_EDGES))
+def common_neighbors_docs_all(spark, sf_dir):
+    return counting.common_neighbors(_all_docs(spark, sf_dir))
+
+
 @_query("common_neighbors_mirrored", _sql("SELECT src, dst, cn FROM n UNION ALL SELECT dst, src, cn FROM n"))
 def common_neighbors_mirrored(spark, sf_dir, least=45.0):
     cn = counting.common_neighbors(_orders(spark, sf_dir, least))
@@ -143,6 +154,11 @@ def triangle_count_docs(spark, sf_dir):
     return counting.triangle_count(_docs(spark, sf_dir))
 
 
+@_query("triangle_count_docs_all", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES, edges=_ALL_DOC_EDGES))
+def triangle_count_docs_all(spark, sf_dir):
+    return counting.triangle_count_of_classes(*line_classes(spark, sf_dir, least_chars=1))
+
+
 @_query("cliques4", _sql("SELECT t.a, t.b, t.c, x.dst AS d FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
 def cliques4(spark, sf_dir, least=45.0):
     return counting.cliques4(_orders(spark, sf_dir, least))
@@ -221,6 +237,11 @@ def scan_summary_docs(spark, sf_dir):
     return scan.cluster(_docs(spark, sf_dir), 0.6, 2).summary()
 
 
+@_query("scan_summary_docs_all", _sql(_SUMMARY, *_scan_parts(0.6, 2), edges=_ALL_DOC_EDGES))
+def scan_summary_docs_all(spark, sf_dir):
+    return scan.cluster(_all_docs(spark, sf_dir), 0.6, 2).summary()
+
+
 _REACH = "reach(id, r) AS (SELECT id, id FROM d UNION SELECT s.dst, reach.r FROM reach JOIN s ON s.src = reach.id)"
 
 
@@ -372,6 +393,11 @@ def dense_vertices(spark, sf_dir):
     return stats.dense_vertices(_docs(spark, sf_dir))
 
 
+@_query("dense_vertices_all", ORACLE_SQL["dense_vertices"].replace(_DOC_EDGES, _ALL_DOC_EDGES))
+def dense_vertices_all(spark, sf_dir):
+    return stats.dense_vertices(_all_docs(spark, sf_dir))
+
+
 @_query("balanced_ranges", _sql("SELECT part, min(id) AS first_id, max(id) AS last_id, sum(deg + 2)::BIGINT AS weight FROM (SELECT id, deg, ((sum(deg + 2) OVER (ORDER BY id) - deg - 2) * 8 // sum(deg + 2) OVER ())::BIGINT AS part FROM d) GROUP BY part"))
 def balanced_ranges(spark, sf_dir, least=45.0):
     return stats.balanced_ranges(_orders(spark, sf_dir, least), 8)
@@ -397,6 +423,11 @@ def degree_decades(spark, sf_dir):
     return stats.degree_decades(_docs(spark, sf_dir))
 
 
+@_query("degree_decades_all", _sql("SELECT CASE WHEN deg <= 1 THEN 0 ELSE length((deg - 1)::VARCHAR) END::BIGINT AS decade, count(*) AS vertices FROM d GROUP BY 1", _BASE, edges=_ALL_DOC_EDGES))
+def degree_decades_all(spark, sf_dir):
+    return stats.degree_decades(_all_docs(spark, sf_dir))
+
+
 @_query("gap_entropy", _sql("SELECT round(-sum(k / n * log2(k / n)), 6) AS entropy, round(sum(k * log2(gap)) / max(n), 6) AS avg_log_gap FROM (SELECT gap, count(*) AS k, sum(count(*)) OVER () AS n FROM (SELECT dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s) WHERE gap IS NOT NULL GROUP BY gap)"))
 def gap_entropy(spark, sf_dir, least=45.0):
     return stats.gap_entropy(_orders(spark, sf_dir, least))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators.graph import Graph
+from knotwork.plans.materialize import written
 
 
 def co_occurrence_pairs(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -22,13 +23,32 @@ def order_graph(spark: SparkSession, sf_dir: str, least_quantity: float | None =
     return Graph.from_pairs(co_occurrence_pairs(lines, "l_orderkey", "l_partkey"))
 
 
-def line_graph(spark: SparkSession, sf_dir: str, least_chars: int = 20, most_docs: int = 200) -> Graph:
-    """Documents that share an identical line, among lines in 2 to ``most_docs`` documents."""
+def shared_lines(spark: SparkSession, sf_dir: str, least_chars: int = 20, most_docs: int | None = 200) -> DataFrame:
+    """``(line, doc_id)``, distinct: lines by digest that 2 to ``most_docs`` documents hold (None: 2 or more)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= least_chars)
     keyed = lines.select("doc_id", F.md5("line").alias("line")).distinct()
-    some = keyed.groupBy("line").agg(F.count("*").alias("k")).where(F.col("k").between(2, most_docs)).select("line")
-    return Graph.from_pairs(co_occurrence_pairs(keyed.join(some, "line"), "line", "doc_id"))
+    enough = F.col("k") >= 2 if most_docs is None else F.col("k").between(2, most_docs)
+    some = keyed.groupBy("line").agg(F.count("*").alias("k")).where(enough).select("line")
+    return keyed.join(some, "line")
+
+
+def line_graph(spark: SparkSession, sf_dir: str, least_chars: int = 20, most_docs: int | None = 200) -> Graph:
+    """Documents that share an identical line, among lines in 2 to ``most_docs`` documents (None: 2 or more)."""
+    return Graph.from_pairs(co_occurrence_pairs(shared_lines(spark, sf_dir, least_chars, most_docs), "line", "doc_id"))
+
+
+def line_classes(spark: SparkSession, sf_dir: str, least_chars: int = 20) -> tuple[Graph, DataFrame]:
+    """The line graph by classes of documents with equal shared lines, and ``(id, members)`` of each class.
+
+    A class is named by its smallest document. Documents of one class are all linked, and to the same others, so a
+    line in thousands of like documents is one vertex here.
+    """
+    held = written(shared_lines(spark, sf_dir, least_chars, None), "lines")
+    sets = held.groupBy("doc_id").agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list("line")))).alias("lines"))
+    classes = written(sets.groupBy("lines").agg(F.min("doc_id").cast("long").alias("id"), F.count("*").alias("members")).select("id", "members"), "classes")
+    pairs = co_occurrence_pairs(held.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "line", "doc_id")
+    return Graph(written(pairs, "class-edges"), classes.select("id")), classes
 
 
 def rmat_graph(spark: SparkSession, scale: int, edges: int, seed: int = 0, a: float = 0.57, b: float = 0.19, c: float = 0.19) -> Graph:

@@ -76,3 +76,18 @@ def test_bitmap_complement_of_all_parts(spark, tmp_path):
     spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = set(map(tuple, QUERIES["bitmap_complement_all"](spark, str(tmp_path)).collect()))
     assert found == {(7, v) for v in range(322) if v not in (3, 190)} | {(8, v) for v in range(322) if v != 64}
+
+
+def test_lines_of_many_documents_and_short_lines(spark, tmp_path):
+    """A line of 250 documents, a short one of two, and groups of copies."""
+    texts = [f"the line that all of them hold\nonly here {i}" for i in range(240)] + ["the line that all of them hold\nand another that ten hold"] * 10
+    texts += ["and another that ten hold", "short", "short\nelse", "alone", "", "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [set(t.split("\n")) - {""} for t in texts]
+    nbrs = neighbours([(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if lines[a] & lines[b]])
+    edges = [(a, b, len(nbrs[a] & nbrs[b])) for a in sorted(nbrs) for b in sorted(nbrs[a]) if a < b]
+    assert len(edges) == 250 * 249 // 2 + 10 + 1
+    assert rows(QUERIES["common_neighbors_docs_all"](spark, str(tmp_path))) == edges
+    assert QUERIES["triangle_count_docs_all"](spark, str(tmp_path)).first()[0] * 3 == sum(cn for _, _, cn in edges)
+    assert rows(QUERIES["degree_decades_all"](spark, str(tmp_path))) == [(0, 2), (1, 1), (3, 250)]
+    assert QUERIES["dense_vertices_all"](spark, str(tmp_path)).count() == 250
