@@ -1,7 +1,7 @@
 """Language identification of spans: scripts narrow the languages, Viterbi over word scores labels the words.
 
 Each word gets the summed log share of its byte trigrams in every language, learned from all labelled training
-texts. The script of its letters (by UTF-8 lead byte) rules out languages that in training hardly use
+texts. The script of its letters (by UTF-8 lead byte, or by code point where that is not enough) rules out languages that in training hardly use
 that script. A Viterbi pass over a text's words then picks the best sequence of languages, where every
 change costs ``switch_penalty``; runs of one language are the spans. A text's language is the one that
 labels most of its words with letters, and its score that share. Texts of a block advance together, a word at a step.
@@ -25,16 +25,42 @@ from knotwork.llm.textblocks import Words, text_blocks
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-#: Script classes by UTF-8 lead byte (fixed values): 0 no letter, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew,
+#: Script classes by UTF-8 lead byte or code point (fixed values): 0 no letter, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew,
 #: 5 Arabic, 6 South and South-East Asian, 7 kana, 8 Han, 9 Hangul, 10 others.
 _SCRIPT = np.zeros(256, dtype=np.int8)
 for _first, _last, _class in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xC9, 1), (0xCE, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDB, 5), (0xE0, 0xE1, 6), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 10)):
     _SCRIPT[_first : _last + 1] = _class
+#: Lead bytes of letters and other characters, or of letters of several scripts: there the code point decides. Modifier
+#: letters count as Latin, the least class, so they leave the class of the word they stand in.
+_BY_POINT = np.zeros(256, dtype=bool)
+_BY_POINT[[0xC2, 0xCA, 0xCB, 0xCD, 0xDC, 0xDD, 0xDE, 0xDF, 0xE2, 0xEF]] = True
+_BLOCKS = (
+    (0x0080, 0x00BF, 1), (0x0280, 0x02FF, 1), (0x0340, 0x037F, 2), (0x0700, 0x074F, 10), (0x0750, 0x077F, 5), (0x0780, 0x07FF, 10), (0x2000, 0x2BFF, 1),
+    (0x2C00, 0x2C5F, 10), (0x2C60, 0x2C7F, 1), (0x2C80, 0x2DDF, 10), (0x2DE0, 0x2DFF, 3), (0x2E00, 0x2FFF, 10), (0xF000, 0xFAFF, 8), (0xFB00, 0xFB06, 1),
+    (0xFB07, 0xFB4F, 4), (0xFB50, 0xFEFF, 5), (0xFF00, 0xFF5F, 1), (0xFF60, 0xFF9F, 7), (0xFFA0, 0xFFFF, 9),
+)
+_POINT_SCRIPT = np.zeros(1 << 16, dtype=np.int8)
+for _first, _last, _class in _BLOCKS:
+    for _point in range(_first, _last + 1):
+        _POINT_SCRIPT[_point] = _class if _LETTER.match(chr(_point)) else 0
 SCRIPTS = 11
 _BLOCK = 3 << 20
 _RULED_OUT = np.float32(-1e4)
 
 
+def word_scripts(words: Words) -> np.ndarray:
+    """Each word's script: the largest class among its letters."""
+    if not len(words.start):
+        return np.empty(0, np.int8)
+    kind = _SCRIPT[words.data]
+    at = np.flatnonzero(_BY_POINT[words.data])
+    if len(at):
+        lead, second, third = (words.data[np.minimum(at + i, len(words.data) - 1)].astype(np.int32) & 0x3F for i in range(3))
+        long = words.data[at] >= 0xE0
+        kind[at] = _POINT_SCRIPT[np.where(long, (lead & 0xF) << 12 | second << 6 | third, (lead & 0x1F) << 6 | second)]
+    return np.maximum.reduceat(kind, words.start)
+
+
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, switch_penalty: float):
         self.languages, self.shares, self.switch = languages, log_shares(counts[:, :]), np.float32(switch_penalty)
@@ -50,7 +76,7 @@ class Model:
 
     def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word, language) scores, and each word's script."""
-        script = np.maximum.reduceat(_SCRIPT[words.data], words.start) if len(words.start) else np.empty(0, np.int8)
+        script = word_scripts(words)
         bucket = trigrams(words)
         scores = np.empty((len(words.start), len(self.languages)), dtype=np.float32)
         for i, shares in enumerate(self.shares):
@@ -112,7 +138,7 @@ def learn(training: DataFrame, lang_col: str = "lang", text_col: str = "text", s
             for a, b, raw in text_blocks(batch.column(1)):
                 words = Words([t.lower().encode("utf-8", "surrogatepass") for t in raw])
                 if len(words.start):
-                    script = np.maximum.reduceat(_SCRIPT[words.data], words.start)
+                    script = word_scripts(words)
                     np.add.at(total, (np.repeat(kind[a:b], words.count), script), 1)
         at = np.argwhere(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[tuple(at.T)])], ["class", "script", "words"])
