@@ -92,9 +92,12 @@ def _match(window: int):
             group = np.concatenate(([0], np.cumsum((np.diff(anchor) != 0) | (np.diff(salt) != 0))))
             keep = (np.bincount(group)[group] > 1) | salted
             rows = np.flatnonzero(keep)
-            for part in np.array_split(rows, max(1, len(np.unique(group[rows])) // 60_000 + 1)) if len(rows) > 60_000 else [rows]:
-                if len(part):
-                    yield from _match_rows(window, table.column("windows").take(pa.array(part)).combine_chunks(), group[part] - group[part[0]], anchor[part], doc[part], key[part], start[part], salted[part])
+            own = group[rows]
+            number = np.cumsum(np.diff(own, prepend=own[:1]) != 0)
+            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(number // 60_000)) + 1):  # cut only between groups
+                if len(at):
+                    part = rows[at]
+                    yield from _match_rows(window, table.column("windows").take(pa.array(part)).combine_chunks(), number[at] - number[at[0]], anchor[part], doc[part], key[part], start[part], salted[part])
 
     return of
 
