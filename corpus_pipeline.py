@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import language_id
 from knotwork.llm.fair_mix import fair_mix, mixed_rows
-from knotwork.llm.jaccard_join import similarity_components
+from knotwork.llm.jaccard_join import similarity_groups
 from knotwork.llm.queries import held_out_rows, token_digests, tokenizer
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 from knotwork.plans.materialize import written
@@ -25,10 +25,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays; documents without words or id stay."""
-    groups = similarity_components(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked rows the one of smallest id stays; rows without words or id stay.
+
+    Ids may repeat: rows are told apart by id and text. Of texts of one id in a group the one of smallest hash stays, and
+    of rows with equal id and text the smallest by all columns.
+    """
+    row, key = F.struct("doc_id", "text_key"), F.xxhash64("text")
+    groups = similarity_groups(docs).where("label is not null and doc_id is not null").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("k"))
+    first = groups.groupBy("label").agg(F.min(row).alias("first"))
+    marked = groups.join(first, "label").withColumn("gone", row != F.col("first")).where("gone or k > 1").select("doc_id", F.col("text_key").alias("__key"), "gone")
+    marked = written(marked, "near-duplicates")
+    keyed = docs.withColumn("__key", key)
+    single = keyed.join(marked, ["doc_id", "__key"], "left_anti").select(docs.columns)
+    several = keyed.join(marked.where("not gone"), ["doc_id", "__key"], "left_semi")
+    return single.unionByName(several.groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

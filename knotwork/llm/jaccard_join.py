@@ -239,6 +239,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Links are pairs with ``100 * intersection >= percent * union``. Tokens that counters put at over
     ``hot_rows`` holders are salted.
     """
+    labelled = similarity_groups(docs, id_col, text_col, size, percent, hot_rows)
+    named = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    return labelled.join(named, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, hot_rows: int = 20_000) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key (``xxhash64`` of the text), n_shingles, and the label of its group (null without shingles)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     first_pass = written(source.mapInArrow(_sets(size), _SETS), "sets")
@@ -264,10 +271,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if not rest.isEmpty():
         parts = connected_components(links.unionByName(_verified(source, rest, reps, size, percent)), "a", "b")
 
-    labelled = sets.join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")).alias("label"))
-    labelled = written(labelled, "labels")
-    named = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(named, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    labelled = sets.join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")).alias("label"))
+    return written(labelled, "labels")
 
 
 def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
