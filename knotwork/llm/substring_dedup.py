@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index spread over the cluster.
+"""Substring dedup by looking up the hash of every window of words in an index spread over the cluster.
 
-Every document is factored greedily against all indexed reference text. The index is keyed by
+There is no greedy factor parse, and no words are compared: results are exact up to hash collisions. The index is keyed by
 *anchors*: of each window of ``window`` consecutive words, the smallest hash among its short word
 sequences (leftmost on ties). Equal windows have equal anchors, and consecutive windows mostly share
 one, so a run of windows travels as one row: anchor, document, first word, and six hash bytes for
 each window. All rows of an anchor form one reference block. Within it, a document's windows are
-matched against the smaller documents'; the longest stretches of matching windows are the factors,
-and a factor counts from ``window`` words on, tested at its borders window by window. Covered words
-are removed.
+looked up by their hashes among the smaller documents'; the longest stretches of hits are the spans.
+Covered words are removed.
 
 Skew: anchors with many rows are split by document into salted blocks. A block settles what repeats
 within it and passes on the first place of each of its distinct windows only; these meet once more
@@ -83,7 +82,7 @@ def _runs(window: int, gram: int, anchors_only: bool):
 
 
 def _match(window: int):
-    """In each reference block: factors of at least ``window`` words that a smaller id holds too."""
+    """In each reference block: spans of at least ``window`` words that a smaller id holds too."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["anchor", "salt"]):
