@@ -3,7 +3,8 @@
 A document's set holds the hashes of its distinct shingles (words lower-cased in A-Z). Two sets of
 similarity ``t`` or more share a token among the first ``n - ceil(t n) + 1`` of each, *whatever* the
 order of tokens. So one order indexes these prefixes, and pairs that meet there must also share a
-prefix token under each of the other orders before their full sets are compared. The first order puts
+prefix token under each of the other orders before their full sets are compared. The other orders prune no
+candidate before its texts are read: they act where both full sets are at hand. The first order puts
 tokens last that many documents hold, going by counters over all documents (a fixed number of
 counters, which collide harmlessly: any order gives the same links); within a level, and in the other
 orders, tokens are ordered by different hashes.
@@ -13,7 +14,8 @@ compared with ``CENTRES`` of them only; the links found are contracted to compon
 of a token's documents remain that still lie in different components. Of these, most fall to a bound from
 bitmaps: every set folds its tokens into 512 bits by parity, and as many bits as differ between two
 bitmaps, so many tokens at least are in one set only. All others are compared, so the components are those of
-all links. The number of links of single documents is never needed for that.
+all links. Links inside a component are not all looked for: neither pairs nor each document's number of links can be had
+from the results.
 
 Skew: equal sets are dropped within each partition before the shuffle; tokens with many holders are
 salted, by the same counters. Texts meet in joins that Spark can split.
