@@ -5,7 +5,9 @@ vocabulary (built once on the driver, of the vocabulary's size, and broadcast) r
 itself a token. Tier two: any other pre-token is merged bottom-up; its parts form a linked list of bytes,
 and a heap holds the rank of every mergeable neighbour pair, lowest rank and leftmost first. Results of
 pre-tokens, and of the pieces between lone spaces, are remembered per worker in tables of bounded size (the older
-half goes when they are full), so memory stays bounded and results do not depend on it. Pieces need a pattern none of whose
+half goes when they are full), so memory stays bounded and results do not depend on it. Texts are taken from a batch about a megabyte
+at a time, and their ids and bytes leave as Arrow buffers; a text that cannot be split into pre-tokens (one very long word) holds about
+160 bytes for each of its bytes while it is merged. Pieces need a pattern none of whose
 matches runs over a lone space but with that space as its first character; GPT-2's family is like that. Work is a single scan without shuffles; a lost task is simply run again.
 
 Token ids are stored as little-endian unsigned 32-bit integers in one binary value.
@@ -17,16 +19,18 @@ named like a result (``n_tokens``, ``token_ids``, ``decoded``) are replaced; oth
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm.textblocks import text_blocks
+
 REMEMBERED = 200_000
 NOTHING: dict[int, int] = {}
 
@@ -224,9 +228,15 @@ def _encoder(model) -> Encoder:
     return _encoders[model.value["uid"]]
 
 
-def _decoded(ids: Iterable[bytes | None], tokens: list[bytes]) -> list[bytes]:
-    part = tokens.__getitem__
-    return [b"".join(map(part, np.frombuffer(x, dtype="<u4").tolist())) if x else b"" for x in ids]
+def _binary(values: list[bytes]) -> pa.Array:
+    """Values laid end to end, without a Python object for each in what leaves the worker."""
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(values))])
+
+
+def _decoded(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 class Tokenizer:
@@ -239,35 +249,36 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with ``n_tokens`` and ``token_ids``."""
+        return self._encoded(docs, text_col, decode=False)
+
+    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``decode(encode(docs))`` in one pass."""
+        return self._encoded(docs, text_col, decode=True)
+
+    def _encoded(self, docs: DataFrame, text_col: str, decode: bool) -> DataFrame:
         model = self.model
+        results = ["token_ids", "n_tokens", *(["decoded"] if decode else [])]
+        own = docs.drop(*results)
+        at = own.columns.index(text_col)
 
-        def ids(texts: pd.Series) -> pd.Series:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = _encoder(model).encode
-            return pd.Series([encode(t) if t else b"" for t in texts], dtype=object)
+            for batch in batches:
+                for begin, end, texts in text_blocks(batch.column(at)):
+                    ids = [encode(t) if t else b"" for t in texts]
+                    found = [_binary(ids), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                    if decode:
+                        found.append(_binary([_decoded(x, model.value["tokens"]) for x in ids]))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, *found], names=[*batch.schema.names, *results])
 
-        own = docs.drop("n_tokens", "token_ids")
-        out = own.withColumn("token_ids", F.pandas_udf(ids, "binary")(F.col(text_col)))
-        return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+        schema = own.withColumn(text_col, F.col(text_col).cast("string")).schema.add("token_ids", "binary").add("n_tokens", "long")
+        return own.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(of, schema.add("decoded", "binary") if decode else schema)
 
     def decode(self, encoded: DataFrame, ids_col: str = "token_ids") -> DataFrame:
         """``encoded`` with ``decoded``, the bytes of its token ids."""
         model = self.model
 
-        def text(ids: pd.Series) -> pd.Series:
-            return pd.Series(_decoded(ids, model.value["tokens"]), dtype=object)
-
-        return encoded.drop("decoded").withColumn("decoded", F.pandas_udf(text, "binary")(F.col(ids_col)))
-
-    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``decode(encode(docs))`` by one function: chained, Spark would encode once for the ids and again for decoding."""
-        model = self.model
-
-        def both(texts: pd.Series) -> pd.DataFrame:
-            encode = _encoder(model).encode
-            ids = [encode(t) if t else b"" for t in texts]
-            return pd.DataFrame({"token_ids": ids, "decoded": _decoded(ids, model.value["tokens"])}, dtype=object)
+        def texts(column: pa.Array) -> pa.Array:
+            return pa.array([_decoded(x, model.value["tokens"]) if x else b"" for x in column.to_pylist()], pa.binary())
 
-        own = docs.drop("n_tokens", "token_ids", "decoded")
-        out = own.withColumn("__bpe", F.pandas_udf(both, "token_ids binary, decoded binary")(F.col(text_col)))
-        n_tokens = (F.octet_length("__bpe.token_ids") / 4).cast("long").alias("n_tokens")
-        return out.select(*own.columns, F.col("__bpe.token_ids").alias("token_ids"), n_tokens, F.col("__bpe.decoded").alias("decoded"))
+        return encoded.drop("decoded").withColumn("decoded", F.arrow_udf(texts, "binary")(F.col(ids_col)))
