@@ -65,8 +65,8 @@ class Words:
     """The words of consecutive texts: byte bounds, hashes, and each text's range of words."""
 
     def __init__(self, texts: list[bytes | None], lower: bool = False):
-        joined = b" ".join(t or b"" for t in texts)
-        data = np.frombuffer(joined, dtype=np.uint8)
+        self.joined = b" ".join(t or b"" for t in texts)
+        data = np.frombuffer(self.joined, dtype=np.uint8)
         if lower:
             data = _LOWER[data]
         self.data = data

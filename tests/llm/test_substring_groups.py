@@ -1,18 +1,57 @@
-"""Matching of anchor groups in large Arrow batches."""
+"""Matching of anchor groups in large Arrow batches, and the factors themselves."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from knotwork.llm import substring_dedup
+from tests.llm import plain
 
 
 def test_groups_on_a_cut_are_matched_whole():
-    groups = 60_002
+    groups = 9_000
     n = 2 * groups
     anchor = np.repeat(np.arange(groups), 2)
-    windows = pa.array([b"x" * substring_dedup.HASH_BYTES] * n, pa.binary())
-    columns = {"anchor": pa.array(anchor), "salt": pa.array(np.zeros(n, np.int32)), "salted": pa.array(np.zeros(n, bool)), "doc_id": pa.array(np.arange(n) % 2), "text_key": pa.array(np.zeros(n, np.int64)), "start": pa.array(anchor.astype(np.int32)), "windows": windows}
+    words = pa.array([b" ".join([b"w%d" % (i // 2)] * 50) for i in range(n)], pa.binary())
+    columns = {"anchor": pa.array(anchor), "salt": pa.array(np.zeros(n, np.int32)), "salted": pa.array(np.zeros(n, bool)), "doc_id": pa.array(np.arange(n) % 2), "text_key": pa.array(np.zeros(n, np.int64)), "start": pa.array(anchor.astype(np.int32)), "words": words}
     found = [r for batch in substring_dedup._match(50)(iter([pa.record_batch(columns)])) for r in batch.to_pylist()]
-    assert sorted(r["start"] for r in found) == list(range(groups)) and {r["doc_id"] for r in found} == {1}
+    assert sorted(r["start"] for r in found) == list(range(groups)) and {(r["doc_id"], r["ref_id"]) for r in found} == {(1, 0)}
+
+
+def block(texts, window):
+    n = len(texts)
+    return substring_dedup.Block(window, np.zeros(n, np.int64), np.arange(n), [" ".join(t).encode() for t in texts])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_cover_what_repeats_and_are_as_long_as_their_reference_allows(seed):
+    rng = random.Random(seed)
+    texts = [[rng.choice("ab") for _ in range(rng.randrange(6, 60))] for _ in range(12)]
+    found = block(texts, 6)
+    factors = list(zip(*(x.tolist() for x in found.factors()), strict=True))
+    covered = [[False] * len(t) for t in texts]
+    for row, at, length, ref, ref_at in factors:
+        assert ref < row and texts[row][at : at + length] == texts[ref][ref_at : ref_at + length]
+        ends = at + length == len(texts[row]) or ref_at + length == len(texts[ref])
+        assert ends or texts[row][at + length] != texts[ref][ref_at + length]
+        covered[row][at : at + length] = [True] * length
+    expected = plain.dedup([(i, " ".join(t)) for i, t in enumerate(texts)], window=6)
+    assert [(i, sum(c)) for i, c in enumerate(covered)] == [(i, gone) for i, _, gone, _ in expected]
+    assert found.confirmed(*found.factors())
+
+
+def test_equal_hashes_of_different_windows_are_found_out(monkeypatch):
+    """All window hashes agree: the words decide."""
+    texts = [["a", "b", "c"], ["x", "y", "z"], ["a", "b", "c"], ["p", "x", "y", "z"]]
+    true = substring_dedup.Prefix.runs
+    monkeypatch.setattr(substring_dedup.Prefix, "runs", lambda self, a, b: np.where(b - a == 3, np.uint64(7), true(self, a, b)))
+    found = block(texts, 3)
+    assert not found.confirmed(*found.factors())
+    found.name_windows_by_words()
+    factors = found.factors()
+    assert found.confirmed(*factors)
+    assert sorted(zip(*(x.tolist() for x in factors), strict=True)) == [(2, 0, 3, 0, 0), (3, 1, 3, 1, 0)]
