@@ -2,23 +2,24 @@
 
 A document's set holds the hashes of its distinct shingles (words lower-cased in A-Z). Two sets of
 similarity ``t`` or more share a token among the first ``n - ceil(t n) + 1`` of each, *whatever* the
-order of tokens. So one order indexes these prefixes, and pairs that meet there must also share a
-prefix token under each of the other orders before their full sets are compared. The other orders prune no
-candidate before its texts are read: they act where both full sets are at hand. The first order puts
+order of tokens. So every set's prefixes under all orders are written once, by set. The first order is an index: sets that meet at a
+token are candidates. The other orders' prefixes are then looked up by set, and only candidates that share a prefix token under each of them
+too are left: the filters are intersected on keys and prefixes, before any text of a candidate is read. The first order puts
 tokens last that many documents hold, going by counters over all documents (a fixed number of
 counters, which collide harmlessly: any order gives the same links); within a level, and in the other
-orders, tokens are ordered by different hashes.
+orders, tokens are ordered by different hashes. Prefixes of the other orders are kept as 32-bit values, so now and then a candidate passes by chance.
 
 Groups of copies cost few pairs. Equal sets are one class. Each token's documents are first
 compared with ``CENTRES`` of them only; the links found are contracted to components; then just those pairs
-of a token's documents remain that still lie in different components. Of these, most fall to a bound from
+of a token's documents remain that still lie in different components. Before the prefixes, most fall to a bound from
 bitmaps: every set folds its tokens into 512 bits by parity, and as many bits as differ between two
-bitmaps, so many tokens at least are in one set only. All others are compared, so the components are those of
+bitmaps, so many tokens at least are in one set only. What is left is compared exactly, so the components are those of
 all links. Links inside a component are not all looked for: neither pairs nor each document's number of links can be had
 from the results.
 
 Skew: equal sets are dropped within each partition before the shuffle; tokens with many holders are
-salted, by the same counters. Texts meet in joins that Spark can split.
+salted, by the same counters; where many components meet at a token, their sets are dealt to a grid of cells of bounded size. For the exact
+comparison a set's text travels once to each block of its candidates, not once for each pair.
 
 Defined results: null text, or one without words: empty set, component is its own id; fewer words than
 ``size``: the sequence is its only shingle; a null id links nothing and has a null component; rows
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.textblocks import Prefix, Words, blocks, changes, mix, text_blocks, utf8, whole_groups
+from knotwork.llm.textblocks import Prefix, Words, changes, mix, text_blocks, utf8, whole_groups
 from knotwork.operators.components import connected_components
 from knotwork.plans.materialize import written
 
@@ -44,7 +45,8 @@ SLICES = 64
 CENTRES = 8
 BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
-_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, slice int, counters binary"
+CELL = 1_024
+_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<int>, third array<int>, slice int, counters binary"
 _PREFIX = "token long, salt int, set_key long, n int, pos int"
 _MET = "token long, set_key long, n int, pos int, a long, b long"
 
@@ -84,35 +86,52 @@ def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(size: int):
-    """Each document's set key, size and bitmap, and at the end the partition's token counters."""
-    kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64())), ("slice", pa.int32()), ("counters", pa.binary())]
+def order_prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under the order that ``seed`` gives, as 32-bit values."""
+    order = mix(tokens ^ np.uint64(seed))
+    length = prefix_length(len(tokens), percent)
+    first = order if length == len(order) else np.partition(order, length - 1)[:length]
+    return first.astype(np.uint32).view(np.int32)
+
+
+def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    sizes = [0 if v is None else len(v) for v in values]
+    flat = np.concatenate([np.empty(0, kind.to_pandas_dtype()), *(v for v in values if v is not None)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, kind), mask=pa.array([v is None for v in values]))
+
+
+def _sets(size: int, percent: int):
+    """Each document's set key, size and bitmap, a new set's prefixes, and at the end the partition's token counters."""
+    lists = [("bits", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))]
+    kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), *lists, ("slice", pa.int32()), ("counters", pa.binary())]
     schema = pa.schema(kinds)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = np.zeros(1 << COUNTER_BITS, dtype=np.int64), set()
         for batch in batches:
-            keys, sizes, bitmaps = [], [], []
-            for _, _, texts in text_blocks(batch.column(2)):
-                fresh = []
+            for begin, end, texts in text_blocks(batch.column(2)):
+                keys, sizes, fresh = [], [], []
+                bitmaps: list[np.ndarray | None] = []
+                prefixes: list[list[np.ndarray | None]] = [[], []]
                 for tokens in shingle_sets(utf8(texts), size):
                     key = set_key(tokens) if len(tokens) else 0
+                    new = key != 0 and key not in seen
                     keys.append(key)
                     sizes.append(len(tokens))
-                    bitmaps.append(parity_bitmap(tokens))
-                    if key not in seen:
+                    bitmaps.append(parity_bitmap(tokens) if new else None)
+                    for own, seed in zip(prefixes, _SEEDS[1:], strict=True):
+                        own.append(order_prefix(tokens, seed, percent) if new else None)
+                    if new:
                         seen.add(key)
                         fresh.append(tokens)
                 if fresh:
                     np.add.at(counters, (np.concatenate(fresh) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-            n = batch.num_rows
-            if not n:
-                continue
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP_LONGS), pa.array(np.concatenate(bitmaps)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                own_rows = batch.slice(begin, end - begin)
+                lists = [_lists(bitmaps, pa.int64()), *(_lists(p, pa.int32()) for p in prefixes)]
+                yield pa.RecordBatch.from_arrays([own_rows.column(0), own_rows.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *lists, pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())], schema=schema)
         if counters.any():
             cut = np.minimum(counters, (1 << 16) - 1).astype(np.uint16).reshape(SLICES, -1)
-            none = [pa.nulls(SLICES, kind) for _, kind in kinds[:5]]
+            none = [pa.nulls(SLICES, kind) for _, kind in kinds[:7]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], schema=schema)
 
     return of
@@ -194,34 +213,22 @@ def _met(percent: int):
 
 
 def _similar(size: int, percent: int):
-    """Of candidate pairs with their texts: those that share prefixes under every order, and whose sets are similar."""
+    """Rows sorted by (a, part), where b is null for the text of ``a`` itself: the pairs whose sets are similar."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, centre_set = None, None
         for batch in batches:
-            a_key, b_key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts: dict[int, str] = {}
-            for keys, column in ((a_key, 2), (b_key, 3)):
-                rows = {k: i for i, k in enumerate(keys) if k not in texts}
-                texts |= dict(zip(rows, batch.column(column).take(pa.array(list(rows.values()), pa.int64())).to_pylist(), strict=True))
-            keys, raw = list(texts), utf8(list(texts.values()))
-            sets: dict[int, np.ndarray] = {}
-            for a, b in blocks(raw):
-                sets |= dict(zip(keys[a:b], shingle_sets(raw[a:b], size), strict=True))
-            prefixes: dict[tuple[int, int], np.ndarray] = {}
-
-            def prefix(key: int, seed: int) -> np.ndarray:
-                if (key, seed) not in prefixes:
-                    order = mix(sets[key] ^ np.uint64(seed))
-                    prefixes[key, seed] = np.sort(order)[: prefix_length(len(order), percent)]
-                return prefixes[key, seed]
-
-            found = []
-            for a, b in zip(a_key, b_key, strict=True):
-                if all(len(np.intersect1d(prefix(a, seed), prefix(b, seed), assume_unique=True)) for seed in _SEEDS[1:]):
-                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for begin, end, texts in text_blocks(batch.column(3)):
+                a_key, b_key = (batch.column(i).slice(begin, end - begin).to_pylist() for i in (0, 2))
+                found = []
+                for a, b, own in zip(a_key, b_key, shingle_sets(utf8(texts), size), strict=True):
+                    if b is None:
+                        centre, centre_set = a, own
+                    elif a == centre:
+                        shared = len(np.intersect1d(centre_set, own, assume_unique=True))
+                        if 100 * shared >= percent * (len(centre_set) + len(own) - shared):
+                            found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return of
 
@@ -242,7 +249,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``hot_rows`` holders are salted.
     """
     labelled = similarity_groups(docs, id_col, text_col, size, percent, hot_rows)
-    named = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = written(labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "names")
     return labelled.join(named, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
@@ -250,7 +257,7 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per row of ``docs``: doc_id, text_key (``xxhash64`` of the text), n_shingles, and the label of its group (null without shingles)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    first_pass = written(source.mapInArrow(_sets(size), _SETS), "sets")
+    first_pass = written(source.mapInArrow(_sets(size, percent), _SETS), "sets")
     sets = first_pass.where("slice is null").select("doc_id", "text_key", "set_key", F.col("n").cast("long").alias("n_shingles"))
     summed = first_pass.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(_add_counters, "slice int, counters binary")
     counters = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.uint32)
@@ -264,8 +271,11 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     prefixes = source.where("text is not null").select("text").mapInArrow(_prefixes(size, percent, tables), _PREFIX)
     met = written(prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_key").mapInArrow(_met(percent), _MET), "met")
-    reps = first_pass.where("slice is null and n > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bits").alias("bits"), F.first("n").alias("n"))
-    reps = written(reps.select("set_key", "rep.doc_id", "rep.text_key", "bits", "n"), "reps")
+    shingled = first_pass.where("slice is null and n > 0 and doc_id is not null")
+    named = shingled.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    first_seen = first_pass.where("bits is not null").select("set_key", "n", "bits", "second", "third")
+    kept = first_seen.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n", "bits", "second", "third")))
+    reps = written(named.select("set_key", "rep.doc_id", "rep.text_key").join(kept, "set_key"), "reps")
     tried = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _verified(source, tried, reps, size, percent)
     parts = connected_components(links, "a", "b")
@@ -278,25 +288,46 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a token's sets in different components, as far as the filters let them pass."""
+    """Pairs of a token's sets in different components, as far as sizes, places and bitmaps let them pass.
+
+    Of a token's components the largest is not compared with itself. Its ``k`` sets, and the ``s`` outside of the largest component, are
+    dealt to a grid of cells of about CELL by CELL.
+    """
     rows = met.join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("token", "set_key", "n", "pos", F.coalesce("component", "set_key").alias("part"))
     rows = written(rows, "met")
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("k"))
-    several = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    several = sizes.groupBy("token").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+    several = several.select("token", F.col("main.part").alias("main"), F.ceil(F.col("k") / CELL).cast("int").alias("high"), F.ceil((F.col("k") - F.col("main.k")) / CELL).cast("int").alias("wide"))
     rows = written(rows.join(several, "token").join(reps.select("set_key", "bits"), "set_key"), "met")
-    small = rows.where("part <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part", "bits")))
+    small = rows.where("part <> main").withColumn("x", F.pmod(F.xxhash64("set_key"), "wide")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
+    small = small.select("token", "x", "y", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part", "bits")))
+    large = rows.withColumn("y", F.pmod(F.xxhash64("set_key"), "high")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
     once = (F.col("part") == F.col("main")) | (F.col("x_set_key") < F.col("set_key"))
-    pairs = rows.alias("y").join(small, (F.col("y.token") == small["token"]) & (F.col("part") != F.col("x_part")) & once & _possible("", "x_", percent))
+    pairs = large.join(small, ["token", "x", "y"]).where((F.col("part") != F.col("x_part")) & once & _possible("", "x_", percent))
     return pairs.select(F.least("set_key", "x_set_key").alias("a"), F.greatest("set_key", "x_set_key").alias("b")).distinct()
 
 
+def _candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that pass every filter; sizes and bitmaps first, then the prefixes of the other orders."""
+    for columns in (("n", "bits"), ("second", "third")):
+        for side in ("a", "b"):
+            pairs = pairs.join(reps.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+        if "n" in columns:
+            pairs = pairs.withColumns({"a_pos": F.lit(0), "b_pos": F.lit(0)}).where(_possible("a_", "b_", percent))
+        else:
+            pairs = pairs.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+        pairs = pairs.select("a", "b")
+    return written(pairs, "candidates")
+
+
 def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    for side in ("a", "b"):
-        own = ("doc_id", "text_key", "bits", "n")
-        pairs = pairs.join(reps.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in own)), side)
-    pairs = pairs.withColumns({"a_pos": F.lit(0), "b_pos": F.lit(0)}).where(_possible("a_", "b_", percent))
-    pairs = pairs.select("a", "b", *(F.col(f"{side}_{c}").alias(f"{side}_{name}") for side in ("a", "b") for c, name in (("doc_id", "id"), ("text_key", "text_key"))))
+    pairs = _candidates(pairs, reps, percent)
     texts = source.where("doc_id is not null")
-    for side in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(f"{side}_id"), F.col("text_key").alias(f"{side}_text_key"), F.col("text").alias(f"{side}_text")), [f"{side}_id", f"{side}_text_key"])
-    return written(pairs.select("a", "b", "a_text", "b_text").mapInArrow(_similar(size, percent), "a long, b long").distinct(), "links")
+    blocks_of = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    pairs = pairs.join(blocks_of, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    centres = pairs.select("a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    asked = pairs.unionByName(centres).withColumn("set_key", F.coalesce("b", "a"))
+    asked = asked.join(reps.select("set_key", "doc_id", "text_key"), "set_key").join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
+    # A repeated row of the table gives its text several times, and a pair with it.
+    grouped = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return written(grouped.mapInArrow(_similar(size, percent), "a long, b long").distinct(), "links")
