@@ -5,10 +5,13 @@ Decoders read binary Netpbm (P5 grey, P6 colour, 8 bits) and uncompressed BMP (8
 sums in both directions) the sum over any cell, cut at fractions of pixels, is four lookups interpolated. The
 tile is written in NPY format; the difference hash compares neighbouring cells of a 9 x 8 reduction.
 
+Only the table's rows at the borders of target cells are kept; those in between are summed up strip by strip.
+
 An image that cannot be decoded gives null results and is kept as a row. Everything runs row by row in a
-scan; no shuffle, and memory is bounded by one Arrow batch. Equal images give equal results.
+scan; no shuffle. Images are taken from a batch about a megabyte at a time and results leave as Arrow buffers; one image is held
+a few times over, and a strip of it as floats. Equal images give equal results.
 
-Defined results for texts packed as images (:func:`text_images`): a null or empty text is one block of 255s;
+Defined results for texts stored as images (:func:`text_features`): a null or empty text is one block of 255s;
 other columns pass through; input columns named like a result are replaced.
 """
 
@@ -16,13 +19,20 @@ from __future__ import annotations
 
 import io
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from knotwork.llm.textblocks import text_blocks, utf8
 
 WIDTH, UNIT, FILL = 24, 576, 255
+STRIP = 1 << 16
+BINARY = (BinaryType(), pa.binary())
+FEATURES = ["samples", "tile_npy", "dhash"]
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
@@ -86,24 +96,39 @@ def decode(raw: bytes) -> np.ndarray:
     return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
 
 
+def _borders(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each border between ``cells`` equal cells of 0..n: the whole place before it, and how far beyond that it is."""
+    at = np.arange(cells + 1) * n / cells
+    low = np.minimum(at.astype(np.int64), n - 1)
+    return low, at - low
+
+
+def _rows_summed(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sums of the first i rows of the integral image's columns for each i of ``wanted`` (ascending)."""
+    out = np.zeros((len(wanted), image.shape[1]))
+    step, done = max(1, STRIP // image.shape[1]), np.zeros(image.shape[1])
+    for begin in range(0, len(image), step):
+        strip = image[begin : begin + step]
+        table = done + np.cumsum(strip if strip.ndim == 2 else strip.mean(axis=2), axis=0, dtype=np.float64)
+        own = slice(*np.searchsorted(wanted, [begin + 1, begin + len(strip) + 1]))
+        out[own] = table[wanted[own] - begin - 1]
+        done = table[-1]
+    return np.cumsum(out, axis=1)
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each cell's exact area (float64); colour channels are averaged first."""
-    grey = image.astype(np.float64) if image.ndim == 2 else image.mean(axis=2)
-    if not grey.size:
+    h, w = image.shape[:2]
+    if not h or not w:
         return np.zeros((height, width))
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=total[1:, 1:])
-
-    def cut(table: np.ndarray, cells: int) -> np.ndarray:
-        """Running sums at the cells' borders, between rows in proportion."""
-        n = len(table) - 1
-        at = np.arange(cells + 1) * n / cells
-        low = np.minimum(at.astype(np.int64), n - 1)
-        part = (at - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    sums = cut(cut(total, height).T, width).T
-    return np.diff(np.diff(sums, axis=0), axis=1) * (height * width / grey.size)
+    low, part = _borders(h, height)
+    wanted = np.unique(np.concatenate((low, low + 1)))
+    table = _rows_summed(image, wanted)
+    table = table[np.searchsorted(wanted, low)] * (1 - part)[:, None] + table[np.searchsorted(wanted, low + 1)] * part[:, None]
+    table = np.concatenate((np.zeros((height + 1, 1)), table), axis=1)
+    low, part = _borders(w, width)
+    sums = table[:, low] * (1 - part) + table[:, low + 1] * part
+    return np.diff(np.diff(sums, axis=0), axis=1) * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -118,36 +143,58 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def features(raw: bytes | None, tile: int) -> tuple[bytes | None, bytes | None, str | None]:
+    """The decoded samples of an image file, its NPY tile and its difference hash; nulls for what cannot be decoded."""
+    try:
+        image = decode(raw)
+        small = np.clip(np.rint(np.round(area_resize(image, tile, tile), 6)), 0, 255).astype(np.uint8)
+        return image.tobytes(), npy(small), difference_hash(image)
+    except (ValueError, TypeError, IndexError, struct.error):
+        return None, None, None
+
+
+def _by_row(rows: DataFrame, column: str, names: list[str], of: Callable[[list], Iterator[tuple]]) -> DataFrame:
+    """``rows`` with columns ``names``, worked out from ``column`` some rows at a time."""
+    types = {"dhash": (StringType(), pa.string())}
+    own = rows.drop(*names)
+    at = own.columns.index(column)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, values in text_blocks(batch.column(at)):
+                found = list(zip(*of(values), strict=True))
+                arrays = [pa.array(v, types.get(n, BINARY)[1]) for n, v in zip(names, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, *arrays], names=[*batch.schema.names, *names])
+
+    schema = StructType([*own.schema.fields, *(StructField(n, types.get(n, BINARY)[0]) for n in names)])
+    return own.mapInArrow(mapped, schema)
+
+
 def image_features(images: DataFrame, media_col: str = "media", tile: int = 32) -> DataFrame:
     """``images`` with ``samples`` (the decoded bytes), ``tile_npy`` and ``dhash``."""
-    results = ["samples", "tile_npy", "dhash"]
+    return _by_row(images, media_col, FEATURES, lambda media: (features(raw, tile) for raw in media))
 
-    def features(media: pd.Series) -> pd.DataFrame:
-        rows = []
-        for raw in media:
-            try:
-                image = decode(bytes(raw))
-                small = np.clip(np.rint(np.round(area_resize(image, tile, tile), 6)), 0, 255).astype(np.uint8)
-                rows.append((image.tobytes(), npy(small), difference_hash(image)))
-            except (ValueError, TypeError, IndexError, struct.error):
-                rows.append((None, None, None))
-        return pd.DataFrame(rows, columns=results)
 
-    own = images.drop(*results)
-    out = own.withColumn("__f", F.pandas_udf(features, "samples binary, tile_npy binary, dhash string")(F.col(media_col)))
-    return out.select(*own.columns, *(F.col(f"__f.{c}").alias(c) for c in results))
+def stored_text(raw: bytes | None, kind: str = "netpbm") -> bytes:
+    """An image file of a text's bytes as grey samples, 24 wide, filled up to blocks of 576 by 255."""
+    raw = raw or b""
+    size = max(1, -(-len(raw) // UNIT)) * UNIT
+    encode = {"netpbm": encode_netpbm, "bmp": encode_bmp}[kind]
+    return encode(np.frombuffer(raw.ljust(size, bytes([FILL])), np.uint8).reshape(-1, WIDTH))
 
 
 def text_images(docs: DataFrame, text_col: str = "text", kind: str = "netpbm") -> DataFrame:
-    """``docs`` with ``media``: the text's UTF-8 bytes as grey samples, 24 wide, filled up to blocks of 576 by 255."""
-    encode = {"netpbm": encode_netpbm, "bmp": encode_bmp}[kind]
+    """``docs`` with ``media``, the image file of each text's UTF-8 bytes."""
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return _by_row(docs, text_col, ["media"], lambda texts: ((stored_text(raw, kind),) for raw in utf8(texts)))
+
+
+def text_features(docs: DataFrame, text_col: str = "text", kind: str = "netpbm", tile: int = 32) -> DataFrame:
+    """``docs`` with ``media``, and ``samples``, ``tile_npy`` and ``dhash`` of what is read back from these same bytes."""
 
-    def pack(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
-            size = max(1, -(-len(raw) // UNIT)) * UNIT
-            out.append(encode(np.frombuffer(raw.ljust(size, bytes([FILL])), np.uint8).reshape(-1, WIDTH)))
-        return pd.Series(out, dtype=object)
+    def of(texts: list[str | None]) -> Iterator[tuple]:
+        for raw in utf8(texts):
+            media = stored_text(raw, kind)
+            yield media, *features(media, tile)
 
-    return docs.drop("media").withColumn("media", F.pandas_udf(pack, "binary")(F.col(text_col)))
+    return _by_row(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, ["media", *FEATURES], of)

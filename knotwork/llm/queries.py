@@ -62,7 +62,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = media.image_features(media.text_images(docs))
+    out = media.text_features(docs)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     tail = F.crc32(F.expr("substring(samples, greatest(octet_length(samples) - 31, 1), 32)"))
     return out.select(
