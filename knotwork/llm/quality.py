@@ -1,8 +1,10 @@
 """Quality classifier: document evidence combined with shrunken host and path posteriors.
 
 Evidence of a document is the mean log odds of its byte trigrams between good and bad labelled texts (a naive Bayes
-model of fixed size, fitted on at most ``sample_rows`` labelled rows, those of smallest id hash, so that it can be
-broadcast), turned into a log likelihood ratio by a logistic fit on a fixed histogram of all labelled rows.
+model of fixed size, fitted on at most ``sample_rows`` labelled rows, those of smallest id hash, so that they can be
+broadcast), turned into a log likelihood ratio by a logistic fit on a fixed histogram of labelled rows. A quarter of the labelled ids,
+by another hash, is kept out of the model and used for that fit (all of them, if none falls into that quarter): on its own
+rows the model would look surer than it is.
 
 Sites are two-level: a host (here ``source``) and a path in it (here ``lang``). Hierarchical empirical Bayes: a
 host's share of good labels is shrunk to the global share, a path's to its host's posterior. The prior strength at either
@@ -22,12 +24,12 @@ results; other columns do not pass through.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.ngram_model import class_counts, log_shares, trigrams
-from knotwork.llm.textblocks import Words, blocks, utf8
+from knotwork.llm.textblocks import Words, text_blocks, utf8
 from knotwork.plans.materialize import written
 
 BINS, BIN_RANGE = 400, 4.0
@@ -38,9 +40,13 @@ def doc_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qual
     return rows.groupBy(F.col(id_col).cast("long").alias("label_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("good"))
 
 
+def calibrates(label_id: Column) -> Column:
+    return F.pmod(F.xxhash64(label_id, F.lit(1)), F.lit(4)) == 0
+
+
 def learn_evidence(docs: DataFrame, labels: DataFrame, sample_rows: int) -> np.ndarray:
-    """Log odds by bucket (last one zero) from at most ``sample_rows`` of ``labels(label_id, good)``."""
-    sample = labels.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
+    """Log odds by bucket (last one zero) from at most ``sample_rows`` of ``labels(label_id, good)`` that do not calibrate."""
+    sample = labels.where(~calibrates(F.col("label_id"))).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     rows = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("label_id")).where("text is not null").select(F.col("good").alias("class"), "text")
     counts = class_counts(rows, 2, lower=False)
     shares = log_shares(counts)
@@ -50,18 +56,18 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, sample_rows: int) -> np.n
 def with_evidence(docs: DataFrame, odds: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(odds)
 
-    def evidence(texts: pd.Series) -> pd.Series:
-        raw, out = utf8(texts.where(texts.notna(), None).tolist()), []
-        for a, b in blocks(raw):
-            words = Words(raw[a:b])
+    def evidence(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, _, some in text_blocks(texts):
+            words = Words(utf8(some))
             bucket = trigrams(words)
             value = np.concatenate(([0.0], np.cumsum(shared.value[bucket], dtype=np.float64)))
             inside = np.concatenate(([0], np.cumsum(bucket < len(shared.value) - 1)))
             ends = np.minimum(words.text_start, len(bucket))
             out.append(np.diff(value[ends]) / np.maximum(1, np.diff(inside[ends])))
-        return pd.Series(np.round(np.concatenate(out), 9) if out else np.empty(0))
+        return pa.array(np.round(np.concatenate(out), 9) if out else np.empty(0), pa.float64())
 
-    return docs.select("doc_id", "host", "path", F.pandas_udf(evidence, "double")("text").alias("evidence"))
+    return docs.select("doc_id", "host", "path", F.arrow_udf(evidence, "double")("text").alias("evidence"))
 
 
 def fit_logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
@@ -97,18 +103,19 @@ def score_documents(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
     known = written(doc_labels(labels, id_col, label_col), "labels")
     scored = written(with_evidence(docs, learn_evidence(docs, known, sample_rows)), "evidence")
-    labelled = written(scored.join(known, scored["doc_id"] == known["label_id"]).select("host", "path", "evidence", "good"), "labelled")
-    total = labelled.agg(F.count("*").alias("n"), F.sum("good").alias("good")).first()
+    labelled = written(scored.join(known, scored["doc_id"] == known["label_id"]).select("host", "path", "evidence", "good", calibrates(F.col("label_id")).alias("kept_out")), "labelled")
+    total = labelled.agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.count_if("kept_out").alias("kept_out")).first()
     if not total["n"]:
         return scored.select("doc_id", "evidence", F.lit(0.5).alias("site_prior"), F.lit(0.5).alias("quality"), F.lit(True).alias("keep"))
     share = (total["good"] + 0.5) / (total["n"] + 1)
 
     at = F.least(F.greatest(F.floor((F.col("evidence") + BIN_RANGE) * (BINS / (2 * BIN_RANGE))), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    histogram = labelled.groupBy(at.alias("bin")).agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()  # BINS rows at most
+    histogram = labelled.where("kept_out" if total["kept_out"] else "true").groupBy(at.alias("bin")).agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()  # BINS rows at most
     x = np.array([(r["bin"] + 0.5) * (2 * BIN_RANGE / BINS) - BIN_RANGE for r in histogram])
     good = np.array([r["good"] for r in histogram], dtype=float)
     slope, intercept = fit_logistic(x, good, np.array([r["n"] for r in histogram]) - good)
-    prior_logit = float(np.log(share / (1 - share)))
+    n, n_good = sum(r["n"] for r in histogram), good.sum()
+    prior_logit = float(np.log((n_good + 0.5) / (n - n_good + 0.5)))  # of the rows that the fit saw
 
     paths = labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     paths = written(paths, "paths")
