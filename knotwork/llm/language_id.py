@@ -1,12 +1,14 @@
 """Language identification of spans: scripts narrow the languages, Viterbi over word scores labels the words.
 
 Each word gets the summed log share of its byte trigrams in every language, learned from all labelled training
-texts. The script of its letters (by UTF-8 lead byte, or by code point where that is not enough) rules out languages that in training hardly use
+texts. The script of its letters, by the Unicode Script property of their code points, rules out languages that in training hardly use
 that script. A Viterbi pass over a text's words then picks the best sequence of languages, where every
 change costs ``switch_penalty``; runs of one language are the spans. A text's language is the one that
 labels most of its words with letters, and its score that share. Texts of a block advance together, a word at a step.
 
-One scan to learn, one to label; the model has a fixed size for each language. Defined results: a null text, or one without
+One scan to learn, one to label. The model has a fixed size: 65,536 trigram buckets for each of up to 512 languages, and with more languages
+half as many buckets for each doubling. A block's texts times the languages are held as floats, so blocks are the smaller the more languages there are; one
+text's words stay together. Defined results: a null text, or one without
 a letter, is ``und`` with score 0 and no spans; words without letters take their neighbours' language; with no training
 rows all texts are ``und``; null languages or texts train nothing; input columns named like a result are
 replaced; other columns pass through. Ties go to the language first by code point.
@@ -14,56 +16,66 @@ replaced; other columns pass through. Ties go to the language first by code poin
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.ngram_model import class_counts, log_shares, trigrams
+from knotwork.llm.ngram_model import BUCKETS, class_counts, log_shares, trigrams
 from knotwork.llm.textblocks import Words, text_blocks
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-#: Script classes by UTF-8 lead byte or code point (fixed values): 0 no letter, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian and Hebrew,
-#: 5 Arabic, 6 South and South-East Asian, 7 kana, 8 Han, 9 Hangul, 10 others.
-_SCRIPT = np.zeros(256, dtype=np.int8)
-for _first, _last, _class in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xC9, 1), (0xCE, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDB, 5), (0xE0, 0xE1, 6), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 10)):
-    _SCRIPT[_first : _last + 1] = _class
-#: Lead bytes of letters and other characters, or of letters of several scripts: there the code point decides. Modifier
-#: letters count as Latin, the least class, so they leave the class of the word they stand in.
-_BY_POINT = np.zeros(256, dtype=bool)
-_BY_POINT[[0xC2, 0xCA, 0xCB, 0xCD, 0xDC, 0xDD, 0xDE, 0xDF, 0xE2, 0xEF]] = True
-_BLOCKS = (
-    (0x0080, 0x00BF, 1), (0x0280, 0x02FF, 1), (0x0340, 0x037F, 2), (0x0700, 0x074F, 10), (0x0750, 0x077F, 5), (0x0780, 0x07FF, 10), (0x2000, 0x2BFF, 1),
-    (0x2C00, 0x2C5F, 10), (0x2C60, 0x2C7F, 1), (0x2C80, 0x2DDF, 10), (0x2DE0, 0x2DFF, 3), (0x2E00, 0x2FFF, 10), (0xF000, 0xFAFF, 8), (0xFB00, 0xFB06, 1),
-    (0xFB07, 0xFB4F, 4), (0xFB50, 0xFEFF, 5), (0xFF00, 0xFF5F, 1), (0xFF60, 0xFF9F, 7), (0xFFA0, 0xFFFF, 9),
+#: Script names of the Unicode Script property (fixed values), as classes 1, 2, ...; letters of other scripts are one more class. Class 0: no letter.
+#: Letters that scripts share (modifier letters and the like) count as Latin, the least class, so they leave the class of the word they stand in.
+#: Kana come after Han: a word of both is Japanese.
+SCRIPT_NAMES = (
+    "Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana", "Nko", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil",
+    "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Georgian", "Ethiopic", "Cherokee", "Canadian_Aboriginal", "Ogham", "Runic",
+    "Khmer", "Mongolian", "Tifinagh", "Coptic", "Glagolitic", "Gothic", "Javanese", "Balinese", "Sundanese", "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Cham", "Lisu",
+    "Vai", "Bamum", "Adlam", "Ol_Chiki", "Meetei_Mayek", "Yi", "Hangul", "Han", "Bopomofo", "Hiragana", "Katakana",
 )
-_POINT_SCRIPT = np.zeros(1 << 16, dtype=np.int8)
-for _first, _last, _class in _BLOCKS:
-    for _point in range(_first, _last + 1):
-        _POINT_SCRIPT[_point] = _class if _LETTER.match(chr(_point)) else 0
-SCRIPTS = 11
-_BLOCK = 3 << 20
+SCRIPTS = len(SCRIPT_NAMES) + 2
+BLOCK_FLOATS = 3 << 20
+MODEL_CELLS = 1 << 25
 _RULED_OUT = np.float32(-1e4)
 
 
-def word_scripts(words: Words) -> np.ndarray:
+@cache
+def script_table() -> np.ndarray:
+    """The script class of every code point."""
+    points = "".join(map(chr, (p for p in range(0x110000) if not 0xD800 <= p < 0xE000)))
+    place = lambda at: at if at < 0xD800 else at + 0x800  # noqa: E731  surrogates are left out
+    table = np.zeros(0x110000, dtype=np.int8)
+    for found in regex.finditer(r"\p{L}+", points):
+        table[place(found.start()) : place(found.end() - 1) + 1] = SCRIPTS - 1
+    for number, name in [(1, "Common"), (1, "Inherited"), *enumerate(SCRIPT_NAMES, 1)]:
+        for found in regex.finditer(rf"[\p{{L}}&&\p{{Script={name}}}]+", points, flags=regex.V1):
+            table[place(found.start()) : place(found.end() - 1) + 1] = number
+    return table
+
+
+def word_scripts(words: Words, table: np.ndarray) -> np.ndarray:
     """Each word's script: the largest class among its letters."""
     if not len(words.start):
         return np.empty(0, np.int8)
-    kind = _SCRIPT[words.data]
-    at = np.flatnonzero(_BY_POINT[words.data])
+    kind = np.where(words.data < 0x80, table[words.data], np.int8(0))
+    at = np.flatnonzero(words.data >= 0xC0)  # lead bytes
     if len(at):
-        lead, second, third = (words.data[np.minimum(at + i, len(words.data) - 1)].astype(np.int32) & 0x3F for i in range(3))
-        long = words.data[at] >= 0xE0
-        kind[at] = _POINT_SCRIPT[np.where(long, (lead & 0xF) << 12 | second << 6 | third, (lead & 0x1F) << 6 | second)]
+        lead = words.data[at].astype(np.int32)
+        second, third, fourth = (words.data[np.minimum(at + i, len(words.data) - 1)].astype(np.int32) & 0x3F for i in (1, 2, 3))
+        point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | second, np.where(lead < 0xF0, (lead & 0xF) << 12 | second << 6 | third, (lead & 7) << 18 | second << 12 | third << 6 | fourth))
+        kind[at] = table[np.minimum(point, 0x10FFFF)]
     return np.maximum.reduceat(kind, words.start)
 
 
 class Model:
-    def __init__(self, languages: list[str], counts: np.ndarray, switch_penalty: float):
-        self.languages, self.shares, self.switch = languages, log_shares(counts[:, :]), np.float32(switch_penalty)
+    def __init__(self, languages: list[str], counts: np.ndarray, shift: int, switch_penalty: float):
+        self.languages, self.shares, self.shift, self.switch = languages, log_shares(counts), shift, np.float32(switch_penalty)
+        self.scripts = script_table()
         self.allowed = np.zeros((SCRIPTS, len(languages)), dtype=np.float32)
 
     def rule_out(self, script_words: np.ndarray, least_share: float) -> None:
@@ -76,8 +88,8 @@ class Model:
 
     def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word, language) scores, and each word's script."""
-        script = word_scripts(words)
-        bucket = trigrams(words)
+        script = word_scripts(words, self.scripts)
+        bucket = trigrams(words) >> self.shift
         scores = np.empty((len(words.start), len(self.languages)), dtype=np.float32)
         for i, shares in enumerate(self.shares):
             if len(words.start):
@@ -122,14 +134,13 @@ class Model:
 def learn(training: DataFrame, lang_col: str = "lang", text_col: str = "text", switch_penalty: float = 12.0, least_share: float = 0.001) -> Model | None:
     """A model from all rows with a language and a text (None without such rows)."""
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    languages = sorted((r["lang"] for r in rows.select("lang").distinct().limit(513).collect()), key=lambda s: s.encode())
+    languages = sorted((r["lang"] for r in rows.select("lang").distinct().collect()), key=lambda s: s.encode())  # a row a language
     if not languages:
         return None
-    if len(languages) > 512:
-        raise ValueError("more than 512 languages")
-    number = F.create_map(*(x for i, s in enumerate(languages) for x in (F.lit(s), F.lit(i))))
-    numbered = rows.select(number[F.col("lang")].alias("class"), "text")
-    model = Model(languages, class_counts(numbered, len(languages), lower=True), switch_penalty)
+    shift = max(0, (len(languages) * BUCKETS - 1).bit_length() - MODEL_CELLS.bit_length() + 1)
+    numbered = rows.select((F.array_position(F.lit(languages), F.col("lang")) - 1).cast("int").alias("class"), "text")
+    model = Model(languages, class_counts(numbered, len(languages), lower=True, shift=shift), shift, switch_penalty)
+    table = training.sparkSession.sparkContext.broadcast(model.scripts)
 
     def scripts(batches):
         total = np.zeros((len(languages), SCRIPTS), dtype=np.int64)
@@ -138,16 +149,16 @@ def learn(training: DataFrame, lang_col: str = "lang", text_col: str = "text", s
             for a, b, raw in text_blocks(batch.column(1)):
                 words = Words([t.lower().encode("utf-8", "surrogatepass") for t in raw])
                 if len(words.start):
-                    script = word_scripts(words)
+                    script = word_scripts(words, table.value)
                     np.add.at(total, (np.repeat(kind[a:b], words.count), script), 1)
         at = np.argwhere(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[tuple(at.T)])], ["class", "script", "words"])
 
     by_script = numbered.mapInArrow(scripts, "class long, script long, words long").groupBy("class", "script").agg(F.sum("words").alias("words"))
-    table = np.zeros((len(languages), SCRIPTS))
+    used = np.zeros((len(languages), SCRIPTS))
     for row in by_script.collect():  # at most languages * scripts rows
-        table[row["class"], row["script"]] = row["words"]
-    model.rule_out(table, least_share)
+        used[row["class"], row["script"]] = row["words"]
+    model.rule_out(used, least_share)
     return model
 
 
@@ -164,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         m = shared.value
         names = pa.array(m.languages)
         pred, score, spans = [], [], []
-        for a, b, raw in text_blocks(column, _BLOCK):
+        for a, b, raw in text_blocks(column, max(1, 4 * BLOCK_FLOATS // max(4, len(m.languages)))):
             words = Words([t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in raw])
             labels, script = m.label(words)
             text = np.repeat(np.arange(b - a), words.count)
@@ -188,6 +199,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         joined = pa.concat_arrays(spans).cast(kind) if spans else pa.array([], kind)
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), joined], results)
 
-    udf = F.arrow_udf(labelled, f"lang_pred string, lang_score double, lang_spans {span_type}")
+    # So marked, it runs once for each row: a filter on its results would else run it again.
+    udf = F.arrow_udf(labelled, f"lang_pred string, lang_score double, lang_spans {span_type}").asNondeterministic()
     out = own.withColumn("__lang", udf(F.col(text_col).cast("string")))
     return out.select(*own.columns, *(F.col(f"__lang.{c}").alias(c) for c in results))

@@ -31,21 +31,24 @@ def trigrams(words: Words) -> np.ndarray:
     return bucket
 
 
-def class_counts(rows: DataFrame, n_classes: int, lower: bool) -> np.ndarray:
-    """Counts (class, bucket) over ``rows(class int, text string)``."""
+def class_counts(rows: DataFrame, n_classes: int, lower: bool, shift: int = 0) -> np.ndarray:
+    """Counts (class, bucket) over ``rows(class int, text string)``, with buckets joined 2**``shift`` at a time."""
+    buckets = BUCKETS >> shift
+    width = min(SLICE, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_classes, BUCKETS), dtype=np.int64)
+        total = np.zeros((n_classes, buckets), dtype=np.int64)
         for batch in batches:
             kind = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, raw in text_blocks(batch.column(1)):
                 words = Words([(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t else b"" for t in raw])
-                bucket = trigrams(words)
+                bucket = trigrams(words) >> shift
                 of_byte = np.repeat(kind[a:b], np.diff(words.text_start))[: len(bucket)].astype(np.int32)
-                inside = bucket < BUCKETS
-                total += np.bincount(of_byte[inside] * BUCKETS + bucket[inside], minlength=n_classes * BUCKETS).reshape(n_classes, BUCKETS)
+                inside = bucket < buckets
+                code, k = np.unique(of_byte[inside].astype(np.int64) * buckets + bucket[inside], return_counts=True) if n_classes > 64 else (slice(None), np.bincount(of_byte[inside] * buckets + bucket[inside], minlength=n_classes * buckets))
+                total.reshape(-1)[code] += k
         if total.any():
-            slices = total.reshape(n_classes, -1, SLICE)
+            slices = total.reshape(n_classes, -1, width)
             at = [(c, s) for c in range(n_classes) for s in range(slices.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in at], pa.int32()), pa.array([s for _, s in at], pa.int32()), pa.array([slices[x].tobytes() for x in at], pa.binary())], ["class", "slice", "counts"])
 
@@ -59,13 +62,13 @@ def class_counts(rows: DataFrame, n_classes: int, lower: bool) -> np.ndarray:
 
     schema = "class int, slice int, counts binary"
     summed = rows.mapInArrow(count, schema).repartition("class", "slice").mapInArrow(add, schema)
-    out = np.zeros((n_classes, BUCKETS // SLICE, SLICE), dtype=np.int64)
-    for row in summed.collect():  # n_classes * BUCKETS numbers, whatever the input
+    out = np.zeros((n_classes, buckets // width, width), dtype=np.int64)
+    for row in summed.collect():  # n_classes * buckets numbers, whatever the input
         out[row["class"], row["slice"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out.reshape(n_classes, BUCKETS)
+    return out.reshape(n_classes, buckets)
 
 
 def log_shares(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
     """Smoothed log shares (class, bucket), with a last column of zeros for bytes outside of words."""
-    shares = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS))
+    shares = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * counts.shape[1]))
     return np.concatenate((shares, np.zeros((len(counts), 1))), axis=1).astype(np.float32)
