@@ -1,18 +1,22 @@
-"""Exact top-k search by inner product with cover trees over queries and data together.
+"""Exact top-k search by inner product with a cover tree over queries and data together.
 
-One tree holds all vectors, queries and data alike. Its upper level are ``cells``: the nearest of a bounded
-number of pivots (far-apart rows of a bounded sample, documented by ``sample_rows`` and ``pivots``; every row
-is then assigned). Below, each cell is cut into blocks of about ``block_rows`` rows, and every block grows its own cover
-tree: groups halve their covering radius level by level. A group knows its centre and covering radius.
+One tree holds all vectors. Its upper levels are built over the cluster: a cell of more than ``block_rows`` rows gets pivots of its own, rows
+far apart in a bounded sample of it (``sample_rows``; the sample decides only where a cell is cut), every row of the cell goes to the
+nearest one, and so on level by level until cells are blocks. A cell of equal vectors is cut by hash instead. Below, each block grows its
+part of the tree once, and it is stored with the block's rows. A node's centre is one of its rows; its children are centred so that they cover
+it within half its radius, lie farther than that from each other, and the first has the parent's centre. Where halving would take more than a quarter
+of a node's rows as children, the node is a leaf. Every node knows its covering radius, and the radius of its queries: the same
+tree is walked on the query side by the nodes that hold queries.
 
-For a group of queries and a group of data the inner product is at most
+For a node of queries and a node of data the inner product is at most
 ``q.p + |q| r_p + |p| r_q + r_q r_p`` (centres q, p; covering radii r). Where this is below the worst k-th score
-that any query of the group has so far, no member pair can matter, and the pair of groups is pruned. The
-bound is used three times: on pairs of cells (a table bounded by ``pivots`` squared), on pairs of blocks when they
-meet, and down both blocks' trees together. First scores come from each query's own block.
+that any query of the node has so far, no member pair can matter, and the pair of nodes is pruned. The
+bound is used on pairs of cells (a table bounded by ``most_cells`` squared for each number of components), on pairs of blocks when they
+meet, and down both blocks' trees together. First k-th scores come from each query's own block.
 
-Query blocks meet data blocks in tasks of bounded size: some query blocks against some data blocks, dealt by
-hash, so a crowded cell is as many tasks as it has blocks. What a task returns is at most k rows a query.
+Blocks are numbered in tree order, so a run of consecutive ones is a part of near cells. Query parts meet data parts in tasks of bounded
+size, and only where some pair of their cells is left; a crowded cell is as many tasks as it has blocks. What a task returns is at most k rows
+a query.
 
 Components are ``floor(scale * x)`` as integers, and scores are exact: float64 products where they cannot round,
 Python integers otherwise (scores beyond 64 bits are clipped to the range).
@@ -20,12 +24,14 @@ Python integers otherwise (scores beyond 64 bits are clipped to the range).
 Defined results: null vectors, and vectors with a null or non-finite component, or without components, take no part; a
 null id takes no part; vectors are compared only with vectors of as many components; a query gets fewer than ``k`` rows
 if there are fewer candidates, and none if it is alone; rows with the query's own id are no candidates; ties go to the
-smaller id; a repeated row counts as often as it is there; an empty table gives no rows.
+smaller id; a repeated row counts as a candidate as often as it is there, but asks once; different vectors with one query id all ask,
+and the id gets the best of their answers together; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,10 +40,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.plans.materialize import written
+from knotwork.plans.ranking import ranked
 
 EXACT = float(1 << 53)
 LEAF = 24
-_BLOCK = "cell int, block long, dim int, n_queries int, reach double, q_reach double, worst double, worsts binary, centre binary, ids binary, vectors binary, q_ids binary, q_vectors binary"
+FEW_QUERIES = 8
+_BLOCK = "cell string, dim int, n_queries int, centre array<double>, reach double, q_reach double, worst double, data binary, queries binary"
 
 
 def quantized(embeddings: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -66,38 +74,92 @@ def far_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 class Tree:
-    """The leaves and inner groups of a block's cover tree, as ranges of a reordering of its rows."""
+    """Nodes over a reordering of rows: each a range of it, a centre (a row's place in it), a covering radius and a parent."""
 
     def __init__(self, vectors: np.ndarray):
-        self.order = np.arange(len(vectors))
-        self.groups: list[tuple[int, int, list[int]]] = []  # begin, end, children
-        self.centres: list[np.ndarray] = []
-        self.radii: list[float] = []
+        self.vectors, self.order = vectors, np.arange(len(vectors))
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.centre: list[int] = []
+        self.radius: list[float] = []
+        self.parent: list[int] = []
         if len(vectors):
-            self._grow(vectors, 0, len(vectors))
-
-    def _grow(self, vectors: np.ndarray, begin: int, end: int) -> int:
-        at = len(self.groups)
-        rows = self.order[begin:end]
-        centre = vectors[rows].mean(axis=0)
-        away = np.linalg.norm(vectors[rows] - centre, axis=1)
-        self.groups.append((begin, end, []))
-        self.centres.append(centre)
-        self.radii.append(float(away.max()))
-        if end - begin > LEAF and away.max() > 0:
-            pivots = far_pivots(vectors[rows], 8)
-            nearest = ((vectors[rows][:, None, :] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1) if len(rows) * len(pivots) * vectors.shape[1] < 1 << 22 else np.stack([((vectors[rows] - p) ** 2).sum(axis=1) for p in pivots]).argmin(axis=0)
-            self.order[begin:end] = rows[np.argsort(nearest, kind="stable")]
-            sizes = np.bincount(nearest, minlength=len(pivots))
-            start = begin
-            children = []
-            for size in sizes[sizes > 0].tolist():
-                if size == end - begin:
-                    break
-                children.append(self._grow(vectors, start, start + size))
-                start += size
-            self.groups[at] = (begin, end, children)
-        return at
+            self._grow(0, len(vectors), int(self._away(self.order, vectors.mean(axis=0)).argmin()), -1)
+            place = np.argsort(self.order)
+            self.centre = place[self.centre].tolist()
+
+    def _away(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(self.vectors[rows] - point, axis=1)
+
+    def _grow(self, begin: int, end: int, centre: int, parent: int) -> None:
+        rows, at = self.order[begin:end].copy(), len(self.begin)
+        near = self._away(rows, self.vectors[centre])
+        radius = float(near.max())
+        for values, value in zip((self.begin, self.end, self.centre, self.radius, self.parent), (begin, end, centre, radius, parent), strict=True):
+            values.append(value)
+        if len(rows) <= LEAF or not radius:
+            return
+        centres, owner = [centre], np.zeros(len(rows), dtype=np.int64)
+        while near.max() > radius / 2:
+            if 4 * len(centres) >= len(rows):
+                return
+            centres.append(int(rows[near.argmax()]))
+            away = self._away(rows, self.vectors[centres[-1]])
+            owner[away < near] = len(centres) - 1
+            near = np.minimum(near, away)
+        self.order[begin:end] = rows[np.argsort(owner, kind="stable")]
+        for own, size in zip(centres, np.bincount(owner, minlength=len(centres)).tolist(), strict=True):
+            self._grow(begin, begin + size, own, at)
+            begin += size
+
+
+class Side:
+    """A block's tree as one side of a search sees it: nodes (in an order that puts parents first), their centres, radii and ids."""
+
+    def __init__(self, dim: int, nodes: np.ndarray, radius: np.ndarray, centres: np.ndarray, ids: np.ndarray, vectors: np.ndarray, kth: np.ndarray):
+        self.dim, self.nodes, self.radius, self.centres, self.ids, self.vectors, self.kth = dim, nodes, radius, centres, ids, vectors, kth
+        self.norm = np.linalg.norm(centres, axis=1)
+        self.begin, self.end = nodes[:, 0].tolist(), nodes[:, 1].tolist()
+        self.children: list[list[int]] = [[] for _ in nodes]
+        for i, parent in enumerate(nodes[:, 2].tolist()):
+            if parent >= 0:
+                self.children[parent].append(i)
+
+    def packed(self) -> bytes:
+        """As bytes; centres of a data side are among its vectors and are not repeated."""
+        parts = [np.array([self.dim, len(self.nodes), len(self.ids), len(self.kth)], dtype=np.int64).tobytes(), self.nodes.astype(np.int32).tobytes(), self.radius.tobytes(), self.ids.tobytes(), self.kth.tobytes()]
+        return b"".join([*parts, _packed(np.concatenate((self.vectors, self.centres)))])
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Side:
+        dim, n_nodes, n, n_kth = np.frombuffer(raw, dtype=np.int64, count=4).tolist()
+        at, parts = 32, []
+        for kind, count in ((np.int32, 3 * n_nodes), (np.float64, n_nodes), (np.int64, n), (np.int64, 2 * n_kth)):
+            parts.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+            at += parts[-1].nbytes
+        both = _matrix(raw[at:], dim)
+        return Side(dim, parts[0].reshape(-1, 3), parts[1], both[n:], parts[2], both[:n], parts[3].reshape(-1, 2))
+
+
+def data_side(tree: Tree, ids: np.ndarray) -> Side:
+    vectors = tree.vectors[tree.order]
+    return Side(vectors.shape[1], np.stack((tree.begin, tree.end, tree.parent), axis=1), np.array(tree.radius), vectors[tree.centre], ids[tree.order], vectors, np.empty((0, 2), np.int64))
+
+
+def query_side(tree: Tree, ids: np.ndarray, asks: np.ndarray) -> Side:
+    """The nodes with queries, down to those with few, and the queries in the tree's order."""
+    vectors, own = tree.vectors[tree.order], asks[tree.order]
+    before = np.concatenate(([0], np.cumsum(own)))
+    begin, end = before[tree.begin], before[tree.end]
+    keep, number = [], {-1: -1}
+    for i, parent in enumerate(tree.parent):
+        if begin[i] < end[i] and parent in number and (parent < 0 or end[parent] - begin[parent] > FEW_QUERIES):
+            number[i] = len(keep)
+            keep.append(i)
+    own_vectors, centres = vectors[own], vectors[np.array(tree.centre)[keep]]
+    radius = np.array([np.linalg.norm(own_vectors[begin[i] : end[i]] - c, axis=1).max() for i, c in zip(keep, centres, strict=True)])
+    nodes = np.array([(begin[i], end[i], number[tree.parent[i]]) for i in keep]).reshape(-1, 3)
+    return Side(vectors.shape[1], nodes, radius, centres, ids[tree.order][own], own_vectors, np.empty((0, 2), np.int64))
 
 
 def exact_scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -110,16 +172,17 @@ def exact_scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; ``kth`` (score, id) rows known beforehand bound what is taken, where they are given."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.score = np.empty((len(ids), 0), dtype=np.int64)
-        self.id = np.empty((len(ids), 0), dtype=np.int64)
-        self.worst = np.full(len(ids), -np.inf)
+    def __init__(self, ids: np.ndarray, k: int, kth: np.ndarray | None = None):
+        self.ids, self.k, self.compared = ids, k, 0
+        known = kth is not None and len(kth) == len(ids)
+        self.worst = kth[:, 0].astype(np.float64) if known else np.full(len(ids), -np.inf)
+        self.worst[self.worst == float(-(1 << 63))] = -np.inf
         self._kept = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.compared += scores.size
         enough = (scores >= self.worst[rows][:, None]) & (ids[None, :] != self.ids[rows][:, None])
         for i in np.flatnonzero(enough.any(axis=1)):
             q, take = rows[i], enough[i]
@@ -130,38 +193,47 @@ class Best:
                 score, found = score[top], found[top]
             self._kept[q] = (score, found)
             if len(score) >= self.k:
-                self.worst[q] = float(score.min())
+                self.worst[q] = max(self.worst[q], float(score.min()))
 
-    def rows(self) -> Iterator[tuple[int, int, int]]:
-        for q, (scores, ids) in zip(self.ids.tolist(), self._kept, strict=True):
+    def kth(self) -> np.ndarray:
+        """(score, id) of each query's k-th best; the least score there is where there are fewer."""
+        none = (-(1 << 63), (1 << 63) - 1)
+        return np.array([(s[at], i[at]) if len(s) >= self.k and (at := np.lexsort((i, ~s))[self.k - 1]) is not None else none for s, i in self._kept], dtype=np.int64).reshape(-1, 2)
+
+    def rows(self, kth: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """What is kept, but for what comes behind the k-th best known beforehand."""
+        for q, (scores, ids), (least, last) in zip(self.ids.tolist(), self._kept, kth.tolist(), strict=True):
             for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                yield q, i, s
+                if s > least or i <= last:
+                    yield q, i, s
+
 
+def bounds(q: Side, q_nodes: slice, centres: np.ndarray, norm: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The most that an inner product of members can be, by query node and data node, with room for rounding."""
+    own, r = q.centres[q_nodes], q.radius[q_nodes][:, None]
+    most = own @ centres.T + q.norm[q_nodes][:, None] * radius + r * norm + r * radius
+    return most + 1e-9 * np.abs(most) + 1e-6
 
-def dual_search(q_tree: Tree, q_vectors: np.ndarray, best: Best, d_tree: Tree, d_vectors: np.ndarray, d_ids: np.ndarray) -> None:
+
+def dual_search(q: Side, best: Best, d: Side) -> None:
     """Offer to ``best`` all pairs of the two trees that the bound does not prune."""
-    if not len(q_vectors) or not len(d_vectors):
+    if not len(q.ids) or not len(d.ids):
         return
-    q_centre, d_centre = np.array(q_tree.centres), np.array(d_tree.centres)
-    q_radius, d_radius = np.array(q_tree.radii), np.array(d_tree.radii)
-    bound = q_centre @ d_centre.T + np.linalg.norm(q_centre, axis=1)[:, None] * d_radius + q_radius[:, None] * np.linalg.norm(d_centre, axis=1) + q_radius[:, None] * d_radius
-    bound += 1e-9 * np.abs(bound) + 1e-6
+    bound = bounds(q, slice(None), d.centres, d.norm, d.radius)
     stack = [(0, 0)]
     while stack:
-        q, d = stack.pop()
-        q_begin, q_end, q_children = q_tree.groups[q]
-        rows = q_tree.order[q_begin:q_end]
-        if bound[q, d] < best.worst[rows].min():
+        x, y = stack.pop()
+        rows = slice(q.begin[x], q.end[x])
+        if bound[x, y] < best.worst[rows].min():
             continue
-        d_begin, d_end, d_children = d_tree.groups[d]
-        wide = (q_end - q_begin) * (d_end - d_begin) > 4096
-        if wide and d_children and (not q_children or d_radius[d] >= q_radius[q]):
-            stack += [(q, c) for c in sorted(d_children, key=lambda c: bound[q, c])]
-        elif wide and q_children:
-            stack += [(c, d) for c in q_children]
+        size = (q.end[x] - q.begin[x]) * (d.end[y] - d.begin[y])
+        if size > 1024 and d.children[y] and (not q.children[x] or d.radius[y] >= q.radius[x]):
+            stack += [(x, c) for c in sorted(d.children[y], key=lambda c: bound[x, c])]
+        elif size > 1024 and q.children[x]:
+            stack += [(c, y) for c in q.children[x]]
         else:
-            data = d_tree.order[d_begin:d_end]
-            best.offer(rows, exact_scores(q_vectors[rows], d_vectors[data]), d_ids[data])
+            data = slice(d.begin[y], d.end[y])
+            best.offer(np.arange(rows.start, rows.stop), exact_scores(q.vectors[rows], d.vectors[data]), d.ids[data])
 
 
 _KINDS = {b"b": np.int8, b"h": np.int16, b"i": np.int32, b"d": np.float64}
@@ -179,50 +251,117 @@ def _matrix(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=_KINDS[raw[:1]], offset=1).reshape(-1, dim).astype(np.float64)
 
 
-def _is_query(ids: np.ndarray, every: int) -> np.ndarray:
-    return ids % every == 0
-
-
-def _build_block(k: int, every: int, shared):
-    """One row a block: its vectors, how far they reach from the cell's pivot, and its queries' k-th scores in it."""
+def _rows(column: pa.Array) -> np.ndarray:
+    """A matrix of vectors of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _choose(block_rows: int, fan: int):
+    """A cell's pivots from its sample: about two for each block that its ``n`` rows make."""
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        sample = np.array(group["v"].tolist(), dtype=np.float64)
+        pivots = far_pivots(sample, int(min(fan, max(2, -(-2 * int(group["n"].iloc[0]) // block_rows)))))
+        return pd.DataFrame([(group["cell"].iloc[0], int(group["n"].iloc[0]), pivots.reshape(-1).tolist(), len(pivots))], columns=["cell", "n", "pivots", "k"])
+
+    return choose
+
+
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cell, part), each led by the cell's pivots: the cells below, by the nearest pivot."""
+    pivots = None
+    for batch in batches:
+        cells, at = [], 0
+        for cell, same in groupby(zip(batch.column(0).to_pylist(), batch.column(2).is_null().to_pylist(), strict=True)):
+            n = sum(1 for _ in same)
+            vectors = _rows(batch.column(3).slice(at, n))
+            at += n
+            if cell[1]:  # the pivots, as one row of all of them laid end to end, for each repeat
+                pivots = vectors[0].reshape(batch.column(4)[at - 1].as_py(), -1)
+                cells += [None] * n
+            else:
+                near = (-2 * vectors @ pivots.T + (pivots**2).sum(axis=1)).argmin(axis=1)
+                cells += [f"{cell[0]}/{i:03d}" for i in near.tolist()]
+        keep = pa.array([c is not None for c in cells])
+        out = pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), batch.column(2), batch.column(3)], names=["cell", "vec_id", "v"])
+        yield out.filter(keep)
+
+
+def tree_cells(rows: DataFrame, block_rows: int, sample_rows: int, fan: int, most_levels: int, part_rows: int = 1 << 16) -> DataFrame:
+    """``(cell, vec_id, v)``: the cells of about ``block_rows`` rows at most, as paths from the root of each number of components."""
+    done, left = [], written(rows.select(F.concat(F.lit("d"), F.lpad(F.size("v").cast("string"), 8, "0")).alias("cell"), "vec_id", "v"), "cells")
+    for level in range(most_levels):
+        big = written(left.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows), "big-cells")
+        done.append(left.join(big, "cell", "left_anti"))
+        if big.isEmpty():
+            return _union(done)
+        inside = left.join(big, "cell")
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec_id", "v", F.lit(level)), "vec_id"))
+        sample = inside.withColumn("place", place).where(F.col("place") <= sample_rows)
+        pivots = written(sample.groupBy("cell").applyInPandas(_choose(block_rows, fan), "cell string, n long, pivots array<double>, k int"), "pivots")
+        alike = pivots.where("k = 1").select("cell", F.ceil(F.col("n") / block_rows).alias("cuts"))
+        cut = left.join(alike, "cell").select(F.concat("cell", F.lit("/="), F.lpad(F.pmod(F.xxhash64("vec_id", "v", F.lit(level)), "cuts").cast("string"), 9, "0")).alias("cell"), "vec_id", "v")
+        split = pivots.where("k > 1").withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+        leads = split.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("vec_id"), F.col("pivots").alias("v"), "k")
+        members = left.join(split.select("cell", "parts"), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "v", F.lit(None).cast("int").alias("k"))
+        below = leads.unionByName(members).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("vec_id").asc_nulls_first()).mapInArrow(_assign, "cell string, vec_id long, v array<double>")
+        left = written(below.unionByName(cut), "cells")
+    # What is left after so many levels is cut by hash.
+    sizes = left.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("cuts"))
+    done.append(left.join(sizes, "cell").select(F.concat("cell", F.lit("/="), F.lpad(F.pmod(F.xxhash64("vec_id", "v"), "cuts").cast("string"), 9, "0")).alias("cell"), "vec_id", "v"))
+    return _union(done)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _build_block(k: int, every: int):
+    """One row a block: its tree as data and as queries, its reach, and its queries' k-th scores in it."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
         ids, vectors = group["vec_id"].to_numpy(np.int64), np.array(group["v"].tolist(), dtype=np.float64)
-        dim, cell = vectors.shape[1], int(group["cell"].iloc[0])
-        asks = _is_query(ids, every)
-        away = np.linalg.norm(vectors - _pivot(shared.value, dim, cell), axis=1)
-        best = Best(ids[asks], k)
-        dual_search(Tree(vectors[asks]), vectors[asks], best, Tree(vectors), vectors, ids)
-        row = (cell, group["block"].iloc[0], dim, int(asks.sum()), float(away.max()), float(away[asks].max(initial=0)), float(best.worst.min(initial=np.inf)), best.worst.tobytes(), _packed(vectors.mean(axis=0)), ids.tobytes(), _packed(vectors), ids[asks].tobytes(), _packed(vectors[asks]))
-        return pd.DataFrame([row], columns=["cell", "block", "dim", "n_queries", "reach", "q_reach", "worst", "worsts", "centre", "ids", "vectors", "q_ids", "q_vectors"])
+        asks = ids % every == 0
+        same = np.unique(np.concatenate((ids[:, None].astype(np.float64), vectors), axis=1), axis=0, return_index=True)[1] if asks.any() else np.arange(0)
+        first = np.zeros(len(ids), dtype=bool)
+        first[same] = True
+        tree = Tree(vectors)
+        data, queries = data_side(tree, ids), query_side(tree, ids, asks & first)
+        best = Best(queries.ids, k)
+        dual_search(queries, best, data)
+        queries.kth = best.kth()
+        reach = queries.radius[0] if len(queries.radius) else 0.0
+        row = (group["cell"].iloc[0], data.dim, len(queries.ids), data.centres[0].tolist(), float(data.radius[0]), float(reach), float(best.worst.min(initial=np.inf)), data.packed(), queries.packed())
+        return pd.DataFrame([row], columns=["cell", "dim", "n_queries", "centre", "reach", "q_reach", "worst", "data", "queries"])
 
     return build
 
 
-def _pivot(pivots: dict[int, np.ndarray], dim: int, cell: int) -> np.ndarray:
-    return pivots[dim][cell] if dim in pivots else np.zeros(dim)
-
-
 def _search(k: int):
     def search(key, asking: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(asking) and len(data):
-            trees = []
-            for row in data.itertuples():
-                vectors = _matrix(row.vectors, row.dim)
-                trees.append((row, Tree(vectors), vectors, np.frombuffer(row.ids, dtype=np.int64)))
-            for row in asking.itertuples():
-                ids, vectors = np.frombuffer(row.q_ids, dtype=np.int64), _matrix(row.q_vectors, row.dim)
-                best, tree = Best(ids, k), Tree(vectors)
-                own = [t for t in trees if t[0].block == row.block and t[0].dim == row.dim]
-                # The bounds to begin with: the k-th scores in the queries' own block.
-                best.worst[:] = np.frombuffer(row.worsts, dtype=np.float64)
-                centre = _matrix(row.centre, row.dim)[0]
-                near = sorted((t for t in trees if t[0].dim == row.dim and t not in own), key=lambda t: -float(_matrix(t[0].centre, row.dim)[0] @ centre))
-                for _, d_tree, d_vectors, d_ids in own + near:
-                    dual_search(tree, vectors, best, d_tree, d_vectors, d_ids)
-                found += best.rows()
+            by_dim: dict[int, list[tuple[str, Side]]] = {}
+            for cell, raw in zip(data["cell"], data["data"], strict=True):
+                side = Side.unpacked(raw)
+                by_dim.setdefault(side.dim, []).append((cell, side))
+            for cell, raw in zip(asking["cell"], asking["queries"], strict=True):
+                q = Side.unpacked(raw)
+                sides = by_dim.get(q.dim, [])
+                if not sides:
+                    continue
+                best = Best(q.ids, k, q.kth)
+                roots, radius = np.array([d.centres[0] for _, d in sides]), np.array([d.radius[0] for _, d in sides])
+                most = bounds(q, slice(0, 1), roots, np.linalg.norm(roots, axis=1), radius)[0]
+                near = roots @ q.centres[0]
+                for i in sorted(range(len(sides)), key=lambda i: (sides[i][0] != cell, -near[i])):
+                    if most[i] >= best.worst.min():
+                        dual_search(q, best, sides[i][1])
+                found += best.rows(q.kth)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return search
@@ -230,7 +369,7 @@ def _search(k: int):
 
 def top_k(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64,
-    pivots: int = 256, sample_rows: int = 4_096, block_rows: int = 512, data_blocks: int = 64, query_blocks: int = 640,
+    fan: int = 64, sample_rows: int = 512, block_rows: int = 512, data_blocks: int = 64, query_blocks: int = 640, most_cells: int = 1_024, most_levels: int = 16,
 ) -> DataFrame:
     """Per query (ids divisible by ``every``): query_id, rank (from 1), vec_id, score.
 
@@ -238,66 +377,58 @@ def top_k(
     dealt to as many tasks as there are shuffle partitions.
     """
     spark = embeddings.sparkSession
-    rows = written(quantized(embeddings, id_col, vector_col, scale).withColumn("dim", F.size("v")), "vectors")
-    # The sample decides only how rows are grouped; all rows are indexed.
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample_rows).select("dim", "v").collect()
-    by_dim: dict[int, np.ndarray] = {}
-    for dim in {r["dim"] for r in sample}:
-        by_dim[dim] = far_pivots(np.array([r["v"] for r in sample if r["dim"] == dim], dtype=np.float64), pivots)
-    shared = spark.sparkContext.broadcast(by_dim)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            cell = np.zeros(len(dims), dtype=np.int32)
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                centres = shared.value.get(int(dim))
-                if centres is not None:
-                    vectors = np.array(batch.column(1).take(pa.array(own)).to_pylist(), dtype=np.float64)
-                    cell[own] = (-2 * vectors @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "v", "dim", "cell"])
-
-    placed = rows.select("vec_id", "v", "dim").mapInArrow(nearest, "vec_id long, v array<double>, dim int, cell int")
-    placed = written(placed, "cells")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    placed = placed.join(sizes, ["dim", "cell"])
-    block = F.xxhash64("dim", "cell", F.pmod(F.xxhash64("vec_id"), "parts"))
-    placed = placed.select("vec_id", "v", "cell", "dim", block.alias("block"))
-    blocks = written(placed.groupBy("block").applyInPandas(_build_block(k, every, shared), _BLOCK), "blocks")
-
-    pairs = _cell_pairs(blocks, by_dim)
-    n_blocks = blocks.agg(F.count("*").alias("n"), F.sum((F.col("n_queries") > 0).cast("long")).alias("q")).first()
-    total, askers = n_blocks["n"] or 0, n_blocks["q"] or 0
-    data_parts = max(1, -(-total // data_blocks), min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    query_parts = max(1, -(-askers // query_blocks))
-    asking = blocks.toDF(*blocks.columns).where("n_queries > 0").withColumn("q_part", F.pmod(F.xxhash64("block", F.lit(1)), F.lit(query_parts)))
-    data = blocks.withColumn("d_part", F.pmod(F.xxhash64("block", F.lit(2)), F.lit(data_parts)))
-    q_side = asking.select(F.col("dim"), F.col("cell").alias("q_cell"), "q_part").distinct()
-    d_side = data.select(F.col("dim"), F.col("cell").alias("d_cell"), "d_part").distinct()
-    meet = q_side.join(pairs, ["dim", "q_cell"]).join(d_side, ["dim", "d_cell"])
-    q_rows = asking.join(meet.select("dim", F.col("q_cell").alias("cell"), "q_part", "d_part").distinct(), ["dim", "cell", "q_part"])
-    d_rows = data.join(meet.select("dim", F.col("d_cell").alias("cell"), "q_part", "d_part").distinct(), ["dim", "cell", "d_part"])
+    cells = tree_cells(quantized(embeddings, id_col, vector_col, scale), block_rows, sample_rows, fan, most_levels)
+    blocks = written(cells.groupBy("cell").applyInPandas(_build_block(k, every), _BLOCK), "blocks")
+
+    narrow = ranked(blocks.select("cell", "dim", "n_queries", "centre", "reach", "q_reach", "worst"), "cell", into="place")
+    narrow = written(_with_top(narrow, most_cells, most_levels), "places")
+    known = narrow.agg(F.count("*").alias("n"), F.count_if(F.col("n_queries") > 0).alias("q")).first()
+    least_parts = min(known["n"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    data_run = max(1, min(data_blocks, -(-known["n"] // max(1, least_parts))))
+    narrow = narrow.withColumns({"d_part": F.floor(F.col("place") / data_run), "q_part": F.floor(F.col("place") / query_blocks)})
+    pairs = _cell_pairs(narrow)
+    q_side = narrow.where("n_queries > 0").select("dim", F.col("top").alias("q_top"), "q_part").distinct()
+    d_side = narrow.select("dim", F.col("top").alias("d_top"), "d_part").distinct()
+    meet = written(q_side.join(pairs, ["dim", "q_top"]).join(d_side, ["dim", "d_top"]), "meet")
     task = ["q_part", "d_part"]
-    keep = ["block", "dim", "centre", *task]
-    q_rows, d_rows = q_rows.select(*keep, "worsts", "q_ids", "q_vectors"), d_rows.select(*keep, "ids", "vectors")
-    meeting = q_rows.toDF(*q_rows.columns).groupBy(*task).cogroup(d_rows.toDF(*d_rows.columns).groupBy(*task))
+    asking = narrow.where("n_queries > 0").select("cell", "dim", F.col("top").alias("q_top"), "q_part").join(meet.select("dim", "q_top", *task).distinct(), ["dim", "q_top", "q_part"])
+    data = narrow.select("cell", "dim", F.col("top").alias("d_top"), "d_part").join(meet.select("dim", "d_top", *task).distinct(), ["dim", "d_top", "d_part"])
+    asking = asking.select("cell", *task).join(blocks.select("cell", "queries"), "cell")
+    data = data.select("cell", *task).join(blocks.select("cell", "data"), "cell")
+    meeting = asking.toDF(*asking.columns).groupBy(*task).cogroup(data.toDF(*data.columns).groupBy(*task))
     found = meeting.applyInPandas(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _cell_pairs(blocks: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """``(dim, q_cell, d_cell)`` that the bound does not prune; at most pivots squared rows for each dim."""
-    cells = blocks.groupBy("dim", "cell").agg(F.max("reach").alias("reach"), F.max("q_reach").alias("q_reach"), F.min("worst").alias("worst"), F.max(F.col("n_queries") > 0).alias("asks"))
-    rows = cells.collect()  # a row a pivot at most
-    pairs = []
-    for dim in {r["dim"] for r in rows}:
-        own = [r for r in rows if r["dim"] == dim]
-        centres = np.array([_pivot(pivots, dim, r["cell"]) for r in own])
-        norm = np.linalg.norm(centres, axis=1)
-        reach, q_reach, worst = (np.array([r[c] for r in own]) for c in ("reach", "q_reach", "worst"))
-        bound = centres @ centres.T + norm[:, None] * reach + q_reach[:, None] * norm + q_reach[:, None] * reach
-        q, d = np.nonzero((bound + 1e-9 * np.abs(bound) + 1e-6 >= worst[:, None]) & np.array([r["asks"] for r in own])[:, None])
-        pairs += [(dim, own[i]["cell"], own[j]["cell"]) for i, j in zip(q.tolist(), d.tolist(), strict=True)]
-    return blocks.sparkSession.createDataFrame(pairs, "dim int, q_cell int, d_cell int")
+def _with_top(blocks: DataFrame, most_cells: int, most_levels: int) -> DataFrame:
+    """``blocks`` with ``top``, their cell at the lowest level that has at most ``most_cells`` of them for each number of components."""
+    at = lambda depth: F.substring_index("cell", "/", depth)
+    depth = 1
+    while depth <= most_levels:
+        most = blocks.groupBy("dim").agg(F.count_distinct(at(depth + 1)).alias("n"), F.count_distinct("cell").alias("every")).agg(F.max("n").alias("n"), F.max(F.col("n") >= F.col("every")).alias("last")).first()
+        if not most["n"] or most["n"] > most_cells:
+            break
+        depth += 1
+        if most["last"]:
+            break
+    return blocks.withColumn("top", at(depth))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _cell_pairs(blocks: DataFrame) -> DataFrame:
+    """``(dim, q_top, d_top)`` that the bound does not prune. A cell is centred on its first block and covers the balls of all of them."""
+    firsts = blocks.groupBy("dim", "top").agg(F.min_by("centre", "cell").alias("middle"))
+    away = lambda r: F.max(F.sqrt(F.aggregate(F.zip_with("centre", "middle", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)) + F.col(r))
+    asks = F.col("n_queries") > 0
+    cells = blocks.join(firsts, ["dim", "top"]).groupBy("dim", "top").agg(
+        F.first("middle").alias("c"), away("reach").alias("r"), F.max(asks).alias("asks"), F.min(F.when(asks, F.col("worst"))).alias("worst"),
+    )
+    cells = written(cells.withColumn("norm", F.sqrt(_dot(F.col("c"), F.col("c")))), "tops")
+    q = cells.where("asks").select("dim", F.col("top").alias("q_top"), F.col("c").alias("q_c"), F.col("r").alias("q_r"), F.col("norm").alias("q_norm"), "worst")
+    d = cells.select("dim", F.col("top").alias("d_top"), F.col("c").alias("d_c"), F.col("r").alias("d_r"), F.col("norm").alias("d_norm"))
+    most = _dot(F.col("q_c"), F.col("d_c")) + F.col("q_norm") * F.col("d_r") + F.col("q_r") * F.col("d_norm") + F.col("q_r") * F.col("d_r")
+    return q.join(d, "dim").where(most + F.abs(most) * 1e-9 + 1e-6 >= F.col("worst")).select("dim", "q_top", "d_top")

@@ -19,6 +19,17 @@ def top_k(rows, k=20, every=20, scale=64):
     return sorted(set(out))
 
 
+def top_k_by_id(rows, k=20, every=20, scale=64):
+    """The same with repeated query ids: each different vector of an id asks, and the id's best answers of all count."""
+    good = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows]
+    out = []
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        asks = {tuple(v) for i, v in good if i == q}
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for a in asks for i, b in good if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
 def dedup(rows, window=50):
     """[(doc_id, n_words, n_removed, kept)] of (doc_id, text) rows."""
     least: dict[tuple, int] = {}

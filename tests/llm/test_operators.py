@@ -47,7 +47,7 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
-@pytest.mark.parametrize("parts", [{}, {"pivots": 5, "block_rows": 16, "data_blocks": 2, "query_blocks": 2}])
+@pytest.mark.parametrize("parts", [{}, {"fan": 5, "block_rows": 16, "data_blocks": 2, "query_blocks": 2}, {"fan": 3, "block_rows": 10, "most_levels": 2, "most_cells": 4}])
 def test_top_k(spark, parts):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 6))
@@ -69,14 +69,51 @@ def test_top_k_of_nothing(spark):
 def test_cover_bound_prunes_nothing_needed():
     rng = np.random.default_rng(2)
     data, ids = np.floor(rng.normal(size=(700, 5)) * 64), np.arange(700)
-    best = cover_search.Best(ids[:40], 7)
-    cover_search.dual_search(cover_search.Tree(data[:40]), data[:40], best, cover_search.Tree(data), data, ids)
-    for q, row in zip(range(40), best._kept, strict=True):
+    tree = cover_search.Tree(data)
+    queries = cover_search.query_side(tree, ids, ids % 17 == 0)
+    best = cover_search.Best(queries.ids, 7)
+    cover_search.dual_search(queries, best, cover_search.Side.unpacked(cover_search.data_side(tree, ids).packed()))
+    assert len(queries.ids) == 42
+    for q, row in zip(queries.ids.tolist(), best._kept, strict=True):
         scores = (data[q] @ data.T).astype(int)
         expected = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:7]
         assert sorted(zip((-row[0]).tolist(), row[1].tolist(), strict=True)) == expected
 
 
+def test_cover_tree_rules():
+    """Nodes cover their rows within their radius, children lie within and halve it, are apart, and hold the parent's centre."""
+    rng = np.random.default_rng(5)
+    data = np.floor(np.concatenate([rng.normal(size=(300, 3)) * 4 + c for c in rng.normal(size=(6, 3)) * 200]))
+    tree = cover_search.Tree(data)
+    vectors = data[tree.order]
+    assert sorted(tree.order.tolist()) == list(range(len(data))) and len(tree.begin) > 20
+    for i, (begin, end, centre, radius) in enumerate(zip(tree.begin, tree.end, tree.centre, tree.radius, strict=True)):
+        assert begin <= centre < end
+        assert np.isclose(np.linalg.norm(vectors[begin:end] - vectors[centre], axis=1).max(), radius)
+        children = [j for j, p in enumerate(tree.parent) if p == i]
+        if children:
+            assert sum(tree.end[j] - tree.begin[j] for j in children) == end - begin and any(tree.centre[j] == centre for j in children)
+            assert all(tree.radius[j] <= radius / 2 for j in children)
+            apart = [np.linalg.norm(vectors[tree.centre[a]] - vectors[tree.centre[b]]) for a in children for b in children if a < b]
+            assert min(apart) > radius / 2
+
+
+def test_cover_tree_compares_less_than_it_holds():
+    """On ten times the rows a query is compared with far fewer than ten times as many."""
+    rng = np.random.default_rng(6)
+    per_query = []
+    for n in (2_000, 20_000):
+        centres = rng.normal(size=(n // 50, 4)) * 300
+        data, ids = np.floor(centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 4)) * 3), np.arange(n)
+        tree = cover_search.Tree(data)
+        queries = cover_search.query_side(tree, ids, ids % 20 == 0)
+        best = cover_search.Best(queries.ids, 20)
+        cover_search.dual_search(queries, best, cover_search.data_side(tree, ids))
+        per_query.append(best.compared / len(queries.ids))
+    print("rows compared for each query, of 2,000 and of 20,000:", per_query)
+    assert per_query[0] < 2_000 / 2 and per_query[1] < 5 * per_query[0]
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
