@@ -256,6 +256,7 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spans = duplicate_spans(docs, id_col, text_col, **options).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans")
     own = docs.drop(*results)
-    without = F.arrow_udf(_without, "n_words long, n_removed long, kept_text string")
+    # So marked, it runs once for each row: a filter on its results would else run it again.
+    without = F.arrow_udf(_without, "n_words long, n_removed long, kept_text string").asNondeterministic()
     found = own.join(spans.hint("shuffle_hash"), (own[id_col].cast("long") == spans["__id"]) & (F.xxhash64(own[text_col]) == spans["__key"]), "left")
     return found.select(*own.columns, without(F.col(text_col).cast("string"), F.col("__spans")).alias("__out")).select(*own.columns, *(F.col(f"__out.{c}").alias(c) for c in results))
