@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with a cover tree over queries and data together.
 
-One tree holds all vectors. Its upper levels are built over the cluster: a cell of more than ``block_rows`` rows gets pivots of its own, rows
-far apart in a bounded sample of it (``sample_rows``; the sample decides only where a cell is cut), every row of the cell goes to the
-nearest one, and so on level by level until cells are blocks. A cell of equal vectors is cut by hash instead. Below, each block grows its
+One tree holds all vectors. Its upper levels are built over the cluster: a cell of more than ``block_rows`` rows gets pivots of its own, different
+vectors of a bounded sample of it (``sample_rows``; the sample decides only where a cell is cut), every row of the cell goes to the
+nearest one, and so on level by level until cells are blocks. A cell of equal vectors is cut by hash instead, and so is what is left after
+``most_levels``. Pivots are not the farthest rows here: those are outliers, and cells would come out uneven. Below, each block grows its
 part of the tree once, and it is stored with the block's rows. A node's centre is one of its rows; its children are centred so that they cover
 it within half its radius, lie farther than that from each other, and the first has the parent's centre. Where halving would take more than a quarter
 of a node's rows as children, the node is a leaf. Every node knows its covering radius, and the radius of its queries: the same
@@ -63,16 +64,6 @@ def _floor(x: Column) -> Column:
     return F.when(small, F.floor(x).cast("double")).otherwise(x)
 
 
-def far_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Rows of ``sample``, each the farthest from those before it, until all are covered or ``count`` are chosen."""
-    chosen = [0]
-    distance = np.linalg.norm(sample - sample[0], axis=1)
-    while len(chosen) < min(count, len(sample)) and distance.max() > 0:
-        chosen.append(int(distance.argmax()))
-        distance = np.minimum(distance, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
-    return sample[chosen]
-
-
 class Tree:
     """Nodes over a reordering of rows: each a range of it, a centre (a row's place in it), a covering radius and a parent."""
 
@@ -260,8 +251,10 @@ def _choose(block_rows: int, fan: int):
     """A cell's pivots from its sample: about two for each block that its ``n`` rows make."""
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place", kind="stable")
         sample = np.array(group["v"].tolist(), dtype=np.float64)
-        pivots = far_pivots(sample, int(min(fan, max(2, -(-2 * int(group["n"].iloc[0]) // block_rows)))))
+        first = np.sort(np.unique(sample, axis=0, return_index=True)[1])  # the sample is in order of a hash
+        pivots = sample[first[: int(min(fan, max(2, -(-2 * int(group["n"].iloc[0]) // block_rows))))]]
         return pd.DataFrame([(group["cell"].iloc[0], int(group["n"].iloc[0]), pivots.reshape(-1).tolist(), len(pivots))], columns=["cell", "n", "pivots", "k"])
 
     return choose
@@ -369,7 +362,7 @@ def _search(k: int):
 
 def top_k(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64,
-    fan: int = 64, sample_rows: int = 512, block_rows: int = 512, data_blocks: int = 64, query_blocks: int = 640, most_cells: int = 1_024, most_levels: int = 16,
+    fan: int = 64, sample_rows: int = 512, block_rows: int = 512, data_blocks: int = 64, query_blocks: int = 640, most_cells: int = 1_024, most_levels: int = 8,
 ) -> DataFrame:
     """Per query (ids divisible by ``every``): query_id, rank (from 1), vec_id, score.
 
