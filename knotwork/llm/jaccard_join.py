@@ -7,7 +7,7 @@ token are candidates. The other orders' prefixes are then looked up by set, and
 too are left: the filters are intersected on keys and prefixes, before any text of a candidate is read. The first order puts
 tokens last that many documents hold, going by counters over all documents (a fixed number of
 counters, which collide harmlessly: any order gives the same links); within a level, and in the other
-orders, tokens are ordered by different hashes. Prefixes of the other orders are kept as 32-bit values, so now and then a candidate passes by chance.
+orders, tokens are ordered by different hashes. Prefixes of the other orders are kept as 16-bit values, so some candidates pass by chance, long texts more often.
 
 Groups of copies cost few pairs. Equal sets are one class. Each token's documents are first
 compared with ``CENTRES`` of them only; the links found are contracted to components; then just those pairs
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm.textblocks import Prefix, Words, changes, mix, text_blocks, utf8, whole_groups
 from knotwork.operators.components import connected_components
-from knotwork.plans.materialize import written
+from knotwork.plans.materialize import dropped, written
 
 COUNTER_BITS = 21
 SLICES = 64
@@ -46,7 +46,8 @@ CENTRES = 8
 BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
 CELL = 1_024
-_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<int>, third array<int>, slice int, counters binary"
+FEW_ASKED = 200_000
+_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<smallint>, third array<smallint>, slice int, counters binary"
 _PREFIX = "token long, salt int, set_key long, n int, pos int"
 _MET = "token long, set_key long, n int, pos int, a long, b long"
 
@@ -87,11 +88,11 @@ def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def order_prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under the order that ``seed`` gives, as 32-bit values."""
+    """The first tokens of a set under the order that ``seed`` gives, as 16-bit values, each once."""
     order = mix(tokens ^ np.uint64(seed))
     length = prefix_length(len(tokens), percent)
     first = order if length == len(order) else np.partition(order, length - 1)[:length]
-    return first.astype(np.uint32).view(np.int32)
+    return np.unique(first.astype(np.uint16)).view(np.int16)
 
 
 def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
@@ -102,7 +103,7 @@ def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
 
 def _sets(size: int, percent: int):
     """Each document's set key, size and bitmap, a new set's prefixes, and at the end the partition's token counters."""
-    lists = [("bits", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))]
+    lists = [("bits", pa.list_(pa.int64())), ("second", pa.list_(pa.int16())), ("third", pa.list_(pa.int16()))]
     kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), *lists, ("slice", pa.int32()), ("counters", pa.binary())]
     schema = pa.schema(kinds)
 
@@ -127,7 +128,7 @@ def _sets(size: int, percent: int):
                 if fresh:
                     np.add.at(counters, (np.concatenate(fresh) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
                 own_rows = batch.slice(begin, end - begin)
-                lists = [_lists(bitmaps, pa.int64()), *(_lists(p, pa.int32()) for p in prefixes)]
+                lists = [_lists(bitmaps, pa.int64()), *(_lists(p, pa.int16()) for p in prefixes)]
                 yield pa.RecordBatch.from_arrays([own_rows.column(0), own_rows.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *lists, pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())], schema=schema)
         if counters.any():
             cut = np.minimum(counters, (1 << 16) - 1).astype(np.uint16).reshape(SLICES, -1)
@@ -276,15 +277,22 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first_seen = first_pass.where("bits is not null").select("set_key", "n", "bits", "second", "third")
     kept = first_seen.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n", "bits", "second", "third")))
     reps = written(named.select("set_key", "rep.doc_id", "rep.text_key").join(kept, "set_key"), "reps")
+    sets = written(sets, "sets")
+    dropped(first_pass)
     tried = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     links = _verified(source, tried, reps, size, percent)
     parts = connected_components(links, "a", "b")
     rest = written(_across(met.where("a is null"), parts, reps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    dropped(met, tried)
+    more = None
     if not rest.isEmpty():
-        parts = connected_components(links.unionByName(_verified(source, rest, reps, size, percent)), "a", "b")
+        more = _verified(source, rest, reps, size, percent)
+        parts = connected_components(links.unionByName(more), "a", "b")
 
     labelled = sets.join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")).alias("label"))
-    return written(labelled, "labels")
+    labelled = written(labelled, "labels")
+    dropped(reps, rest, links, more, sets)
+    return labelled
 
 
 def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -298,7 +306,7 @@ def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) ->
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("k"))
     several = sizes.groupBy("token").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
     several = several.select("token", F.col("main.part").alias("main"), F.ceil(F.col("k") / CELL).cast("int").alias("high"), F.ceil((F.col("k") - F.col("main.k")) / CELL).cast("int").alias("wide"))
-    rows = written(rows.join(several, "token").join(reps.select("set_key", "bits"), "set_key"), "met")
+    rows = written(rows.join(several, "token").join(reps.select("set_key", "bits"), "set_key"), "across")
     small = rows.where("part <> main").withColumn("x", F.pmod(F.xxhash64("set_key"), "wide")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
     small = small.select("token", "x", "y", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part", "bits")))
     large = rows.withColumn("y", F.pmod(F.xxhash64("set_key"), "high")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
@@ -327,7 +335,9 @@ def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, p
     pairs = pairs.join(blocks_of, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
     centres = pairs.select("a", "part", F.lit(None).cast("long").alias("b")).distinct()
     asked = pairs.unionByName(centres).withColumn("set_key", F.coalesce("b", "a"))
-    asked = asked.join(reps.select("set_key", "doc_id", "text_key"), "set_key").join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
+    asked = written(asked.join(reps.select("set_key", "doc_id", "text_key"), "set_key").drop("set_key"), "asked")
+    few = asked.count() <= FEW_ASKED  # five numbers a row: then the texts stay where they are
+    asked = (F.broadcast(asked) if few else asked).join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
     # A repeated row of the table gives its text several times, and a pair with it.
     grouped = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return written(grouped.mapInArrow(_similar(size, percent), "a long, b long").distinct(), "links")
