@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = 64
@@ -61,3 +61,33 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     common = cardinality(combine(a, b, "and")).withColumnRenamed("count", "c")
     either = cardinality(combine(a, b, "or")).withColumnRenamed("count", "e")
     return either.join(common, "key", "left").select("key", (F.coalesce("c", F.lit(0)) / F.col("e")).alias("jaccard"))
+
+
+def equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(key, equal)`` for every key of either: whether both bitmaps hold the same values."""
+    own, other = (x.where("mask <> 0").groupBy("key", "block").agg(F.bit_or("mask").alias(name)) for x, name in ((a, "__a"), (b, "__b")))
+    return own.join(other, ["key", "block"], "full").groupBy("key").agg(F.every(F.col("__a").eqNullSafe(F.col("__b"))).alias("equal"))
+
+
+def append(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """Bitmaps of ``size`` bits followed by those of ``b``: each value of ``b`` comes ``size`` later."""
+    shift, words = size % WORD, size // WORD
+    low = b.select("key", (F.col("block") + words).alias("block"), F.shiftleft("mask", shift).alias("mask"))
+    if shift:
+        high = b.select("key", (F.col("block") + words + 1).alias("block"), F.shiftrightunsigned("mask", WORD - shift).alias("mask"))
+        low = low.unionByName(high)
+    return a.select("key", "block", "mask").unionByName(low.where("mask <> 0")).groupBy("key", "block").agg(F.bit_or("mask").alias("mask"))
+
+
+def statistics(bitmaps: DataFrame, size: int) -> DataFrame:
+    """``(key, dirty_words, empty_words, full_words, runs)`` of bitmaps of ``size`` bits, as a run-length form would count them.
+
+    Dirty words hold both ones and zeros; ``runs`` are stretches of dirty words, each of which ends a stretch of clean ones.
+    """
+    words, tail = -(-size // WORD), size % WORD
+    full = F.when(F.col("block") == words - 1, F.lit(-1 if not tail else (1 << tail) - 1)).otherwise(F.lit(-1)).cast("long")
+    rows = bitmaps.where("mask <> 0").withColumn("dirty", F.col("mask") != full)
+    before = F.lag("block").over(Window.partitionBy("key", "dirty").orderBy("block"))
+    rows = rows.withColumn("starts", F.col("dirty") & (before.isNull() | (before < F.col("block") - 1)))
+    dirty, whole = F.count_if("dirty"), F.count_if(~F.col("dirty"))
+    return rows.groupBy("key").agg(dirty.alias("dirty_words"), (F.lit(words) - F.count("*")).alias("empty_words"), whole.alias("full_words"), F.count_if("starts").alias("runs"))

@@ -1,12 +1,13 @@
 """Common neighbours of every edge, and triangles.
 
-``cn(u, v)`` is the number of common neighbours of the ends of an edge; edges without one stay, with 0. Four
+``cn(u, v)`` is the number of common neighbours of the ends of an edge; edges without one stay, with 0. Five
 physical strategies give the same rows:
 
 - ``array``: adjacency arrays meet at each edge, ``size(array_intersect)``; simple, for moderate degrees;
 - ``wedge``: out-wedges of the degree-oriented graph, closed by a semi join with the edges, then counted per edge;
 - ``scatter``: triangles listed once and scattered to their three edges;
-- ``block``: neighbours as 64-bit blocks, joined on block numbers, ``bit_count`` of the common bits; for dense ids.
+- ``block``: neighbours as 64-bit blocks, joined on block numbers, ``bit_count`` of the common bits; for dense ids;
+- ``hybrid``: ``block`` for edges with a vertex of ``dense`` neighbours or more, ``array`` for the others, so that no array is longer than that.
 
 The oriented strategies bound out-degrees by the square root of twice the number of edges, so hubs do not multiply.
 """
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.graph import Graph
+from knotwork.plans.materialize import written
 
-STRATEGIES = ("scatter", "array", "wedge", "block")
+STRATEGIES = ("scatter", "array", "wedge", "block", "hybrid")
 
 
 def triangles(graph: Graph) -> DataFrame:
@@ -52,9 +54,11 @@ def _scatter(graph: Graph) -> DataFrame:
     return graph.edges.join(hits, ["src", "dst"], "left").select("src", "dst", F.coalesce("cn", F.lit(0)).cast("long").alias("cn"))
 
 
-def _array(graph: Graph) -> DataFrame:
-    adj = graph.adjacency()
-    both = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
+def _array(graph: Graph, edges: DataFrame | None = None, directed: DataFrame | None = None) -> DataFrame:
+    """Over ``edges`` of the graph, with the neighbour lists of ``directed``."""
+    edges, directed = graph.edges if edges is None else edges, graph.symmetric() if directed is None else directed
+    adj = directed.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("nbrs"))
+    both = edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
     return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("cn"))
 
 
@@ -78,38 +82,50 @@ def neighbour_blocks(directed: DataFrame) -> DataFrame:
     return directed.groupBy(F.col("src").alias("id"), F.expr("dst div 64").alias("block")).agg(F.bit_or(bit).alias("mask"))
 
 
-def _block(graph: Graph) -> DataFrame:
+def _block(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
+    edges = graph.edges if edges is None else edges
     masks = neighbour_blocks(graph.symmetric())
-    left = graph.edges.join(masks.select(F.col("id").alias("src"), "block", F.col("mask").alias("m1")), "src")
+    left = edges.join(masks.select(F.col("id").alias("src"), "block", F.col("mask").alias("m1")), "src")
     both = left.join(masks.select(F.col("id").alias("dst"), "block", F.col("mask").alias("m2")), ["dst", "block"])
     counts = both.groupBy("src", "dst").agg(F.sum(F.bit_count(F.col("m1").bitwiseAND(F.col("m2")))).alias("cn"))
-    return graph.edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("cn", F.lit(0)).cast("long").alias("cn"))
+    return edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("cn", F.lit(0)).cast("long").alias("cn"))
+
+
+def _hybrid(graph: Graph, dense: int) -> DataFrame:
+    hubs = graph.degrees(isolated=False).where(F.col("deg") >= dense).select("id", F.lit(True).alias("hub"))
+    flag = lambda c: hubs.select(F.col("id").alias(c), F.col("hub").alias(f"hub_{c}"))
+    split = written(graph.edges.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").select("src", "dst", F.coalesce("hub_src", "hub_dst", F.lit(False)).alias("hub")), "split")
+    sparse = graph.symmetric().join(hubs.select(F.col("id").alias("src")), "src", "left_anti")
+    return _array(graph, split.where("not hub").select("src", "dst"), sparse).unionByName(_block(graph, split.where("hub").select("src", "dst")))
 
 
-def common_neighbors(graph: Graph, strategy: str = "scatter") -> DataFrame:
+def common_neighbors(graph: Graph, strategy: str = "scatter", dense: int = 1_000) -> DataFrame:
     """``(src, dst, cn)`` for every edge, ``src < dst``."""
+    if strategy == "hybrid":
+        return _hybrid(graph, dense)
     return {"scatter": _scatter, "array": _array, "wedge": _wedge, "block": _block}[strategy](graph)
 
 
 def cliques4(graph: Graph) -> DataFrame:
-    """Each 4-clique once, ``(a, b, c, d)`` ascending: triangles extended by a common larger neighbour."""
-    edge = graph.edges
-    t = triangles(graph)
-    more = t.join(edge.select(F.col("src").alias("c"), F.col("dst").alias("d")), "c")
-    for end in ("a", "b"):
-        more = more.join(edge.select(F.col("src").alias(end), F.col("dst").alias("d")), [end, "d"], "left_semi")
-    return more.select("a", "b", "c", "d")
+    """Each 4-clique once, ``(a, b, c, d)`` ascending."""
+    return _extended(triangles(graph), graph.edges, ["a", "b", "c"], "d")
+
+
+def _extended(cliques: DataFrame, edges: DataFrame, names: list[str], new: str) -> DataFrame:
+    """Cliques of one vertex more: two that differ in their last vertex only, and an edge between these two."""
+    *shared, last = names
+    other = cliques.select(*shared, F.col(last).alias(new))
+    return cliques.join(other, shared).where(F.col(last) < F.col(new)).join(edges.select(F.col("src").alias(last), F.col("dst").alias(new)), [last, new], "left_semi").select(*names, new)
 
 
 def cliques(graph: Graph, k: int) -> DataFrame:
     """Each k-clique once, as columns v1 < ... < vk."""
     if k < 2:
         raise ValueError("k must be 2 or more")
-    edge = graph.edges
-    out = edge.select(F.col("src").alias("v1"), F.col("dst").alias("v2"))
-    for n in range(3, k + 1):
-        new = f"v{n}"
-        out = out.join(edge.select(F.col("src").alias(f"v{n - 1}"), F.col("dst").alias(new)), f"v{n - 1}")
-        for i in range(1, n - 1):
-            out = out.join(edge.select(F.col("src").alias(f"v{i}"), F.col("dst").alias(new)), [f"v{i}", new], "left_semi")
-    return out.select(*(f"v{i}" for i in range(1, k + 1)))
+    names = [f"v{i}" for i in range(1, k + 1)]
+    if k == 2:
+        return graph.edges.toDF(*names)
+    out = triangles(graph).toDF(*names[:3])
+    for n in range(3, k):
+        out = _extended(out, graph.edges, names[:n], names[n])
+    return out

@@ -75,8 +75,8 @@ def vertices_of(edges: DataFrame, universe: str = "endpoints") -> DataFrame:
     if universe == "endpoints":
         return ends.distinct()
     if universe == "range":
-        most = ends.agg(F.max("id").alias("most"))
-        return most.where("most is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("id"))
+        most = ends.agg(F.max("id")).first()[0]
+        return edges.sparkSession.range(0 if most is None else most + 1)
     raise ValueError(f"unknown universe {universe!r}")
 
 

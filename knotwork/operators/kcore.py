@@ -1,7 +1,8 @@
 """K-core decomposition by iterated h-indices.
 
 A vertex's coreness is the fixed point of: the largest h such that h neighbours have value h or more, starting from
-degrees. Each round is one join and one aggregate over the edges; a hub's neighbours are counted by
+degrees. After the first, a round looks only at vertices of which a neighbour fell below their own value: one join and one aggregate over their
+edges. A hub's neighbours are counted by
 value before they meet, so a group holds at most as many rows as there are different values.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators.graph import Graph
-from knotwork.plans.materialize import written
+from knotwork.plans.materialize import dropped, written
 
 
 def coreness(graph: Graph, max_rounds: int = 200) -> DataFrame:
@@ -19,15 +20,24 @@ def coreness(graph: Graph, max_rounds: int = 200) -> DataFrame:
     sym = written(graph.symmetric(), "sym")
     value = written(graph.degrees(isolated=False).withColumnRenamed("deg", "core"), "core")
     falling = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
+    near: DataFrame | None = None
+    before: DataFrame | None = None
     for _ in range(max_rounds):
-        seen = sym.join(value.withColumnRenamed("id", "dst"), "dst").groupBy("src", "core").agg(F.count("*").alias("k"))
+        own = sym if near is None else sym.join(near, "src", "left_semi")
+        seen = own.join(value.withColumnRenamed("id", "dst"), "dst").groupBy("src", "core").agg(F.count("*").alias("k"))
         index = seen.withColumn("at_least", F.sum("k").over(falling)).groupBy(F.col("src").alias("id")).agg(F.max(F.least("core", "at_least")).alias("h"))
-        new = written(value.join(index, "id").select("id", F.col("core").alias("was"), F.least("core", "h").alias("core")), "core")
-        value = new.select("id", "core")
-        if new.where("core <> was").isEmpty():
+        fallen = written(value.join(index, "id").where("h < core").select("id", F.col("h").alias("core")), "fallen")
+        if fallen.isEmpty():
             break
+        new = written(value.join(fallen.withColumnRenamed("core", "h"), "id", "left").select("id", F.coalesce("h", "core").alias("core")), "core")
+        # A vertex is looked at again if a neighbour fell below its own value.
+        touched = sym.join(fallen.select(F.col("id").alias("dst"), F.col("core").alias("low")), "dst").groupBy("src").agg(F.min("low").alias("low"))
+        near = touched.join(new.select(F.col("id").alias("src"), "core"), "src").where("low < core").select("src")
+        dropped(value, before)
+        value, before = new, fallen
     else:
         raise RuntimeError(f"coreness did not settle in {max_rounds} rounds")
+    dropped(sym, before)
     return graph.vertices.join(value, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 

@@ -14,9 +14,10 @@ from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, InvalidGraph
 from knotwork.operators.kcore import coreness
 from knotwork.operators.relational import bfs_levels
-from knotwork.plans.materialize import written
+from knotwork.plans.materialize import dropped, written
 from knotwork.plans.ranking import ranked
 
+
 def _perm(rows: DataFrame, *order: Column | str) -> DataFrame:
     """By ``order``, ties by id."""
     return ranked(rows, *order, "id", into="new_id").select(F.col("id").alias("old_id"), "new_id")
@@ -38,7 +39,7 @@ def core_order(graph: Graph, by_degree_product: bool = False) -> DataFrame:
 
 
 def random_order(graph: Graph, seed: int = 0) -> DataFrame:
-    return _perm(graph.vertices, F.xxhash64("id", F.lit(seed)))
+    return _perm(graph.vertices, F.md5(F.concat_ws(":", F.lit(seed), "id")))
 
 
 def given_order(graph: Graph, perm: DataFrame) -> DataFrame:
@@ -47,14 +48,16 @@ def given_order(graph: Graph, perm: DataFrame) -> DataFrame:
     return perm
 
 
-def bfs_order(graph: Graph, reverse: bool = False) -> DataFrame:
+def bfs_order(graph: Graph, reverse: bool = False, peripheral: bool = False) -> DataFrame:
     """Components by smallest id, in each levels from that vertex, within a level degree ascending, ties by id.
 
-    ``reverse`` numbers from the end, like reverse Cuthill-McKee does.
+    ``reverse`` numbers from the end, like reverse Cuthill-McKee does. ``peripheral`` starts each component from one end of a long
+    path through it (:func:`peripheral_sources`).
     """
     edges = written(graph.edges, "edges")
     parts = written(connected_components(edges), "parts")
-    levels = bfs_levels(edges, parts.select("component").distinct().withColumnRenamed("component", "id"))
+    sources = peripheral_sources(graph, parts).select("id") if peripheral else parts.select("component").distinct().withColumnRenamed("component", "id")
+    levels = bfs_levels(edges, sources)
     rows = graph.vertices.join(parts, "id", "left").join(levels, "id", "left").join(graph.degrees(), "id")
     perm = _perm(rows, F.coalesce("component", "id"), F.coalesce("level", F.lit(0)), "deg")
     if not reverse:
@@ -62,6 +65,33 @@ def bfs_order(graph: Graph, reverse: bool = False) -> DataFrame:
     return perm.crossJoin(perm.agg(F.max("new_id").alias("last"))).select("old_id", (F.col("last") - F.col("new_id")).alias("new_id"))
 
 
+def peripheral_sources(graph: Graph, parts: DataFrame, sweeps: int = 2) -> DataFrame:
+    """``(component, id, depth)``: of each component of ``parts(id, component)`` a vertex with far others, and how far the farthest is.
+
+    Starts from the smallest id; a sweep moves to the farthest vertex (smallest degree, then id), if others are farther from there.
+    """
+    edges, deg = written(graph.edges, "edges"), written(graph.degrees(isolated=False), "degrees")
+
+    def farthest(sources: DataFrame) -> DataFrame:
+        levels = bfs_levels(edges, sources).join(parts, "id").join(deg, "id")
+        return levels.groupBy("component").agg(F.max("level").alias("depth"), F.min_by("id", F.struct((-F.col("level")).alias("l"), "deg", "id")).alias("end"))
+
+    start = parts.groupBy("component").agg(F.min("id").alias("id"))
+    best = written(start.join(farthest(start.select("id")), "component"), "sources")
+    for _ in range(sweeps):
+        moved = best.select("component", F.col("end").alias("id"))
+        tried = moved.join(farthest(moved.select("id")), "component").select("component", *(F.col(c).alias(f"new_{c}") for c in ("id", "depth", "end")))
+        grown = F.col("new_depth") > F.col("depth")
+        best = written(best.join(tried, "component").select("component", *(F.when(grown, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("id", "depth", "end"))), "sources")
+    return best.select("component", "id", "depth")
+
+
+def hybrid_order(graph: Graph) -> DataFrame:
+    """Degree descending, ties by breadth-first place."""
+    places = bfs_order(graph).select(F.col("old_id").alias("id"), F.col("new_id").alias("place"))
+    return _perm(graph.degrees().join(places, "id"), F.desc("deg"), "place")
+
+
 def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds: int = 1_000) -> DataFrame:
     """Rounds that put the top-degree hubs in front and all but the giant component behind, until it is small."""
     n = graph.vertices.count()
@@ -69,6 +99,7 @@ def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds:
     edges = written(graph.edges, "edges")
     left = written(graph.vertices, "left")
     placed: list[DataFrame] = []  # (id, side, round, size, group)
+    parts_before = sizes_before = None
     for round_no in range(max_rounds):
         if left.isEmpty():
             break
@@ -88,7 +119,9 @@ def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds:
         if keep is None:
             break
         left = written(parts.where(F.col("group") == keep).select("id"), "left")
-        edges = written(edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi"), "edges")
+        inner, edges = edges, written(edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi"), "edges")
+        dropped(inner, parts_before, sizes_before)
+        parts_before, sizes_before = parts, sizes
     else:
         raise RuntimeError(f"no end in {max_rounds} rounds")
     if not placed:
@@ -107,8 +140,9 @@ def communities(graph: Graph, rounds: int = 5) -> DataFrame:
         votes = sym.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("k"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("k"), F.col("community"))).alias("b")).select("id", F.col("b.community").alias("new"))
         # Half of the vertices move in a round (by id hash), so that pairs do not swap labels forever.
-        moves = F.pmod(F.xxhash64("id", F.lit(_)), F.lit(2)) == 0
-        label = written(label.join(best, "id", "left").select("id", F.when(F.col("new").isNotNull() & moves, F.col("new")).otherwise(F.col("community")).alias("community")), "label")
+        moves = F.md5(F.concat_ws(":", F.lit(_), "id")) < "8"
+        before, label = label, written(label.join(best, "id", "left").select("id", F.when(F.col("new").isNotNull() & moves, F.col("new")).otherwise(F.col("community")).alias("community")), "label")
+        dropped(before)
     return label
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators.graph import Graph
+from knotwork.plans.materialize import written
+from knotwork.plans.ranking import running_sums
 
 
 def graph_summary(graph: Graph) -> DataFrame:
@@ -30,7 +32,8 @@ def histogram(counts: DataFrame, col: str) -> DataFrame:
 def greedy_bins(hist: DataFrame, share: float = 0.1, descending: bool = False) -> DataFrame:
     """Consecutive values gathered until a bin holds more than ``share`` of all rows: (bin, low, high, rows).
 
-    Works on a histogram (one row a value); each bin starts where the last one closed.
+    Works on a histogram (one row a value: degrees and counts of a graph of E edges have no more than about the square root of 2 E different
+    values), folded in one row; each bin starts where the last one closed.
     """
     values = F.array_sort(F.collect_list(F.struct("value", "rows")))
     folded = hist.agg(values.alias("v"), F.sum("rows").alias("n"))
@@ -93,16 +96,18 @@ def dense_vertices(graph: Graph, least_degree: int = 16, per_block: int = 2, wid
     return rows.where((F.col("deg") >= least_degree) & (F.col("deg") > per_block * F.col("blocks")))
 
 
-def balanced_ranges(graph: Graph, parts: int) -> DataFrame:
-    """``(part, first_id, last_id, weight)``: id ranges of about equal summed (degree + 2)."""
-    deg = graph.degrees().select("id", (F.col("deg") + 2).alias("w"))
-    total = deg.agg(F.sum("w")).first()[0] or 1
-    block = deg.withColumn("block", F.expr("id div 1024"))
-    sums = block.groupBy("block").agg(F.sum("w").alias("bw"))
-    starts = sums.select("block", F.coalesce(F.sum("bw").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = F.sum("w").over(Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before") - F.col("w")
-    part = F.expr(f"(upto * {parts}) div {total}")
-    placed = block.join(starts, "block").withColumn("upto", upto).withColumn("part", part)
+def balanced_ranges(graph: Graph, parts: int, filtered: bool = False) -> DataFrame:
+    """``(part, first_id, last_id, weight)``: id ranges of about equal summed weight of their vertices.
+
+    A vertex weighs its degree + 2; ``filtered``: the sum of that over its neighbours of larger id.
+    """
+    weights = graph.degrees().select("id", (F.col("deg") + 2).alias("w"))
+    if filtered:
+        ahead = graph.edges.join(weights.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("w"))
+        weights = graph.vertices.join(ahead, "id", "left").select("id", F.coalesce("w", F.lit(0)).cast("long").alias("w"))
+    weights = written(weights, "weights")
+    total = weights.agg(F.sum("w")).first()[0] or 1
+    placed = running_sums(weights, ["id"], {"w": "upto"}).withColumn("part", F.least(F.expr(f"(upto * {parts}) div {total}"), F.lit(parts - 1).cast("long")))
     return placed.groupBy("part").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("w").alias("weight"))
 
 
@@ -165,7 +170,7 @@ def locality(graph: Graph, window: int = 5) -> DataFrame:
 def modularity(graph: Graph, groups: DataFrame) -> DataFrame:
     """One row, ``modularity`` of ``groups(id, community)``."""
     com = lambda c: groups.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}"))
-    both = graph.symmetric().join(com("src"), "src").join(com("dst"), "dst")
+    both = written(graph.symmetric().join(com("src"), "src").join(com("dst"), "dst").select("c_src", "c_dst"), "communities")
     per = both.groupBy("c_src").agg(F.count_if(F.col("c_src") == F.col("c_dst")).alias("inner"), F.count("*").alias("every"))
     total = both.agg(F.count("*").alias("m2"))
     term = F.col("inner") / F.col("m2") - F.pow(F.col("every") / F.col("m2"), 2)
@@ -187,10 +192,18 @@ def leaf_count(graph: Graph) -> DataFrame:
 
 def csr_offsets(graph: Graph) -> DataFrame:
     """``(id, offset, deg)``: where each vertex's neighbours begin in the concatenated adjacency."""
-    deg = graph.degrees().withColumn("range", F.expr("id div 4096"))
-    sums = deg.groupBy("range").agg(F.sum("deg").alias("s"))
-    starts = sums.select("range", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    within = F.coalesce(F.sum("deg").over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return deg.join(starts, "range").select("id", (within + F.col("start")).cast("long").alias("offset"), "deg")
-
-
+    return running_sums(graph.degrees(), ["id"], {"deg": "offset"}).select("id", F.col("offset").cast("long").alias("offset"), "deg")
+
+
+def intersection_waste(graph: Graph) -> DataFrame:
+    """One row over the oriented graph, where each edge's end lists are intersected: ``triangles``, ``empty_edges`` that close none, ``mismatch``
+    (neighbours looked up without a hit) and its share ``ratio`` of 3 for each triangle and 1 for each mismatch."""
+    out = written(graph.oriented(), "oriented")
+    ends = out.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("k"))
+    probed = out.join(ends, "dst").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("probed"))
+    second, third = out.select(F.col("src").alias("dst"), F.col("dst").alias("w")), out.select("src", F.col("dst").alias("w"))
+    hits = out.join(second, "dst").join(third, ["src", "w"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("k"))
+    hits = hits.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("triangles"), F.count("*").alias("closing"))
+    row = hits.crossJoin(probed).crossJoin(out.agg(F.count("*").alias("edges"))).withColumn("mismatch", F.col("probed") - F.col("triangles"))
+    work = F.col("triangles") * 3 + F.col("mismatch")
+    return row.select("triangles", (F.col("edges") - F.col("closing")).alias("empty_edges"), "mismatch", F.when(work > 0, F.col("mismatch") / work).alias("ratio"))

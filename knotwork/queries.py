@@ -1,14 +1,12 @@
 """Queries over the graph operators; ``QUERIES`` and ``ORACLE_SQL`` are by query name.
 
-The graphs are parts sharing an order among lines of 45 pieces or more (``q45``), and documents sharing a line (``docs``).
-``NAME_all`` is the query NAME over all lines: of orders whatever the quantity, of documents all that are not empty.
+The graphs are parts that share an order; ``NAME_docs``: documents linked to the next one that holds the same line; ``NAME_docs_all``: all pairs of
+documents that share a line. Every line counts that is not empty, however many documents hold it.
 """
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,20 +17,18 @@ from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph
 from knotwork.operators.kcore import coreness, k_core
 from knotwork.plans.materialize import written
-from knotwork.sources.derive import line_classes, line_graph, order_graph
+from knotwork.sources.derive import line_chains, line_classes, line_graph, order_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Too slow on DuckDB over all lines; tests/test_all_lines.py has plain versions.
-_SLOW_SQL = {"components"}
-
-_EDGES = """l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem WHERE l_quantity >= 45),
+_EDGES = """l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem),
 e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i)"""
-_ALL_EDGES = _EDGES.replace(" WHERE l_quantity >= 45", "")
-_DOC_EDGES = r"""l AS (SELECT DISTINCT doc_id AS i, line AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),
-k AS (SELECT g FROM l GROUP BY g HAVING count(*) BETWEEN 2 AND 200),
+_LINES = r"""l AS (SELECT DISTINCT doc_id AS i, line AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '')"""
+_DOC_EDGES = _LINES + """,
+e AS (SELECT DISTINCT src, dst FROM (SELECT i AS src, lead(i) OVER (PARTITION BY g ORDER BY i) AS dst FROM l) WHERE dst IS NOT NULL)"""
+_ALL_DOC_EDGES = _LINES + """,
+k AS (SELECT g FROM l GROUP BY g HAVING count(*) >= 2),
 e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM l a JOIN l b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM k))"""
-_ALL_DOC_EDGES = _DOC_EDGES.replace("length(line) >= 20", "length(line) >= 1").replace("HAVING count(*) BETWEEN 2 AND 200", "HAVING count(*) >= 2")
 _BASE = """s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src),
 n AS (SELECT e.src, e.dst, count(b.src) AS cn FROM e LEFT JOIN s a ON a.src = e.src LEFT JOIN s b ON b.src = e.dst AND b.dst = a.dst GROUP BY e.src, e.dst)"""
@@ -46,80 +42,70 @@ def _sql(body: str, *parts: str, edges: str = _EDGES) -> str:
 
 
 def _query(name: str, sql: str | None = None):
-    """Registers a query; one that takes ``least`` also as ``NAME_all``, over lines of any quantity."""
-
     def register(f):
         QUERIES[name] = f
         if sql is not None:
             ORACLE_SQL[name] = sql
-        if "least" in inspect.signature(f).parameters:
-            QUERIES[f"{name}_all"] = partial(f, least=None)
-            if sql is not None and name not in _SLOW_SQL:
-                ORACLE_SQL[f"{name}_all"] = sql.replace(_EDGES, _ALL_EDGES)
         return f
 
     return register
 
 
-def _orders(spark: SparkSession, sf_dir: str, least: float | None) -> Graph:
-    graph = order_graph(spark, sf_dir, least)
-    edges = written(graph.edges, "orders")
-    return Graph.from_pairs(edges)
+def _orders(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph.from_pairs(written(order_graph(spark, sf_dir).edges, "orders"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> Graph:
-    edges = written(line_graph(spark, sf_dir).edges, "docs")
-    return Graph.from_pairs(edges)
+    return Graph.from_pairs(written(line_chains(spark, sf_dir).edges, "docs"))
 
 
 def _all_docs(spark: SparkSession, sf_dir: str) -> Graph:
-    edges = written(line_graph(spark, sf_dir, least_chars=1, most_docs=None).edges, "docs")
-    return Graph.from_pairs(edges)
+    return Graph.from_pairs(written(line_graph(spark, sf_dir).edges, "docs"))
 
 
 @_query("edges", _sql("SELECT src, dst FROM e", _BASE))
-def edges(spark, sf_dir, least=45.0):
-    return order_graph(spark, sf_dir, least).edges
+def edges(spark, sf_dir):
+    return order_graph(spark, sf_dir).edges
 
 
 @_query("symmetric_edges", _sql("SELECT src, dst FROM s", _BASE))
-def symmetric_edges(spark, sf_dir, least=45.0):
-    return order_graph(spark, sf_dir, least).symmetric()
+def symmetric_edges(spark, sf_dir):
+    return order_graph(spark, sf_dir).symmetric()
 
 
 @_query("degrees", _sql("SELECT id, deg FROM d"))
-def degrees(spark, sf_dir, least=45.0):
-    return _orders(spark, sf_dir, least).degrees()
+def degrees(spark, sf_dir):
+    return _orders(spark, sf_dir).degrees()
 
 
 @_query("adjacency", _sql("SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS nbrs FROM s GROUP BY src"))
-def adjacency(spark, sf_dir, least=45.0):
-    return order_graph(spark, sf_dir, least).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+def adjacency(spark, sf_dir):
+    return order_graph(spark, sf_dir).adjacency().select("id", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
 
 
 @_query("csr_offsets", _sql("SELECT id, coalesce(sum(deg) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", deg FROM d"))
-def csr_offsets(spark, sf_dir, least=45.0):
-    return stats.csr_offsets(_orders(spark, sf_dir, least))
+def csr_offsets(spark, sf_dir):
+    return stats.csr_offsets(_orders(spark, sf_dir))
 
 
 @_query("oriented_edges", _sql("SELECT src, dst FROM f", _BASE, _ORIENTED))
-def oriented_edges(spark, sf_dir, least=45.0):
-    return _orders(spark, sf_dir, least).oriented()
+def oriented_edges(spark, sf_dir):
+    return _orders(spark, sf_dir).oriented()
 
 
 _CN = _sql("SELECT src, dst, cn FROM n")
 
 
 @_query("common_neighbors", _CN)
-def common_neighbors(spark, sf_dir, least=45.0):
-    return counting.common_neighbors(_orders(spark, sf_dir, least))
+def common_neighbors(spark, sf_dir):
+    return counting.common_neighbors(_orders(spark, sf_dir))
 
 
 def _cn_by(strategy: str):
-    return lambda spark, sf_dir, least=45.0: counting.common_neighbors(_orders(spark, sf_dir, least), strategy)
+    return lambda spark, sf_dir: counting.common_neighbors(_orders(spark, sf_dir), strategy, dense=64)
 
 
-for _strategy in ("array", "wedge", "block"):
+for _strategy in ("array", "wedge", "block", "hybrid"):
     _query(f"common_neighbors_{_strategy}", _CN)(_cn_by(_strategy))
 
 
@@ -134,19 +120,19 @@ def common_neighbors_docs_all(spark, sf_dir):
 
 
 @_query("common_neighbors_mirrored", _sql("SELECT src, dst, cn FROM n UNION ALL SELECT dst, src, cn FROM n"))
-def common_neighbors_mirrored(spark, sf_dir, least=45.0):
-    cn = counting.common_neighbors(_orders(spark, sf_dir, least))
+def common_neighbors_mirrored(spark, sf_dir):
+    cn = counting.common_neighbors(_orders(spark, sf_dir))
     return cn.unionByName(cn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cn"))
 
 
 @_query("triangles", _sql("SELECT a, b, c FROM t", _TRIANGLES))
-def triangles(spark, sf_dir, least=45.0):
-    return counting.triangles(_orders(spark, sf_dir, least))
+def triangles(spark, sf_dir):
+    return counting.triangles(_orders(spark, sf_dir))
 
 
 @_query("triangle_count", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES))
-def triangle_count(spark, sf_dir, least=45.0):
-    return counting.triangle_count(_orders(spark, sf_dir, least))
+def triangle_count(spark, sf_dir):
+    return counting.triangle_count(_orders(spark, sf_dir))
 
 
 @_query("triangle_count_docs", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES, edges=_DOC_EDGES))
@@ -156,17 +142,20 @@ def triangle_count_docs(spark, sf_dir):
 
 @_query("triangle_count_docs_all", _sql("SELECT count(*) AS triangles FROM t", _TRIANGLES, edges=_ALL_DOC_EDGES))
 def triangle_count_docs_all(spark, sf_dir):
-    return counting.triangle_count_of_classes(*line_classes(spark, sf_dir, least_chars=1))
+    return counting.triangle_count_of_classes(*line_classes(spark, sf_dir))
+
+
+_FOUR = "w AS MATERIALIZED (SELECT * FROM t), q AS (SELECT x.a, x.b, x.c, y.c AS d FROM w x JOIN w y ON x.a = y.a AND x.b = y.b AND x.c < y.c SEMI JOIN e ON e.src = x.c AND e.dst = y.c)"
 
 
-@_query("cliques4", _sql("SELECT t.a, t.b, t.c, x.dst AS d FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
-def cliques4(spark, sf_dir, least=45.0):
-    return counting.cliques4(_orders(spark, sf_dir, least))
+@_query("cliques4", _sql("SELECT a, b, c, d FROM q", _TRIANGLES, _FOUR))
+def cliques4(spark, sf_dir):
+    return counting.cliques4(_orders(spark, sf_dir))
 
 
-@_query("clique_counts", _sql("SELECT 3::BIGINT AS k, count(*) AS cliques FROM t UNION ALL SELECT 4, count(*) FROM t JOIN e x ON x.src = t.c JOIN e y ON y.src = t.a AND y.dst = x.dst JOIN e z ON z.src = t.b AND z.dst = x.dst", _TRIANGLES))
-def clique_counts(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
+@_query("clique_counts", _sql("SELECT 3::BIGINT AS k, count(*) AS cliques FROM w UNION ALL SELECT 4, count(*) FROM q", _TRIANGLES, _FOUR))
+def clique_counts(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
     count = lambda k: counting.cliques(graph, k).agg(F.lit(k).cast("long").alias("k"), F.count("*").alias("cliques"))
     return count(3).unionByName(count(4))
 
@@ -182,39 +171,38 @@ def _scan_parts(eps: float, mu: int) -> list[str]:
         f"p AS (SELECT src, dst FROM m WHERE sim >= {eps} UNION ALL SELECT dst, src FROM m WHERE sim >= {eps})",
         "cc AS (SELECT d.id, count(p.src) AS core_count FROM d LEFT JOIN p ON p.src = d.id GROUP BY d.id)",
         f"co AS (SELECT id FROM cc WHERE core_count >= {mu})",
-        "reach(id, r) AS (SELECT id, id FROM co UNION SELECT p.dst, reach.r FROM reach JOIN p ON p.src = reach.id WHERE p.dst IN (SELECT id FROM co))",
-        "cl AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY id)",
+        "cl(id, cluster_id) USING KEY (id) AS (SELECT id, id FROM co UNION SELECT p.dst, min(w.cluster_id) FROM cl w JOIN p ON p.src = w.id JOIN recurring.cl r ON r.id = p.dst WHERE w.cluster_id < r.cluster_id GROUP BY p.dst)",
         "hu AS (SELECT s.src AS id, count(DISTINCT cluster_id) AS k FROM s JOIN cl ON cl.id = s.dst WHERE s.src NOT IN (SELECT id FROM co) GROUP BY s.src)",
         "ro AS (SELECT cc.id, core_count, CASE WHEN cc.id IN (SELECT id FROM co) THEN 'CORE' WHEN k > 1 THEN 'HUB' ELSE 'UNCLASSIFIED' END AS role FROM cc LEFT JOIN hu ON hu.id = cc.id)",
         "me AS (SELECT DISTINCT cluster_id, p.src AS id FROM p JOIN cl ON cl.id = p.dst WHERE p.src NOT IN (SELECT id FROM co))",
     ]
 
 
-@_query("edge_similarity", _sql("SELECT src, dst, cn, round(sim, 6) AS sim, sim >= 0.6 AS similar FROM m", _BASE, _SIM))
-def edge_similarity(spark, sf_dir, least=45.0):
-    rows = scan.edge_similarity(_orders(spark, sf_dir, least), 0.6)
+@_query("edge_similarity", _sql("SELECT src, dst, cn, round(sim, 6) AS sim, sim >= 0.18 AS similar FROM m", _BASE, _SIM))
+def edge_similarity(spark, sf_dir):
+    rows = scan.edge_similarity(_orders(spark, sf_dir), 0.18)
     return rows.select("src", "dst", "cn", F.round("sim", 6).alias("sim"), "similar")
 
 
-@_query("core_counts", _sql("SELECT id, core_count FROM cc", *_scan_parts(0.6, 2)[:4]))
-def core_counts(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
-    return scan.core_counts(graph, scan.edge_similarity(graph, 0.6))
+@_query("core_counts", _sql("SELECT id, core_count FROM cc", *_scan_parts(0.18, 2)[:4]))
+def core_counts(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
+    return scan.core_counts(graph, scan.edge_similarity(graph, 0.18))
 
 
-@_query("scan_roles", _sql("SELECT id, core_count, role FROM ro", *_scan_parts(0.6, 2)))
-def scan_roles(spark, sf_dir, least=45.0):
-    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).roles
+@_query("scan_roles", _sql("SELECT id, core_count, role FROM ro", *_scan_parts(0.18, 2)))
+def scan_roles(spark, sf_dir):
+    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).roles
 
 
-@_query("scan_clusters", _sql("SELECT id, cluster_id FROM cl", *_scan_parts(0.6, 2)))
-def scan_clusters(spark, sf_dir, least=45.0):
-    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).clusters
+@_query("scan_clusters", _sql("SELECT id, cluster_id FROM cl", *_scan_parts(0.18, 2)))
+def scan_clusters(spark, sf_dir):
+    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).clusters
 
 
-@_query("scan_members", _sql("SELECT cluster_id, id FROM me", *_scan_parts(0.6, 2)))
-def scan_members(spark, sf_dir, least=45.0):
-    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).members
+@_query("scan_members", _sql("SELECT cluster_id, id FROM me", *_scan_parts(0.18, 2)))
+def scan_members(spark, sf_dir):
+    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).members
 
 
 _RESULT = "SELECT 'c' AS kind, id AS vertex_id, cluster_id FROM cl UNION ALL SELECT 'n', id, cluster_id FROM me"
@@ -222,14 +210,14 @@ _SUMMARY = """SELECT (SELECT count(*) FROM ro WHERE role = 'CORE') AS cores, (SE
   (SELECT count(DISTINCT cluster_id) FROM cl) AS clusters, (SELECT count(*) FROM me) AS member_rows"""
 
 
-@_query("scan_result", _sql(_RESULT, *_scan_parts(0.6, 2)))
-def scan_result(spark, sf_dir, least=45.0):
-    return scan.cluster(_orders(spark, sf_dir, least), 0.6, 2).result_rows()
+@_query("scan_result", _sql(_RESULT, *_scan_parts(0.18, 2)))
+def scan_result(spark, sf_dir):
+    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).result_rows()
 
 
-@_query("scan_summary", _sql(_SUMMARY, *_scan_parts(0.5, 2)))
-def scan_summary(spark, sf_dir, least=45.0):
-    return scan.cluster(_orders(spark, sf_dir, least), 0.5, 2).summary()
+@_query("scan_summary", _sql(_SUMMARY, *_scan_parts(0.18, 2)))
+def scan_summary(spark, sf_dir):
+    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).summary()
 
 
 @_query("scan_summary_docs", _sql(_SUMMARY, *_scan_parts(0.6, 2), edges=_DOC_EDGES))
@@ -242,27 +230,33 @@ def scan_summary_docs_all(spark, sf_dir):
     return scan.cluster(_all_docs(spark, sf_dir), 0.6, 2).summary()
 
 
-_REACH = "reach(id, r) AS (SELECT id, id FROM d UNION SELECT s.dst, reach.r FROM reach JOIN s ON s.src = reach.id)"
+_COMPONENTS = "cc(id, component) USING KEY (id) AS (SELECT id, id FROM d UNION SELECT s.dst, min(w.component) FROM cc w JOIN s ON s.src = w.id JOIN recurring.cc r ON r.id = s.dst WHERE w.component < r.component GROUP BY s.dst)"
 
 
-@_query("components", _sql("SELECT id, min(r) AS component FROM reach GROUP BY id", _BASE, _REACH))
-def components(spark, sf_dir, least=45.0):
-    return connected_components(order_graph(spark, sf_dir, least).edges)
+def _walk(name: str, sources: str) -> str:
+    """Levels from ``sources``, a query of ids."""
+    return f"{name}(id, level) USING KEY (id) AS (SELECT id, 0::BIGINT FROM ({sources}) UNION SELECT s.dst, min(w.level) + 1 FROM {name} w JOIN s ON s.src = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.id = s.dst) GROUP BY s.dst)"
 
 
-@_query("bfs_levels", _sql("SELECT id, min(lev) AS level FROM walk GROUP BY id", _BASE, "walk(id, lev) AS (SELECT min(id), 0::BIGINT FROM d UNION SELECT s.dst, lev + 1 FROM walk JOIN s ON s.src = walk.id WHERE lev < 6)"))
-def bfs_levels(spark, sf_dir):
-    graph = _orders(spark, sf_dir, 45.0)
-    return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")), max_level=6)
+@_query("components", _sql("SELECT id, component FROM cc", _BASE, _COMPONENTS))
+def components(spark, sf_dir):
+    return connected_components(order_graph(spark, sf_dir).edges)
 
 
-@_query("bfs_levels_all", _sql("SELECT id, level FROM walk", _BASE, "walk(id, level) USING KEY (id) AS (SELECT min(id), 0::BIGINT FROM d UNION SELECT s.dst, min(w.level) + 1 FROM walk w JOIN s ON s.src = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.id = s.dst) GROUP BY s.dst)", edges=_ALL_EDGES))
-def bfs_levels_all(spark, sf_dir):
-    """Over all lines, to the fixed point."""
-    graph = _orders(spark, sf_dir, None)
+@_query("bfs_levels", _sql("SELECT id, level FROM walk", _BASE, _walk("walk", "SELECT min(id) AS id FROM d")))
+def bfs_levels(spark, sf_dir):
+    """From the smallest id, to the fixed point."""
+    graph = _orders(spark, sf_dir)
     return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")))
 
 
+@_query("bfs_levels_docs", _sql("SELECT id, level FROM walk WHERE level <= 6", _BASE, _walk("walk", "SELECT min(id) AS id FROM d"), edges=_DOC_EDGES))
+def bfs_levels_docs(spark, sf_dir):
+    """What is within six steps: the limit is the operator's."""
+    graph = _docs(spark, sf_dir)
+    return relational.bfs_levels(graph.edges, graph.vertices.agg(F.min("id").alias("id")), max_level=6)
+
+
 # --- cores and orders ------------------------------------------------------------------------------
 
 
@@ -275,71 +269,157 @@ def _peeled(k: int, rounds: int) -> str:
 
 
 @_query("two_core", _sql("SELECT src, dst FROM e WHERE src IN (SELECT id FROM h40) AND dst IN (SELECT id FROM h40)", _BASE, _peeled(2, 40)))
-def two_core(spark, sf_dir, least=45.0):
-    return k_core(_orders(spark, sf_dir, least), 2)
+def two_core(spark, sf_dir):
+    return k_core(_orders(spark, sf_dir), 2)
+
+
+#: So many rounds of h-indices; more than any graph of the test tables takes.
+_CORES = """h(round, id, core) AS (SELECT 0, id, deg FROM d UNION ALL
+  SELECT round + 1, id, max(least(core, k)) FROM (SELECT round, s.src AS id, h.core, row_number() OVER (PARTITION BY s.src ORDER BY h.core DESC) AS k FROM h JOIN s ON s.dst = h.id WHERE round < 40) GROUP BY round, id),
+c AS (SELECT id, core FROM h WHERE round = 40)"""
 
 
-@_query("coreness")
-def core_numbers(spark, sf_dir, least=45.0):
-    return coreness(_orders(spark, sf_dir, least))
+@_query("coreness", _sql("SELECT id, core FROM c", _BASE, _CORES))
+def core_numbers(spark, sf_dir):
+    return coreness(_orders(spark, sf_dir))
 
 
 _BY = "SELECT id AS old_id, row_number() OVER (ORDER BY {}) - 1 AS new_id FROM d"
 
 
 @_query("order_degree", _sql(_BY.format("deg DESC, id")))
-def order_degree(spark, sf_dir, least=45.0):
-    return ordering.degree_order(_orders(spark, sf_dir, least))
+def order_degree(spark, sf_dir):
+    return ordering.degree_order(_orders(spark, sf_dir))
 
 
 @_query("order_degree_ascending", _sql(_BY.format("deg, id")))
-def order_degree_ascending(spark, sf_dir, least=45.0):
-    return ordering.degree_order(_orders(spark, sf_dir, least), descending=False)
+def order_degree_ascending(spark, sf_dir):
+    return ordering.degree_order(_orders(spark, sf_dir), descending=False)
 
 
 @_query("order_original", _sql(_BY.format("id")))
-def order_original(spark, sf_dir, least=45.0):
-    return ordering.original_order(_orders(spark, sf_dir, least))
+def order_original(spark, sf_dir):
+    return ordering.original_order(_orders(spark, sf_dir))
+
+
+@_query("order_core", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY core DESC, id) - 1 AS new_id FROM c", _BASE, _CORES))
+def order_core(spark, sf_dir):
+    return ordering.core_order(_orders(spark, sf_dir))
+
 
+@_query("order_core_degree", _sql("SELECT c.id AS old_id, row_number() OVER (ORDER BY core * (deg + 1) DESC, c.id) - 1 AS new_id FROM c JOIN d ON d.id = c.id", _BASE, _CORES))
+def order_core_degree(spark, sf_dir):
+    return ordering.core_order(_orders(spark, sf_dir), by_degree_product=True)
 
-@_query("order_core")
-def order_core(spark, sf_dir, least=45.0):
-    return ordering.core_order(_orders(spark, sf_dir, least))
 
+@_query("order_random", _sql(_BY.format("md5('7:' || id), id")))
+def order_random(spark, sf_dir):
+    return ordering.random_order(_orders(spark, sf_dir), seed=7)
 
-@_query("order_random")
-def order_random(spark, sf_dir, least=45.0):
-    return ordering.random_order(_orders(spark, sf_dir, least), seed=7)
 
+_ROOTS = "SELECT DISTINCT component AS id FROM cc"
+_PLACES = "bp AS (SELECT d.id, deg, row_number() OVER (ORDER BY component, level, deg, d.id) - 1 AS place FROM d JOIN cc ON cc.id = d.id JOIN walk ON walk.id = d.id)"
 
-@_query("order_bfs")
-def order_bfs(spark, sf_dir, least=45.0):
-    return ordering.bfs_order(_orders(spark, sf_dir, least))
 
+@_query("order_bfs", _sql("SELECT id AS old_id, place AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES, edges=_DOC_EDGES))
+def order_bfs(spark, sf_dir):
+    return ordering.bfs_order(_docs(spark, sf_dir))
 
-@_query("order_community")
-def order_community(spark, sf_dir, least=45.0):
-    return ordering.community_order(_orders(spark, sf_dir, least))
 
+@_query("order_bfs_reverse", _sql("SELECT id AS old_id, (SELECT max(place) FROM bp) - place AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES))
+def order_bfs_reverse(spark, sf_dir):
+    return ordering.bfs_order(_orders(spark, sf_dir), reverse=True)
 
-@_query("order_slashburn")
-def order_slashburn(spark, sf_dir, least=45.0):
-    return ordering.slashburn_order(_orders(spark, sf_dir, least), hubs_per_round=200)
+
+def _sweep(n: int) -> list[str]:
+    """One move of the sources ``b{n}(component, id, depth, tail)`` to their far ends, where that goes deeper."""
+    old = f"b{n - 1}"
+    deeper = f"x.depth > {old}.depth"
+    return [
+        _walk(f"w{n}", f"SELECT tail AS id FROM {old}"), _ends(f"x{n}", f"w{n}"),
+        f"b{n} AS (SELECT {old}.component, CASE WHEN {deeper} THEN {old}.tail ELSE {old}.id END AS id, CASE WHEN {deeper} THEN x.depth ELSE {old}.depth END AS depth, CASE WHEN {deeper} THEN x.tail ELSE {old}.tail END AS tail FROM {old} JOIN x{n} x ON x.component = {old}.component)",
+    ]
+
+
+def _ends(name: str, walk: str) -> str:
+    return f"{name} AS (SELECT component, max(level) AS depth, arg_min(w.id, (-level, deg, w.id)) AS tail FROM {walk} w JOIN cc ON cc.id = w.id JOIN d ON d.id = w.id GROUP BY component)"
+
+
+_FAR = [_BASE, _COMPONENTS, _walk("w0", _ROOTS), _ends("x0", "w0"), "b0 AS (SELECT component, component AS id, depth, tail FROM x0)", *_sweep(1), *_sweep(2)]
+
+
+@_query("peripheral_sources", _sql("SELECT component, id, depth FROM b2", *_FAR, edges=_DOC_EDGES))
+def peripheral_sources(spark, sf_dir):
+    graph = _docs(spark, sf_dir)
+    return ordering.peripheral_sources(graph, connected_components(graph.edges))
+
+
+@_query("order_bfs_peripheral", _sql("SELECT id AS old_id, place AS new_id FROM bp", *_FAR, _walk("walk", "SELECT id FROM b2"), _PLACES, edges=_DOC_EDGES))
+def order_bfs_peripheral(spark, sf_dir):
+    return ordering.bfs_order(_docs(spark, sf_dir), peripheral=True)
+
+
+@_query("order_hybrid", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY deg DESC, place) - 1 AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES))
+def order_hybrid(spark, sf_dir):
+    return ordering.hybrid_order(_orders(spark, sf_dir))
+
+
+def _labels(rounds: int) -> str:
+    """Label propagation, written out round by round."""
+    steps = ["g0 AS (SELECT id, id AS community FROM d)"]
+    for i in range(rounds):
+        votes = f"SELECT id, community FROM (SELECT s.src AS id, community, row_number() OVER (PARTITION BY s.src ORDER BY count(*) DESC, community) AS n FROM s JOIN g{i} ON g{i}.id = s.dst GROUP BY s.src, community) WHERE n = 1"
+        steps.append(f"g{i + 1} AS MATERIALIZED (SELECT o.id, CASE WHEN md5('{i}:' || o.id) < '8' AND v.id IS NOT NULL THEN v.community ELSE o.community END AS community FROM g{i} o LEFT JOIN ({votes}) v ON v.id = o.id)")
+    return ", ".join(steps)
+
+
+@_query("order_community", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY community, id) - 1 AS new_id FROM g5", _BASE, _labels(5)))
+def order_community(spark, sf_dir):
+    return ordering.community_order(_orders(spark, sf_dir))
+
+
+@_query("community_modularity", _sql("""SELECT round(sum(inn / m - (al / m) ** 2), 9) AS modularity FROM (SELECT x.community, count(*) FILTER (x.community = y.community) AS inn, count(*) AS al, sum(count(*)) OVER () AS m
+  FROM s JOIN g5 x ON x.id = s.src JOIN g5 y ON y.id = s.dst GROUP BY x.community)""", _BASE, _labels(5), edges=_DOC_EDGES))
+def community_modularity(spark, sf_dir):
+    graph = _docs(spark, sf_dir)
+    return stats.modularity(graph, ordering.communities(graph))
+
+
+def _burned(k: int, rounds: int) -> str:
+    """Rounds of taking the ``k`` vertices of largest degree and all but the largest component of the rest, written out."""
+    steps = ["v0 AS (SELECT id FROM d)"]
+    for i in range(rounds):
+        steps += [
+            f"e{i} AS MATERIALIZED (SELECT src, dst FROM s WHERE src IN (SELECT id FROM v{i}) AND dst IN (SELECT id FROM v{i}))",
+            f"u{i} AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY coalesce(n, 0) DESC, id) AS rank FROM v{i} LEFT JOIN (SELECT src, count(*) AS n FROM e{i} GROUP BY src) ON src = id QUALIFY rank <= {k})",
+            f"t{i} AS MATERIALIZED (SELECT id FROM v{i} WHERE id NOT IN (SELECT id FROM u{i}))",
+            f"c{i}(id, part) USING KEY (id) AS (SELECT id, id FROM t{i} UNION SELECT x.dst, min(w.part) FROM c{i} w JOIN e{i} x ON x.src = w.id JOIN recurring.c{i} r ON r.id = x.dst WHERE w.part < r.part GROUP BY x.dst)",
+            f"z{i} AS MATERIALIZED (SELECT part, count(*) AS size FROM c{i} GROUP BY part)",
+            f"v{i + 1} AS MATERIALIZED (SELECT id FROM c{i} WHERE part = (SELECT part FROM z{i} WHERE size > {k} ORDER BY size DESC, part LIMIT 1))",
+        ]
+    hubs = " UNION ALL ".join(f"SELECT id, 0 AS side, {i} AS round, rank AS size, 0::BIGINT AS part FROM u{i}" for i in range(rounds))
+    spokes = " UNION ALL ".join(f"SELECT c{i}.id, 1, -{i}, -z{i}.size, c{i}.part FROM c{i} JOIN z{i} ON z{i}.part = c{i}.part WHERE c{i}.id NOT IN (SELECT id FROM v{i + 1})" for i in range(rounds))
+    return ", ".join([*steps, f"placed AS ({hubs} UNION ALL {spokes})"])
+
+
+@_query("order_slashburn", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY side, round, size, part, id) - 1 AS new_id FROM placed", _BASE, _burned(40, 12), edges=_DOC_EDGES))
+def order_slashburn(spark, sf_dir):
+    return ordering.slashburn_order(_docs(spark, sf_dir), hubs_per_round=40)
 
 
 _PERM = "pm AS (SELECT id, row_number() OVER (ORDER BY deg DESC, id) - 1 AS q FROM d)"
 
 
 @_query("relabelled_edges", _sql("SELECT least(x.q, y.q) AS src, greatest(x.q, y.q) AS dst FROM e JOIN pm x ON x.id = e.src JOIN pm y ON y.id = e.dst", _BASE, _PERM))
-def relabelled_edges(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
+def relabelled_edges(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
     return graph.relabelled(ordering.degree_order(graph)).edges
 
 
 @_query("common_neighbors_reordered", _CN)
-def common_neighbors_reordered(spark, sf_dir, least=45.0):
+def common_neighbors_reordered(spark, sf_dir):
     """Counts on the relabelled graph, mapped back: independent of the order."""
-    graph = _orders(spark, sf_dir, least)
+    graph = _orders(spark, sf_dir)
     perm = written(ordering.degree_order(graph), "perm")
     cn = counting.common_neighbors(graph.relabelled(perm))
     back = lambda c: perm.select(F.col("new_id").alias(c), F.col("old_id").alias(f"old_{c}"))
@@ -351,40 +431,45 @@ def common_neighbors_reordered(spark, sf_dir, least=45.0):
 
 
 @_query("graph_summary", _sql("SELECT (SELECT count(*) FROM d) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT avg(deg) FROM d) AS avg_degree, (SELECT max(deg) FROM d) AS max_degree, (SELECT max(k) FROM (SELECT count(*) AS k FROM f GROUP BY src)) AS max_out_degree", _BASE, _ORIENTED))
-def graph_summary(spark, sf_dir, least=45.0):
-    return stats.graph_summary(_orders(spark, sf_dir, least))
+def graph_summary(spark, sf_dir):
+    return stats.graph_summary(_orders(spark, sf_dir))
 
 
 @_query("support_summary", _sql("SELECT max(cn) AS max_cn, sum(cn)::BIGINT AS sum_cn, count(*) FILTER (cn = 0) AS empty_edges, count(*) FILTER (cn = 0) / count(*) AS empty_share FROM n"))
-def support_summary(spark, sf_dir, least=45.0):
-    return stats.support_summary(counting.common_neighbors(_orders(spark, sf_dir, least)))
+def support_summary(spark, sf_dir):
+    return stats.support_summary(counting.common_neighbors(_orders(spark, sf_dir)))
 
 
 @_query("cn_histogram", _sql("SELECT cn AS value, count(*) AS rows FROM n GROUP BY cn"))
-def cn_histogram(spark, sf_dir, least=45.0):
-    return stats.histogram(counting.common_neighbors(_orders(spark, sf_dir, least)), "cn")
+def cn_histogram(spark, sf_dir):
+    return stats.histogram(counting.common_neighbors(_orders(spark, sf_dir)), "cn")
+
 
+_BINS = """hi AS (SELECT deg AS value, count(*) AS k, row_number() OVER (ORDER BY deg) AS n, sum(count(*)) OVER () AS total FROM d GROUP BY deg),
+gb(n, bin, low, held, closed) AS (SELECT n, 0::BIGINT, value, k::BIGINT, k > 0.1 * total FROM hi WHERE n = 1
+  UNION ALL SELECT hi.n, bin + closed::BIGINT, CASE WHEN closed THEN value ELSE low END, CASE WHEN closed THEN k ELSE held + k END, CASE WHEN closed THEN k ELSE held + k END > 0.1 * total FROM gb JOIN hi ON hi.n = gb.n + 1)"""
 
-@_query("degree_bins")
-def degree_bins(spark, sf_dir, least=45.0):
-    return stats.greedy_bins(stats.histogram(_orders(spark, sf_dir, least).degrees(), "deg"))
+
+@_query("degree_bins", _sql("SELECT bin, min(low) AS low, max(value) AS high, max(held) AS rows FROM gb JOIN hi USING (n) GROUP BY bin", _BASE, _BINS))
+def degree_bins(spark, sf_dir):
+    return stats.greedy_bins(stats.histogram(_orders(spark, sf_dir).degrees(), "deg"))
 
 
 @_query("edge_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER ((x.deg + 1) // 3 > y.deg + 1 OR (y.deg + 1) // 3 > x.deg + 1) AS skewed_edges FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst"))
-def edge_skew(spark, sf_dir, least=45.0):
-    return stats.edge_skew(_orders(spark, sf_dir, least), ratio=3)
+def edge_skew(spark, sf_dir):
+    return stats.edge_skew(_orders(spark, sf_dir), ratio=3)
 
 
 @_query("oriented_skew", _sql("SELECT count(*) AS n_edges, count(*) FILTER (a // 2 > b OR b // 2 > a) AS skewed_edges FROM (SELECT o.k + 1 AS a, coalesce(q.k, 0) + 1 AS b FROM f JOIN o ON o.src = f.src LEFT JOIN o q ON q.src = f.dst)", _BASE, _ORIENTED, "o AS (SELECT src, count(*) AS k FROM f GROUP BY src)"))
-def oriented_skew(spark, sf_dir, least=45.0):
-    return stats.oriented_skew(_orders(spark, sf_dir, least), ratio=2)
+def oriented_skew(spark, sf_dir):
+    return stats.oriented_skew(_orders(spark, sf_dir), ratio=2)
 
 
 @_query("intersection_stats", _sql("""SELECT floor(log10(x.deg + y.deg))::BIGINT AS bin, count(*) AS edges, min(cn / least(x.deg, y.deg)) AS min_sel, max(cn / least(x.deg, y.deg)) AS max_sel, round(avg(cn / least(x.deg, y.deg)), 9) AS avg_sel,
   min(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS min_skew, max(greatest(x.deg, y.deg) // least(x.deg, y.deg)) AS max_skew, round(avg(greatest(x.deg, y.deg) // least(x.deg, y.deg)), 9) AS avg_skew
   FROM n JOIN d x ON x.id = src JOIN d y ON y.id = dst GROUP BY 1"""))
-def intersection_stats(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
+def intersection_stats(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
     return stats.intersection_stats(graph, counting.common_neighbors(graph))
 
 
@@ -398,27 +483,41 @@ def dense_vertices_all(spark, sf_dir):
     return stats.dense_vertices(_all_docs(spark, sf_dir))
 
 
-@_query("balanced_ranges", _sql("SELECT part, min(id) AS first_id, max(id) AS last_id, sum(deg + 2)::BIGINT AS weight FROM (SELECT id, deg, ((sum(deg + 2) OVER (ORDER BY id) - deg - 2) * 8 // sum(deg + 2) OVER ())::BIGINT AS part FROM d) GROUP BY part"))
-def balanced_ranges(spark, sf_dir, least=45.0):
-    return stats.balanced_ranges(_orders(spark, sf_dir, least), 8)
+@_query("intersection_waste", _sql("""SELECT hits AS triangles, k - closing AS empty_edges, probed - hits AS mismatch, (probed - hits) / (3 * hits + probed - hits) AS ratio FROM (SELECT (SELECT count(*) FROM f) AS k, (SELECT coalesce(sum(n), 0)::BIGINT FROM w) AS hits,
+  (SELECT count(*) FROM w) AS closing, (SELECT coalesce(sum(n), 0)::BIGINT FROM f JOIN o ON o.src = f.dst) AS probed)""", _BASE, _ORIENTED, "o AS (SELECT src, count(*) AS n FROM f GROUP BY src), w AS (SELECT a.src, a.dst, count(*) AS n FROM f a JOIN f b ON b.src = a.dst JOIN f c ON c.src = a.src AND c.dst = b.dst GROUP BY a.src, a.dst)"))
+def intersection_waste(spark, sf_dir):
+    return stats.intersection_waste(_orders(spark, sf_dir))
+
+
+_RANGES = "SELECT part, min(id) AS first_id, max(id) AS last_id, sum(w)::BIGINT AS weight FROM (SELECT id, w, least((sum(w) OVER (ORDER BY id) - w) * 8 // sum(w) OVER (), 7)::BIGINT AS part FROM {}) GROUP BY part"
+
+
+@_query("balanced_ranges", _sql(_RANGES.format("(SELECT id, deg + 2 AS w FROM d)")))
+def balanced_ranges(spark, sf_dir):
+    return stats.balanced_ranges(_orders(spark, sf_dir), 8)
+
+
+@_query("filtered_ranges", _sql(_RANGES.format("(SELECT d.id, coalesce(sum(y.deg + 2), 0)::BIGINT AS w FROM d LEFT JOIN e ON e.src = d.id LEFT JOIN d y ON y.id = e.dst GROUP BY d.id)")))
+def filtered_ranges(spark, sf_dir):
+    return stats.balanced_ranges(_orders(spark, sf_dir), 8, filtered=True)
 
 
 @_query("order_compression", _sql("SELECT k AS n_edges, o AS out_blocks, i AS in_blocks, (o + i) / k AS ratio FROM (SELECT (SELECT count(*) FROM e) AS k, (SELECT count(*) FROM (SELECT DISTINCT src, dst // 32 FROM e)) AS o, (SELECT count(*) FROM (SELECT DISTINCT dst, src // 32 FROM e)) AS i)"))
-def order_compression(spark, sf_dir, least=45.0):
-    return stats.order_compression(_orders(spark, sf_dir, least))
+def order_compression(spark, sf_dir):
+    return stats.order_compression(_orders(spark, sf_dir))
 
 
 @_query("big_nodes", _sql("SELECT count(*) AS n_vertices, round(avg(deg), 9) AS avg_degree, round(avg(deg * deg) - avg(deg) * avg(deg), 6) AS var_degree FROM (SELECT deg, sum(deg) OVER (ORDER BY deg DESC, id ROWS UNBOUNDED PRECEDING) - deg AS before, sum(deg) OVER () AS total FROM d) WHERE before < 0.3 * total"))
-def big_nodes(spark, sf_dir, least=45.0):
-    return stats.big_nodes(_orders(spark, sf_dir, least), 0.3)
+def big_nodes(spark, sf_dir):
+    return stats.big_nodes(_orders(spark, sf_dir), 0.3)
 
 
 @_query("sqrt_degree_weights", _sql("SELECT id, round(sqrt(deg) / sum(sqrt(deg)) OVER (), 9) AS weight FROM d"))
-def sqrt_degree_weights(spark, sf_dir, least=45.0):
-    return stats.sqrt_degree_weights(_orders(spark, sf_dir, least)).select("id", F.round("weight", 9).alias("weight"))
+def sqrt_degree_weights(spark, sf_dir):
+    return stats.sqrt_degree_weights(_orders(spark, sf_dir)).select("id", F.round("weight", 9).alias("weight"))
 
 
-@_query("degree_decades", _sql("SELECT CASE WHEN deg <= 1 THEN 0 WHEN deg <= 10 THEN 1 WHEN deg <= 100 THEN 2 WHEN deg <= 1000 THEN 3 ELSE 4 END::BIGINT AS decade, count(*) AS vertices FROM d GROUP BY 1", _BASE, edges=_DOC_EDGES))
+@_query("degree_decades", _sql("SELECT CASE WHEN deg <= 1 THEN 0 ELSE length((deg - 1)::VARCHAR) END::BIGINT AS decade, count(*) AS vertices FROM d GROUP BY 1", _BASE, edges=_DOC_EDGES))
 def degree_decades(spark, sf_dir):
     return stats.degree_decades(_docs(spark, sf_dir))
 
@@ -429,30 +528,30 @@ def degree_decades_all(spark, sf_dir):
 
 
 @_query("gap_entropy", _sql("SELECT round(-sum(k / n * log2(k / n)), 6) AS entropy, round(sum(k * log2(gap)) / max(n), 6) AS avg_log_gap FROM (SELECT gap, count(*) AS k, sum(count(*)) OVER () AS n FROM (SELECT dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s) WHERE gap IS NOT NULL GROUP BY gap)"))
-def gap_entropy(spark, sf_dir, least=45.0):
-    return stats.gap_entropy(_orders(spark, sf_dir, least))
+def gap_entropy(spark, sf_dir):
+    return stats.gap_entropy(_orders(spark, sf_dir))
 
 
 @_query("locality", _sql("SELECT (SELECT count(*) FROM s a JOIN s b ON a.dst = b.dst AND b.src - a.src BETWEEN 1 AND 5) + (SELECT count(*) FROM e WHERE dst - src <= 5) AS score"))
-def locality(spark, sf_dir, least=45.0):
-    return stats.locality(_orders(spark, sf_dir, least))
+def locality(spark, sf_dir):
+    return stats.locality(_orders(spark, sf_dir))
 
 
 @_query("modularity", _sql("""SELECT round(sum(inn / m - (al / m) ** 2), 9) AS modularity FROM (SELECT x.c, count(*) FILTER (x.c = y.c) AS inn, count(*) AS al, sum(count(*)) OVER () AS m
   FROM s JOIN g x ON x.id = s.src JOIN g y ON y.id = s.dst GROUP BY x.c)""", _BASE, "g AS (SELECT id, id % 10 AS c FROM d)"))
-def modularity(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
+def modularity(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
     return stats.modularity(graph, graph.vertices.select("id", (F.col("id") % 10).alias("community")))
 
 
 @_query("bandwidth", _sql("SELECT max(b) AS bandwidth, round(avg(w), 6) AS avg_width, max(k) AS max_degree FROM (SELECT max(abs(src - dst)) AS b, max(dst) - min(dst) AS w, count(*) AS k FROM s GROUP BY src)"))
-def bandwidth(spark, sf_dir, least=45.0):
-    return stats.bandwidth(_orders(spark, sf_dir, least))
+def bandwidth(spark, sf_dir):
+    return stats.bandwidth(_orders(spark, sf_dir))
 
 
 @_query("leaf_count", _sql("SELECT count(*) AS leaves FROM (SELECT src FROM e GROUP BY src HAVING count(*) = 1 UNION SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)"))
-def leaf_count(spark, sf_dir, least=45.0):
-    return stats.leaf_count(_orders(spark, sf_dir, least))
+def leaf_count(spark, sf_dir):
+    return stats.leaf_count(_orders(spark, sf_dir))
 
 
 # --- relational and bitmap operators ---------------------------------------------------------------
@@ -486,21 +585,26 @@ def decoded_parts(spark, sf_dir):
 
 
 @_query("multiway_join", _sql("SELECT a, b, c FROM t", _TRIANGLES))
-def multiway_join(spark, sf_dir, least=45.0):
+def multiway_join(spark, sf_dir):
     """Triangles as the natural join of three renamings of the edges."""
-    e = written(order_graph(spark, sf_dir, least).edges, "edges")
+    e = written(order_graph(spark, sf_dir).edges, "edges")
     return relational.multiway_join([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")]).select("a", "b", "c")
 
 
-@_query("annotated_join", "SELECT o_custkey, sum(o_totalprice * l_discount)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_discount > 1 GROUP BY o_custkey UNION ALL SELECT o_custkey, count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+@_query("annotated_join", "SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT * l_quantity::BIGINT)::BIGINT AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def annotated_join(spark, sf_dir):
-    """Lines of each customer: orders annotated 1, times lines annotated 1, added up."""
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(1.0).alias("value"))
-    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1.0).alias("value"))
+    """Of each customer the orders' prices in cents times the pieces of their lines, added up."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("value"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("long").alias("value"))
     return relational.annotated_join(orders, lines, ["o_orderkey"], ["o_custkey"])
 
 
-ORACLE_SQL["annotated_join"] = "SELECT o_custkey, count(*)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey"
+@_query("annotated_join_cheapest", "SELECT o_custkey, min(o_totalprice + l_tax) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+def annotated_join_cheapest(spark, sf_dir):
+    """The same join in another semiring: sums, and their minimum."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("value"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_tax").alias("value"))
+    return relational.annotated_join(orders, lines, ["o_orderkey"], ["o_custkey"], plus="min", times="sum")
 
 
 @_query("select_equal", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -513,10 +617,7 @@ def _flag_parts(spark, sf_dir, flag):
 
 
 for _name, _op, _word in (("set_intersect", relational.set_intersect, "INTERSECT"), ("set_union", relational.set_union, "UNION"), ("set_difference", relational.set_difference, "EXCEPT")):
-    _query(_name, f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")(
-        lambda spark, sf_dir, op=_op: op(*(_read(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == f) & (F.col("l_quantity") > 40)).select(F.col("l_partkey").alias("id")) for f in "RA"))
-    )
-    _query(f"{_name}_all", f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")(
+    _query(_name, f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")(
         lambda spark, sf_dir, op=_op: op(*(_flag_parts(spark, sf_dir, f) for f in "RA"))
     )
 
@@ -527,8 +628,8 @@ def insert_absent(spark, sf_dir):
 
 
 @_query("array_sets", _sql("""SELECT e.src, e.dst, cn::INTEGER AS common, (x.deg + y.deg - cn)::INTEGER AS either, (x.deg - cn)::INTEGER AS only_src FROM n JOIN e USING (src, dst) JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst"""))
-def array_sets(spark, sf_dir, least=45.0):
-    graph = _orders(spark, sf_dir, least)
+def array_sets(spark, sf_dir):
+    graph = _orders(spark, sf_dir)
     adj = graph.adjacency()
     rows = graph.edges.join(adj.select(F.col("id").alias("src"), F.col("nbrs").alias("a")), "src").join(adj.select(F.col("id").alias("dst"), F.col("nbrs").alias("b")), "dst")
     ops = relational.array_sets(F.col("a"), F.col("b"))
@@ -538,7 +639,7 @@ def array_sets(spark, sf_dir, least=45.0):
 _BITS = "a AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS value FROM lineitem WHERE l_returnflag = 'A')"
 
 
-def _bitmaps(spark, sf_dir, least=45.0):
+def _bitmaps(spark, sf_dir):
     lines = _read(spark, sf_dir, "lineitem")
     return [bitmap.pack(lines.where(F.col("l_returnflag") == f), "l_suppkey", "l_partkey") for f in "RA"]
 
@@ -552,21 +653,37 @@ def bitmap_cardinality(spark, sf_dir):
     return bitmap.cardinality(_bitmaps(spark, sf_dir)[0])
 
 
-@_query("bitmap_complement", f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k, (SELECT unnest(range(0, 150)) AS value) v ANTI JOIN a ON a.key = k.key AND a.value = v.value")
-def bitmap_complement(spark, sf_dir):
-    within = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return bitmap.unpack(bitmap.complement(bitmap.pack(within, "l_suppkey", "l_partkey"), 150))
+_SIZE = "(SELECT max(l_partkey) + 1 FROM lineitem)"
 
 
-ORACLE_SQL["bitmap_complement"] = f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, 150)) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)"
+def _bits(spark, sf_dir) -> int:
+    """One more than the largest part that a line holds."""
+    return (_read(spark, sf_dir, "lineitem").agg(F.max("l_partkey")).first()[0] or -1) + 1
 
 
-@_query("bitmap_complement_all", f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, (SELECT max(l_partkey) + 1 FROM lineitem))) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)")
-def bitmap_complement_all(spark, sf_dir):
+@_query("bitmap_complement", f"WITH {_BITS} SELECT k.key, v.value FROM (SELECT DISTINCT key FROM a) k CROSS JOIN (SELECT unnest(range(0, {_SIZE})) AS value) v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.value = v.value)")
+def bitmap_complement(spark, sf_dir):
     """Within the parts up to the largest that a line holds."""
-    lines = _read(spark, sf_dir, "lineitem")
-    most = lines.agg(F.max("l_partkey")).first()[0]
-    return bitmap.unpack(bitmap.complement(bitmap.pack(lines.where("l_returnflag = 'R'"), "l_suppkey", "l_partkey"), 0 if most is None else most + 1))
+    return bitmap.unpack(bitmap.complement(_bitmaps(spark, sf_dir)[0], _bits(spark, sf_dir)))
+
+
+@_query("bitmap_equal", f"WITH {_BITS} SELECT key, bool_and(n = 2) AS equal FROM (SELECT key, value, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT key, value FROM b) GROUP BY key, value) GROUP BY key")
+def bitmap_equal(spark, sf_dir):
+    return bitmap.equal(*_bitmaps(spark, sf_dir))
+
+
+@_query("bitmap_append", f"WITH {_BITS} SELECT key, value FROM a UNION ALL SELECT key, value + {_SIZE} FROM b")
+def bitmap_append(spark, sf_dir):
+    return bitmap.unpack(bitmap.append(*_bitmaps(spark, sf_dir), _bits(spark, sf_dir)))
+
+
+_WORDS = f"""wd AS (SELECT key, value // 64 AS block, count(*) < least(64, {_SIZE} - (value // 64) * 64) AS dirty FROM a GROUP BY key, value // 64, least(64, {_SIZE} - (value // 64) * 64)),
+ru AS (SELECT *, dirty AND coalesce(lag(block) OVER (PARTITION BY key, dirty ORDER BY block) < block - 1, true) AS starts FROM wd)"""
+
+
+@_query("bitmap_statistics", f"WITH {_BITS}, {_WORDS} SELECT key, count(*) FILTER (dirty) AS dirty_words, ({_SIZE} + 63) // 64 - count(*) AS empty_words, count(*) FILTER (NOT dirty) AS full_words, count(*) FILTER (starts) AS runs FROM ru GROUP BY key")
+def bitmap_statistics(spark, sf_dir):
+    return bitmap.statistics(_bitmaps(spark, sf_dir)[0], _bits(spark, sf_dir))
 
 
 @_query("bitmap_union_all", "SELECT DISTINCT l_partkey AS value FROM lineitem WHERE l_returnflag = 'R'")
@@ -585,25 +702,25 @@ def bitmap_jaccard(spark, sf_dir):
 
 
 @_query("neighbour_blocks", _sql("SELECT src AS id, dst // 64 AS block, count(*) AS bits FROM s GROUP BY ALL"))
-def neighbour_blocks(spark, sf_dir, least=45.0):
-    masks = counting.neighbour_blocks(order_graph(spark, sf_dir, least).symmetric())
+def neighbour_blocks(spark, sf_dir):
+    masks = counting.neighbour_blocks(order_graph(spark, sf_dir).symmetric())
     return masks.select("id", "block", F.bit_count("mask").cast("long").alias("bits"))
 
 
 @_query("top_degrees", _sql("SELECT id, deg FROM d ORDER BY deg DESC, id LIMIT 10"))
-def top_degrees(spark, sf_dir, least=45.0):
-    return _orders(spark, sf_dir, least).degrees().orderBy(F.desc("deg"), "id").limit(10)
+def top_degrees(spark, sf_dir):
+    return _orders(spark, sf_dir).degrees().orderBy(F.desc("deg"), "id").limit(10)
 
 
 @_query("asymmetric_rows", _sql("SELECT src, dst FROM e"))
-def asymmetric_rows(spark, sf_dir, least=45.0):
+def asymmetric_rows(spark, sf_dir):
     """Half an edge table has no reverse rows at all."""
     from knotwork.operators.graph import asymmetric_rows as rows
 
-    return rows(order_graph(spark, sf_dir, least).edges)
+    return rows(order_graph(spark, sf_dir).edges)
 
 
 @_query("neighbour_gaps", _sql("SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s"))
-def neighbour_gaps(spark, sf_dir, least=45.0):
+def neighbour_gaps(spark, sf_dir):
     w = Window.partitionBy("src").orderBy("dst")
-    return order_graph(spark, sf_dir, least).symmetric().select("src", "dst", (F.col("dst") - F.lag("dst").over(w)).alias("gap"))
+    return order_graph(spark, sf_dir).symmetric().select("src", "dst", (F.col("dst") - F.lag("dst").over(w)).alias("gap"))

@@ -1,4 +1,4 @@
-"""The queries over all lines, on a small table of lines of few pieces, against plain computations."""
+"""Queries over every line, on small tables of lines of few pieces and of hot ones, against plain computations."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import random
 import pytest
 
 from knotwork.queries import QUERIES
+from knotwork.sources.derive import line_chains
 from tests.test_graph import neighbours, rows
 
 
@@ -34,12 +35,11 @@ def nbrs(lines):
 
 def test_edges_and_triangles(spark, folder, nbrs):
     edges = sorted((a, b) for a in nbrs for b in nbrs[a] if a < b)
-    assert rows(QUERIES["edges_all"](spark, folder)) == edges
-    assert rows(QUERIES["edges"](spark, folder)) != edges
+    assert rows(QUERIES["edges"](spark, folder)) == edges
     cn = [(a, b, len(nbrs[a] & nbrs[b])) for a, b in edges]
-    for name in ("", "_array", "_wedge", "_block"):
-        assert rows(QUERIES[f"common_neighbors{name}_all"](spark, folder)) == cn
-    assert QUERIES["triangle_count_all"](spark, folder).first()[0] * 3 == sum(c for _, _, c in cn)
+    for name in ("", "_array", "_wedge", "_block", "_hybrid"):
+        assert rows(QUERIES[f"common_neighbors{name}"](spark, folder)) == cn
+    assert QUERIES["triangle_count"](spark, folder).first()[0] * 3 == sum(c for _, _, c in cn)
 
 
 def test_components(spark, folder, nbrs):
@@ -51,30 +51,25 @@ def test_components(spark, folder, nbrs):
             if x not in expected:
                 expected[x] = expected.get(start, start)
                 todo += nbrs[x]
-    assert dict(rows(QUERIES["components_all"](spark, folder))) == expected
+    assert dict(rows(QUERIES["components"](spark, folder))) == expected
 
 
 def test_sets(spark, folder, lines):
     returned, accepted = ({p for _, p, _, f, _ in lines if f == flag} for flag in "RA")
     for name, expected in (("intersect", returned & accepted), ("union", returned | accepted), ("difference", returned - accepted)):
-        assert rows(QUERIES[f"set_{name}_all"](spark, folder)) == sorted((x,) for x in expected)
-
-
-def test_each_query_of_the_order_graph_has_one_over_all_lines():
-    for name in ("edges", "degrees", "scan_roles", "scan_summary", "two_core", "coreness", "order_degree", "order_slashburn", "multiway_join", "gap_entropy", "array_sets", "neighbour_gaps"):
-        assert name in QUERIES and f"{name}_all" in QUERIES
+        assert rows(QUERIES[f"set_{name}"](spark, folder)) == sorted((x,) for x in expected)
 
 
 def test_bfs_levels_to_the_fixed_point(spark, tmp_path):
     path = [(i, part, 1.0, "N", 1) for i in range(12) for part in (i, i + 1)]
     spark.createDataFrame(path, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert rows(QUERIES["bfs_levels_all"](spark, str(tmp_path))) == [(i, i) for i in range(13)]
+    assert rows(QUERIES["bfs_levels"](spark, str(tmp_path))) == [(i, i) for i in range(13)]
 
 
 def test_bitmap_complement_of_all_parts(spark, tmp_path):
     lines = [(1, 3, 1.0, "R", 7), (1, 190, 1.0, "R", 7), (2, 64, 1.0, "R", 8), (3, 321, 1.0, "A", 9)]
     spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
-    found = set(map(tuple, QUERIES["bitmap_complement_all"](spark, str(tmp_path)).collect()))
+    found = set(map(tuple, QUERIES["bitmap_complement"](spark, str(tmp_path)).collect()))
     assert found == {(7, v) for v in range(322) if v not in (3, 190)} | {(8, v) for v in range(322) if v != 64}
 
 
@@ -91,3 +86,12 @@ def test_lines_of_many_documents_and_short_lines(spark, tmp_path):
     assert QUERIES["triangle_count_docs_all"](spark, str(tmp_path)).first()[0] * 3 == sum(cn for _, _, cn in edges)
     assert rows(QUERIES["degree_decades_all"](spark, str(tmp_path))) == [(0, 2), (1, 1), (3, 250)]
     assert QUERIES["dense_vertices_all"](spark, str(tmp_path)).count() == 250
+    chains = sorted({pair for line in set().union(*lines) for holders in [[i for i, own in enumerate(lines) if line in own]] for pair in zip(holders, holders[1:], strict=False)})
+    near = neighbours(chains)
+    assert rows(QUERIES["common_neighbors_docs"](spark, str(tmp_path))) == [(a, b, len(near[a] & near[b])) for a, b in chains]
+
+
+def test_chains_across_ranges_of_ids(spark, tmp_path):
+    ids = [3, 4095, 4096, 9000, 9001, 50_000]
+    spark.createDataFrame([(i, "one line") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(line_chains(spark, str(tmp_path)).edges) == list(zip(ids, ids[1:], strict=False))

@@ -13,6 +13,7 @@ from knotwork.operators import counting, ordering, relational, scan, stats
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, InvalidGraph, check_adjacency
 from knotwork.operators.kcore import coreness
+from knotwork.plans import materialize, ranking
 from knotwork.sources import formats
 from knotwork.sources.derive import rmat_graph
 
@@ -157,6 +158,8 @@ def test_text_and_binary_files(spark, tmp_path):
         formats.read_csr_binary(spark, str(deg), str(adj))
     formats.write_graph(g, str(tmp_path / "g"))
     assert rows(formats.read_graph(spark, str(tmp_path / "g")).edges) == rows(g.edges)
+    with pytest.raises(FileNotFoundError):
+        formats.read_edge_binary(spark, str(tmp_path / "nothing.bin"))
     assert formats.result_name(0.2, 5) == "result-0.2-5.txt"
 
 
@@ -201,3 +204,66 @@ def test_streamed_edges(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["id"], r["deg"]) for r in spark.table("deg").collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_written_binary_tables_are_read_back(spark, tmp_path, monkeypatch):
+    """Parts, their counts, and ranges within a part."""
+    monkeypatch.setattr(formats, "RANGE_ITEMS", 7)
+    g = Graph.from_pairs(spark.createDataFrame(random_pairs(30, 90, 11), "src long, dst long").repartition(3), universe="range")
+    formats.write_edge_binary(g.edges, str(tmp_path / "edges"))
+    assert rows(formats.read_edge_binary(spark, str(tmp_path / "edges"))) == rows(g.edges)
+    formats.write_csr_binary(g, str(tmp_path / "deg"), str(tmp_path / "adj"))
+    back = formats.read_csr_binary(spark, str(tmp_path / "deg"), str(tmp_path / "adj"))
+    assert rows(back.edges) == rows(g.edges) and rows(back.vertices) == rows(g.vertices)
+    perm = ordering.random_order(g, seed=1)
+    formats.write_permutation_binary(perm, str(tmp_path / "perm"))
+    assert rows(formats.read_permutation_binary(spark, str(tmp_path / "perm"))) == rows(perm)
+
+
+def test_binary_layout_is_the_plain_one(spark, tmp_path):
+    formats.write_edge_binary(spark.createDataFrame([(1, 2), (0, 1)], "src long, dst long"), f"file://{tmp_path}/e")
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "e").iterdir())) == struct.pack("<qiiii", 2, 0, 1, 1, 2)
+
+
+def test_more_of_bitmaps(spark):
+    make = lambda values: bitmap.pack(spark.createDataFrame([(1, v) for v in values], "k long, v long"), "k", "v")
+    full = set(range(128)) | {200, 300}
+    assert rows(bitmap.equal(make(full), make(full))) == [(1, True)] and rows(bitmap.equal(make(full), make(full - {5}))) == [(1, False)]
+    for size in (301, 320):
+        assert {r["value"] for r in bitmap.unpack(bitmap.append(make(full), make({0, 63, 64}), size)).collect()} == full | {size, size + 63, size + 64}
+    assert rows(bitmap.statistics(make(full), 301)) == [(1, 2, 1, 2, 1)]
+    assert rows(bitmap.statistics(make(set(range(130))), 130)) == [(1, 0, 0, 3, 0)]
+
+
+def test_running_sums(spark):
+    data = [(i * 7 % 50, i) for i in range(50)]
+    found = ranking.running_sums(spark.createDataFrame(data, "k long, v long").repartition(5), ["k"], {"v": "before"})
+    ordered = sorted(data)
+    assert rows(found) == [(k, v, sum(x for _, x in ordered[:i])) for i, (k, v) in enumerate(ordered)]
+    assert rows(ranking.running_sums(spark.createDataFrame([], "k long, v long"), ["k"], {"v": "before"})) == []
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError):
+        materialize.shared_dir(Session())
+    table = materialize.written(spark.range(3), "t")
+    assert table.count() == 3
+    materialize.dropped(table, None, spark.range(2))
+    materialize.dropped(table)
+
+
+def test_peripheral_sources_of_a_path(spark):
+    path = [3, 1, 0, 2, 4, 5, 9, 7]
+    g = graph_of(spark, list(zip(path, path[1:], strict=False)))
+    assert rows(ordering.peripheral_sources(g, connected_components(g.edges))) == [(0, 7, 7)]
+    assert [r["old_id"] for r in ordering.bfs_order(g, peripheral=True).orderBy("new_id").collect()] == path[::-1]
