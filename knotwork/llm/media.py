@@ -139,7 +139,7 @@ def difference_hash(image: np.ndarray) -> str:
 
 def npy(array: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, array, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(array), allow_pickle=False)
     return out.getvalue()
 
 
