@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import random
 
 import numpy as np
 import public_tokenizers
@@ -54,3 +55,30 @@ def test_stages(spark, small):
 def test_stage_takes_an_empty_table(spark, small, stage):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, docs, small).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null ids, texts and sources, repeated ids and rows, empty and very long texts, one after another."""
+    rng = random.Random(4)
+    words = "the house and the street with some of what they have said about it".split()
+    prose = [" ".join(rng.choice(words) + str(rng.randrange(90)) for _ in range(n)) for n in (120, 90, 70, 3_000)]
+    data = [(1, prose[0], "a"), (2, prose[0] + " tail", "b"), (2, prose[1], "b"), (2, prose[1], None), (3, None, "a"), (4, "", "a"), (5, " \t\n", "a"), (6, "12 34", "a")]
+    data += [(None, prose[0], "a"), (None, prose[0], "a"), (7, prose[2] + " x " + prose[1], "c"), (8, prose[3], None), (9, prose[3] + " " + prose[2], "c")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    first = written(stages[0](spark, docs, ""), "t")
+    with_letters = [(i, t) for i, t, _ in data if t and any(map(str.isalpha, t))]
+    assert key(first) == sorted(with_letters, key=str) and first.columns == docs.columns
+    second = written(stages[1](spark, first, ""), "t")
+    # 2 (with tail) is near 1; of the equal rows of id 2 one stays; null ids link nothing.
+    expected = [(1, prose[0]), (2, prose[1]), (None, prose[0]), (None, prose[0]), (7, prose[2] + " x " + prose[1]), (8, prose[3])]
+    assert key(second) == sorted(expected, key=str)
+    third = written(stages[2](spark, second, ""), "t")
+    assert key(third) == sorted(((i, kept if gone else t) for (i, t), (_, n, gone, kept) in zip(expected, plain.dedup(expected), strict=True) if not gone or gone < n), key=str)
+    fourth = written(stages[3](spark, third, ""), "t")
+    taken = {(r["doc_id"], r["source"]): r["n"] for r in fair_mix(third).groupBy("doc_id", "source").sum("taken_copies").toDF("doc_id", "source", "n").collect() if r["n"]}
+    assert {(r["doc_id"], r["source"]): r["count"] for r in fourth.groupBy("doc_id", "source").count().collect()} == taken
+    last = stages[4](spark, fourth, "").collect()
+    assert sorted(r["decoded_sha256"] for r in last) == sorted(plain.sha(t.encode()) for _, t in key(fourth))
