@@ -254,6 +254,12 @@ def test_url_filters(spark, broadcast_rules):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_of_very_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 30_000 + "example.org/es/x"), (2, "http://" + "." * 50 + "org/"), (3, "x://.com/de/"), (4, None), (4, None)], "page_id long, url string")
+    out = url_filters.judge_urls(pages)
+    assert bag(out, "page_id", "rule", "verdict") == [(1, "example.org/es/", "block"), (2, "org/", "allow"), (3, "com/de/", "block"), (4, None, "allow"), (4, None, "allow")]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------
 
 
