@@ -5,7 +5,8 @@ What follows in either conversation is its completion. A completion's mask is a
 prompt + completion that a loss may count: the texts of assistant turns (with their end mark) after the prompt. The
 prompt is fully masked. Rendering: ``<|role|>\\n`` text ``<|end|>\\n`` for each turn.
 
-Only a conversation's own turns are brought together, to be rendered as one row; all else is row by row.
+Only a conversation's own turns are brought together, to be rendered as one row; all else is row by row. A conversation is held whole, as
+one array and one string, by the task that renders it: Spark's 2 GB for a value is the limit of a conversation's text.
 ``swapped_answers`` gives rejected conversations where a table holds no verdicts: each conversation with its last
 assistant text replaced by that of the conversation with the next id.
 

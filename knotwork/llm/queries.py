@@ -15,6 +15,7 @@ from knotwork.llm.preference_format import clean_turns, format_preferences, swap
 from knotwork.llm.quality import score_documents
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 from knotwork.llm.url_filters import judge_urls
+from knotwork.plans.materialize import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with the next conversation's last answer."""
-    turns = clean_turns(_table(spark, sf_dir, "conversations"))
+    turns = written(clean_turns(_table(spark, sf_dir, "conversations")), "turns")
     out = format_preferences(turns, swapped_answers(turns))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select("conv_id", "n_common", "prompt", "chosen_completion", "rejected_completion", spans("chosen_spans").alias("chosen_mask"), spans("rejected_spans").alias("rejected_mask"))
