@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import language_id, media
 from knotwork.llm.byte_bpe import Tokenizer
+from knotwork.llm.centroid_clustering import cluster_report
 from knotwork.llm.cover_search import top_k
 from knotwork.llm.fair_mix import fair_mix
 from knotwork.llm.jaccard_join import similarity_components
 from knotwork.llm.preference_format import clean_turns, format_preferences, swapped_answers
 from knotwork.llm.quality import score_documents
+from knotwork.llm.ring_shards import ring_shards
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 from knotwork.llm.url_filters import judge_urls
+from knotwork.llm.whitening import whiten
 from knotwork.plans.materialize import written
 
 
@@ -92,7 +95,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cover_search, op2_substring_dedup, op3_preference_format, op4_fair_mix, op5_byte_bpe, op6_url_filters, op7_media, op8_language_id, op9_quality, op10_jaccard_join)}
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even counts: every shard's room is its share of the rows."""
+    placed = ring_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cover_search, op2_substring_dedup, op3_preference_format, op4_fair_mix, op5_byte_bpe, op6_url_filters, op7_media, op8_language_id, op9_quality, op10_jaccard_join, op11_ring_shards, op12_whitening, op13_centroid_clusters)}
 
 OP1_SQL = r"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -147,4 +164,23 @@ c AS (SELECT b.*, (SELECT max({'n': length(h || p), 'k': length(h), 'rule': h ||
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM c
 """
 
-ORACLE_SQL = {"op1_cover_search": OP1_SQL, "op3_preference_format": OP3_SQL, "op4_fair_mix": OP4_SQL, "op6_url_filters": OP6_SQL}
+_OP13_ROUND = """
+a{i} AS (SELECT e.vec_id, e.x, arg_min({{'c': c.cluster, 'd': d}}, {{'d': d, 'c': c.cluster}}) AS best FROM e, c{i} c, LATERAL (SELECT list_sum(list_transform(list_zip(e.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) GROUP BY e.vec_id, e.x),
+u{i} AS (SELECT cluster, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY p) AS x FROM (SELECT best.c AS cluster, p, sum(x[p]) AS s, count(*) AS k FROM a{i}, range(1, 65) r(p) GROUP BY ALL) GROUP BY cluster),
+c{n} AS (SELECT c{i}.cluster, coalesce(u{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN u{i} USING (cluster)),"""
+
+OP13_SQL = (
+    r"""
+WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INTEGER AS cluster, x FROM (SELECT x, sha256('1:' || vec_id) AS h FROM e ORDER BY h, x LIMIT 16)),"""
+    + "".join(_OP13_ROUND.format(i=i, n=i + 1) for i in range(3)).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    + _OP13_ROUND.format(i=3, n=4).split("\nu3")[0].rstrip(",")
+    + r"""
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(list_aggregate(c3.x, 'string_agg', ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.cluster = best.c
+"""
+)
+
+ORACLE_SQL = {"op1_cover_search": OP1_SQL, "op3_preference_format": OP3_SQL, "op4_fair_mix": OP4_SQL, "op6_url_filters": OP6_SQL, "op13_centroid_clusters": OP13_SQL}
