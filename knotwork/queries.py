@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import bitmap
-from knotwork.operators import counting, ordering, relational, scan, stats
+from knotwork.operators import counting, multiway, ordering, relational, scan, semiring, stats
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph
 from knotwork.operators.kcore import coreness, k_core
@@ -34,7 +34,10 @@ d AS (SELECT src AS id, count(*) AS deg FROM s GROUP BY src),
 n AS (SELECT e.src, e.dst, count(b.src) AS cn FROM e LEFT JOIN s a ON a.src = e.src LEFT JOIN s b ON b.src = e.dst AND b.dst = a.dst GROUP BY e.src, e.dst)"""
 _ORIENTED = """f AS (SELECT CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.src ELSE e.dst END AS src, CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.dst ELSE e.src END AS dst
   FROM e JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst)"""
-_TRIANGLES = """t AS (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst)"""
+_TRIANGLES = """td AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+tf AS MATERIALIZED (SELECT CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.src ELSE e.dst END AS src, CASE WHEN (x.deg, e.src) < (y.deg, e.dst) THEN e.dst ELSE e.src END AS dst
+  FROM e JOIN td x ON x.id = e.src JOIN td y ON y.id = e.dst),
+t AS (SELECT v[1] AS a, v[2] AS b, v[3] AS c FROM (SELECT list_sort([x.src, x.dst, y.dst]) AS v FROM tf x JOIN tf y ON y.src = x.src AND x.dst < y.dst SEMI JOIN e ON e.src = x.dst AND e.dst = y.dst))"""
 
 
 def _sql(body: str, *parts: str, edges: str = _EDGES) -> str:
@@ -591,6 +594,77 @@ def multiway_join(spark, sf_dir):
     return relational.multiway_join([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")]).select("a", "b", "c")
 
 
+@_query("hypercube_triangles", _sql("SELECT a, b, c FROM t", _TRIANGLES))
+def hypercube_triangles(spark, sf_dir):
+    e = written(order_graph(spark, sf_dir).edges, "edges")
+    return multiway.hypercube_join([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")]).select("a", "b", "c")
+
+
+@_query("hypercube_cycles", """WITH b AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+w AS (SELECT x.c AS c1, y.c AS c2, x.p FROM b x JOIN b y ON x.p = y.p AND x.c < y.c)
+SELECT v.c1, v.c2, v.p AS p1, w.p AS p2 FROM w v JOIN w ON v.c1 = w.c1 AND v.c2 = w.c2 AND v.p < w.p""")
+def hypercube_cycles(spark, sf_dir):
+    """Two customers and two parts that both have ordered: the cycles of four of customers and parts."""
+    bought = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    bought = written(bought, "bought")
+    sides = [bought.toDF(c, p) for c, p in (("c1", "p1"), ("c1", "p2"), ("c2", "p1"), ("c2", "p2"))]
+    return multiway.hypercube_join(sides, less=[("c1", "c2"), ("p1", "p2")]).select("c1", "c2", "p1", "p2")
+
+
+@_query("hypercube_local_lines", """SELECT DISTINCT o_orderkey AS o, o_custkey AS c, l_partkey AS p, s_suppkey AS s, c_nationkey AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""")
+def hypercube_local_lines(spark, sf_dir):
+    """Lines whose customer and supplier are of one nation: four tables in a circle, five attributes."""
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n"))
+    suppliers = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+    return multiway.hypercube_join([lines, orders, customers, suppliers]).select("o", "c", "p", "s", "n")
+
+
+def _sales(spark, sf_dir):
+    """Lines by order (value: quantity), orders (cents), customers, nations and regions (1)."""
+    one = F.lit(1).cast("long").alias("value")
+    return [
+        _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("value")),
+        _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.round(F.col("o_totalprice") * 100).cast("long").alias("value")),
+        _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n"), one),
+        _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"), one),
+        _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("region"), one),
+    ]
+
+
+_SALES = "FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+
+@_query("eliminated_sales", f"SELECT r_name AS region, sum(round(o_totalprice * 100)::BIGINT * l_quantity::BIGINT)::BIGINT AS value {_SALES} GROUP BY r_name")
+def eliminated_sales(spark, sf_dir):
+    """Of each region the orders' cents times the pieces of their lines, over five tables."""
+    return semiring.aggregate_join(_sales(spark, sf_dir), ["region"])
+
+
+@_query("eliminated_dearest", f"SELECT r_name AS region, l_suppkey AS s, max(round(o_totalprice * 100)::BIGINT + l_quantity::BIGINT + 3)::BIGINT AS value {_SALES} GROUP BY r_name, l_suppkey")
+def eliminated_dearest(spark, sf_dir):
+    """The largest sum of annotations by region and supplier: the same query in another semiring, with two columns that are far apart."""
+    return semiring.aggregate_join(_sales(spark, sf_dir), ["region", "s"], plus="max", times="sum")
+
+
+@_query("eliminated_local_sales", f"SELECT r_name AS region, sum(round(o_totalprice * 100)::BIGINT * l_quantity::BIGINT)::BIGINT AS value {_SALES} JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey GROUP BY r_name")
+def eliminated_local_sales(spark, sf_dir):
+    """Where customer and supplier are of one nation: six tables with a cycle."""
+    suppliers = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"), F.lit(1).cast("long").alias("value"))
+    return semiring.aggregate_join([*_sales(spark, sf_dir), suppliers], ["region"])
+
+
+@_query("eliminated_triangles", _sql("SELECT id, count(*) AS value FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY id", _TRIANGLES))
+def eliminated_triangles(spark, sf_dir):
+    """Triangles at each part: every one has six walks around it, two from each of its corners."""
+    edges = _orders(spark, sf_dir)
+    both = written(edges.symmetric().withColumn("value", F.lit(1).cast("long")), "both")
+    walks = semiring.aggregate_join([both.toDF("id", "y", "value"), both.toDF("y", "z", "value"), both.toDF("z", "id", "value")], ["id"])
+    return walks.select("id", (F.col("value") / 2).cast("long").alias("value"))
+
+
 @_query("annotated_join", "SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT * l_quantity::BIGINT)::BIGINT AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def annotated_join(spark, sf_dir):
     """Of each customer the orders' prices in cents times the pieces of their lines, added up."""
