@@ -122,10 +122,10 @@ def file_result_text(spark, sf_dir):
     return formats.numbered_lines(lines)
 
 
-@_query("unused_ids", graphs._sql("SELECT id FROM (SELECT unnest(range(0, (SELECT max(dst) + 1 FROM e))) AS id) ANTI JOIN d USING (id)"))
+@_query("unused_ids", graphs._sql("SELECT id FROM (SELECT unnest(range(0, (SELECT max(dst) + 1 FROM e))) AS id) WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)", graphs._BASE, edges=graphs._DOC_EDGES))
 def unused_ids(spark, sf_dir):
-    """Ids from 0 to the largest one that no edge has."""
-    edges = _orders(spark, sf_dir).edges
+    """Documents, from 0 to the largest one that shares a line, that share none."""
+    edges = graphs._docs(spark, sf_dir).edges
     return vertices_of(edges, "range").join(vertices_of(edges), "id", "left_anti")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import bitmap
 from knotwork.operators import counting, multiway, ordering, relational, scan, semiring, stats
 from knotwork.operators.components import connected_components
-from knotwork.operators.graph import Graph
+from knotwork.operators.graph import Graph, vertices_of
 from knotwork.operators.kcore import coreness, k_core
 from knotwork.plans.materialize import written
 from knotwork.sources.derive import line_chains, line_classes, line_graph, order_graph
@@ -54,16 +54,21 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+def _simple(edges: DataFrame) -> Graph:
+    """The graph of written edges, which are canonical and distinct already."""
+    return Graph(edges, vertices_of(edges))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_pairs(written(order_graph(spark, sf_dir).edges, "orders"))
+    return _simple(written(order_graph(spark, sf_dir).edges, "orders"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_pairs(written(line_chains(spark, sf_dir).edges, "docs"))
+    return _simple(written(line_chains(spark, sf_dir).edges, "docs"))
 
 
 def _all_docs(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_pairs(written(line_graph(spark, sf_dir).edges, "docs"))
+    return _simple(written(line_graph(spark, sf_dir).edges, "docs"))
 
 
 @_query("edges", _sql("SELECT src, dst FROM e", _BASE))
@@ -203,9 +208,12 @@ def scan_clusters(spark, sf_dir):
     return scan.cluster(_orders(spark, sf_dir), 0.18, 2).clusters
 
 
-@_query("scan_members", _sql("SELECT cluster_id, id FROM me", *_scan_parts(0.18, 2)))
+@_query("scan_members", _sql("SELECT cluster_id, id FROM me", *(part.replace(">= 0.18", ">= (SELECT 0.85::DOUBLE * max(sim) FROM m)") for part in _scan_parts(0.18, 2))))
 def scan_members(spark, sf_dir):
-    return scan.cluster(_orders(spark, sf_dir), 0.18, 2).members
+    """The threshold is a share of the graph's largest similarity, so that there are cores with members at every size."""
+    graph = _orders(spark, sf_dir)
+    most = scan.edge_similarity(graph, 0.0).agg(F.max("sim")).first()[0]
+    return scan.cluster(graph, 0.85 * (most or 0.0), 2).members
 
 
 _RESULT = "SELECT 'c' AS kind, id AS vertex_id, cluster_id FROM cl UNION ALL SELECT 'n', id, cluster_id FROM me"
@@ -263,15 +271,14 @@ def bfs_levels_docs(spark, sf_dir):
 # --- cores and orders ------------------------------------------------------------------------------
 
 
-def _peeled(k: int, rounds: int) -> str:
-    """Vertices of the k-core, by so many rounds of removing those with fewer than k neighbours left."""
-    steps = ["h0 AS (SELECT id FROM d)"]
-    for i in range(1, rounds + 1):
-        steps.append(f"h{i} AS MATERIALIZED (SELECT s.src AS id FROM s WHERE s.src IN (SELECT id FROM h{i - 1}) AND s.dst IN (SELECT id FROM h{i - 1}) GROUP BY s.src HAVING count(*) >= {k})")
-    return ", ".join(steps)
+def _peeled(k: int) -> str:
+    """Vertices of the k-core: those with fewer than k neighbours left go, round by round, until none does."""
+    return f"""h(round, id, k, before) AS (SELECT 0, id, (SELECT count(*) FROM d), (SELECT count(*) + 1 FROM d) FROM d UNION ALL
+  (SELECT round + 1, id, count(*) OVER (), k FROM (SELECT h.round, h.k, s.src AS id FROM h JOIN s ON s.src = h.id SEMI JOIN h o ON o.id = s.dst WHERE h.k < h.before GROUP BY ALL HAVING count(*) >= {k}))),
+core AS (SELECT id FROM h WHERE round = (SELECT max(round) FROM h))"""
 
 
-@_query("two_core", _sql("SELECT src, dst FROM e WHERE src IN (SELECT id FROM h40) AND dst IN (SELECT id FROM h40)", _BASE, _peeled(2, 40)))
+@_query("two_core", _sql("SELECT src, dst FROM e WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)", _BASE.split(",\nn AS")[0], _peeled(2)))
 def two_core(spark, sf_dir):
     return k_core(_orders(spark, sf_dir), 2)
 
@@ -476,12 +483,15 @@ def intersection_stats(spark, sf_dir):
     return stats.intersection_stats(graph, counting.common_neighbors(graph))
 
 
-@_query("dense_vertices", _sql("SELECT src AS id, count(*) AS deg, count(DISTINCT dst // 64) AS blocks FROM s GROUP BY src HAVING count(*) >= 16 AND count(*) > 2 * count(DISTINCT dst // 64)", _BASE, edges=_DOC_EDGES))
+_DENSE = "SELECT src AS id, count(*) AS deg, count(DISTINCT dst // 64) AS blocks FROM s GROUP BY src HAVING count(*) >= 16 AND count(*) > 2 * count(DISTINCT dst // 64)"
+
+
+@_query("dense_vertices", _sql(_DENSE, _BASE))
 def dense_vertices(spark, sf_dir):
-    return stats.dense_vertices(_docs(spark, sf_dir))
+    return stats.dense_vertices(_orders(spark, sf_dir))
 
 
-@_query("dense_vertices_all", ORACLE_SQL["dense_vertices"].replace(_DOC_EDGES, _ALL_DOC_EDGES))
+@_query("dense_vertices_all", _sql(_DENSE, _BASE, edges=_ALL_DOC_EDGES))
 def dense_vertices_all(spark, sf_dir):
     return stats.dense_vertices(_all_docs(spark, sf_dir))
 
@@ -686,19 +696,23 @@ def select_equal(spark, sf_dir):
     return relational.select_equal(_read(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select("o_orderkey", "o_custkey")
 
 
+_FLAGGED = "SELECT l_partkey AS id, l_suppkey AS supplier FROM lineitem WHERE l_returnflag = '{}'"
+
+
 def _flag_parts(spark, sf_dir, flag):
-    return _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("id"))
+    """Parts and the suppliers they came from, by return flag."""
+    return _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("supplier"))
 
 
 for _name, _op, _word in (("set_intersect", relational.set_intersect, "INTERSECT"), ("set_union", relational.set_union, "UNION"), ("set_difference", relational.set_difference, "EXCEPT")):
-    _query(_name, f"SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' {_word} SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")(
+    _query(_name, f"{_FLAGGED.format('R')} {_word} {_FLAGGED.format('A')}")(
         lambda spark, sf_dir, op=_op: op(*(_flag_parts(spark, sf_dir, f) for f in "RA"))
     )
 
 
-@_query("insert_absent", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@_query("insert_absent", f"{_FLAGGED.format('R')} UNION {_FLAGGED.format('A')}")
 def insert_absent(spark, sf_dir):
-    return relational.insert_absent(_flag_parts(spark, sf_dir, "R").distinct(), _flag_parts(spark, sf_dir, "A"), ["id"])
+    return relational.insert_absent(_flag_parts(spark, sf_dir, "R").distinct(), _flag_parts(spark, sf_dir, "A"), ["id", "supplier"])
 
 
 @_query("array_sets", _sql("""SELECT e.src, e.dst, cn::INTEGER AS common, (x.deg + y.deg - cn)::INTEGER AS either, (x.deg - cn)::INTEGER AS only_src FROM n JOIN e USING (src, dst) JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst"""))
@@ -786,12 +800,13 @@ def top_degrees(spark, sf_dir):
     return _orders(spark, sf_dir).degrees().orderBy(F.desc("deg"), "id").limit(10)
 
 
-@_query("asymmetric_rows", _sql("SELECT src, dst FROM e"))
+@_query("asymmetric_rows", _sql("SELECT src, dst FROM e WHERE (src + dst) % 2 = 1"))
 def asymmetric_rows(spark, sf_dir):
-    """Half an edge table has no reverse rows at all."""
+    """All edges one way, and those between ids that are both even or both odd the other way too."""
     from knotwork.operators.graph import asymmetric_rows as rows
 
-    return rows(order_graph(spark, sf_dir).edges)
+    e = _orders(spark, sf_dir).edges
+    return rows(e.unionByName(e.where("(src + dst) % 2 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
 
 
 @_query("neighbour_gaps", _sql("SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM s"))
