@@ -5,7 +5,7 @@ physical strategies give the same rows:
 
 - ``array``: adjacency arrays meet at each edge, ``size(array_intersect)``; simple, for moderate degrees;
 - ``wedge``: out-wedges of the degree-oriented graph, closed by a semi join with the edges, then counted per edge;
-- ``scatter``: triangles listed once and scattered to their three edges;
+- ``scatter``: triangles found once, by intersecting out-lists of the degree-oriented graph, and scattered to their three edges;
 - ``block``: neighbours as 64-bit blocks, joined on block numbers, ``bit_count`` of the common bits; for dense ids;
 - ``hybrid``: ``block`` for edges with a vertex of ``dense`` neighbours or more, ``array`` for the others, so that no array is longer than that.
 
@@ -23,20 +23,25 @@ from knotwork.plans.materialize import written
 STRATEGIES = ("scatter", "array", "wedge", "block", "hybrid")
 
 
+def closings(graph: Graph) -> DataFrame:
+    """``(u, v, closing)`` of each edge in the orientation: the vertices to which both ends point. Each triangle is there once, at its first two corners.
+
+    An out-list travels with each of its edges; the orientation bounds it by the square root of twice the number of edges.
+    """
+    lists = written(graph.oriented().groupBy(F.col("src").alias("u")).agg(F.collect_list("dst").alias("own")), "out-lists")
+    far = lists.select(F.col("u").alias("v"), F.col("own").alias("other"))
+    return lists.select("u", "own", F.explode("own").alias("v")).join(far, "v").select("u", "v", F.array_intersect("own", "other").alias("closing"))
+
+
 def triangles(graph: Graph) -> DataFrame:
     """Each triangle once, as ``(a, b, c)`` with a < b < c."""
-    out = graph.oriented()
-    first = out.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    second = out.select(F.col("src").alias("u"), F.col("dst").alias("w"))
-    wedges = first.join(second, "u").where("v < w")
-    closed = wedges.join(graph.edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"], "left_semi")
     ends = F.sort_array(F.array("u", "v", "w"))
-    return closed.select(ends[0].alias("a"), ends[1].alias("b"), ends[2].alias("c"))
+    return closings(graph).select("u", "v", F.explode("closing").alias("w")).select(ends.alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"), F.col("e")[2].alias("c"))
 
 
 def triangle_count(graph: Graph) -> DataFrame:
     """One row, ``triangles``."""
-    return triangles(graph).agg(F.count("*").alias("triangles"))
+    return closings(graph).agg(F.coalesce(F.sum(F.size("closing")), F.lit(0)).cast("long").alias("triangles"))
 
 
 def triangle_count_of_classes(graph: Graph, classes: DataFrame) -> DataFrame:
@@ -49,9 +54,13 @@ def triangle_count_of_classes(graph: Graph, classes: DataFrame) -> DataFrame:
 
 
 def _scatter(graph: Graph) -> DataFrame:
-    pair = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
-    hits = triangles(graph).select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("cn"))
-    return graph.edges.join(hits, ["src", "dst"], "left").select("src", "dst", F.coalesce("cn", F.lit(0)).cast("long").alias("cn"))
+    """An edge's own closings are counted where they are found; each of them is also one for the two edges from it."""
+    found = written(closings(graph).where(F.size("closing") > 0), "closings")
+    own = found.select("u", "v", F.size("closing").cast("long").alias("k"))
+    pair = lambda x: F.struct(F.col(x).alias("u"), F.col("w").alias("v"), F.lit(1).cast("long").alias("k"))
+    others = found.select("u", "v", F.explode("closing").alias("w")).select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.*")
+    none = graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).cast("long").alias("k"))
+    return own.unionByName(others).unionByName(none).groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.sum("k").alias("cn"))
 
 
 def _array(graph: Graph, edges: DataFrame | None = None, directed: DataFrame | None = None) -> DataFrame:

@@ -55,9 +55,9 @@ def test_components(spark, folder, nbrs):
 
 
 def test_sets(spark, folder, lines):
-    returned, accepted = ({p for _, p, _, f, _ in lines if f == flag} for flag in "RA")
+    returned, accepted = ({(p, s) for _, p, _, f, s in lines if f == flag} for flag in "RA")
     for name, expected in (("intersect", returned & accepted), ("union", returned | accepted), ("difference", returned - accepted)):
-        assert rows(QUERIES[f"set_{name}"](spark, folder)) == sorted((x,) for x in expected)
+        assert rows(QUERIES[f"set_{name}"](spark, folder)) == sorted(expected)
 
 
 def test_bfs_levels_to_the_fixed_point(spark, tmp_path):
