@@ -60,9 +60,38 @@ def bfs_order(graph: Graph, reverse: bool = False, peripheral: bool = False) ->
     levels = bfs_levels(edges, sources)
     rows = graph.vertices.join(parts, "id", "left").join(levels, "id", "left").join(graph.degrees(), "id")
     perm = _perm(rows, F.coalesce("component", "id"), F.coalesce("level", F.lit(0)), "deg")
-    if not reverse:
-        return perm
-    return perm.crossJoin(perm.agg(F.max("new_id").alias("last"))).select("old_id", (F.col("last") - F.col("new_id")).alias("new_id"))
+    return reversed_order(perm) if reverse else perm
+
+
+def cuthill_mckee_order(graph: Graph, reverse: bool = True, peripheral: bool = True) -> DataFrame:
+    """Cuthill-McKee: components by smallest id; within each, levels from a source, and within a level by the place of the first parent, then degree, then id.
+
+    Places are carried from level to level: a vertex that is reached takes the least place among its neighbours of the level before, and a range-partitioned sort
+    numbers the level, of all components at once. ``reverse`` numbers from the end. ``peripheral`` starts from :func:`peripheral_sources`, otherwise from each component's smallest id.
+    """
+    edges, deg = written(graph.symmetric(), "edges"), written(graph.degrees(), "degrees")
+    parts = written(graph.vertices.join(connected_components(graph.edges), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "parts")
+    sources = parts.groupBy("component").agg(F.min("id").alias("id"))
+    if peripheral:
+        far = peripheral_sources(graph, parts).select("component", F.col("id").alias("far"))
+        sources = sources.join(far, "component", "left").select("component", F.coalesce("far", "id").alias("id"))
+    front = written(ranked(sources, "component", into="rank").withColumn("level", F.lit(0).cast("long")), "front")
+    seen, level = front, 0
+    while not front.isEmpty():
+        level += 1
+        reached = edges.join(front.select(F.col("id").alias("src"), "component", "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("rank").alias("parent"), F.first("component").alias("component"))
+        fresh = reached.join(seen, "id", "left_anti").join(deg, "id")
+        front = written(ranked(fresh, "parent", "deg", "id", into="rank").select("component", "id", "rank", F.lit(level).cast("long").alias("level")), "front")
+        seen = seen.unionByName(front)
+        if level % 8 == 0:
+            seen = written(seen, "seen")
+    perm = _perm(seen, "component", "level", "rank")
+    return reversed_order(perm) if reverse else perm
+
+
+def reversed_order(perm: DataFrame) -> DataFrame:
+    """The last first."""
+    return perm.crossJoin(F.broadcast(perm.agg(F.max("new_id").alias("last")))).select("old_id", (F.col("last") - F.col("new_id")).alias("new_id"))
 
 
 def peripheral_sources(graph: Graph, parts: DataFrame, sweeps: int = 2) -> DataFrame:
@@ -136,11 +165,11 @@ def communities(graph: Graph, rounds: int = 5) -> DataFrame:
     """``(id, community)`` by label propagation: the commonest label among neighbours, the smallest on ties."""
     sym = written(graph.symmetric(), "sym")
     label = written(graph.vertices.select("id", F.col("id").alias("community")), "label")
-    for _ in range(rounds):
+    for number in range(rounds):
         votes = sym.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("k"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("k"), F.col("community"))).alias("b")).select("id", F.col("b.community").alias("new"))
         # Half of the vertices move in a round (by id hash), so that pairs do not swap labels forever.
-        moves = F.md5(F.concat_ws(":", F.lit(_), "id")) < "8"
+        moves = F.md5(F.concat_ws(":", F.lit(number), "id")) < "8"
         before, label = label, written(label.join(best, "id", "left").select("id", F.when(F.col("new").isNotNull() & moves, F.col("new")).otherwise(F.col("community")).alias("community")), "label")
         dropped(before)
     return label

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import bitmap
-from knotwork.operators import counting, multiway, ordering, relational, scan, semiring, stats
+from knotwork.operators import counting, merging, multiway, ordering, relational, scan, semiring, stats
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, vertices_of
 from knotwork.operators.kcore import coreness, k_core
@@ -369,11 +369,6 @@ def order_bfs_peripheral(spark, sf_dir):
     return ordering.bfs_order(_docs(spark, sf_dir), peripheral=True)
 
 
-@_query("order_hybrid", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY deg DESC, place) - 1 AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES))
-def order_hybrid(spark, sf_dir):
-    return ordering.hybrid_order(_orders(spark, sf_dir))
-
-
 def _labels(rounds: int) -> str:
     """Label propagation, written out round by round."""
     steps = ["g0 AS (SELECT id, id AS community FROM d)"]
@@ -383,6 +378,80 @@ def _labels(rounds: int) -> str:
     return ", ".join(steps)
 
 
+def _mckee(sources: str) -> str:
+    return f"""mk(id, level, rank) USING KEY (id) AS (SELECT id, 0::BIGINT, row_number() OVER (ORDER BY component) FROM ({sources}) UNION
+  SELECT id, level, row_number() OVER (ORDER BY p, deg, id) FROM (SELECT s.dst AS id, min(w.level) + 1 AS level, min(w.rank) AS p, any_value(d.deg) AS deg FROM mk w JOIN s ON s.src = w.id JOIN d ON d.id = s.dst
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.mk r WHERE r.id = s.dst) GROUP BY s.dst)),
+mp AS (SELECT mk.id, row_number() OVER (ORDER BY component, level, rank) - 1 AS place, count(*) OVER () AS n FROM mk JOIN cc ON cc.id = mk.id)"""
+
+
+@_query("order_cuthill_mckee", _sql("SELECT id AS old_id, place AS new_id FROM mp", _BASE, _COMPONENTS, _mckee("SELECT DISTINCT component AS id, component FROM cc")))
+def order_cuthill_mckee(spark, sf_dir):
+    """From the smallest id, numbered from the front."""
+    return ordering.cuthill_mckee_order(_orders(spark, sf_dir), reverse=False, peripheral=False)
+
+
+@_query("order_reverse_cuthill_mckee", _sql("SELECT id AS old_id, n - 1 - place AS new_id FROM mp", *_FAR, _mckee("SELECT id, component FROM b2"), edges=_ALL_DOC_EDGES))
+def order_reverse_cuthill_mckee(spark, sf_dir):
+    return ordering.cuthill_mckee_order(_all_docs(spark, sf_dir))
+
+
+_WIDTHS = "SELECT '{}' AS ids, max(b) AS bandwidth, round(avg(w), 6) AS avg_width, max(k) AS max_degree FROM (SELECT max(abs(src - dst)) AS b, max(dst) - min(dst) AS w, count(*) AS k FROM {} GROUP BY src)"
+
+
+@_query("bandwidth_reduced", _sql(f"{_WIDTHS.format('given', 's')} UNION ALL {_WIDTHS.format('reverse Cuthill-McKee', 'ms')}", *_FAR, _mckee("SELECT id, component FROM b2"),
+    "ms AS (SELECT x.n - 1 - x.place AS src, y.n - 1 - y.place AS dst FROM s JOIN mp x ON x.id = s.src JOIN mp y ON y.id = s.dst)", edges=_ALL_DOC_EDGES))
+def bandwidth_reduced(spark, sf_dir):
+    graph = _all_docs(spark, sf_dir)
+    moved = graph.relabelled(written(ordering.cuthill_mckee_order(graph), "perm"))
+    widths = lambda g, name: stats.bandwidth(g).select(F.lit(name).alias("ids"), "*")
+    return widths(graph, "given").unionByName(widths(moved, "reverse Cuthill-McKee"))
+
+
+def _merges(rounds: int) -> str:
+    """Rounds of merging by modularity gain, written out; ``y{i}(id, community)`` after round i."""
+    m2 = "(2 * (SELECT count(*) FROM e))::HUGEINT"
+    steps = ["y0 AS (SELECT id, id AS community FROM d)"]
+    for i in range(rounds):
+        suits = f"md5('{i}:' || u) >= '8' AND md5('{i}:' || v) < '8'"
+        steps += [
+            f"st{i} AS MATERIALIZED (SELECT community AS id, sum(deg)::HUGEINT AS s FROM y{i} JOIN d USING (id) GROUP BY community)",
+            f"ww{i} AS MATERIALIZED (SELECT x.community AS u, y.community AS v, count(*)::HUGEINT AS w FROM s JOIN y{i} x ON x.id = s.src JOIN y{i} y ON y.id = s.dst WHERE x.community <> y.community GROUP BY ALL)",
+            f"bb{i} AS MATERIALIZED (SELECT u, v, w, a.s AS su, b.s AS sv, {m2} * w - a.s * b.s AS gain FROM ww{i} JOIN st{i} a ON a.id = u JOIN st{i} b ON b.id = v WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY u ORDER BY gain DESC, v) = 1)",
+            f"su{i} AS MATERIALIZED (SELECT *, sum(su) OVER (PARTITION BY v) AS alls, row_number() OVER (PARTITION BY v ORDER BY gain DESC, u) AS n FROM bb{i} WHERE {suits})",
+            f"y{i + 1} AS MATERIALIZED (SELECT id, coalesce(v, community) AS community FROM y{i} LEFT JOIN (SELECT u, v FROM su{i} WHERE n = 1 OR {m2} * w - su * (sv + alls - su) > 0) ON u = community)",
+        ]
+    return ", ".join(steps)
+
+
+def _merge_order(rounds: int) -> str:
+    keys = [f"y{rounds}.community"]
+    for i in range(rounds, 0, -1):
+        keys += [f"y{i - 1}.community <> y{i}.community", f"y{i - 1}.community"]
+    return f"SELECT y0.id AS old_id, row_number() OVER (ORDER BY {', '.join(keys)}) - 1 AS new_id FROM y0 " + " ".join(f"JOIN y{i} ON y{i}.id = y0.id" for i in range(1, rounds + 1))
+
+
+@_query("order_merging", _sql(_merge_order(8), _BASE.split(",\nn AS")[0], _merges(8)))
+def order_merging(spark, sf_dir):
+    return merging.merge_by_modularity(_orders(spark, sf_dir), rounds=8).order()
+
+
+_Q_OF = "SELECT '{}' AS method, round(sum(inn / m - (al / m) ** 2), 9) AS modularity FROM (SELECT x.community, count(*) FILTER (x.community = y.community) AS inn, count(*) AS al, sum(count(*)) OVER () AS m FROM s JOIN {} x ON x.id = s.src JOIN {} y ON y.id = s.dst GROUP BY x.community)"
+
+
+@_query("merging_modularity", _sql(f"{_Q_OF.format('merging', 'y24', 'y24')} UNION ALL {_Q_OF.format('labels', 'g5', 'g5')}", _BASE.split(",\nn AS")[0], _merges(24), _labels(5), edges=_ALL_DOC_EDGES))
+def merging_modularity(spark, sf_dir):
+    """On all links between documents: merging, and label propagation beside it."""
+    graph = _all_docs(spark, sf_dir)
+    of = lambda found, name: stats.modularity(graph, written(found, "communities")).select(F.lit(name).alias("method"), "modularity")
+    return of(merging.merge_by_modularity(graph, rounds=24).communities(), "merging").unionByName(of(ordering.communities(graph), "labels"))
+
+
+@_query("order_hybrid", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY deg DESC, place) - 1 AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES))
+def order_hybrid(spark, sf_dir):
+    return ordering.hybrid_order(_orders(spark, sf_dir))
+
+
 @_query("order_community", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY community, id) - 1 AS new_id FROM g5", _BASE, _labels(5)))
 def order_community(spark, sf_dir):
     return ordering.community_order(_orders(spark, sf_dir))
