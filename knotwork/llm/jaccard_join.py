@@ -46,7 +46,6 @@ CENTRES = 8
 BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
 CELL = 1_024
-FEW_ASKED = 200_000
 _SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<smallint>, third array<smallint>, slice int, counters binary"
 _PREFIX = "token long, salt int, set_key long, n int, pos int"
 _MET = "token long, set_key long, n int, pos int, a long, b long"
@@ -336,8 +335,7 @@ def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, p
     centres = pairs.select("a", "part", F.lit(None).cast("long").alias("b")).distinct()
     asked = pairs.unionByName(centres).withColumn("set_key", F.coalesce("b", "a"))
     asked = written(asked.join(reps.select("set_key", "doc_id", "text_key"), "set_key").drop("set_key"), "asked")
-    few = asked.count() <= FEW_ASKED  # five numbers a row: then the texts stay where they are
-    asked = (F.broadcast(asked) if few else asked).join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
+    asked = asked.join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
     # A repeated row of the table gives its text several times, and a pair with it.
     grouped = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return written(grouped.mapInArrow(_similar(size, percent), "a long, b long").distinct(), "links")
