@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import bitmap
-from knotwork.operators import counting, merging, multiway, ordering, relational, scan, semiring, stats
+from knotwork.operators import counting, merging, multiway, ordering, relational, scan, semiring, stats, truss
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, vertices_of
 from knotwork.operators.kcore import coreness, k_core
@@ -294,6 +294,25 @@ def core_numbers(spark, sf_dir):
     return coreness(_orders(spark, sf_dir))
 
 
+#: Rounds of h-indices over triangles, until no value falls (or 60, more than the test tables take).
+_TRUSS = """ts AS MATERIALIZED (SELECT unnest([{'x': a, 'y': b, 'p': a, 'q': c, 'r': b, 's': c}, {'x': a, 'y': c, 'p': a, 'q': b, 'r': b, 's': c}, {'x': b, 'y': c, 'p': a, 'q': b, 'r': a, 's': c}], recursive := true) FROM t),
+tr(round, x, y, v, falls) AS (SELECT 0, x, y, count(*), 1::BIGINT FROM ts GROUP BY x, y UNION ALL
+  (WITH low AS (SELECT ts.x, ts.y, least(m.v, n.v) AS low FROM ts JOIN tr m ON m.x = p AND m.y = q JOIN tr n ON n.x = r AND n.y = s),
+   h AS (SELECT x, y, max(least(low, k)) AS h FROM (SELECT x, y, low, row_number() OVER (PARTITION BY x, y ORDER BY low DESC) AS k FROM low) GROUP BY x, y)
+   SELECT tr.round + 1, tr.x, tr.y, least(v, h), sum((h < v)::BIGINT) OVER () FROM tr JOIN h USING (x, y) WHERE falls > 0 AND tr.round < 60)),
+tn AS (SELECT src, dst, coalesce(v, 0) + 2 AS truss FROM e LEFT JOIN (SELECT * FROM tr WHERE round = (SELECT max(round) FROM tr)) ON x = src AND y = dst)"""
+
+
+@_query("truss_numbers", _sql("SELECT src, dst, truss FROM tn", _TRIANGLES, _TRUSS, edges=_ALL_DOC_EDGES))
+def truss_numbers(spark, sf_dir):
+    return truss.truss_numbers(_all_docs(spark, sf_dir))
+
+
+@_query("largest_truss", _sql("SELECT max(truss) AS max_truss, count(*) AS n_edges, (SELECT count(DISTINCT id) FROM (SELECT unnest([src, dst]) AS id FROM tn WHERE truss = (SELECT max(truss) FROM tn))) AS n_vertices FROM tn WHERE truss = (SELECT max(truss) FROM tn)", _TRIANGLES, _TRUSS, edges=_ALL_DOC_EDGES))
+def largest_truss(spark, sf_dir):
+    return truss.largest_truss(_all_docs(spark, sf_dir))
+
+
 _BY = "SELECT id AS old_id, row_number() OVER (ORDER BY {}) - 1 AS new_id FROM d"
 
 

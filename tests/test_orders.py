@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from knotwork.operators import merging, ordering, stats
+from knotwork.operators import merging, ordering, stats, truss
 from knotwork.operators.graph import Graph
 
 
@@ -99,3 +99,27 @@ def test_merging_of_little(spark, edges):
     forest = merging.merge_by_modularity(graph, rounds=6)
     assert sorted(r["new_id"] for r in forest.order().collect()) == list(range(2 + 2 * len(edges)))
     ordering.check_permutation(ordering.cuthill_mckee_order(graph), graph.vertices)
+
+
+def serial_truss(near):
+    """Remove edges with fewer than k - 2 triangles, for k = 3, 4, ..."""
+    left = {x: set(ys) for x, ys in near.items()}
+    out, k = {}, 2
+    while any(left.values()):
+        weak = [(a, b) for a in left for b in left[a] if a < b and len(left[a] & left[b]) < k - 1]
+        if not weak:
+            k += 1
+        for a, b in weak:
+            out[a, b] = k
+            left[a].discard(b)
+            left[b].discard(a)
+    return out
+
+
+def test_truss(spark):
+    rng = random.Random(6)
+    clique = [(a, b) for b in range(7) for a in range(b)]
+    edges = list({(min(p), max(p)) for p in clique + [(rng.randrange(24), rng.randrange(24)) for _ in range(90)] + [(40, 41)] if p[0] != p[1]})
+    found = {(r["src"], r["dst"]): r["truss"] for r in truss.truss_numbers(graph_of(spark, edges)).collect()}
+    assert found == serial_truss(neighbours(edges)) and found[0, 1] >= 7 and found[40, 41] == 2
+    assert truss.truss_numbers(graph_of(spark, [(1, 2)]).relabelled(spark.createDataFrame([], "old_id long, new_id long"))).count() == 0
