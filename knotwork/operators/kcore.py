@@ -15,14 +15,14 @@ from knotwork.operators.graph import Graph
 from knotwork.plans.materialize import dropped, written
 
 
-def coreness(graph: Graph, max_rounds: int = 200) -> DataFrame:
+def coreness(graph: Graph) -> DataFrame:
     """``(id, core)`` of every vertex; isolated ones have 0."""
     sym = written(graph.symmetric(), "sym")
     value = written(graph.degrees(isolated=False).withColumnRenamed("deg", "core"), "core")
     falling = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
     near: DataFrame | None = None
     before: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         own = sym if near is None else sym.join(near, "src", "left_semi")
         seen = own.join(value.withColumnRenamed("id", "dst"), "dst").groupBy("src", "core").agg(F.count("*").alias("k"))
         index = seen.withColumn("at_least", F.sum("k").over(falling)).groupBy(F.col("src").alias("id")).agg(F.max(F.least("core", "at_least")).alias("h"))
@@ -35,8 +35,6 @@ def coreness(graph: Graph, max_rounds: int = 200) -> DataFrame:
         near = touched.join(new.select(F.col("id").alias("src"), "core"), "src").where("low < core").select("src")
         dropped(value, before)
         value, before = new, fallen
-    else:
-        raise RuntimeError(f"coreness did not settle in {max_rounds} rounds")
     dropped(sym, before)
     return graph.vertices.join(value, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 

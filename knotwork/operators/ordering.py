@@ -7,7 +7,7 @@ hub-first and community orders are expressed level by level instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.components import connected_components
@@ -94,16 +94,21 @@ def reversed_order(perm: DataFrame) -> DataFrame:
     return perm.crossJoin(F.broadcast(perm.agg(F.max("new_id").alias("last")))).select("old_id", (F.col("last") - F.col("new_id")).alias("new_id"))
 
 
+def farthest_of(graph: Graph, parts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(component, depth, end)``: of each component that ``sources(id)`` start from, the farthest vertex (smallest degree, then id) and how far it is."""
+    levels = bfs_levels(graph.edges, sources).join(parts, "id").join(graph.degrees(isolated=False), "id")
+    return levels.groupBy("component").agg(F.max("level").alias("depth"), F.min_by("id", F.struct((-F.col("level")).alias("l"), "deg", "id")).alias("end"))
+
+
 def peripheral_sources(graph: Graph, parts: DataFrame, sweeps: int = 2) -> DataFrame:
     """``(component, id, depth)``: of each component of ``parts(id, component)`` a vertex with far others, and how far the farthest is.
 
     Starts from the smallest id; a sweep moves to the farthest vertex (smallest degree, then id), if others are farther from there.
     """
-    edges, deg = written(graph.edges, "edges"), written(graph.degrees(isolated=False), "degrees")
+    graph = Graph(written(graph.edges, "edges"), graph.vertices)
 
     def farthest(sources: DataFrame) -> DataFrame:
-        levels = bfs_levels(edges, sources).join(parts, "id").join(deg, "id")
-        return levels.groupBy("component").agg(F.max("level").alias("depth"), F.min_by("id", F.struct((-F.col("level")).alias("l"), "deg", "id")).alias("end"))
+        return farthest_of(graph, parts, sources)
 
     start = parts.groupBy("component").agg(F.min("id").alias("id"))
     best = written(start.join(farthest(start.select("id")), "component"), "sources")
@@ -121,19 +126,22 @@ def hybrid_order(graph: Graph) -> DataFrame:
     return _perm(graph.degrees().join(places, "id"), F.desc("deg"), "place")
 
 
-def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds: int = 1_000) -> DataFrame:
-    """Rounds that put the top-degree hubs in front and all but the giant component behind, until it is small."""
+def slashburn_order(graph: Graph, hubs_per_round: int | None = None, share: float = 0.005) -> DataFrame:
+    """Rounds that put the top-degree hubs in front and all but the giant component behind, until it is small.
+
+    A round takes ``hubs_per_round``, or that ``share`` of all vertices, so that rounds end by themselves: after ``1 / share`` at the latest.
+    """
     n = graph.vertices.count()
-    k = max(1, min(n // 1024, 1024)) if hubs_per_round is None else max(1, hubs_per_round)
+    k = max(1, int(n * share) if hubs_per_round is None else hubs_per_round)
     edges = written(graph.edges, "edges")
     left = written(graph.vertices, "left")
     placed: list[DataFrame] = []  # (id, side, round, size, group)
     parts_before = sizes_before = None
-    for round_no in range(max_rounds):
-        if left.isEmpty():
-            break
+    round_no = -1
+    while not left.isEmpty():
+        round_no += 1
         here = Graph(edges, left)
-        hubs = written(here.degrees().orderBy(F.desc("deg"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("deg"), "id"))), "hubs")
+        hubs = written(ranked(here.degrees(), F.desc("deg"), "id", into="rank").where(F.col("rank") < k), "hubs")
         placed.append(hubs.select("id", F.lit(0).alias("side"), F.lit(round_no).alias("round"), F.col("rank").cast("long").alias("size"), F.lit(0).cast("long").alias("group")))
         rest = left.join(hubs, "id", "left_anti")
         edges = written(edges.join(hubs.select(F.col("id").alias("src")), "src", "left_anti").join(hubs.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
@@ -151,8 +159,6 @@ def slashburn_order(graph: Graph, hubs_per_round: int | None = None, max_rounds:
         inner, edges = edges, written(edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi"), "edges")
         dropped(inner, parts_before, sizes_before)
         parts_before, sizes_before = parts, sizes
-    else:
-        raise RuntimeError(f"no end in {max_rounds} rounds")
     if not placed:
         return original_order(graph)
     rows = placed[0]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import bitmap
-from knotwork.operators import counting, merging, multiway, ordering, relational, scan, semiring, stats, truss
+from knotwork.operators import bisection, counting, merging, multiway, ordering, relational, scan, semiring, stats, truss
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, vertices_of
 from knotwork.operators.kcore import coreness, k_core
@@ -466,6 +466,81 @@ def merging_modularity(spark, sf_dir):
     return of(merging.merge_by_modularity(graph, rounds=24).communities(), "merging").unionByName(of(ordering.communities(graph), "labels"))
 
 
+def _split(old: str, sides: str, new: str) -> str:
+    """The intervals ``new(id, low, n)`` of the halves ``sides(id, low, n, side)``, and those of ``old`` that are leaves."""
+    return f"""{new} AS MATERIALIZED (SELECT id, low, n FROM {old} WHERE n < 32 UNION ALL
+  SELECT id, CASE WHEN side = 0 THEN low ELSE low + n // 2 END, CASE WHEN side = 0 THEN n // 2 ELSE n - n // 2 END FROM {sides})"""
+
+
+_WHOLE = "iv0 AS (SELECT id, 0::BIGINT AS low, count(*) OVER () AS n FROM d)"
+_LOG_COST = "(({l}) * log2((n // 2) / (({l}) + 1.0::DOUBLE)) + ({r}) * log2((n - n // 2) / (({r}) + 1.0::DOUBLE)))"
+
+
+def _gap_halves(levels: int, rounds: int) -> str:
+    """Bisection by log gaps, level by level and round by round; ``iv{levels}`` has the last intervals."""
+    unit = lambda a, b: f"round(({_LOG_COST.format(l='l', r='r')} - {_LOG_COST.format(l=a, r=b)}) * 1048576)::BIGINT"
+    steps = [_WHOLE]
+    for x in range(levels):
+        steps.append(f"h{x}_0 AS MATERIALIZED (SELECT id, low, n, (row_number() OVER (PARTITION BY low ORDER BY id) > n // 2)::INTEGER AS side FROM iv{x} WHERE n >= 32)")
+        for y in range(rounds):
+            now = f"h{x}_{y}"
+            steps += [
+                f"q{now} AS (SELECT src, low, CASE WHEN l > 0 THEN {unit('l - 1', 'r + 1')} END AS away, CASE WHEN r > 0 THEN {unit('l + 1', 'r - 1')} END AS back"
+                f" FROM (SELECT s.src, low, n, count(*) FILTER (side = 0) AS l, count(*) FILTER (side = 1) AS r FROM s JOIN {now} ON id = s.dst GROUP BY s.src, low, n))",
+                f"g{now} AS MATERIALIZED (SELECT id, low, n, side, gain, row_number() OVER (PARTITION BY low, side ORDER BY gain DESC, id) AS place FROM (SELECT h.id, h.low, h.n, h.side,"
+                f" coalesce(sum(CASE WHEN side = 0 THEN away ELSE back END), 0)::BIGINT AS gain FROM {now} h LEFT JOIN s ON s.dst = h.id LEFT JOIN q{now} q ON q.src = s.src AND q.low = h.low GROUP BY ALL))",
+                f"h{x}_{y + 1} AS MATERIALIZED (SELECT a.id, a.low, a.n, CASE WHEN a.gain + b.gain > 0 THEN 1 - a.side ELSE a.side END AS side FROM g{now} a LEFT JOIN g{now} b ON b.low = a.low AND b.side = 1 - a.side AND b.place = a.place)",
+            ]
+        steps.append(_split(f"iv{x}", f"h{x}_{rounds}", f"iv{x + 1}"))
+    return ",\n".join(steps)
+
+
+def _walk_halves(levels: int) -> str:
+    """Bisection along breadth-first walks; ``jv{levels}`` has the last intervals."""
+    steps = [_WHOLE.replace("iv0", "jv0")]
+    for x in range(levels):
+        walk = lambda name, sources: _walk(name, sources).replace(" s ON s.src", f" s{x} s ON s.src")  # noqa: B023, E731
+        steps += [
+            f"s{x} AS MATERIALIZED (SELECT src, dst FROM s JOIN jv{x} a ON a.id = src JOIN jv{x} b ON b.id = dst WHERE a.low = b.low AND a.n >= 32)",
+            f"d{x} AS (SELECT src AS id, count(*) AS deg FROM s{x} GROUP BY src)",
+            f"c{x}(id, component) USING KEY (id) AS (SELECT id, id FROM d{x} UNION SELECT s.dst, min(w.component) FROM c{x} w JOIN s{x} s ON s.src = w.id JOIN recurring.c{x} r ON r.id = s.dst WHERE w.component < r.component GROUP BY s.dst)",
+            walk(f"wa{x}", f"SELECT DISTINCT component AS id FROM c{x}"),
+            f"tail{x} AS (SELECT arg_min(w.id, (-level, deg, w.id)) AS id FROM wa{x} w JOIN c{x} c ON c.id = w.id JOIN d{x} d ON d.id = w.id GROUP BY component)",
+            walk(f"wb{x}", f"SELECT id FROM tail{x}"),
+            f"k{x} AS MATERIALIZED (SELECT j.id, low, n, (row_number() OVER (PARTITION BY low ORDER BY coalesce(component, j.id), coalesce(level, 0), j.id) > n // 2)::INTEGER AS side FROM jv{x} j LEFT JOIN c{x} c ON c.id = j.id LEFT JOIN wb{x} w ON w.id = j.id WHERE n >= 32)",
+            _split(f"jv{x}", f"k{x}", f"jv{x + 1}"),
+        ]
+    return ",\n".join(steps)
+
+
+_FLAT = _BASE.split(",\nn AS")[0]
+_PLACED = "SELECT id AS old_id, row_number() OVER (ORDER BY low, id) - 1 AS new_id FROM {}"
+
+
+@_query("order_gap_bisection", _sql(_PLACED.format("iv3"), _FLAT, _gap_halves(3, 3)))
+def order_gap_bisection(spark, sf_dir):
+    """Three levels of three rounds."""
+    return bisection.gap_bisection_order(_orders(spark, sf_dir), levels=3, rounds=3)
+
+
+@_query("order_walk_bisection", _sql(_PLACED.format("jv2"), _FLAT, _walk_halves(2), edges=_ALL_DOC_EDGES))
+def order_walk_bisection(spark, sf_dir):
+    """Two levels, on all links between documents."""
+    return bisection.walk_bisection_order(_all_docs(spark, sf_dir), levels=2)
+
+
+_LOG_GAP = """SELECT '{0}' AS ids, round(sum(log2(gap)) / count(*), 6) AS avg_log_gap FROM (SELECT b.new_id - lag(b.new_id) OVER (PARTITION BY s.src ORDER BY b.new_id) AS gap FROM s JOIN ({1}) b ON b.old_id = s.dst) WHERE gap IS NOT NULL"""
+
+
+@_query("bisection_gaps", _sql(" UNION ALL ".join([_LOG_GAP.format("given", _PLACED.format("(SELECT id, 0 AS low FROM d)")), _LOG_GAP.format("gaps", _PLACED.format("iv4")), _LOG_GAP.format("walks", _PLACED.format("jv2"))]), _FLAT, _gap_halves(4, 3), _walk_halves(2), edges=_ALL_DOC_EDGES))
+def bisection_gaps(spark, sf_dir):
+    """The mean logarithm of gaps between neighbours, of the given order of ids and of both bisections."""
+    graph = _all_docs(spark, sf_dir)
+    orders = {"given": ordering.original_order(graph), "gaps": bisection.gap_bisection_order(graph, levels=4, rounds=3), "walks": bisection.walk_bisection_order(graph, levels=2)}
+    rows = [stats.gap_entropy(graph.relabelled(written(perm, "perm"))).select(F.lit(name).alias("ids"), "avg_log_gap") for name, perm in orders.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @_query("order_hybrid", _sql("SELECT id AS old_id, row_number() OVER (ORDER BY deg DESC, place) - 1 AS new_id FROM bp", _BASE, _COMPONENTS, _walk("walk", _ROOTS), _PLACES))
 def order_hybrid(spark, sf_dir):
     return ordering.hybrid_order(_orders(spark, sf_dir))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
-from knotwork.operators import merging, ordering, stats, truss
+from knotwork.operators import bisection, merging, ordering, stats, truss
 from knotwork.operators.graph import Graph
+from knotwork.operators.kcore import coreness
+from knotwork.plans.materialize import written
 
 
 def graph_of(spark, edges, vertices=()):
@@ -123,3 +126,40 @@ def test_truss(spark):
     found = {(r["src"], r["dst"]): r["truss"] for r in truss.truss_numbers(graph_of(spark, edges)).collect()}
     assert found == serial_truss(neighbours(edges)) and found[0, 1] >= 7 and found[40, 41] == 2
     assert truss.truss_numbers(graph_of(spark, [(1, 2)]).relabelled(spark.createDataFrame([], "old_id long, new_id long"))).count() == 0
+
+
+def log_gaps(near, place):
+    total = 0.0
+    for x in near:
+        at = sorted(place[y] for y in near[x])
+        total += sum(math.log2(b - a) for a, b in zip(at, at[1:], strict=False))
+    return total
+
+
+def test_bisections(spark):
+    """Four blocks whose ids are mixed up come together, and every order is a permutation."""
+    rng = random.Random(3)
+    ids = rng.sample(range(1000), 160)
+    edges = [(ids[40 * b + i], ids[40 * b + j]) for b in range(4) for i in range(40) for j in range(i) if rng.random() < 0.3]
+    graph, near = graph_of(spark, edges, vertices=[2001, 2002]), neighbours(edges)
+    given = {x: at for at, x in enumerate(sorted([*near, 2001, 2002]))}
+    for perm in (bisection.gap_bisection_order(graph), bisection.walk_bisection_order(graph)):
+        perm = written(perm, "perm")
+        ordering.check_permutation(perm, graph.vertices)
+        assert log_gaps(near, dict(map(tuple, perm.collect()))) < 0.8 * log_gaps(near, given)
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)]])
+def test_bisections_of_little(spark, edges):
+    graph = graph_of(spark, edges, vertices=[7, 8])
+    for order in (bisection.gap_bisection_order, bisection.walk_bisection_order):
+        for leaf in (2, 32):
+            ordering.check_permutation(order(graph, leaf=leaf), graph.vertices)
+    assert bisection.gap_bisection_order(graph_of(spark, [], vertices=[])).count() == 0
+
+
+def test_no_limit_of_rounds(spark):
+    """A path needs a round of coreness for every two vertices, and hubs one at a time still end."""
+    path = graph_of(spark, [(i, i + 1) for i in range(60)])
+    assert {r["core"] for r in coreness(path).collect()} == {1}
+    ordering.check_permutation(ordering.slashburn_order(path, hubs_per_round=4), path.vertices)
