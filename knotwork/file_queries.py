@@ -14,8 +14,9 @@ from knotwork import queries as graphs
 from knotwork.operators import ordering, scan
 from knotwork.operators.graph import Graph, canonical_edges, vertices_of
 from knotwork.plans.materialize import shared_dir, written
-from knotwork.sources import formats
+from knotwork.sources import csr_source, formats
 from knotwork.sources.derive import rmat_graph
+from knotwork.streaming import counts
 from knotwork.streaming.edges import run_to_end, stream_edges, windowed_degrees
 
 QUERIES = {}
@@ -87,6 +88,26 @@ def file_csr(spark, sf_dir):
     return formats.read_csr_binary(spark, f"{path}/degree", f"{path}/adjacency").edges
 
 
+@_query("source_csr", _EDGES)
+def source_csr(spark, sf_dir):
+    """The same files, with ids from 1, written and read as a Spark data source."""
+    path = _folder(spark, "csr")
+    csr_source.register(spark)
+    csr_source.csr_rows(_orders(spark, sf_dir)).write.format("csr").option("base", 1).mode("append").save(path)
+    return spark.read.format("csr").option("base", 1).load(path).where("src < dst")
+
+
+@_query("source_csr_range", graphs._sql("SELECT src, dst FROM s WHERE src BETWEEN (SELECT max(src) FROM s) // 4 AND (SELECT max(src) FROM s) // 2", graphs._BASE))
+def source_csr_range(spark, sf_dir):
+    """A quarter of the vertices: other parts of the files are left out, and other entries of the parts read."""
+    path = _folder(spark, "csr")
+    csr_source.register(spark)
+    graph = _orders(spark, sf_dir)
+    csr_source.csr_rows(graph).write.format("csr").mode("append").save(path)
+    most = graph.vertices.agg(F.max("id")).first()[0]
+    return spark.read.format("csr").load(path).where(F.col("src").between(most // 4, most // 2))
+
+
 @_query("file_graph", _EDGES)
 def file_graph(spark, sf_dir):
     path = _folder(spark, "graph")
@@ -167,3 +188,28 @@ def stream_edges_query(spark, sf_dir):
     """The same pairs as edges: one in an hour's bucket is told once, as the watermark waits longer than that."""
     events = _event_stream(spark, sf_dir)
     return run_to_end(stream_edges(_event_pairs(events), delay="2 hours"), _folder(spark, "stream"), "append").select("src", "dst").distinct()
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> str:
+    """The order graph's edges in four files, some of them twice and turned around; counts of them below the folder returned."""
+    folder = _folder(spark, "counts")
+    edges = _orders(spark, sf_dir).edges.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(4)))
+    again = edges.where(F.pmod(F.xxhash64("dst"), F.lit(8)) == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.pmod(F.col("part") + 1, F.lit(4)).alias("part"))
+    every = written(edges.unionByName(again), "pairs")
+    for part in range(4):
+        every.where(F.col("part") == part).select("src", "dst").coalesce(1).write.parquet(f"{folder}/pairs/{part}")
+    pairs = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/pairs")
+    counts.keep_up(pairs, folder)
+    return folder
+
+
+@_query("stream_running_degrees", graphs.ORACLE_SQL["degrees"])
+def stream_running_degrees(spark, sf_dir):
+    """Degrees added up batch by batch."""
+    return counts.degrees(spark, _arriving(spark, sf_dir))
+
+
+@_query("stream_running_triangles", graphs._sql("SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM t) AS triangles", graphs._TRIANGLES))
+def stream_running_triangles(spark, sf_dir):
+    """Edges and triangles after the last batch."""
+    return counts.totals(spark, _arriving(spark, sf_dir)).orderBy(F.desc("batch")).limit(1).select("edges", "triangles")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions import bitmap
+from knotwork.functions import bitmap, runs
 from knotwork.operators import bisection, counting, merging, multiway, ordering, relational, scan, semiring, stats, truss
 from knotwork.operators.components import connected_components
 from knotwork.operators.graph import Graph, vertices_of
@@ -952,6 +952,42 @@ def bitmap_jaccard(spark, sf_dir):
     return bitmap.jaccard(*_bitmaps(spark, sf_dir)).select("key", F.round("jaccard", 9).alias("jaccard"))
 
 
+# --- the same bitmaps in run-length form --------------------------------------------------------------
+
+
+def _runs(spark, sf_dir):
+    return [runs.compress(b) for b in _bitmaps(spark, sf_dir)]
+
+
+for _op in ("and", "or", "andnot", "xor"):
+    _query(f"run_length_{_op}", ORACLE_SQL[f"bitmap_{_op}"])(lambda spark, sf_dir, op=_op: bitmap.unpack(runs.expand(runs.combine(*_runs(spark, sf_dir), op))))
+
+
+@_query("run_length_complement", ORACLE_SQL["bitmap_complement"])
+def run_length_complement(spark, sf_dir):
+    return bitmap.unpack(runs.expand(runs.complement(_runs(spark, sf_dir)[0], _bits(spark, sf_dir))))
+
+
+@_query("run_length_equal", ORACLE_SQL["bitmap_equal"])
+def run_length_equal(spark, sf_dir):
+    return runs.equal(*_runs(spark, sf_dir))
+
+
+@_query("run_length_union_all", ORACLE_SQL["bitmap_union_all"])
+def run_length_union_all(spark, sf_dir):
+    either = runs.union_all(_runs(spark, sf_dir)[0]).withColumn("key", F.lit(0).cast("long"))
+    return bitmap.unpack(runs.expand(either)).select("value")
+
+
+@_query("run_length_sizes", f"""WITH {_BITS}, w AS (SELECT key, value // {runs.SEGMENT} AS segment, value // 64 % {runs.SEGMENT_WORDS} AS place, count(*) = 64 AS whole FROM a GROUP BY ALL),
+p AS (SELECT *, lag(place) OVER o AS before, lag(whole) OVER o AS whole_before FROM w WINDOW o AS (PARTITION BY key, segment ORDER BY place))
+SELECT key, count(DISTINCT segment) AS segments, count(*) FILTER (NOT whole) + count(*) FILTER (place > coalesce(before, -1) + 1) + count(*) FILTER (whole AND NOT (coalesce(whole_before, false) AND place = before + 1))
+  + count(*) FILTER (place = 0 AND NOT whole) AS words FROM p GROUP BY key""")
+def run_length_sizes(spark, sf_dir):
+    """Literal words, a marker for each stretch of zeros or ones, and one before literals that come first."""
+    return runs.sizes(_runs(spark, sf_dir)[0])
+
+
 @_query("neighbour_blocks", _sql("SELECT src AS id, dst // 64 AS block, count(*) AS bits FROM s GROUP BY ALL"))
 def neighbour_blocks(spark, sf_dir):
     masks = counting.neighbour_blocks(order_graph(spark, sf_dir).symmetric())
