@@ -223,7 +223,7 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def csr_rows(graph: Graph) -> DataFrame:
-    """Rows as a write takes them: both directions of every edge, and vertices without neighbours, by ranges of ``src``."""
+def csr_rows(graph: Graph, parts: int | None = None) -> DataFrame:
+    """Rows as a write takes them: both directions of every edge, and vertices without neighbours, by ``parts`` ranges of ``src`` (None: as many as Spark finds fit)."""
     lone = graph.vertices.join(graph.degrees(isolated=False), "id", "left_anti").select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))
-    return graph.symmetric().unionByName(lone).repartitionByRange("src").sortWithinPartitions("src", F.asc_nulls_first("dst"))
+    return graph.symmetric().unionByName(lone).repartitionByRange(*([parts] if parts else []), "src").sortWithinPartitions("src", F.asc_nulls_first("dst"))
