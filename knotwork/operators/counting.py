@@ -4,7 +4,7 @@
 physical strategies give the same rows:
 
 - ``array``: adjacency arrays meet at each edge, ``size(array_intersect)``; simple, for moderate degrees;
-- ``wedge``: out-wedges of the degree-oriented graph, closed by a semi join with the edges, then counted per edge;
+- ``wedge``: out-wedges of the degree-oriented graph that pass a filter of their far end's range and hashes, closed by a semi join with the edges, then counted per edge;
 - ``scatter``: triangles found once, by intersecting out-lists of the degree-oriented graph, and scattered to their three edges;
 - ``block``: neighbours as 64-bit blocks, joined on block numbers, ``bit_count`` of the common bits; for dense ids;
 - ``hybrid``: ``block`` for edges with a vertex of ``dense`` neighbours or more, ``array`` for the others, so that no array is longer than that.
@@ -71,13 +71,26 @@ def _array(graph: Graph, edges: DataFrame | None = None, directed: DataFrame | N
     return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("cn"))
 
 
+def out_wedges(out: DataFrame, filtered: bool = True) -> DataFrame:
+    """``(u, v, x)``: edges u->v and u->x of the orientation ``out``, which an edge v->x would close.
+
+    ``filtered`` keeps of these only what ``v`` may point to: its least and greatest out-neighbour and 64 bits, one for each hash of an out-neighbour, travel with the edge
+    and drop most wedges that do not close before they are shuffled. Some pass by chance; none that closes is lost.
+    """
+    far = out.select(F.col("src").alias("u"), F.col("dst").alias("x"))
+    start = out.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    if not filtered:
+        return start.join(far, "u").where("x <> v")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
+    marks = out.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("low"), F.max("dst").alias("high"), F.bit_or(bit("dst")).alias("bits"))
+    allowed = F.col("x").between(F.col("low"), F.col("high")) & (F.col("bits").bitwiseAND(bit("x")) != 0)
+    return start.join(marks, "v").join(far, "u").where((F.col("x") != F.col("v")) & allowed).select("u", "v", "x")
+
+
 def _wedge(graph: Graph) -> DataFrame:
     out = graph.oriented()
-    far = out.select(F.col("src").alias("w"), F.col("dst").alias("x"))
     # The three places an apex can have in the orientation, each a join that starts from out-edges.
-    start = out.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    below = start.join(far.select(F.col("w").alias("u"), "x"), "u").where("x <> v")
-    apex = below.join(out.select(F.col("src").alias("v"), F.col("dst").alias("x")), ["v", "x"], "left_semi")
+    apex = out_wedges(out).join(out.select(F.col("src").alias("v"), F.col("dst").alias("x")), ["v", "x"], "left_semi")
     apexes = apex.select("u", "v", "x")
     # (u, v, x): edges u->v, u->x, v->x; x counts for (u, v), v for (u, x), u for (v, x).
     hits = apexes.select("u", "v").unionByName(apexes.select("u", F.col("x").alias("v"))).unionByName(apexes.select(F.col("v").alias("u"), F.col("x").alias("v")))
