@@ -82,3 +82,24 @@ def test_stages_on_awkward_rows(spark):
     assert {(r["doc_id"], r["source"]): r["count"] for r in fourth.groupBy("doc_id", "source").count().collect()} == taken
     last = stages[4](spark, fourth, "").collect()
     assert sorted(r["decoded_sha256"] for r in last) == sorted(plain.sha(t.encode()) for _, t in key(fourth))
+
+
+def test_further_columns_pass_through(spark):
+    """Named like results of the stages, or like their own helper columns, and a map among them."""
+    rng = random.Random(12)
+    words = "the house and the street with some of what they have said about it".split()
+    texts = [" ".join(rng.choice(words) + str(rng.randrange(90)) for _ in range(80)) for _ in range(6)]
+    texts += [texts[0], texts[1]]
+    names = ["n_words", "n_removed", "kept_text", "lang_pred", "lang_score", "lang_spans", "size", "target", "__key", "gone", "component"]
+    rows = [(min(i, 6), t, "en", "ab"[i % 2], len(t), *(f"{name} {t[:9]}" for name in names), {"k": t[:9]}) for i, t in enumerate(texts)]
+    rows += [rows[2], rows[3]]  # repeated rows: the smallest of them stays
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{name} string" for name in names) + ", tags map<string,string>"
+    docs = spark.createDataFrame(rows, schema)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, ""), "t")
+        assert docs.columns == spark.createDataFrame(rows, schema).columns
+        found = docs.collect()
+        assert found and all(r[name] == f"{name} {r['text'][:9]}" for r in found for name in names) and all(r["tags"] == {"k": r["text"][:9]} for r in found)
+        kept.append({r["doc_id"] for r in found})
+    assert kept[1] == kept[2] == set(range(6)) >= kept[3]  # the mix takes a share of each source
