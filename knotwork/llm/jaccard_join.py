@@ -315,7 +315,12 @@ def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) ->
 
 
 def _candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that pass every filter; sizes and bitmaps first, then the prefixes of the other orders."""
+    """Pairs (a, b) of sets that pass every filter; sizes and bitmaps first, then the prefixes of the other orders.
+
+    All sets travel at most once: those that no pair names are left out before the four joins.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    reps = written(reps.drop("doc_id", "text_key").join(named, "set_key", "left_semi"), "named")
     for columns in (("n", "bits"), ("second", "third")):
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
@@ -324,7 +329,9 @@ def _candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         else:
             pairs = pairs.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
         pairs = pairs.select("a", "b")
-    return written(pairs, "candidates")
+    found = written(pairs, "candidates")
+    dropped(reps)
+    return found
 
 
 def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
