@@ -7,7 +7,8 @@ token are candidates. The other orders' prefixes are then looked up by set, and
 too are left: the filters are intersected on keys and prefixes, before any text of a candidate is read. The first order puts
 tokens last that many documents hold, going by counters over all documents (a fixed number of
 counters, which collide harmlessly: any order gives the same links); within a level, and in the other
-orders, tokens are ordered by different hashes. Prefixes of the other orders are kept as 16-bit values, so some candidates pass by chance, long texts more often.
+orders, tokens are ordered by different hashes. Prefixes of the other orders are kept as 16-bit values, with the place where they end, and
+must share not one token but as many as the similarity asks for, given how many tokens come after them (:func:`_enough_shared`): documents that share a passage fall here, long ones too.
 
 Groups of copies cost few pairs. Equal sets are one class. Each token's documents are first
 compared with ``CENTRES`` of them only; the links found are contracted to components; then just those pairs
@@ -46,7 +47,10 @@ CENTRES = 8
 BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
 CELL = 1_024
-_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<smallint>, third array<smallint>, slice int, counters binary"
+ASKED_BUCKETS = 1 << 20
+_SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<smallint>, third array<smallint>, second_end long, third_end long, slice int, counters binary"
+#: What travels with a set for the filters under the second and third order.
+_LATER = ("second", "third", "second_end", "third_end")
 _PREFIX = "token long, salt int, set_key long, n int, pos int"
 _MET = "token long, set_key long, n int, pos int, a long, b long"
 
@@ -86,12 +90,12 @@ def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def order_prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under the order that ``seed`` gives, as 16-bit values, each once."""
+def order_prefix(tokens: np.ndarray, seed: int, percent: int) -> tuple[np.ndarray, int]:
+    """The first tokens of a set under the order that ``seed`` gives, as 16-bit values, each once; and where they end in that order (63 bits of it)."""
     order = mix(tokens ^ np.uint64(seed))
     length = prefix_length(len(tokens), percent)
     first = order if length == len(order) else np.partition(order, length - 1)[:length]
-    return np.unique(first.astype(np.uint16)).view(np.int16)
+    return np.unique(first.astype(np.uint16)).view(np.int16), int(first.max() >> np.uint64(1))
 
 
 def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
@@ -103,7 +107,8 @@ def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
 def _sets(size: int, percent: int):
     """Each document's set key, size and bitmap, a new set's prefixes, and at the end the partition's token counters."""
     lists = [("bits", pa.list_(pa.int64())), ("second", pa.list_(pa.int16())), ("third", pa.list_(pa.int16()))]
-    kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), *lists, ("slice", pa.int32()), ("counters", pa.binary())]
+    ends = [("second_end", pa.int64()), ("third_end", pa.int64())]
+    kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.int64()), ("n", pa.int32()), *lists, *ends, ("slice", pa.int32()), ("counters", pa.binary())]
     schema = pa.schema(kinds)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,25 +118,28 @@ def _sets(size: int, percent: int):
                 keys, sizes, fresh = [], [], []
                 bitmaps: list[np.ndarray | None] = []
                 prefixes: list[list[np.ndarray | None]] = [[], []]
+                prefix_ends: list[list[int | None]] = [[], []]
                 for tokens in shingle_sets(utf8(texts), size):
                     key = set_key(tokens) if len(tokens) else 0
                     new = key != 0 and key not in seen
                     keys.append(key)
                     sizes.append(len(tokens))
                     bitmaps.append(parity_bitmap(tokens) if new else None)
-                    for own, seed in zip(prefixes, _SEEDS[1:], strict=True):
-                        own.append(order_prefix(tokens, seed, percent) if new else None)
+                    for own, own_ends, seed in zip(prefixes, prefix_ends, _SEEDS[1:], strict=True):
+                        first, last = order_prefix(tokens, seed, percent) if new else (None, None)
+                        own.append(first)
+                        own_ends.append(last)
                     if new:
                         seen.add(key)
                         fresh.append(tokens)
                 if fresh:
                     np.add.at(counters, (np.concatenate(fresh) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
                 own_rows = batch.slice(begin, end - begin)
-                lists = [_lists(bitmaps, pa.int64()), *(_lists(p, pa.int16()) for p in prefixes)]
+                lists = [_lists(bitmaps, pa.int64()), *(_lists(p, pa.int16()) for p in prefixes), *(pa.array(e, pa.int64()) for e in prefix_ends)]
                 yield pa.RecordBatch.from_arrays([own_rows.column(0), own_rows.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *lists, pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())], schema=schema)
         if counters.any():
             cut = np.minimum(counters, (1 << 16) - 1).astype(np.uint16).reshape(SLICES, -1)
-            none = [pa.nulls(SLICES, kind) for _, kind in kinds[:7]]
+            none = [pa.nulls(SLICES, kind) for _, kind in kinds[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], schema=schema)
 
     return of
@@ -242,6 +250,22 @@ def _possible(x: str, y: str, percent: int):
     return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (most >= least) & (n_x + n_y - differ >= 2 * least)
 
 
+def _enough_shared(order: str, percent: int) -> Column:
+    """Whether the prefixes of ``a`` and ``b`` under an order share as many tokens as sets of the similarity must.
+
+    Up to where the first of both prefixes ends, every shared token is in both prefixes; beyond, that set has only its other tokens to
+    share. Tokens of a prefix that have one 16-bit value are counted once, so as many may be missing from the shared values as one
+    of the prefixes lost; values that meet by chance only add.
+    """
+    n = {x: F.col(f"{x}_n").cast("long") for x in "ab"}
+    later = {x: F.floor((n[x] * percent + 99) / 100) - 1 for x in "ab"}
+    lost = F.least(*(n[x] - later[x] - F.size(f"{x}_{order}") for x in "ab"))
+    a_end, b_end = F.col(f"a_{order}_end"), F.col(f"b_{order}_end")
+    beyond = F.when(a_end < b_end, later["a"]).when(b_end < a_end, later["b"]).otherwise(F.greatest(later["a"], later["b"]))
+    least = F.floor(((n["a"] + n["b"]) * percent + 99 + percent) / (100 + percent))
+    return F.size(F.array_intersect(f"a_{order}", f"b_{order}")) >= F.greatest(F.lit(1), least - beyond - lost)
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, hot_rows: int = 20_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
@@ -273,8 +297,8 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = written(prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_key").mapInArrow(_met(percent), _MET), "met")
     shingled = first_pass.where("slice is null and n > 0 and doc_id is not null")
     named = shingled.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
-    first_seen = first_pass.where("bits is not null").select("set_key", "n", "bits", "second", "third")
-    kept = first_seen.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n", "bits", "second", "third")))
+    first_seen = first_pass.where("bits is not null").select("set_key", "n", "bits", *_LATER)
+    kept = first_seen.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n", "bits", *_LATER)))
     reps = written(named.select("set_key", "rep.doc_id", "rep.text_key").join(kept, "set_key"), "reps")
     sets = written(sets, "sets")
     dropped(first_pass)
@@ -314,20 +338,30 @@ def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) ->
     return pairs.select(F.least("set_key", "x_set_key").alias("a"), F.greatest("set_key", "x_set_key").alias("b")).distinct()
 
 
+def _in_buckets_of(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` no row of ``asked`` can have, for an exact join to follow; no row travels for it.
+
+    What is broadcast are the asked keys' buckets, ASKED_BUCKETS at most, whatever the input.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(ASKED_BUCKETS)).cast("int")
+    buckets = asked.select(bucket.alias("bucket")).distinct()
+    return rows.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+
+
 def _candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that pass every filter; sizes and bitmaps first, then the prefixes of the other orders.
 
-    All sets travel at most once: those that no pair names are left out before the four joins.
+    Sets that no pair names are left out before the four joins.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    reps = written(reps.drop("doc_id", "text_key").join(named, "set_key", "left_semi"), "named")
-    for columns in (("n", "bits"), ("second", "third")):
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key"))
+    reps = written(_in_buckets_of(reps.drop("doc_id", "text_key"), named, "set_key"), "named")
+    for columns in (("n", "bits"), ("n", *_LATER)):
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("set_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-        if "n" in columns:
+        if "bits" in columns:
             pairs = pairs.withColumns({"a_pos": F.lit(0), "b_pos": F.lit(0)}).where(_possible("a_", "b_", percent))
         else:
-            pairs = pairs.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+            pairs = pairs.where(_enough_shared("second", percent) & _enough_shared("third", percent))
         pairs = pairs.select("a", "b")
     found = written(pairs, "candidates")
     dropped(reps)
@@ -342,7 +376,7 @@ def _verified(source: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, p
     centres = pairs.select("a", "part", F.lit(None).cast("long").alias("b")).distinct()
     asked = pairs.unionByName(centres).withColumn("set_key", F.coalesce("b", "a"))
     asked = written(asked.join(reps.select("set_key", "doc_id", "text_key"), "set_key").drop("set_key"), "asked")
-    asked = asked.join(texts, ["doc_id", "text_key"]).select("a", "part", "b", "text")
+    asked = asked.join(_in_buckets_of(texts, asked, "text_key"), ["doc_id", "text_key"]).select("a", "part", "b", "text")
     # A repeated row of the table gives its text several times, and a pair with it.
     grouped = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return written(grouped.mapInArrow(_similar(size, percent), "a long, b long").distinct(), "links")
