@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm import language_id
 from knotwork.llm.fair_mix import fair_mix, mixed_rows
-from knotwork.llm.jaccard_join import similarity_groups
+from knotwork.llm.jaccard_join import apart_by_buckets, similarity_groups
 from knotwork.llm.queries import held_out_rows, token_digests, tokenizer
 from knotwork.llm.substring_dedup import remove_duplicate_spans
 from knotwork.plans.materialize import written
@@ -46,7 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked rows the one of smallest id stays; rows without words or id stay.
 
     Ids may repeat: rows are told apart by id and text. Of texts of one id in a group the one of smallest hash stays, and
-    of rows with equal id and text the smallest by all columns, those that hold maps last and as JSON.
+    of rows with equal id and text the smallest by all columns, those that hold maps last and as JSON. Only rows that may be
+    marked travel, with their texts, to the table of marks.
     """
     row, key = F.struct("doc_id", "text_key"), F.xxhash64("text")
     groups = similarity_groups(docs).where("label is not null and doc_id is not null").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("k"))
@@ -54,8 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marked = groups.join(first, "label").withColumn("gone", row != F.col("first")).where("gone or k > 1").select("doc_id", F.col("text_key").alias("__key"), "gone")
     marked = written(marked, "near-duplicates")
     keyed = docs.withColumn("__key", key)
-    single = keyed.join(marked, ["doc_id", "__key"], "left_anti").select(docs.columns)
-    several = keyed.join(marked.where("not gone"), ["doc_id", "__key"], "left_semi")
+    asked, untouched = apart_by_buckets(keyed, marked, "doc_id", "__key")
+    single = untouched.unionByName(asked.join(marked, ["doc_id", "__key"], "left_anti")).select(docs.columns)
+    repeated = marked.where("not gone")
+    several = apart_by_buckets(keyed, repeated, "doc_id", "__key")[0].join(repeated, ["doc_id", "__key"], "left_semi")
     maps = [c for c, kind in docs.dtypes if "map<" in kind]
     order = F.struct(*(c for c in docs.columns if c not in maps), F.to_json(F.struct(F.lit(0).alias("__no_map"), *maps)).alias("__maps"))
     return single.unionByName(several.groupBy("doc_id", "__key").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"))

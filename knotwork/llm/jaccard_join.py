@@ -47,7 +47,9 @@ CENTRES = 8
 BITMAP_LONGS = 8
 _SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127)
 CELL = 1_024
-ASKED_BUCKETS = 1 << 20
+ASKED_BUCKETS = 1 << 26
+#: Buckets whose bits are in one row of a map; ``bitmap_construct_agg`` holds so many.
+MAP_BITS = 15
 _SETS = "doc_id long, text_key long, set_key long, n int, bits array<long>, second array<smallint>, third array<smallint>, second_end long, third_end long, slice int, counters binary"
 #: What travels with a set for the filters under the second and third order.
 _LATER = ("second", "third", "second_end", "third_end")
@@ -338,14 +340,22 @@ def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) ->
     return pairs.select(F.least("set_key", "x_set_key").alias("a"), F.greatest("set_key", "x_set_key").alias("b")).distinct()
 
 
-def _in_buckets_of(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """``rows`` without those whose ``key`` no row of ``asked`` can have, for an exact join to follow; no row travels for it.
+def apart_by_buckets(rows: DataFrame, asked: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``keys`` some row of ``asked`` may have, for an exact join to follow, and those whose ``keys`` none has; no row travels for it.
 
-    What is broadcast are the asked keys' buckets, ASKED_BUCKETS at most, whatever the input.
+    What is broadcast is a bit for each bucket of the asked keys: ASKED_BUCKETS bits (8 MB) at most, whatever the input.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(ASKED_BUCKETS)).cast("int")
-    buckets = asked.select(bucket.alias("bucket")).distinct()
-    return rows.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(ASKED_BUCKETS))
+    split = {"__map": F.shiftright(bucket, MAP_BITS), "__place": bucket.bitwiseAND((1 << MAP_BITS) - 1)}
+    maps = asked.select(*(c.alias(name) for name, c in split.items())).groupBy(F.col("__map").alias("__own")).agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = (F.col("__map") == F.col("__own")) & (F.getbit(byte, F.col("__place").bitwiseAND(7)) == 1)
+    may, cannot = (rows.withColumns(split).join(F.broadcast(maps), held, how).drop(*split) for how in ("left_semi", "left_anti"))
+    return may, cannot
+
+
+def _in_buckets_of(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    return apart_by_buckets(rows, asked, key)[0]
 
 
 def _candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.llm import jaccard_join
-from knotwork.llm.jaccard_join import _SEEDS, _enough_shared, _in_buckets_of, order_prefix
+from knotwork.llm.jaccard_join import _SEEDS, _enough_shared, _in_buckets_of, apart_by_buckets, order_prefix
 
 ROW = ", ".join(f"{x}_n int, {x}_second array<smallint>, {x}_second_end long" for x in "ab")
 
@@ -49,3 +49,17 @@ def test_buckets_lose_no_asked_row(spark, monkeypatch):
     assert left.count() < 800
     none = spark.createDataFrame([(None,), (1,)], "key long")
     assert {r.key for r in _in_buckets_of(none, none.where(F.col("key") == 1), "key").collect()} >= {1}
+
+
+def test_buckets_part_all_rows(spark, monkeypatch):
+    """Few of the rows that nothing asks for are held to be asked, also with more keys than 2^20 buckets could tell apart, and nulls are rows as others are."""
+    rows = spark.range(3_000_000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("more"))
+    may, cannot = apart_by_buckets(rows, rows.where("more < 2"), "key", "more")
+    assert may.where("more < 2").count() == 2_000_000 and cannot.where("more < 2").count() == 0
+    assert cannot.count() > 900_000 and may.columns == cannot.columns == rows.columns
+    none = spark.createDataFrame([(None, 1), (1, None), (2, 2)], "key long, more long")
+    for buckets in (1, 1 << 26):
+        monkeypatch.setattr(jaccard_join, "ASKED_BUCKETS", buckets)
+        may, cannot = apart_by_buckets(none, none.where("key = 1"), "key", "more")
+        assert may.unionByName(cannot).count() == 3 and may.where("key = 1").count() == 1
+        assert apart_by_buckets(none, none.limit(0), "key")[1].count() == 3

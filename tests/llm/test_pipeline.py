@@ -103,3 +103,34 @@ def test_further_columns_pass_through(spark):
         assert found and all(r[name] == f"{name} {r['text'][:9]}" for r in found for name in names) and all(r["tags"] == {"k": r["text"][:9]} for r in found)
         kept.append({r["doc_id"] for r in found})
     assert kept[1] == kept[2] == set(range(6)) >= kept[3]  # the mix takes a share of each source
+
+
+def _shuffled_rows(spark, action):
+    """Rows that the action's stages write to shuffles."""
+    core = spark.sparkContext._jsc.sc()
+
+    def stages():
+        core.listenerBus().waitUntilEmpty()
+        found = core.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    action()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_unmarked_texts_do_not_travel(spark):
+    """Of 600 rows, 20 have copies; the other texts stay where they are when those are left out, with no table small enough to be broadcast by itself."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(600)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(1_000 + i, texts[i], "en", "b", len(texts[i])) for i in range(10)]
+    rows += [rows[i] for i in range(20, 30)]  # whole rows twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        found = []
+        assert _shuffled_rows(spark, lambda: found.extend(kept.collect())) < 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r["doc_id"] for r in found) == list(range(600))
