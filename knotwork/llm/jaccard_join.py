@@ -331,6 +331,7 @@ def _across(met: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) ->
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("k"))
     several = sizes.groupBy("token").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
     several = several.select("token", F.col("main.part").alias("main"), F.ceil(F.col("k") / CELL).cast("int").alias("high"), F.ceil((F.col("k") - F.col("main.k")) / CELL).cast("int").alias("wide"))
+    several = written(several, "tokens")  # read back, so that Spark may split a hot token's rows at the join
     rows = written(rows.join(several, "token").join(reps.select("set_key", "bits"), "set_key"), "across")
     small = rows.where("part <> main").withColumn("x", F.pmod(F.xxhash64("set_key"), "wide")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
     small = small.select("token", "x", "y", *(F.col(c).alias(f"x_{c}") for c in ("set_key", "n", "pos", "part", "bits")))
