@@ -218,8 +218,9 @@ class CsrDataSource(ds.DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``csr`` known to the session, with filters pushed down to it."""
+    """Makes ``csr`` known to the session, with filters pushed down to it, and the session active in this thread: Spark looks sources up by that."""
     spark.dataSource.register(CsrDataSource)
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import datasource as ds
@@ -48,6 +49,18 @@ def test_there_and_back(spark, graph, tmp_path, base):
     assert pairs(spark.read.format("csr").option("base", base).load(path)) == [(1, 2), (2, 1)]
 
 
+def test_in_a_new_thread(spark, graph, tmp_path):
+    """Spark looks sources up by the session that is active in the thread; a new thread has none."""
+
+    def there_and_back():
+        csr_source.register(spark)
+        csr_source.csr_rows(graph).write.format("csr").mode("append").save(str(tmp_path / "g"))
+        return pairs(spark.read.format("csr").load(str(tmp_path / "g")))
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(there_and_back).result() == pairs(graph.symmetric())
+
+
 def test_filters_leave_parts_out(spark, graph, tmp_path):
     csr_source.register(spark)
     csr_source.csr_rows(graph, parts=5).write.format("csr").mode("append").save(str(tmp_path / "g"))
