@@ -51,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row, key = F.struct("doc_id", "text_key"), F.xxhash64("text")
     groups = similarity_groups(docs).where("label is not null and doc_id is not null").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("k"))
-    first = groups.groupBy("label").agg(F.min(row).alias("first"))
+    first = written(groups.groupBy("label").agg(F.min(row).alias("first")), "firsts")  # read back, so that Spark may split a large group's rows at the join
     marked = groups.join(first, "label").withColumn("gone", row != F.col("first")).where("gone or k > 1").select("doc_id", F.col("text_key").alias("__key"), "gone")
     marked = written(marked, "near-duplicates")
     keyed = docs.withColumn("__key", key)
