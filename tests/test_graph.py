@@ -282,3 +282,20 @@ def test_filtered_wedges(spark):
         assert rows(every.join(closing, ["v", "x"], "left_semi").select("u", "v", "x")) == rows(some.join(closing, ["v", "x"], "left_semi").select("u", "v", "x"))
         print(scale, every.count(), some.count(), every.join(closing, ["v", "x"], "left_semi").count())
         assert some.count() < 0.6 * every.count()
+
+
+def test_k_core_looks_only_at_what_goes(spark, monkeypatch):
+    """The k-core against plain peeling; a graph from which nothing goes takes one table of vertices and no rounds of h-indices."""
+    from knotwork.operators import kcore
+
+    pairs = random_pairs(60, 110, 5) + [(i, i + 1) for i in range(100, 112)]  # and a path, which goes from its ends
+    for k in (1, 2, 3, 5):
+        left = neighbours(pairs)
+        while weak := {a for a, near in left.items() if len(near) < k}:
+            left = {a: near - weak for a, near in left.items() if a not in weak}
+        assert rows(kcore.k_core(graph_of(spark, pairs), k)) == sorted((a, b) for a in left for b in left[a] if a < b)
+    labels: list[str] = []
+    plain = kcore.written
+    monkeypatch.setattr(kcore, "written", lambda df, label="table": labels.append(label) or plain(df, label))
+    ring = [(i, (i + 1) % 30) for i in range(30)]
+    assert len(rows(kcore.k_core(graph_of(spark, ring), 2))) == 30 and labels == ["left"]
