@@ -29,3 +29,15 @@ def test_array_strategy_in_turns(spark, monkeypatch):
     pairs = random_pairs(50, 260, 11)
     assert rows(counting.common_neighbors(graph_of(spark, pairs), "array")) == cn_of(pairs)
     assert labels.count("met") > 2
+
+
+def test_wedge_strategy_in_turns_and_filtered(spark, monkeypatch):
+    """A hub's far ends are told apart by 512 bits where 64 would all be set."""
+    labels = in_many_turns(monkeypatch)
+    pairs = random_pairs(50, 260, 12)
+    assert rows(counting.common_neighbors(graph_of(spark, pairs), "wedge")) == cn_of(pairs)
+    assert labels.count("apexes") > 2
+    # 1 points to 2 and to 1000 odd ends; 2 points to 100 even ends of the same range: no wedge closes.
+    out = spark.createDataFrame([(1, 2)] + [(1, 2 * i + 1) for i in range(10, 1010)] + [(2, 20 * i) for i in range(1, 101)], "src long, dst long")
+    passed = counting.out_wedges(out, starts=out.where("src = 1 and dst = 2")).count()
+    assert passed < 350
