@@ -41,3 +41,11 @@ def test_wedge_strategy_in_turns_and_filtered(spark, monkeypatch):
     out = spark.createDataFrame([(1, 2)] + [(1, 2 * i + 1) for i in range(10, 1010)] + [(2, 20 * i) for i in range(1, 101)], "src long, dst long")
     passed = counting.out_wedges(out, starts=out.where("src = 1 and dst = 2")).count()
     assert passed < 350
+
+
+def test_block_strategy_in_segments_and_turns(spark, monkeypatch):
+    """Ids over several segments of block numbers."""
+    labels = in_many_turns(monkeypatch)
+    pairs = [(a * 40_007, b * 40_007) for a, b in random_pairs(50, 260, 13)] + [(a, b) for a, b in random_pairs(200, 500, 14)]
+    assert rows(counting.common_neighbors(graph_of(spark, pairs), "block")) == cn_of(pairs)
+    assert labels.count("met") > 2
