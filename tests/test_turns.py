@@ -49,3 +49,10 @@ def test_block_strategy_in_segments_and_turns(spark, monkeypatch):
     pairs = [(a * 40_007, b * 40_007) for a, b in random_pairs(50, 260, 13)] + [(a, b) for a, b in random_pairs(200, 500, 14)]
     assert rows(counting.common_neighbors(graph_of(spark, pairs), "block")) == cn_of(pairs)
     assert labels.count("met") > 2
+
+
+def test_hybrid_strategy_in_turns(spark, monkeypatch):
+    labels = in_many_turns(monkeypatch)
+    pairs = random_pairs(60, 260, 15) + [(100, i) for i in range(60)]
+    assert rows(counting.common_neighbors(graph_of(spark, pairs), "hybrid", dense=12)) == cn_of(pairs)
+    assert labels.count("met") > 3
