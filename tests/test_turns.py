@@ -56,3 +56,12 @@ def test_hybrid_strategy_in_turns(spark, monkeypatch):
     pairs = random_pairs(60, 260, 15) + [(100, i) for i in range(60)]
     assert rows(counting.common_neighbors(graph_of(spark, pairs), "hybrid", dense=12)) == cn_of(pairs)
     assert labels.count("met") > 3
+
+
+def test_array_sets_in_turns(spark, monkeypatch):
+    labels = in_many_turns(monkeypatch)
+    pairs = random_pairs(50, 260, 16)
+    graph, nbrs, ops = graph_of(spark, pairs), neighbours(pairs), relational.array_sets(F.col("a"), F.col("b"))
+    met = counting.meeting_lists(graph.edges, graph.symmetric(), lambda met: met.select("src", "dst", ops["intersection_count"], F.size(ops["union"]), F.size(ops["difference"])))
+    assert rows(met) == sorted((a, b, len(nbrs[a] & nbrs[b]), len(nbrs[a] | nbrs[b]), len(nbrs[a] - nbrs[b])) for a in nbrs for b in nbrs[a] if a < b)
+    assert labels.count("met") > 2
