@@ -65,3 +65,16 @@ def test_array_sets_in_turns(spark, monkeypatch):
     met = counting.meeting_lists(graph.edges, graph.symmetric(), lambda met: met.select("src", "dst", ops["intersection_count"], F.size(ops["union"]), F.size(ops["difference"])))
     assert rows(met) == sorted((a, b, len(nbrs[a] & nbrs[b]), len(nbrs[a] | nbrs[b]), len(nbrs[a] - nbrs[b])) for a in nbrs for b in nbrs[a] if a < b)
     assert labels.count("met") > 2
+
+
+def test_clique_counts_list_each_size_once(spark, monkeypatch):
+    import itertools
+
+    labels: list[str] = []
+    plain = counting.written
+    monkeypatch.setattr(counting, "written", lambda df, label="table": labels.append(label) or plain(df, label))
+    pairs = random_pairs(25, 180, 18)
+    nbrs = neighbours(pairs)
+    found = {k: sum(all(b in nbrs[a] for a, b in itertools.combinations(c, 2)) for c in itertools.combinations(sorted(nbrs), k)) for k in (3, 4, 5)}
+    assert rows(counting.clique_counts(graph_of(spark, pairs), 5)) == sorted(found.items())
+    assert labels.count("out-lists") == 1 and labels.count("cliques") == 2
