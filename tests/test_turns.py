@@ -67,6 +67,18 @@ def test_array_sets_in_turns(spark, monkeypatch):
     assert labels.count("met") > 2
 
 
+def test_multiway_join_in_turns_and_marked(spark):
+    """Triangles of text ids, with nulls; a row that no later relation closes is dropped before its next join is shuffled."""
+    pairs = [(a, b) for a, b in random_pairs(40, 200, 17) if a < b]
+    edges = spark.createDataFrame([*((f"n{a}", f"n{b}") for a, b in set(pairs)), (None, "n1"), ("n1", None)], "src string, dst string")
+    relations = [edges.toDF("a", "b"), edges.toDF("b", "c"), edges.toDF("a", "c")]
+    held = set(pairs)
+    expected = sorted((f"n{a}", f"n{b}", f"n{c}") for a, b in held for x, c in held if x == b and (a, c) in held)
+    for turn in (1, 3):
+        assert rows(relational.multiway_join(relations, turns=turn).select("a", "b", "c")) == expected
+    assert "shiftleft" in relational.multiway_join(relations)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clique_counts_list_each_size_once(spark, monkeypatch):
     import itertools
 
