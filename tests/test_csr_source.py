@@ -112,3 +112,10 @@ def test_counts_after_each_batch(spark, tmp_path):
         got = {r["batch"]: (r["edges"], r["triangles"]) for r in counts.totals(spark, folder).collect()}
         assert got[number] == (len(seen), triangles)
         assert dict(map(tuple, counts.degrees(spark, folder).collect())) == {x: len(ys) for x, ys in near.items()}
+
+
+def test_degrees_alone_look_for_no_triangles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counts, "closed_triangles", None)
+    for number, batch in enumerate(([(1, 2), (2, 3)], [(3, 1), (2, 1)], [(4, 1)])):
+        counts.upkeep(spark.createDataFrame(batch, "src long, dst long"), number, str(tmp_path), triangles=False)
+    assert dict(map(tuple, counts.degrees(spark, str(tmp_path)).collect())) == {1: 3, 2: 2, 3: 2, 4: 1}
